@@ -39,33 +39,32 @@ def first_non_blank(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
 
 
-def parse_date(value: Column) -> Column:
-    """``d-MMM-yyyy``, then ISO, then day-first with slashes or dashes; anything else is NULL."""
-    text = clean_text(value)
-    return F.coalesce(
-        F.try_to_date(text, "d-MMM-yyyy"),
-        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("date")),
-        F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(text, "d/M/yyyy")),
-        F.when(text.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), F.try_to_date(text, "d-M-yyyy")),
+def parse_date(text: Column) -> Column:
+    """``d-MMM-yyyy``, ISO, or day-first with slashes or dashes; anything else is NULL.
+
+    ``text`` is stripped already. The shape is checked first, because a failed parse costs far more
+    than a match.
+    """
+    return (
+        F.when(text.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"), F.try_to_date(text, "d-MMM-yyyy"))
+        .when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("date"))
+        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(text, "d/M/yyyy"))
+        .when(text.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), F.try_to_date(text, "d-M-yyyy"))
     )
 
 
-def parse_policy_date(value: Column) -> Column:
+def parse_policy_date(text: Column) -> Column:
     """Dates of policy tables: ISO with or without a time, or month-first with slashes."""
-    text = clean_text(value)
-    return F.coalesce(
-        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("date")),
-        F.when(
-            text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"),
-            F.try_to_date(F.regexp_extract(text, r"^(\d{1,2}/\d{1,2}/\d{4})", 1), "M/d/yyyy"),
-        ),
+    slashed = F.regexp_extract(text, r"^(\d{1,2}/\d{1,2}/\d{4})", 1)
+    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("date")).when(
+        slashed != "", F.try_to_date(slashed, "M/d/yyyy")
     )
 
 
-def parse_number(value: Column) -> Column:
+def parse_number(text: Column) -> Column:
     """Double after dropping thousands commas; only plain decimal notation is accepted."""
-    text = F.replace(clean_text(value), F.lit(","), F.lit(""))
-    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+    digits = F.replace(text, F.lit(","), F.lit(""))
+    return F.when(digits.rlike(PLAIN_NUMBER), digits.try_cast("double"))
 
 
 def normalize_icd10_code(value: Column) -> Column:

@@ -119,8 +119,8 @@ def state_names(tables: dict[str, DataFrame]) -> DataFrame:
 
 def valid_on(df: DataFrame, as_of: Column) -> DataFrame:
     """Rows in force: started (or no start) and not ended (or no end)."""
-    starts = parse_policy_date(col_or_default(df, "active_date"))
-    ends = parse_policy_date(col_or_default(df, "term_date"))
+    starts = parse_policy_date(strip(col_or_default(df, "active_date")))
+    ends = parse_policy_date(strip(col_or_default(df, "term_date")))
     return df.filter((starts.isNull() | (starts <= as_of)) & (ends.isNull() | (ends >= as_of)))
 
 

@@ -8,20 +8,25 @@ from claimspark.functions.names import is_date_name, is_number_name, lower_names
 from claimspark.functions.text import clean_text, parse_date, parse_number
 
 
-def typed_value(name: str, raw: Column) -> Column:
-    """Typed form of a raw text cell; blank or unreadable cells become NULL."""
+def typed_value(name: str, text: Column) -> Column:
+    """Typed form of a stripped cell; an unreadable cell becomes NULL."""
     if is_date_name(name):
-        return parse_date(raw)
+        return parse_date(text)
     if is_number_name(name):
-        return parse_number(raw)
-    return clean_text(raw)
+        return parse_number(text)
+    return text
 
 
 def type_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Apply ``typed_value`` to every column but those in ``keep``."""
-    return df.select(
-        *[F.col(c) if c in keep else typed_value(c, F.col(c).cast("string")).alias(c) for c in df.columns]
+    """Type every column but those in ``keep``.
+
+    Cells are stripped in a projection of their own, so that each is stripped once however often
+    the typing rules look at it.
+    """
+    stripped = df.select(
+        *[F.col(c) if c in keep else clean_text(F.col(c).cast("string")).alias(c) for c in df.columns]
     )
+    return stripped.select(*[F.col(c) if c in keep else typed_value(c, F.col(c)).alias(c) for c in df.columns])
 
 
 def normalize_source(df: DataFrame, source_type: str, keep: tuple[str, ...] = ()) -> DataFrame:

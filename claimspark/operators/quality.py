@@ -14,7 +14,7 @@ from claimspark.functions.names import (
     canonical_column, is_code_column, is_date_name, is_number_name, missing_columns,
 )
 from claimspark.functions.fixed import REQUIRED_COLUMNS
-from claimspark.functions.text import strip
+from claimspark.functions.text import clean_text
 from claimspark.operators.normalize import typed_value
 
 FILE = "source_file"
@@ -34,47 +34,61 @@ class Metric:
         return f"{self.metric}:{self.field}"
 
 
-def count_where(condition: Column) -> Column:
-    """Number of rows that meet the condition; 0 for none."""
-    return F.count_if(condition)
-
-
 def source_columns(df: DataFrame) -> list[str]:
     """The file's own columns: all but the file name, the yearly tag and reader metadata."""
     return [c for c in df.columns if c not in (FILE, "year") and not c.startswith("_")]
 
 
-def _typed_names(df: DataFrame, source_type: str) -> dict[str, str]:
+def _standard_names(df: DataFrame, source_type: str) -> dict[str, str]:
     return {c: canonical_column(source_type, c) for c in source_columns(df)}
 
 
+def _is_parsed(name: str) -> bool:
+    return is_date_name(name) or is_number_name(name)
+
+
+def profile_columns(df: DataFrame, source_type: str) -> DataFrame:
+    """Typed columns plus what the profile needs: the text of parsed cells, stray white space flags."""
+    names = _standard_names(df, source_type)
+    tags = [c for c in (FILE, "year") if c in df.columns]
+    stripped = df.select(
+        *tags,
+        *[clean_text(F.col(c)).alias(n) for c, n in names.items()],
+        *[F.col(c).alias(f"_raw_{c}") for c in filter(is_code_column, names)],
+    )
+    return stripped.select(
+        *tags,
+        *[typed_value(n, F.col(n)).alias(n) for n in names.values()],
+        *[F.col(n).alias(f"_text_{n}") for n in names.values() if _is_parsed(n)],
+        *[(F.col(n) != F.col(f"_raw_{c}")).alias(f"_stray_{c}") for c, n in names.items() if is_code_column(c)],
+    )
+
+
 def quality_metrics(df: DataFrame, source_type: str) -> list[Metric]:
-    """Aggregates for the report; no distinct counts, so they also work with ``observe``."""
-    names = _typed_names(df, source_type)
-    typed = {n: typed_value(n, F.col(c)) for c, n in names.items()}
-    filled = {n: F.coalesce(strip(F.col(c)), F.lit("")) != "" for c, n in names.items()}
+    """Aggregates over ``profile_columns(df)``; no distinct counts, so they also work with ``observe``."""
+    names = _standard_names(df, source_type)
+    dates = [n for n in names.values() if is_date_name(n)]
+    numbers = [n for n in names.values() if is_number_name(n) and n not in dates]
+    tags = ["year"] if "year" in df.columns else []
     metrics = [Metric("row_count", "", F.count(F.lit(1)))]
-    if "year" in df.columns:
-        metrics.append(Metric("null_count", "year", count_where(F.col("year").isNull())))
-    metrics += [Metric("null_count", n, count_where(value.isNull())) for n, value in typed.items()]
-    dates = [n for n in typed if is_date_name(n)]
-    numbers = [n for n in typed if is_number_name(n) and n not in dates]
+    metrics += [Metric("null_count", n, F.count_if(F.col(n).isNull())) for n in (*tags, *names.values())]
     for n in dates:
-        metrics.append(Metric("date_min", n, F.min(typed[n])))
-        metrics.append(Metric("date_max", n, F.max(typed[n])))
+        metrics.append(Metric("date_min", n, F.min(n)))
+        metrics.append(Metric("date_max", n, F.max(n)))
     for metric, columns in (("date_parse_failures", dates), ("numeric_parse_failures", numbers)):
         if columns:
-            failures = [F.when(filled[n] & typed[n].isNull(), 1).otherwise(0) for n in columns]
-            metrics.append(Metric(metric, "", F.sum(sum(failures[1:], failures[0]))))
-    for c in filter(is_code_column, names):
-        stray = F.col(c).isNotNull() & (F.col(c) != strip(F.col(c))) & (strip(F.col(c)) != "")
-        metrics.append(Metric("code_whitespace_rows", c, count_where(stray)))
+            failed = [(F.col(f"_text_{n}").isNotNull() & F.col(n).isNull()).cast("long") for n in columns]
+            metrics.append(Metric(metric, "", F.coalesce(F.sum(sum(failed[1:], failed[0])), F.lit(0))))
+    metrics += [
+        Metric("code_whitespace_rows", c, F.count_if(F.col(f"_stray_{c}"))) for c in names if is_code_column(c)
+    ]
     return metrics
 
 
 def wide_profile(df: DataFrame, source_type: str) -> DataFrame:
     """One row per source file with every aggregate as a column."""
-    return df.groupBy(FILE).agg(*[m.value.alias(m.alias) for m in quality_metrics(df, source_type)])
+    aggregates = [m.value.alias(m.alias) for m in quality_metrics(df, source_type)]
+    return profile_columns(df, source_type).groupBy(FILE).agg(*aggregates)
 
 
 def row_fingerprint(df: DataFrame) -> list[Column]:
@@ -158,7 +172,7 @@ def null_counts(df: DataFrame, source_type: str) -> DataFrame:
 
 def date_bounds(df: DataFrame, source_type: str) -> DataFrame:
     """``source_file, field, date_min, date_max`` for the date columns that hold a date."""
-    fields = [n for n in _typed_names(df, source_type).values() if is_date_name(n)]
+    fields = [n for n in _standard_names(df, source_type).values() if is_date_name(n)]
     profile = wide_profile(df, source_type)
     cells = [
         F.struct(

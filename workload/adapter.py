@@ -53,9 +53,9 @@ def claim_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
 
 
-def raw_claims(spark: SparkSession, sf_dir: str, claim_type: str, with_file: bool = False) -> DataFrame:
-    """Raw text lines of one claim type under the source column names."""
-    base = claim_base(spark, sf_dir).filter(F.col("l_linenumber") % 3 == CLAIM_TYPES.index(claim_type))
+def raw_claims(base: DataFrame, claim_type: str, with_file: bool = False) -> DataFrame:
+    """Raw text lines of one claim type under the source column names, from ``claim_base``."""
+    base = base.filter(F.col("l_linenumber") % 3 == CLAIM_TYPES.index(claim_type))
     supplier = F.col("l_suppkey")
     day = F.col("l_shipdate").cast("date")
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -97,13 +97,14 @@ def raw_claims(spark: SparkSession, sf_dir: str, claim_type: str, with_file: boo
     return base.select(*[c.alias(n) for n, c in columns.items()])
 
 
-def processed_claims(spark: SparkSession, sf_dir: str, claim_type: str) -> DataFrame:
-    return normalize_source(raw_claims(spark, sf_dir, claim_type), claim_type)
+def processed_claims(base: DataFrame, claim_type: str) -> DataFrame:
+    return normalize_source(raw_claims(base, claim_type), claim_type)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All claim lines, through the text round trip."""
-    return combine_claim_lines({kind: processed_claims(spark, sf_dir, kind) for kind in CLAIM_TYPES})
+    base = claim_base(spark, sf_dir)
+    return combine_claim_lines({kind: processed_claims(base, kind) for kind in CLAIM_TYPES})
 
 
 def raw_beneficiaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +210,7 @@ def coverage_tables(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, Dat
                 F.col("code").alias("short_description"),
             ),
             f"{prefix}_x_contractor": own.filter(key % 7 != 0).select(
-                *policy, F.explode(contractors).cast("string").alias("contractor_id"),
+                *policy, F.explode(contractors.cast("array<string>")).alias("contractor_id"),
                 F.lit("2").alias("contractor_type_id"), F.lit("1").alias("contractor_version"),
             ),
             f"{prefix}_x_primary_jurisdiction": own.select(*policy, text(F.col("n_regionkey"), "state_id")),

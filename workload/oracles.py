@@ -404,7 +404,9 @@ ORACLES = {
     "numeric_features": """SELECT l_returnflag AS group_key, avg(l_quantity) AS l_quantity, avg(l_linenumber) AS l_linenumber
         FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1""",
     "peer_comparison_all": f"{WITH_LINES}, {PEERS} SELECT {COMPARISON} FROM compared",
-    "peer_comparison_one": f"{WITH_LINES}, {PEERS} SELECT {COMPARISON} FROM compared WHERE provider_id = 'NPI:7' AND {ONE}",
+    "peer_comparison_one": f"{WITH_LINES}, {PEERS}, asked AS (SELECT 'NPI:7' AS provider_id, 'B7-3' AS procedure_code) "
+    "SELECT * REPLACE (coalesce(peer_count, 0) AS peer_count) FROM asked LEFT JOIN "
+    f"(SELECT {COMPARISON} FROM compared) USING (provider_id, procedure_code)",
     "peer_top25": f"""{WITH_LINES}, {PROVIDERS} SELECT procedure_code, CAST(row_number() OVER (PARTITION BY procedure_code
         ORDER BY procedure_rate DESC NULLS LAST, provider_id) AS INTEGER) AS rank, provider_id, claim_count, beneficiary_count,
         procedure_rate FROM providers QUALIFY rank <= 25""",

@@ -13,7 +13,7 @@ from claimspark.operators import (
 from claimspark.operators.claim_lines import lines_with_code
 from claimspark.operators.normalize import type_columns
 from claimspark.sources import files
-from workload import adapter as a
+from workload import adapter as a, staging
 
 
 
@@ -22,7 +22,7 @@ from workload import adapter as a
 
 
 def procedure_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Claim lines; the per-row part of keys made for lines without a claim id is cut off."""
+    """Claim lines from raw text; the per-row part of keys of lines without a claim id is cut off."""
     return a.lines(spark, sf).withColumns(
         {
             "diagnosis_codes": F.array_join("diagnosis_codes", "|"),
@@ -32,36 +32,36 @@ def procedure_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def procedure_stats(spark, sf):
-    return utilization.procedure_stats(a.lines(spark, sf))
+    return utilization.procedure_stats(staging.lines(spark, sf))
 
 
 def diagnosis_procedure_stats(spark, sf):
-    return utilization.diagnosis_procedure_stats(a.lines(spark, sf))
+    return utilization.diagnosis_procedure_stats(staging.lines(spark, sf))
 
 
 def provider_procedure_stats(spark, sf):
-    return utilization.provider_procedure_stats(a.lines(spark, sf))
+    return utilization.provider_procedure_stats(staging.lines(spark, sf))
 
 
 def pos_procedure_stats(spark, sf):
-    return utilization.pos_procedure_stats(a.lines(spark, sf))
+    return utilization.pos_procedure_stats(staging.lines(spark, sf))
 
 
 def procedure_trends(spark, sf):
-    return utilization.procedure_trends(a.lines(spark, sf))
+    return utilization.procedure_trends(staging.lines(spark, sf))
 
 
 def procedure_codes(spark, sf):
-    totals = utilization.claims_per_procedure(a.lines(spark, sf))
+    totals = utilization.claims_per_procedure(staging.lines(spark, sf))
     return utilization.procedure_codes(totals.withColumnRenamed("procedure_claims", "claim_count"))
 
 
 def diagnoses_per_procedure(spark, sf):
-    return utilization.diagnoses_per_procedure(a.lines(spark, sf))
+    return utilization.diagnoses_per_procedure(staging.lines(spark, sf))
 
 
 def places_per_procedure(spark, sf):
-    return utilization.places_per_procedure(a.lines(spark, sf))
+    return utilization.places_per_procedure(staging.lines(spark, sf))
 
 
 def top_diagnoses_per_procedure(spark, sf):
@@ -73,7 +73,7 @@ def top_providers_per_procedure(spark, sf):
 
 
 def _details(spark, sf, part: str) -> DataFrame:
-    lines = a.lines(spark, sf)
+    lines = staging.lines(spark, sf)
     tables = {
         name: build(lines)
         for name, build in {
@@ -108,7 +108,7 @@ def procedure_detail_trends(spark, sf):
 
 
 def summarize_procedures(spark, sf):
-    return utilization.summarize_procedures(a.lines(spark, sf), "procedure_code")
+    return utilization.summarize_procedures(staging.lines(spark, sf), "procedure_code")
 
 
 def numeric_features(spark, sf):
@@ -120,42 +120,42 @@ def numeric_features(spark, sf):
 
 
 def peer_comparison_all(spark, sf):
-    return peers.peer_comparison_all(provider_procedure_stats(spark, sf))
+    return peers.peer_comparison_all(staging.provider_stats(spark, sf))
 
 
 def peer_comparison_one(spark, sf):
-    return peers.provider_peer_comparison(provider_procedure_stats(spark, sf), "NPI:7", "B7-3")
+    return peers.provider_peer_comparison(staging.provider_stats(spark, sf), "NPI:7", "B7-3")
 
 
 def peer_top25(spark, sf):
-    return peers.peer_list(provider_procedure_stats(spark, sf))
+    return peers.peer_list(staging.provider_stats(spark, sf))
 
 
 def provider_detail_card(spark, sf):
-    return peers.provider_detail_card(provider_procedure_stats(spark, sf))
+    return peers.provider_detail_card(staging.provider_stats(spark, sf))
 
 
 def provider_options(spark, sf):
-    return peers.provider_procedure_options(provider_procedure_stats(spark, sf))
+    return peers.provider_procedure_options(staging.provider_stats(spark, sf))
 
 
 def peer_anomaly_features(spark, sf):
-    return anomaly.peer_features(provider_procedure_stats(spark, sf))
+    return anomaly.peer_features(staging.provider_stats(spark, sf))
 
 
 def isolation_forest_scores(spark, sf):
-    return anomaly.build_provider_anomaly_table(provider_procedure_stats(spark, sf))
+    return anomaly.build_provider_anomaly_table(staging.provider_stats(spark, sf))
 
 
 def investigation_queue(spark, sf):
-    return anomaly.investigation_queue(anomaly.provider_anomalies(provider_procedure_stats(spark, sf)))
+    return anomaly.investigation_queue(anomaly.provider_anomalies(staging.provider_stats(spark, sf)))
 
 
 # --- ingest: names, typing, profile ------------------------------------------------------------
 
 
 def normalized_carrier(spark, sf):
-    return a.processed_claims(spark, sf, "carrier")
+    return a.processed_claims(a.claim_base(spark, sf), "carrier")
 
 
 def date_normalisation(spark, sf):
@@ -206,12 +206,10 @@ def icd10_normalisation(spark, sf):
     return a.table(spark, sf, "orders").select("o_orderkey", text.normalize_icd10_code(code).alias("code"))
 
 
-def _raw(spark, sf, kind):
-    return a.raw_claims(spark, sf, kind, with_file=True)
-
-
 def _over_sources(spark, sf, build) -> DataFrame:
-    return reduce(DataFrame.unionByName, [build(_raw(spark, sf, kind), kind) for kind in a.CLAIM_TYPES])
+    base = a.claim_base(spark, sf)
+    parts = [build(a.raw_claims(base, kind, with_file=True), kind) for kind in a.CLAIM_TYPES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def quality_nulls(spark, sf):
@@ -241,9 +239,8 @@ def beneficiary_union_years(spark, sf):
 
 def data_dictionary(spark, sf):
     """Dictionary rows for every raw claim file found in the data."""
-    parts = []
-    for kind in a.CLAIM_TYPES:
-        raw = _raw(spark, sf, kind)
+
+    def columns_of(raw: DataFrame, kind: str) -> DataFrame:
         columns = F.array(
             *[
                 F.struct(F.lit(c).alias("source_column"), F.lit(names.canonical_column(kind, c)).alias("standardized_column"))
@@ -251,8 +248,9 @@ def data_dictionary(spark, sf):
             ]
         )
         found = raw.select("source_file").distinct()
-        parts.append(found.select("source_file", F.lit(kind).alias("source_type"), F.inline(columns)))
-    return names.describe_columns(reduce(DataFrame.unionByName, parts))
+        return found.select("source_file", F.lit(kind).alias("source_type"), F.inline(columns))
+
+    return names.describe_columns(_over_sources(spark, sf, columns_of))
 
 
 def source_manifest(spark, sf):
@@ -274,15 +272,15 @@ def source_manifest(spark, sf):
 
 
 def _codes(spark, sf):
-    return coverage.code_set(lines_with_code(a.lines(spark, sf)))
+    return staging.codes(spark, sf)
 
 
 def coverage_policy_matches(spark, sf):
-    return coverage.policy_matches(a.coverage_tables(spark, sf), _codes(spark, sf), F.lit(a.AS_OF))
+    return coverage.policy_matches(staging.coverage_tables(spark, sf), _codes(spark, sf), F.lit(a.AS_OF))
 
 
 def coverage_policy_context(spark, sf):
-    tables, codes = a.coverage_tables(spark, sf), _codes(spark, sf)
+    tables, codes = staging.coverage_tables(spark, sf), _codes(spark, sf)
     parts = []
     for kind in ("LCD", "Article"):
         keys = coverage.policy_keys(coverage.code_rows(tables[kind], kind, codes))
@@ -291,11 +289,11 @@ def coverage_policy_context(spark, sf):
 
 
 def coverage_icd10_relationships(spark, sf):
-    return coverage.icd10_relationships(a.coverage_tables(spark, sf), _codes(spark, sf))
+    return coverage.icd10_relationships(staging.coverage_tables(spark, sf), _codes(spark, sf))
 
 
 def coverage_ncd_relationships(spark, sf):
-    return coverage.ncd_relationships(a.coverage_tables(spark, sf), _codes(spark, sf))
+    return coverage.ncd_relationships(staging.coverage_tables(spark, sf), _codes(spark, sf))
 
 
 def coverage_details_for_code(spark, sf):
@@ -337,7 +335,7 @@ def policy_code_match_all(spark, sf):
 
 def description_lookup(spark, sf):
     first, second = (descriptions.description_map(e) for e in a.description_entries(spark, sf))
-    codes = lines_with_code(a.lines(spark, sf)).select("procedure_code").distinct()
+    codes = lines_with_code(staging.lines(spark, sf)).select("procedure_code").distinct()
     return descriptions.attach_descriptions(codes, first, second)
 
 
@@ -345,8 +343,7 @@ def description_lookup(spark, sf):
 
 
 def _context(spark, sf):
-    # Only the columns the texts need are kept, so medians and other totals are not computed.
-    procedures = procedure_stats(spark, sf)
+    procedures = staging.procedure_stats(spark, sf)
     return evidence.procedure_context(procedures, coverage_policy_matches(spark, sf), description_lookup(spark, sf))
 
 
@@ -355,7 +352,7 @@ def explanation_prompt(spark, sf):
 
 
 def explanation_text(spark, sf):
-    compared = peers.peer_comparison_all(provider_procedure_stats(spark, sf))
+    compared = peers.peer_comparison_all(staging.provider_stats(spark, sf))
     texts = evidence.provider_explanations(compared, _context(spark, sf))
     return texts.select("provider_id", "procedure_code", "explanation", "limitations")
 
