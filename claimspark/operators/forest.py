@@ -96,24 +96,44 @@ class Forest:
         return df.withColumn(column, score(*[F.col(f).cast("double") for f in self.features]))
 
 
-def _tree_samples(df: DataFrame, features: list[str], key: list[str], trees: int, seed: int) -> DataFrame:
-    """``tree, draw, features``: up to ``SAMPLE_PER_TREE`` rows per tree without replacement."""
+def _tree_samples(
+    df: DataFrame, features: list[str], key: list[str], rows: int, trees: int, seed: int
+) -> DataFrame:
+    """``tree, place, features``: up to ``SAMPLE_PER_TREE`` rows per tree without replacement.
+
+    Rows are put in the order of a hash of their key, and the trees take consecutive stretches of the
+    first ``trees * SAMPLE_PER_TREE`` of them, starting over when there are fewer. A bound on the hash
+    keeps about twice that many rows, so no more than that ever reaches the sort.
+    """
+    wanted = trees * SAMPLE_PER_TREE
+    share = min(1.0, 2.0 * wanted / max(rows, 1))
     complete = df.select(*key, *[F.col(f).cast("double") for f in features]).dropna(subset=features)
-    candidates = (
-        complete.withColumn("draw", F.xxhash64(F.lit(seed), *key))
-        .orderBy("draw", *key)
-        .limit(trees * SAMPLE_PER_TREE)
+    drawn = complete.withColumn("draw", F.xxhash64(F.lit(seed), *key))
+    if share < 1.0:
+        drawn = drawn.filter(F.col("draw") < F.lit(int(-(2**63) + share * 2**64)))
+    first = drawn.orderBy("draw", *key).limit(wanted)
+    # At most ``wanted`` rows are left, so one task can number them.
+    everything = Window.partitionBy(F.lit(0))
+    numbered = first.withColumns(
+        {"n": F.count(F.lit(1)).over(everything), "r": F.row_number().over(everything.orderBy("draw", *key)) - 1}
     )
-    drawn = candidates.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "draw", F.xxhash64("draw", "tree")
+    slots = F.explode(F.sequence(F.col("r").cast("long"), F.lit(wanted - 1).cast("long"), F.col("n")))
+    placed = numbered.withColumn("slot", slots).withColumns(
+        {
+            "tree": F.floor(F.col("slot") / SAMPLE_PER_TREE).cast("int"),
+            "place": (F.col("slot") % SAMPLE_PER_TREE).cast("int"),
+        }
     )
-    first = Window.partitionBy("tree").orderBy("draw", *key)
-    numbered = drawn.withColumn("place", F.row_number().over(first))
-    return numbered.filter(F.col("place") <= SAMPLE_PER_TREE).select("tree", "place", *features)
+    return placed.filter(F.col("place") < F.col("n")).select("tree", "place", *features)
 
 
-def fit_forest(df: DataFrame, features: list[str], key: list[str], trees: int = TREES, seed: int = SEED) -> Forest:
-    """Grow the forest; rows with a NULL feature are not used. Trees grow in parallel tasks."""
+def fit_forest(
+    df: DataFrame, features: list[str], key: list[str], rows: int | None = None, trees: int = TREES, seed: int = SEED
+) -> Forest:
+    """Grow the forest; rows with a NULL feature are not used. Trees grow in parallel tasks.
+
+    ``rows`` is the size of ``df`` if known; it is counted otherwise. ``key`` must be unique.
+    """
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -124,7 +144,7 @@ def fit_forest(df: DataFrame, features: list[str], key: list[str], trees: int =
         out["rows"] = len(rows)
         return out
 
-    samples = _tree_samples(df, features, key, trees, seed)
+    samples = _tree_samples(df, features, key, df.count() if rows is None else rows, trees, seed)
     nodes = samples.groupBy("tree").applyInPandas(grow, _NODE_SCHEMA + ", rows int").toPandas()
     if nodes.empty:
         raise ValueError("At least one complete numeric feature row is required.")

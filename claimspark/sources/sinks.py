@@ -14,21 +14,16 @@ def _staged(target: str) -> str:
     return f"{folder}/.{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, target: str, sort_by: list[str] | None = None, partition_by: list[str] | None = None) -> int:
+def write_table(df: DataFrame, target: str, cluster_by: list[str] | None = None) -> int:
     """Parquet table at ``target``; returns the number of rows, counted during the write.
 
-    Rows are sorted inside each output file when ``sort_by`` is given, so that row-group statistics
-    let later point filters skip most of the table.
+    With ``cluster_by`` every file holds one range of those columns, sorted, so that later point
+    filters skip files and row groups by their statistics.
     """
     staged, counted = _staged(target), Observation()
-    rows = df.observe(counted, F.count(F.lit(1)).alias("rows"))
-    if sort_by:
-        rows = rows.sortWithinPartitions(*sort_by)
-    writer = rows.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
+    rows = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by) if cluster_by else df
     try:
-        writer.parquet(staged)
+        rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(staged)
     except Exception:
         drop_dir(df.sparkSession, staged)
         raise
