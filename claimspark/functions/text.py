@@ -12,7 +12,7 @@ WHITE_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0"
 
 def strip(value: Column) -> Column:
     """Remove leading and trailing white space of any kind, not only blanks."""
-    return F.trim(value, F.lit(WHITE_SPACE))
+    return F.btrim(value, F.lit(WHITE_SPACE))
 
 
 def clean_text(value: Column) -> Column:

@@ -74,7 +74,7 @@ def code_rows(tables: dict[str, DataFrame], policy_type: str, codes: DataFrame)
         F.upper(strip(F.col("hcpc_code_id"))).alias("procedure_code"),
         *[col_or_default(table, f"{size}_description").alias(f"{size}_description") for size in ("short", "medium", "long")],
     )
-    return salted_join(rows, codes, ["procedure_code"], "left_semi")
+    return salted_join(rows, codes, ["procedure_code"], by=POLICY, how="left_semi")
 
 
 def policy_keys(rows: DataFrame) -> DataFrame:
@@ -134,15 +134,14 @@ def policy_context(
     as_of = F.current_date() if as_of is None else as_of
     prefix = policy_type.lower()
     link_table = tables[f"{prefix}_x_contractor"]
-    links = salted_join(
-        link_table.select(*policy_key(policy_type), *_contractor_key(link_table)), keys, POLICY, "left_semi"
-    ).distinct()
+    all_links = link_table.select(*policy_key(policy_type), *_contractor_key(link_table)).distinct()
+    links = salted_join(all_links, keys, POLICY, by=CONTRACTOR, how="left_semi")
 
     context = keys
     contractors = tables.get("contractor")
     if contractors is not None and {*CONTRACTOR, "contractor_bus_name"} <= set(contractors.columns):
         names = contractors.select(*_contractor_key(contractors), "contractor_bus_name").distinct()
-        named = salted_join(links, names, CONTRACTOR)
+        named = salted_join(links, names, CONTRACTOR, by=POLICY)
         context = context.join(_joined_names(named, "contractor_bus_name", "; ", "contractor"), POLICY, "left")
     else:
         context = context.withColumn("contractor", F.lit(""))
@@ -152,7 +151,7 @@ def policy_context(
     if "state_id" in areas.columns:
         in_force = valid_on(areas, as_of).select(*_contractor_key(areas), strip(F.col("state_id")).alias("state_id"))
         area_names = in_force.join(states, "state_id").select(*CONTRACTOR, "state_abbrev").distinct()
-        served = salted_join(links, area_names, CONTRACTOR)
+        served = salted_join(links, area_names, CONTRACTOR, by=POLICY)
         context = context.join(_joined_names(served, "state_abbrev", ", ", "served"), POLICY, "left")
     else:
         context = context.withColumn("served", F.lit(""))
@@ -160,7 +159,7 @@ def policy_context(
     own = tables[f"{prefix}_x_primary_jurisdiction"].select(
         *policy_key(policy_type), strip(F.col("state_id")).alias("state_id")
     )
-    own_states = salted_join(own, keys, POLICY, "left_semi").distinct().join(states, "state_id")
+    own_states = salted_join(own.distinct(), keys, POLICY, by=["state_id"], how="left_semi").join(states, "state_id")
     context = context.join(_joined_names(own_states, "state_abbrev", ", ", "primary"), POLICY, "left")
     return context.select(
         *POLICY,
@@ -176,7 +175,7 @@ def direct_policy_rows(
     context = policy_context(tables, policy_type, policy_keys(rows), as_of)
     documents = policy_metadata(tables, policy_type).join(context, POLICY)
     return (
-        salted_join(rows, documents, POLICY)
+        salted_join(rows, documents, POLICY, by=["procedure_code"])
         .withColumns(
             {
                 "code_system": F.lit(fixed.POLICY_CODE_SYSTEM),
@@ -217,7 +216,7 @@ def icd10_relationships(tables: PolicyTables, codes: DataFrame) -> DataFrame:
     titles = policy_metadata(articles, "Article").select(*POLICY, F.col("title").alias("policy_title"))
     wanted = policy_codes(code_rows(articles, "Article", codes)).join(titles, POLICY, "left")
     return (
-        salted_join(diagnoses, wanted, POLICY)
+        salted_join(diagnoses, wanted, POLICY, by=["icd10_code"])
         .withColumn("policy_title", F.coalesce("policy_title", F.lit("")))
         .withColumn("source_url", policy_url(F.lit("Article"), F.col("policy_id"), F.col("policy_version")))
         .select(*ICD10_COLUMNS)
@@ -252,8 +251,8 @@ def related_ncd_rows(
         wanted = wanted.join(titles, POLICY, "left")
     else:
         wanted = wanted.withColumn("source_policy_title", F.lit(""))
-    described = salted_join(links, ncd_metadata(tables), ["related_policy_id", "related_policy_version"])
-    return salted_join(described, wanted, POLICY).select(
+    described = salted_join(links, ncd_metadata(tables), ["related_policy_id", "related_policy_version"], by=POLICY)
+    return salted_join(described, wanted, POLICY, by=["related_policy_id"]).select(
         "procedure_code",
         F.lit(policy_type).alias("source_policy_type"),
         F.col("policy_id").alias("source_policy_id"),

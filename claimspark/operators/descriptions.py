@@ -26,13 +26,16 @@ def description_map(entries: DataFrame, precedence: str = "newest") -> DataFrame
 
 
 def attach_descriptions(
-    df: DataFrame, first: DataFrame, second: DataFrame, code: str = "procedure_code"
+    df: DataFrame, first: DataFrame, second: DataFrame, code: str = "procedure_code", spread_by: list[str] | None = None
 ) -> DataFrame:
-    """Add ``description`` from the first map, else from the second, else NULL."""
+    """Add ``description`` from the first map, else from the second, else NULL.
+
+    ``spread_by`` names columns that tell rows of one code apart; all columns by default.
+    """
     looked_up = df.withColumn("_code", normalize_procedure_code(F.col(code)))
     for name, source in (("_first", first), ("_second", second)):
         lookup = source.select(F.col("code").alias("_code"), F.col("description").alias(name))
-        looked_up = salted_join(looked_up, lookup, ["_code"], "left")
+        looked_up = salted_join(looked_up, lookup, ["_code"], by=spread_by or df.columns, how="left")
     return looked_up.withColumn("description", F.coalesce("_first", "_second")).drop("_code", "_first", "_second")
 
 

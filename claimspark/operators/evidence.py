@@ -241,4 +241,4 @@ def provider_explanations(comparison: DataFrame, context: DataFrame) -> DataFram
         "procedure_code",
         F.struct("provider_rate", "peer_median", "rate_ratio", "percentile").alias("provider_comparison"),
     )
-    return explain(salted_join(compared, context, ["procedure_code"]))
+    return explain(salted_join(compared, context, ["procedure_code"], by=["provider_id"]))

@@ -7,15 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 SPREAD = 16
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", spread: int = SPREAD) -> DataFrame:
+def salted_join(
+    left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", spread: int = SPREAD
+) -> DataFrame:
     """Equi-join with every left key split over ``spread`` salts and the right side repeated per salt.
 
-    Meant for a right side that is far smaller than the left one (a dimension, a histogram, totals
-    per code). No size is assumed: adaptive execution broadcasts the right side only when its
-    measured size allows, and otherwise the salts keep a hot key from landing in one task.
-    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    ``by`` names left columns that differ inside a key; the salt is a hash of them, so a repeated task
+    sends its rows to the same place. Meant for a right side that is far smaller than the left one (a
+    dimension, a histogram, totals per code). No size is assumed: adaptive execution broadcasts the
+    right side only when its measured size allows, and otherwise the salts keep a hot key from landing
+    in one task. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """
     salt = "_salt"
-    split = left.withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.lit(spread)).cast("int"))
+    split = left.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(spread)).cast("int"))
     repeated = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return split.join(repeated, [*on, salt], how).drop(salt)

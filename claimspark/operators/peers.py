@@ -33,8 +33,8 @@ def peer_figures(stats: DataFrame, keys: list[str] = ["procedure_code"], rate: s
     providers without a rate: all rates of the group are their peers. ``percentile`` is the share of
     peers with a rate up to the own one, in percent.
     """
-    ranked = running_counts(value_counts(stats, keys, rate), keys, rate)
-    total, up_to = F.col("n_total"), F.col("n_up_to")
+    ranked = running_counts(value_counts(stats, keys, rate, keep_null=True), keys, rate)
+    total, up_to, has_rate = F.col("n_total"), F.col("n_up_to"), F.col(rate).isNotNull()
 
     # Sorted elements around each wanted position; leaving one provider out shifts them by at most one.
     picks = {}
@@ -44,9 +44,9 @@ def peer_figures(stats: DataFrame, keys: list[str] = ["procedure_code"], rate: s
             picks[f"{name}_{side}_next"] = element_at_rank(rank + 1, rate)
         for side, rank in zip(("low", "high"), _positions(total, q)[:2]):
             picks[f"{name}_all_{side}"] = element_at_rank(rank, rate)
-    elements = ranked.groupBy(*keys, "n_total").agg(*[c.alias(n) for n, c in picks.items()])
+    elements = ranked.groupBy(*keys).agg(*[c.alias(n) for n, c in picks.items()])
 
-    def left_out(name: str, q: float) -> Column:
+    def without_own(name: str, q: float) -> Column:
         low, high, weight = _positions(total - 1, q)
         own = up_to - 1
         return interpolate(
@@ -55,44 +55,37 @@ def peer_figures(stats: DataFrame, keys: list[str] = ["procedure_code"], rate: s
             weight,
         )
 
-    with_rate = salted_join(ranked, elements.drop("n_total"), keys).select(
+    def among_all(name: str, q: float) -> Column:
+        return interpolate(F.col(f"{name}_all_low"), F.col(f"{name}_all_high"), _positions(total, q)[2])
+
+    peers = F.when(has_rate, total - 1).otherwise(total)
+    share = F.try_divide((up_to - 1).cast("double"), (total - 1).cast("double")) * 100.0
+    return salted_join(ranked, elements, keys, by=[rate]).select(
         *keys,
         rate,
-        (total - 1).alias("peer_count"),
-        *[F.when(total > 1, left_out(n, q)).alias(n) for n, q in PEER_QUANTILES.items()],
-        (F.try_divide((up_to - 1).cast("double"), (total - 1).cast("double")) * 100.0).alias("percentile"),
-    )
-    without_rate = elements.select(
-        *keys,
-        F.lit(None).cast("double").alias(rate),
-        total.alias("peer_count"),
+        peers.alias("peer_count"),
         *[
-            interpolate(F.col(f"{n}_all_low"), F.col(f"{n}_all_high"), _positions(total, q)[2]).alias(n)
+            F.when(peers > 0, F.when(has_rate, without_own(n, q)).otherwise(among_all(n, q))).alias(n)
             for n, q in PEER_QUANTILES.items()
         ],
-        F.lit(None).cast("double").alias("percentile"),
+        F.when(has_rate, share).alias("percentile"),
     )
-    return with_rate.unionByName(without_rate)
 
 
 def with_peer_figures(
     stats: DataFrame, keys: list[str] = ["procedure_code"], rate: str = "procedure_rate"
 ) -> DataFrame:
-    """Attach the peer figures to each provider row; ``rate_ratio`` is NULL for a NULL or zero median."""
+    """Attach the peer figures to each provider row; ``rate_ratio`` is NULL for a NULL or zero median.
+
+    A third of all providers may share one procedure and rate, so that key is salted by provider.
+    """
 
     def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumns(
-            {"_has_rate": F.col(rate).isNotNull(), "_rate": F.coalesce(F.col(rate), F.lit(0.0))}
-        )
+        return df.withColumns({"_known": F.col(rate).isNotNull(), "_rate": F.coalesce(F.col(rate), F.lit(0.0))})
 
     figures = keyed(peer_figures(stats, keys, rate)).drop(rate)
-    joined = salted_join(keyed(stats), figures, [*keys, "_has_rate", "_rate"], "left").drop("_has_rate", "_rate")
-    return joined.withColumns(
-        {
-            "peer_count": F.coalesce("peer_count", F.lit(0)),
-            "rate_ratio": F.try_divide(F.col(rate), F.col("peer_median")),
-        }
-    )
+    joined = salted_join(keyed(stats), figures, [*keys, "_known", "_rate"], by=["provider_id"], how="left")
+    return joined.drop("_known", "_rate").withColumn("rate_ratio", F.try_divide(F.col(rate), F.col("peer_median")))
 
 
 def peer_comparison_all(stats: DataFrame) -> DataFrame:

@@ -72,10 +72,12 @@ def match_policy_codes(policies: DataFrame, procedure_code: str, codes: str = "p
     return policies.filter(F.array_contains(_normal_codes(codes), procedure_code.strip().upper()))
 
 
-def match_policies_to_codes(policies: DataFrame, wanted: DataFrame, codes: str = "procedure_codes") -> DataFrame:
+def match_policies_to_codes(
+    policies: DataFrame, wanted: DataFrame, codes: str = "procedure_codes", policy: str = "policy_id"
+) -> DataFrame:
     """All (policy, wanted code) matches at once, as an equi-join on the listed codes."""
     listed = policies.withColumn("procedure_code", F.explode(F.array_distinct(_normal_codes(codes))))
-    return salted_join(listed, wanted.select("procedure_code").distinct(), ["procedure_code"])
+    return salted_join(listed, wanted.select("procedure_code").distinct(), ["procedure_code"], by=[policy])
 
 
 def _normal_codes(codes: str) -> Column:

@@ -17,17 +17,24 @@ _EXPONENT_SHIFT = 1100 * STEPS_PER_DOUBLING
 def value_bucket(value: Column) -> Column:
     """Bucket number, non-decreasing in ``value``; neighbouring values share a bucket."""
     size = F.floor(F.log2(F.abs(value)) * STEPS_PER_DOUBLING) + F.lit(_EXPONENT_SHIFT)
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+    return F.when(value > 0, size).when(value < 0, -size).when(value == 0, F.lit(0)).cast("long")
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, value, n_equal``: rows per distinct value; NULL and NaN are left out."""
-    present = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    return present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_equal"))
+def value_counts(df: DataFrame, keys: list[str], value: str, keep_null: bool = False) -> DataFrame:
+    """``keys, value, n_equal``: rows per distinct value; NaN counts as NULL.
+
+    NULL is left out, or kept on request as a row that counts nothing.
+    """
+    if keep_null:
+        rows = df.select(*keys, F.when(~F.isnan(value), F.col(value)).alias(value))
+    else:
+        rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    return rows.groupBy(*keys, value).agg(F.count(value).alias("n_equal"))
 
 
 def _with_bucket(counts: DataFrame, value: str) -> DataFrame:
-    return counts.withColumn("bucket", value_bucket(F.col(value)))
+    last = F.lit(2**62)
+    return counts.withColumn("bucket", F.coalesce(value_bucket(F.col(value)), last))
 
 
 def _bucket_offsets(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,7 +62,10 @@ def _rank_inside(counts: DataFrame, offsets: DataFrame, keys: list[str], value:
 
 
 def running_counts(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, value, n_equal, n_up_to, n_total``; ``n_up_to`` counts rows with a value <= this one."""
+    """``keys, value, n_equal, n_up_to, n_total``; ``n_up_to`` counts rows with a value <= this one.
+
+    A NULL value, if kept in ``counts``, comes after all others.
+    """
     bucketed = _with_bucket(counts, value)
     return _rank_inside(bucketed, _bucket_offsets(bucketed, keys), keys, value)
 

@@ -116,7 +116,7 @@ def diagnosis_procedure_stats(lines: DataFrame, procedures: DataFrame | None = N
             F.count_distinct("provider_id").alias("provider_count"),
         )
     )
-    return salted_join(relationships, totals, ["procedure_code"]).select(
+    return salted_join(relationships, totals, ["procedure_code"], by=["diagnosis_code"]).select(
         "procedure_code",
         "diagnosis_code",
         "claim_count",
@@ -157,7 +157,7 @@ def pos_procedure_stats(lines: DataFrame) -> DataFrame:
         .groupBy("procedure_code", "place_of_service_code")
         .agg(distinct_claims().alias("claim_count"), F.count_distinct("bene_id").alias("beneficiary_count"))
     )
-    return salted_join(places, totals, ["procedure_code"]).select(
+    return salted_join(places, totals, ["procedure_code"], by=["place_of_service_code"]).select(
         "procedure_code",
         "place_of_service_code",
         "claim_count",

@@ -22,7 +22,7 @@ OUTPUTS = {
 }
 
 
-def _table_names(policy_type: str) -> list[str]:
+def table_names(policy_type: str) -> list[str]:
     if policy_type == "NCD":
         return ["ncd_trkg"]
     prefix = policy_type.lower()
@@ -43,7 +43,7 @@ def land_policy_tables(spark: SparkSession, coverage_dir: str, landing_dir: str)
             raise FileNotFoundError(f"Missing CMS coverage archive: {folder}/{archive}")
     return {
         kind: land_bundle(
-            spark, f"{folder}/{archive}", bundle, _table_names(kind), f"{landing_dir}/{kind}", optional=("contractor",)
+            spark, f"{folder}/{archive}", bundle, table_names(kind), f"{landing_dir}/{kind}", optional=("contractor",)
         )
         for kind, (archive, bundle) in fixed.COVERAGE_ARCHIVES.items()
     }

@@ -18,6 +18,8 @@ SESSION_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.showConsoleProgress": "false",
+    # Recording the Python call site of every column costs several JVM calls per expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -33,6 +35,9 @@ def build_session(app_name: str = "claimspark", master: str | None = None, **set
     return builder.getOrCreate()
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read, taken from ``spark.checkpoint.dir``.
 
@@ -41,11 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors can reach.")
-    own = tempfile.mkdtemp(prefix="claimspark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if context.applicationId not in _OWN_DIRS:
+        _OWN_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="claimspark-")
+    return _OWN_DIRS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from claimspark.operators.claim_lines import combine_claim_lines
 from claimspark.operators.normalize import normalize_source
@@ -18,8 +19,15 @@ AS_OF = datetime.date(2020, 6, 30)
 CLAIM_TYPES = ["carrier", "outpatient", "inpatient"]
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; the footer is read for the schema only once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def blank_when(condition: Column, value: Column) -> Column:

@@ -297,7 +297,7 @@ def coverage_ncd_relationships(spark, sf):
 
 
 def coverage_details_for_code(spark, sf):
-    matches = coverage.for_code(coverage_policy_matches(spark, sf), " b7-3 ")
+    matches = coverage.for_code(staging.policy_matches(spark, sf), " b7-3 ")
     return matches.select("procedure_code", "policy_type", "policy_id", "policy_version", "title", "jurisdiction")
 
 
@@ -344,7 +344,7 @@ def description_lookup(spark, sf):
 
 def _context(spark, sf):
     procedures = staging.procedure_stats(spark, sf)
-    return evidence.procedure_context(procedures, coverage_policy_matches(spark, sf), description_lookup(spark, sf))
+    return evidence.procedure_context(procedures, staging.policy_matches(spark, sf), description_lookup(spark, sf))
 
 
 def explanation_prompt(spark, sf):

@@ -8,26 +8,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
+from claimspark.functions import fixed
 from claimspark.operators import coverage, utilization
 from claimspark.operators.claim_lines import lines_with_code
+from claimspark.plans.coverage_build import table_names
 from claimspark.session import scratch_path
 from claimspark.sources.paths import exists
 from workload import adapter
 
-_PATHS: dict[tuple[str, str, str], str] = {}
+# (application, table folder, name) -> path and schema of a table written in this session
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table from the shared folder; it is built on first use and rebuilt if it was removed."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    path = _PATHS.get(key)
-    if path is None or not exists(spark, f"{path}/_SUCCESS"):
-        path = scratch_path(spark, name)
-        build().write.parquet(path)
-        _PATHS[key] = path
-    return spark.read.parquet(path)
+    if key not in _WRITTEN or not exists(spark, f"{_WRITTEN[key][0]}/_SUCCESS"):
+        path, df = scratch_path(spark, name), build()
+        df.write.parquet(path)
+        _WRITTEN[key] = path, df.schema
+    path, schema = _WRITTEN[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +55,24 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_tables(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, DataFrame]]:
+    built: dict[str, dict[str, DataFrame]] = {}
+
+    def build(kind: str, name: str) -> DataFrame:
+        if not built:
+            built.update(adapter.coverage_tables(spark, sf_dir))
+        return built[kind][name]
+
     return {
         kind: {
-            name: staged(spark, sf_dir, f"{kind}-{name}", lambda df=df: df) for name, df in tables.items()
+            name: staged(spark, sf_dir, f"{kind}-{name}", lambda kind=kind, name=name: build(kind, name))
+            for name in table_names(kind)
         }
-        for kind, tables in adapter.coverage_tables(spark, sf_dir).items()
+        for kind in fixed.COVERAGE_ARCHIVES
     }
+
+
+def policy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        return coverage.policy_matches(coverage_tables(spark, sf_dir), codes(spark, sf_dir), F.lit(adapter.AS_OF))
+
+    return staged(spark, sf_dir, "coverage_policy_matches", build)
