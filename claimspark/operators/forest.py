@@ -130,7 +130,8 @@ def _tree_samples(
 def fit_forest(
     df: DataFrame, features: list[str], key: list[str], rows: int | None = None, trees: int = TREES, seed: int = SEED
 ) -> Forest:
-    """Grow the forest; rows with a NULL feature are not used. Trees grow in parallel tasks.
+    """Grow the forest; rows with a NULL feature are not used. Trees grow in tasks, one group of at most
+    ``SAMPLE_PER_TREE`` rows each; their nodes are all that reaches the driver.
 
     ``rows`` is the size of ``df`` if known; it is counted otherwise. ``key`` must be unique.
     """

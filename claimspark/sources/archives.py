@@ -61,6 +61,16 @@ def entry_names(spark: SparkSession, path: str, bundle: str | None = None) -> li
     return [r["name"] for r in one.mapInPandas(read, "place int, name string").orderBy("place").collect()]
 
 
+def _move_into_place(system, partial: str, target: str) -> None:
+    """Rename; where a file system refuses to overwrite, a complete copy of an earlier attempt stays."""
+    try:
+        system.move(partial, target)
+    except OSError:
+        if not system.get_file_info(target).is_file:
+            raise
+        system.delete_file(partial)
+
+
 def land_members(members: DataFrame) -> DataFrame:
     """Copy archive members to files. ``members`` is ``path, bundle, member, target``.
 
@@ -78,7 +88,7 @@ def land_members(members: DataFrame) -> DataFrame:
                 with _open_archive(row.path, row.bundle or None) as archive, archive.open(row.member) as source:
                     with system.open_output_stream(partial) as sink:
                         shutil.copyfileobj(source, sink, _BLOCK)
-                system.move(partial, target)
+                _move_into_place(system, partial, target)
                 size = system.get_file_info(target).size
                 yield pd.DataFrame([(row.target, size)], columns=["target", "bytes"])
 

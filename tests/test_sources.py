@@ -28,6 +28,8 @@ def test_load_table_and_missing_texts(spark, rows, tmp_path):
         {"BENE_ID": "01", "HCPCS_CD": None}, {"BENE_ID": " b ", "HCPCS_CD": None}, {"BENE_ID": 'q|"r', "HCPCS_CD": None},
     ]
     assert [r["HCPCS_CD"] for r in rows(files.scan_claim_file(spark, path))] == ["NA", None, "null"]
+    scan = files.scan_claim_file(spark, path)
+    assert scan.count() == 3 and [r[0] for r in scan.select("HCPCS_CD").collect()] == ["NA", None, "null"]
     with pytest.raises(ValueError, match="Unsupported data format: .txt"):
         files.load_table(spark, str(tmp_path / "x.txt"))
     with pytest.raises(ValueError, match="must be CSV or ZIP"):
