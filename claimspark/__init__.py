@@ -5,3 +5,10 @@
 * ``operators``  joins, aggregations and rankings over claim, peer and policy tables
 * ``plans``      composite jobs that read, derive and write whole table sets
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# The small Python helpers that run inside tasks travel with them, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -52,46 +52,50 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     return nodes
 
 
+Grids = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def score_rows(rows: np.ndarray, grids: Grids, sample_size: int, block: int = 4096) -> np.ndarray:
+    """Anomaly score in (0, 1] per row; equal rows are walked through the trees once.
+
+    ``grids`` are the feature, threshold, low child, high child and path arrays, of shape (tree, node).
+    """
+    feature_of, threshold_of, low_of, high_of, path_of = grids
+    distinct, back = np.unique(rows, axis=0, return_inverse=True)
+    trees = np.arange(len(feature_of))
+    scores = np.empty(len(distinct))
+    for start in range(0, len(distinct), block):
+        part = distinct[start : start + block]
+        index = np.arange(len(part))[:, None]
+        node = np.zeros((len(part), len(trees)), dtype=np.int64)
+        while True:
+            feature = feature_of[trees, node]
+            if (feature < 0).all():
+                break
+            goes_low = part[index, feature] <= threshold_of[trees, node]
+            node = np.where(goes_low, low_of[trees, node], high_of[trees, node])
+        depth = path_of[trees, node].mean(axis=1)
+        scores[start : start + block] = 2.0 ** (-depth / average_path(sample_size))
+    return scores[back.reshape(-1)]
+
+
 @dataclass
 class Forest:
-    """Trees as arrays of shape (tree, node)."""
+    """A fitted forest; ``grids`` as in ``score_rows``."""
 
     features: list[str]
     sample_size: int
-    feature: np.ndarray
-    threshold: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    path: np.ndarray
-
-    def score_rows(self, rows: np.ndarray, block: int = 4096) -> np.ndarray:
-        """Anomaly score in (0, 1] per row; equal rows are walked through the trees once."""
-        distinct, back = np.unique(rows, axis=0, return_inverse=True)
-        trees = np.arange(len(self.feature))
-        scores = np.empty(len(distinct))
-        for start in range(0, len(distinct), block):
-            part = distinct[start : start + block]
-            index = np.arange(len(part))[:, None]
-            node = np.zeros((len(part), len(trees)), dtype=np.int64)
-            while True:
-                feature = self.feature[trees, node]
-                if (feature < 0).all():
-                    break
-                goes_low = part[index, feature] <= self.threshold[trees, node]
-                node = np.where(goes_low, self.low[trees, node], self.high[trees, node])
-            depth = self.path[trees, node].mean(axis=1)
-            scores[start : start + block] = 2.0 ** (-depth / average_path(self.sample_size))
-        return scores[back.reshape(-1)]
+    grids: Grids
 
     def with_score(self, df: DataFrame, column: str = "anomaly_score") -> DataFrame:
         """Add the score; only the feature columns travel to Python, in Arrow batches."""
-        shared = df.sparkSession.sparkContext.broadcast(self)
+        shared = df.sparkSession.sparkContext.broadcast((self.grids, self.sample_size))
 
         @F.pandas_udf("double")
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            forest = shared.value
+            grids, sample_size = shared.value
             for batch in batches:
-                yield pd.Series(forest.score_rows(np.column_stack([s.to_numpy(float) for s in batch])))
+                yield pd.Series(score_rows(np.column_stack([s.to_numpy(float) for s in batch]), grids, sample_size))
 
         return df.withColumn(column, score(*[F.col(f).cast("double") for f in self.features]))
 
@@ -156,12 +160,8 @@ def fit_forest(
         out[nodes["tree"], nodes["node"]] = nodes[column]
         return out
 
-    return Forest(
-        features=list(features),
-        sample_size=int(nodes["rows"].iloc[0]),
-        feature=grid("feature", np.int64),
-        threshold=grid("threshold", float),
-        low=grid("low", np.int64),
-        high=grid("high", np.int64),
-        path=grid("path", float),
+    grids = (
+        grid("feature", np.int64), grid("threshold", float), grid("low", np.int64), grid("high", np.int64),
+        grid("path", float),
     )
+    return Forest(list(features), int(nodes["rows"].iloc[0]), grids)
