@@ -34,6 +34,11 @@ def blank_when(condition: Column, value: Column) -> Column:
     return F.when(condition, F.lit("")).otherwise(value)
 
 
+def one_of(names: list[str], number: Column) -> Column:
+    """Share rows out over the names by a number."""
+    return F.element_at(F.array(*[F.lit(n) for n in names]), (number % len(names) + 1).cast("int"))
+
+
 def procedure_code_text() -> Column:
     """Code text made from brand and size of a part."""
     return F.concat(F.replace("p_brand", F.lit("Brand#"), F.lit("B")), F.lit("-"), (F.col("p_size") % 8).cast("string"))
@@ -58,12 +63,13 @@ def claim_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
+    return joined.withColumn("claim_type", one_of(CLAIM_TYPES, F.col("l_linenumber")))
 
 
 def raw_claims(base: DataFrame, claim_type: str, with_file: bool = False) -> DataFrame:
     """Raw text lines of one claim type under the source column names, from ``claim_base``."""
-    base = base.filter(F.col("l_linenumber") % 3 == CLAIM_TYPES.index(claim_type))
+    base = base.filter(F.col("claim_type") == claim_type)
     supplier = F.col("l_suppkey")
     day = F.col("l_shipdate").cast("date")
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -137,11 +143,14 @@ def raw_beneficiaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_tables(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, DataFrame]]:
     """LCDs are the odd suppliers, Articles the even ones, contractors the nations, states and NCDs the regions."""
-    suppliers = table(spark, sf_dir, "supplier").join(
-        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    kind_of = one_of(["Article", "LCD"], F.col("s_suppkey"))
+    suppliers = (
+        table(spark, sf_dir, "supplier")
+        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .withColumn("kind", kind_of)
     )
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    claims = claim_base(spark, sf_dir)
+    claims = claim_base(spark, sf_dir).withColumnRenamed("l_suppkey", "s_suppkey").withColumn("kind", kind_of)
     key = F.col("s_suppkey")
     current = (key % 3 + 1).cast("string")
 
@@ -199,13 +208,13 @@ def coverage_tables(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, Dat
             (key * 10 + F.col("v.step")).cast("long").alias("ingest_pos"),
         )
 
-    def policy_set(kind: str, parity: int) -> dict[str, DataFrame]:
+    def policy_set(kind: str) -> dict[str, DataFrame]:
         prefix = kind.lower()
-        own = suppliers.filter(key % 2 == parity)
-        lines_of = claims.withColumn("s_suppkey", F.col("l_suppkey")).filter(key % 2 == parity)
+        own = suppliers.filter(F.col("kind") == kind)
+        lines_of = claims.filter(F.col("kind") == kind)
         policy = [text(key, f"{prefix}_id"), current.alias(f"{prefix}_version")]
-        codes = lines_of.select("s_suppkey", "l_partkey", procedure_code_text().alias("code"))
-        codes = codes.filter(F.col("l_partkey") % 97 != 0).select("s_suppkey", "code").distinct()
+        code = blank_when(F.col("l_partkey") % 97 == 0, procedure_code_text())
+        codes = lines_of.select("s_suppkey", code.alias("code")).distinct()
         # Some code rows name a version that has no document and must drop out.
         code_version = F.when(key % 13 == 0, "9").otherwise(current)
         contractors = F.array_distinct(F.array(F.col("s_nationkey"), (F.col("s_nationkey") * (key % 2 + 1)) % 25))
@@ -217,8 +226,9 @@ def coverage_tables(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, Dat
                 F.concat(F.lit("Procedure "), F.col("code")).alias("long_description"),
                 F.col("code").alias("short_description"),
             ),
-            f"{prefix}_x_contractor": own.filter(key % 7 != 0).select(
-                *policy, F.explode(contractors.cast("array<string>")).alias("contractor_id"),
+            # Some links name no contractor.
+            f"{prefix}_x_contractor": own.withColumn("nation", F.explode(contractors)).select(
+                *policy, blank_when(key % 7 == 0, F.col("nation").cast("string")).alias("contractor_id"),
                 F.lit("2").alias("contractor_type_id"), F.lit("1").alias("contractor_version"),
             ),
             f"{prefix}_x_primary_jurisdiction": own.select(*policy, text(F.col("n_regionkey"), "state_id")),
@@ -229,7 +239,7 @@ def coverage_tables(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, Dat
             "_lines": lines_of,
         }
 
-    lcd, article = policy_set("LCD", 1), policy_set("Article", 0)
+    lcd, article = policy_set("LCD"), policy_set("Article")
     priorities = article.pop("_lines").select("s_suppkey", "o_orderpriority", "l_returnflag").distinct()
     lcd.pop("_lines")
     for name, wanted in (("covered", F.col("l_returnflag") == "A"), ("noncovered", F.col("l_returnflag") != "A")):
@@ -254,7 +264,7 @@ def policy_records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Policy index records from the documents, whole texts as titles."""
     docs = table(spark, sf_dir, "documents")
     records = docs.select(
-        "doc_id",
+        one_of(["NCD", "LCD", "Article"], F.col("doc_id")).alias("kind"),
         F.col("doc_id").cast("string").alias("document_id"),
         F.when(F.col("n_chars") % 4 != 0, (F.col("n_chars") % 4).cast("string")).alias("document_version"),
         F.concat(F.upper("lang"), F.lit("."), F.col("doc_id").cast("string")).alias("document_display_id"),
@@ -265,19 +275,15 @@ def policy_records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.col("source").alias("contractor_name_type"),
         F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("url"),
     )
-    return {
-        kind: records.filter(F.col("doc_id") % 3 == i).drop("doc_id")
-        for i, kind in enumerate(("NCD", "LCD", "Article"))
-    }
+    return {kind: records.filter(F.col("kind") == kind).drop("kind") for kind in ("NCD", "LCD", "Article")}
 
 
 def policy_code_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policies (suppliers) with the array of the codes on their lines, untidy spelling included."""
-    base = claim_base(spark, sf_dir).filter(F.col("l_partkey") % 97 != 0)
-    untidy = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit(" "), F.lower(procedure_code_text()))).otherwise(
-        procedure_code_text()
-    )
-    return base.select("l_suppkey", untidy.alias("code")).groupBy(
+    code = blank_when(F.col("l_partkey") % 97 == 0, procedure_code_text())
+    untidy = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit(" "), F.lower(code))).otherwise(code)
+    listed = claim_base(spark, sf_dir).select("l_suppkey", untidy.alias("code")).filter(F.trim("code") != "")
+    return listed.groupBy(
         F.col("l_suppkey").cast("string").alias("policy_id")
     ).agg(F.collect_set("code").alias("procedure_codes"))
 

@@ -390,7 +390,7 @@ ORACLES = {
     "places_per_procedure": f"""{WITH_LINES} SELECT procedure_code, count(DISTINCT place_of_service_code) AS unique_places_of_service
         FROM coded WHERE place_of_service_code IS NOT NULL GROUP BY 1""",
     "top_diagnoses_per_procedure": f"""{WITH_LINES}, {DIAGNOSES} SELECT *, CAST(row_number() OVER (PARTITION BY procedure_code
-        ORDER BY claim_count DESC, diagnosis_code) AS INTEGER) AS rank FROM diagnoses QUALIFY rank <= 4""",
+        ORDER BY claim_count DESC, diagnosis_code) AS INTEGER) AS rank FROM diagnoses QUALIFY rank <= 20""",
     "top_providers_per_procedure": f"""{WITH_LINES}, {PROVIDERS} SELECT * EXCLUDE (procedure_rate_basis), CAST(row_number() OVER (
         PARTITION BY procedure_code ORDER BY claim_count DESC, provider_id) AS INTEGER) AS rank FROM providers QUALIFY rank <= 20""",
     "procedure_detail_summary": f"{WITH_LINES}, {PROCEDURE_STATS} SELECT * FROM procedures WHERE {ONE}",

@@ -65,7 +65,7 @@ def places_per_procedure(spark, sf):
 
 
 def top_diagnoses_per_procedure(spark, sf):
-    return utilization.top_diagnoses(diagnosis_procedure_stats(spark, sf), limit=4)
+    return utilization.top_diagnoses(diagnosis_procedure_stats(spark, sf))
 
 
 def top_providers_per_procedure(spark, sf):
