@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from claimspark.llm.common import table
 from claimspark.llm.exact_dedup import exact_dedup
 from claimspark.llm.mixing import mix
+from claimspark.llm.ngram_join import ngram_join
 from claimspark.llm.url_filter import url_filter
 
 URL_RULES = [
@@ -19,6 +20,10 @@ def op1_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter(table(spark, sf, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join(table(spark, sf, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents"))
 
@@ -27,4 +32,4 @@ def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op5_mixing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_ngram_join, op5_mixing, op9_exact_dedup)}
