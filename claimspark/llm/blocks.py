@@ -20,13 +20,13 @@ MESSAGES = "block long, part int, payload binary"
 _MESSAGE_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
 
 
-def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """``block, doc_id, text`` (NULL text as empty) and the number of bits that name a counting group."""
+def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
+    """``block, doc_id, text`` (NULL text as empty), the number of blocks and of bits that name a counting group."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     bits = max(0, (n_blocks // 2).bit_length())
-    return texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), "doc_id", "text"), bits
+    return texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), "doc_id", "text"), n_blocks, bits
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -95,7 +95,7 @@ _SETS_SCHEMA = pa.schema([
 
 def ordered_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block_bytes: int) -> DataFrame:
     """Per document the size of its set; for those that may have links also node, first n-grams and ordered set."""
-    texts, bits = in_blocks(docs, id_col, text_col, block_bytes)
+    texts, _, bits = in_blocks(docs, id_col, text_col, block_bytes)
 
     def send(rows: pa.Table) -> pa.Table:
         sets = ngram_sets(_texts(rows), width)

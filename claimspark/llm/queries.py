@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimspark.llm.common import table
 from claimspark.llm.exact_dedup import exact_dedup
 from claimspark.llm.mixing import mix
 from claimspark.llm.ngram_join import ngram_join
+from claimspark.llm.suffix_dedup import suffix_dedup
 from claimspark.llm.url_filter import url_filter
 
 URL_RULES = [
@@ -28,8 +29,13 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = suffix_dedup(table(spark, sf, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_ngram_join, op5_mixing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_ngram_join, op5_mixing, op7_suffix_dedup, op9_exact_dedup)}
