@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from claimspark.llm.bpe import bpe_encode
 from claimspark.llm.common import table
 from claimspark.llm.exact_dedup import exact_dedup
 from claimspark.llm.mixing import mix
@@ -21,6 +22,20 @@ def op1_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter(table(spark, sf, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    rows = bpe_encode(table(spark, sf, "documents").select("doc_id", "text"), tokenizer_path(), decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join(table(spark, sf, "documents"))
 
@@ -38,4 +53,4 @@ def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_ngram_join, op5_mixing, op7_suffix_dedup, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_bpe, op4_ngram_join, op5_mixing, op7_suffix_dedup, op9_exact_dedup)}
