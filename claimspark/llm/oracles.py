@@ -46,4 +46,22 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW same AS (PARTITION BY norm)""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (
+            SELECT page_id, strlen(html) AS n, sha1(html) AS digest FROM p
+        ), last AS (SELECT digest, max(page_id) AS response FROM d WHERE n >= 1000 GROUP BY digest)
+        SELECT page_id, n AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN response <> page_id THEN response END AS refers_to
+        FROM d LEFT JOIN last ON last.digest = d.digest""",
+    "op10_line_dedup": rf"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents
+        ), k AS (
+            SELECT *, {lower_ascii("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l
+        ), o AS (SELECT *, length(key) >= 10 AND min(doc_id) OVER (PARTITION BY key) < doc_id AS gone FROM k)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+        FROM o GROUP BY doc_id""",
 }

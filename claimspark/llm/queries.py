@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from claimspark.llm.bpe import bpe_encode
 from claimspark.llm.common import table
 from claimspark.llm.exact_dedup import exact_dedup
+from claimspark.llm.line_dedup import line_dedup
 from claimspark.llm.mixing import mix
 from claimspark.llm.ngram_join import ngram_join
 from claimspark.llm.suffix_dedup import suffix_dedup
 from claimspark.llm.url_filter import url_filter
+from claimspark.llm.warc import round_trip
 
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -49,8 +51,17 @@ def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return round_trip(spark, table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_bpe, op4_ngram_join, op5_mixing, op7_suffix_dedup, op9_exact_dedup)}
+def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = line_dedup(table(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("line_count").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_bpe, op4_ngram_join, op5_mixing, op7_suffix_dedup, op8_warc, op9_exact_dedup, op10_line_dedup)}
