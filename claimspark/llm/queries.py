@@ -10,6 +10,7 @@ from claimspark.llm.exact_dedup import exact_dedup
 from claimspark.llm.line_dedup import line_dedup
 from claimspark.llm.mixing import mix
 from claimspark.llm.ngram_join import ngram_join
+from claimspark.llm.quality import fit, held_out, score
 from claimspark.llm.suffix_dedup import suffix_dedup
 from claimspark.llm.url_filter import url_filter
 from claimspark.llm.warc import round_trip
@@ -46,6 +47,12 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf, "labels"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows = suffix_dedup(table(spark, sf, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -64,4 +71,4 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.col("line_count").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_bpe, op4_ngram_join, op5_mixing, op7_suffix_dedup, op8_warc, op9_exact_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_bpe, op4_ngram_join, op5_mixing, op6_quality, op7_suffix_dedup, op8_warc, op9_exact_dedup, op10_line_dedup)}
