@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from claimspark.llm.ann import nearest
 from claimspark.llm.bpe import bpe_encode
 from claimspark.llm.common import table
 from claimspark.llm.exact_dedup import exact_dedup
@@ -25,6 +26,11 @@ def op1_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter(table(spark, sf, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op2_ann_forest(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -71,4 +77,4 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.col("line_count").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_bpe, op4_ngram_join, op5_mixing, op6_quality, op7_suffix_dedup, op8_warc, op9_exact_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ann_forest, op3_bpe, op4_ngram_join, op5_mixing, op6_quality, op7_suffix_dedup, op8_warc, op9_exact_dedup, op10_line_dedup)}
