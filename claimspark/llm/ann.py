@@ -124,12 +124,12 @@ def nearest(
     stops = ranges.filter(F.col("rows") >= enough).groupBy("id").agg(F.max("depth").alias("stop"))
     stops = asked.select("id").distinct().join(stops, "id", "left").select("id", F.coalesce("stop", F.lit(0)).alias("stop"))
     # The prefixes at which queries stop; depth 0 is the root, in one tree only as it holds every vector.
-    root = asked.select("id").distinct().select("id", F.lit(_ROOT).alias("prefix"), F.lit(0).alias("depth"))
+    root = asked.select("id").distinct().select("id", F.lit(_ROOT).cast("long").alias("prefix"), F.lit(0).alias("depth"))
     visits = wanted.unionByName(root).distinct().join(stops, "id").filter("depth = stop").select("id", "prefix", "stop")
     visits = materialise(visits, "ann-visits")
     used = visits.groupBy("prefix").agg(F.count("*").alias("queries"))
     depths = sorted(r["stop"] for r in visits.select("stop").distinct().collect())  # at most one per symbol, and the root
-    places = rows.select("id", F.lit(_ROOT).alias("prefix")).filter(F.lit(0 in depths))
+    places = rows.select("id", F.lit(_ROOT).cast("long").alias("prefix")).filter(F.lit(0 in depths))
     if any(depths):
         places = places.unionByName(prefixes(rows, [d for d in depths if d]).select("id", "prefix"))
     places = places.join(used.select("prefix"), "prefix", "left_semi")
