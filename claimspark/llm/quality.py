@@ -165,15 +165,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return values, bias + float(np.log(shares[1] / shares[0]) - np.log(seen))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the text, with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``.
+def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = 0.3, keep_text: bool = False) -> DataFrame:
+    """``docs``, without the text unless ``keep_text``, with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``.
 
     The whole text is scored; a NULL text counts as empty, and without words the bias alone decides. Other columns and
     repeated rows pass through; columns already named like the two are replaced.
     """
     values = docs.sparkSession.sparkContext.broadcast(model[0].astype(np.float32))
     bias = model[1]
-    others = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
+    others = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != text_col)]
     rows = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("score text"))
     schema = rows.drop("score text").withColumn("score", F.lit(0.0)).schema
 
