@@ -324,5 +324,5 @@ def ngram_join(
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose component has a smaller id."""
-    gone = ngram_join(docs, id_col, text_col, **options).filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    gone = ngram_join(docs, id_col, text_col, **options).filter("component_id <> doc_id").select(F.col("doc_id").alias("ngram gone id")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("`ngram gone id`"), "left_anti")
