@@ -81,14 +81,17 @@ def _nearest(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.
     (q_ids, q), (ids, v) = queries, rows
     order = np.argsort(ids, kind="stable")
     ids, v = ids[order], v[order]
-    for a in range(0, len(q_ids), 256):
+    firsts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else order
+    for a in range(0, len(q_ids) if len(ids) else 0, 256):
         scores = q[a : a + 256] @ v.T
         scores[q_ids[a : a + 256, None] == ids[None, :]] = -np.inf
-        take = min(k, len(ids))
+        if len(firsts) < len(ids):
+            scores = np.maximum.reduceat(scores, firsts, axis=1)
+        take = min(k, len(firsts))
         best = np.argsort(-scores, axis=1, kind="stable")[:, :take]
         values = np.take_along_axis(scores, best, 1)
         keep = np.isfinite(values)
-        yield np.repeat(q_ids[a : a + 256], keep.sum(axis=1)), ids[best][keep], values[keep]
+        yield np.repeat(q_ids[a : a + 256], keep.sum(axis=1)), ids[firsts][best][keep], values[keep]
 
 
 def nearest(
@@ -109,29 +112,30 @@ def nearest(
     count, longest = rows.agg(F.count("*"), F.max(norm)).first()
     longest = float(longest or 1.0)
     enough = max(min_candidates, int(share * count))
-    rows = materialise(_strings(rows, longest, False, trees, symbols, seed), "ann-index")
-    asked = materialise(_strings(asked, longest, True, trees, symbols, seed), "ann-queries")
+    row = F.monotonically_increasing_id().alias("row")  # numbered once: the tables are written before they are used
+    rows = materialise(_strings(rows, longest, False, trees, symbols, seed).select("*", row), "ann-index")
+    asked = materialise(_strings(asked, longest, True, trees, symbols, seed).select("*", row), "ann-queries")
 
     def prefixes(df: DataFrame, depths: list[int]) -> DataFrame:
         """One row per tree and depth. A prefix is named by its hash: two in one only add candidates."""
-        out = df.select("id", F.posexplode("codes").alias("tree", "code")).withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
-        return out.select("id", F.xxhash64("tree", F.substring("code", F.lit(1), F.col("depth") * 4)).alias("prefix"), "depth")
+        out = df.select("row", F.posexplode("codes").alias("tree", "code")).withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
+        return out.select("row", F.xxhash64("tree", F.substring("code", F.lit(1), F.col("depth") * 4)).alias("prefix"), "depth")
 
     every = list(range(1, symbols + 1))
     wanted = prefixes(asked, every)
     lengths = prefixes(rows, every).groupBy("prefix").agg(F.count("*").alias("rows"))
-    ranges = wanted.join(lengths, "prefix").groupBy("id", "depth").agg(F.sum("rows").alias("rows"))
-    stops = ranges.filter(F.col("rows") >= enough).groupBy("id").agg(F.max("depth").alias("stop"))
-    stops = asked.select("id").distinct().join(stops, "id", "left").select("id", F.coalesce("stop", F.lit(0)).alias("stop"))
+    ranges = wanted.join(lengths, "prefix").groupBy("row", "depth").agg(F.sum("rows").alias("rows"))
+    stops = ranges.filter(F.col("rows") >= enough).groupBy("row").agg(F.max("depth").alias("stop"))
+    stops = asked.select("row").join(stops, "row", "left").select("row", F.coalesce("stop", F.lit(0)).alias("stop"))
     # The prefixes at which queries stop; depth 0 is the root, in one tree only as it holds every vector.
-    root = asked.select("id").distinct().select("id", F.lit(_ROOT).cast("long").alias("prefix"), F.lit(0).alias("depth"))
-    visits = wanted.unionByName(root).distinct().join(stops, "id").filter("depth = stop").select("id", "prefix", "stop")
+    root = asked.select("row", F.lit(_ROOT).cast("long").alias("prefix"), F.lit(0).alias("depth"))
+    visits = wanted.unionByName(root).distinct().join(stops, "row").filter("depth = stop").select("row", "prefix", "stop")
     visits = materialise(visits, "ann-visits")
     used = visits.groupBy("prefix").agg(F.count("*").alias("queries"))
     depths = sorted(r["stop"] for r in visits.select("stop").distinct().collect())  # at most one per symbol, and the root
-    places = rows.select("id", F.lit(_ROOT).cast("long").alias("prefix")).filter(F.lit(0 in depths))
+    places = rows.select("row", F.lit(_ROOT).cast("long").alias("prefix")).filter(F.lit(0 in depths))
     if any(depths):
-        places = places.unionByName(prefixes(rows, [d for d in depths if d]).select("id", "prefix"))
+        places = places.unionByName(prefixes(rows, [d for d in depths if d]).select("row", "prefix"))
     places = places.join(used.select("prefix"), "prefix", "left_semi")
     sizes = places.groupBy("prefix").agg(F.count("*").alias("rows")).join(used, "prefix").select(
         "prefix", F.ceil(F.col("rows") / block_rows).cast("int").alias("row_blocks"), F.ceil(F.col("queries") / block_queries).cast("int").alias("query_blocks")
@@ -140,9 +144,9 @@ def nearest(
 
     def dealt(df: DataFrame, source: DataFrame, own: str, other: str, kind: int) -> DataFrame:
         out = df.join(sizes, "prefix").withColumns({
-            own: F.pmod(F.xxhash64("id", F.lit("block")), F.col(own + "s")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)),
+            own: F.pmod(F.xxhash64("row", F.lit("block")), F.col(own + "s")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)),
         })
-        return out.join(source.select("id", "v"), "id").select(F.xxhash64("prefix", "row_block", "query_block").alias("cell"), F.lit(kind).alias("kind"), "id", "v")
+        return out.join(source.select("row", "id", "v"), "row").select(F.xxhash64("prefix", "row_block", "query_block").alias("cell"), F.lit(kind).alias("kind"), "id", "v")
 
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
