@@ -81,9 +81,8 @@ COLUMN_NAMES = {
         "HCPCS_CD": "hcpcs_code",
     },
 }
-# Numbered column families, numbers 1 to 25.
+# Numbered column families.
 NUMBERED_FAMILIES = {"ICD_DGNS_CD": "diagnosis_code_", "ICD_PRCDR_CD": "icd10_pcs_procedure_code_"}
-FAMILY_SIZE = 25
 
 # ---------------------------------------------------------------------------
 # Types by standard column name or suffix.

@@ -37,21 +37,25 @@ def validate_columns(df: DataFrame, required: Iterable[str], what: str = "claim"
         raise ValueError(f"Missing required {what} columns: {', '.join(missing)}")
 
 
-def rename_map(source_type: str) -> dict[str, str]:
-    """Source column -> standard column, numbered families included."""
+def standard_name(source_type: str, source_column: str) -> str | None:
+    """Standard name of a known column or of a member of a numbered family, whatever its number."""
     if source_type not in fixed.COLUMN_NAMES:
         raise ValueError(f"Unsupported CMS source type: {source_type}")
-    names = dict(fixed.COLUMN_NAMES[source_type])
+    known = fixed.COLUMN_NAMES[source_type].get(source_column)
+    if known:
+        return known
     for prefix, standard in fixed.NUMBERED_FAMILIES.items():
-        names.update({f"{prefix}{i}": f"{standard}{i}" for i in range(1, fixed.FAMILY_SIZE + 1)})
-    return names
+        number = source_column.removeprefix(prefix)
+        if number != source_column and re.fullmatch(r"\d+", number):
+            return standard + number
+    return None
 
 
 def standardize_columns(df: DataFrame, source_type: str) -> DataFrame:
     """Rename known source columns and keep every other column as it is."""
-    names = rename_map(source_type)
+    names = {c: standard_name(source_type, c) for c in df.columns}
     validate_columns(df, fixed.REQUIRED_COLUMNS[source_type], source_type)
-    return df.withColumnsRenamed({c: names[c] for c in df.columns if c in names})
+    return df.withColumnsRenamed({c: name for c, name in names.items() if name})
 
 
 def lower_names(df: DataFrame) -> DataFrame:
@@ -60,14 +64,7 @@ def lower_names(df: DataFrame) -> DataFrame:
 
 def canonical_column(source_type: str, source_column: str) -> str:
     """Standard name of one source column; unknown columns are lower-cased."""
-    known = rename_map(source_type).get(source_column)
-    if known:
-        return known
-    for prefix, standard in fixed.NUMBERED_FAMILIES.items():
-        number = source_column.removeprefix(prefix)
-        if number != source_column and re.fullmatch(r"\d+", number):
-            return standard + number
-    return source_column.lower()
+    return standard_name(source_type, source_column) or source_column.lower()
 
 
 def is_date_name(name: str) -> bool:

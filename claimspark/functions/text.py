@@ -39,32 +39,59 @@ def first_non_blank(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
 
 
-def parse_date(text: Column) -> Column:
-    """``d-MMM-yyyy``, ISO, or day-first with slashes or dashes; anything else is NULL.
+TIME_OF_DAY = r"[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?$"
+DAY_MONTH_NAME = r"^(\d{1,2})[- ]([A-Za-z]{3})[a-z]*\.?[-, ]+(\d{4})$"
+MONTH_NAME_DAY = r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? +(\d{4})$"
+SHORT_YEAR = r"^(\d{1,2}[- ][A-Za-z]{3}[- ])(\d{2})$"
+FIRST_SHORT_YEAR = 69  # 69 to 99 belong to the last century
 
-    ``text`` is stripped already. The shape is checked first, because a failed parse costs far more
-    than a match.
-    """
+
+def _named_month_date(text: Column) -> Column:
+    """Dates with a month name, day or month first, in full or by three letters; NULL for other texts."""
+    year = F.regexp_extract(text, SHORT_YEAR, 2)
+    century = F.when(year.try_cast("int") >= FIRST_SHORT_YEAR, "19").otherwise("20")
     return (
-        F.when(text.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"), F.try_to_date(text, "d-MMM-yyyy"))
-        .when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("date"))
-        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(text, "d/M/yyyy"))
-        .when(text.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), F.try_to_date(text, "d-M-yyyy"))
+        F.when(text.rlike(DAY_MONTH_NAME), F.try_to_date(F.regexp_replace(text, DAY_MONTH_NAME, "$1-$2-$3"), "d-MMM-yyyy"))
+        .when(text.rlike(MONTH_NAME_DAY), F.try_to_date(F.regexp_replace(text, MONTH_NAME_DAY, "$2-$1-$3"), "d-MMM-yyyy"))
+        .when(
+            text.rlike(SHORT_YEAR),
+            F.try_to_date(F.concat(F.replace(F.regexp_extract(text, SHORT_YEAR, 1), F.lit(" "), F.lit("-")), century, year), "d-MMM-yyyy"),
+        )
     )
 
 
-def parse_policy_date(text: Column) -> Column:
-    """Dates of policy tables: ISO with or without a time, or month-first with slashes."""
-    slashed = F.regexp_extract(text, r"^(\d{1,2}/\d{1,2}/\d{4})", 1)
-    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("date")).when(
-        slashed != "", F.try_to_date(slashed, "M/d/yyyy")
+def _year_first_date(text: Column) -> Column:
+    return (
+        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("date"))
+        .when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
+        .when(text.rlike(r"^\d{4}[/.]\d{1,2}[/.]\d{1,2}$"), F.try_to_date(F.regexp_replace(text, "[/.]", "-"), "yyyy-M-d"))
     )
 
 
+def parse_date(text: Column) -> Column:
+    """Year first (with dashes, slashes, dots or nothing between), day first (same signs), or with a month name.
+
+    A time of day behind the date is dropped; anything else is NULL. ``text`` is stripped already. The shape is
+    checked first, because a failed parse costs far more than a match.
+    """
+    day = F.when(text.rlike(TIME_OF_DAY), F.regexp_replace(text, TIME_OF_DAY, "")).otherwise(text)
+    numbers = F.when(day.rlike(r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{4}$"), F.try_to_date(F.regexp_replace(day, "[/.]", "-"), "d-M-yyyy"))
+    return F.coalesce(_year_first_date(day), numbers, _named_month_date(day))
+
+
+def parse_policy_date(text: Column) -> Column:
+    """Dates of policy tables: as ``parse_date``, but numbers with the year last are month-first."""
+    day = F.when(text.rlike(TIME_OF_DAY), F.regexp_replace(text, TIME_OF_DAY, "")).otherwise(text)
+    slashed = F.regexp_extract(day, r"^(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})", 1)
+    numbers = F.when(slashed != "", F.try_to_date(F.regexp_replace(slashed, "[-.]", "/"), "M/d/yyyy"))
+    return F.coalesce(_year_first_date(day), numbers, _named_month_date(day))
+
+
 def parse_number(text: Column) -> Column:
-    """Double after dropping thousands commas; only plain decimal notation is accepted."""
+    """Double after dropping thousands commas; only plain decimal notation within the range of a double is accepted."""
     digits = F.replace(text, F.lit(","), F.lit(""))
-    return F.when(digits.rlike(PLAIN_NUMBER), digits.try_cast("double"))
+    number = F.when(digits.rlike(PLAIN_NUMBER), digits.try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def normalize_icd10_code(value: Column) -> Column:
@@ -93,8 +120,11 @@ def policy_url(policy_type: Column, policy_id: Column, version: Column) -> Colum
 
 
 def money(value: Column) -> Column:
-    """Fixed-point form used inside sums, so that totals do not depend on row order."""
-    return value.cast("decimal(18,4)")
+    """Fixed-point form used inside sums, so that totals do not depend on row order.
+
+    28 digits before and 10 behind the point; amounts beyond that, NaN and infinity are NULL.
+    """
+    return value.try_cast("decimal(38,10)")
 
 
 def sum_money(value: Column) -> Column:
@@ -102,4 +132,4 @@ def sum_money(value: Column) -> Column:
 
 
 def avg_money(value: Column) -> Column:
-    return F.try_divide(F.sum(money(value)).cast("double"), F.count(value).cast("double"))
+    return F.try_divide(F.sum(money(value)).cast("double"), F.count(money(value)).cast("double"))

@@ -44,9 +44,9 @@ def _filled(features: DataFrame) -> dict:
     return {f"_{name}": F.coalesce(F.col(name).cast("double"), F.lit(0.0)) for name in FEATURES}
 
 
-def fit_anomaly_model(df: DataFrame, features: list[str], key: list[str], rows: int | None = None) -> Forest:
+def fit_anomaly_model(df: DataFrame, features: list[str], key: list[str]) -> Forest:
     """Reproducible forest over the complete rows of the given numeric columns."""
-    return fit_forest(df, features, key, rows)
+    return fit_forest(df, features, key)
 
 
 def label_rows(df: DataFrame, model: Forest, key: list[str], contamination: str | float = "auto") -> DataFrame:
@@ -66,13 +66,12 @@ def label_rows(df: DataFrame, model: Forest, key: list[str], contamination: str
 
 def score_features(features: DataFrame, contamination: str | float = "auto") -> DataFrame:
     """Score and flag a materialised ``peer_features`` table; fewer than two rows score 0."""
-    rows = features.count()
-    if rows < 2:
+    if features.limit(2).count() < 2:
         return features.withColumns({"anomaly_score": F.lit(0.0), "anomaly_flag": F.lit(False)}).select(
             *ANOMALY_COLUMNS
         )
     filled = features.withColumns(_filled(features))
-    model = fit_anomaly_model(filled, [f"_{name}" for name in FEATURES], KEY, rows)
+    model = fit_anomaly_model(filled, [f"_{name}" for name in FEATURES], KEY)
     labelled = label_rows(filled, model, KEY, contamination)
     return labelled.withColumn("anomaly_flag", F.col("anomaly_label") == -1).select(*ANOMALY_COLUMNS)
 

@@ -135,7 +135,7 @@ def policy_context(
     prefix = policy_type.lower()
     link_table = tables[f"{prefix}_x_contractor"]
     all_links = link_table.select(*policy_key(policy_type), *_contractor_key(link_table)).distinct()
-    links = salted_join(all_links, keys, POLICY, by=CONTRACTOR, how="left_semi")
+    links = all_links.join(keys, POLICY, "left_semi")  # the keys are as many as the links
 
     context = keys
     contractors = tables.get("contractor")
@@ -159,7 +159,7 @@ def policy_context(
     own = tables[f"{prefix}_x_primary_jurisdiction"].select(
         *policy_key(policy_type), strip(F.col("state_id")).alias("state_id")
     )
-    own_states = salted_join(own.distinct(), keys, POLICY, by=["state_id"], how="left_semi").join(states, "state_id")
+    own_states = own.distinct().join(keys, POLICY, "left_semi").join(states, "state_id")
     context = context.join(_joined_names(own_states, "state_abbrev", ", ", "primary"), POLICY, "left")
     return context.select(
         *POLICY,
@@ -252,7 +252,7 @@ def related_ncd_rows(
     else:
         wanted = wanted.withColumn("source_policy_title", F.lit(""))
     described = salted_join(links, ncd_metadata(tables), ["related_policy_id", "related_policy_version"], by=POLICY)
-    return salted_join(described, wanted, POLICY, by=["related_policy_id"]).select(
+    return described.join(wanted, POLICY).select(  # the codes of a policy are more than its links
         "procedure_code",
         F.lit(policy_type).alias("source_policy_type"),
         F.col("policy_id").alias("source_policy_id"),

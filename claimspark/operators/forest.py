@@ -1,7 +1,7 @@
 """Isolation forest (Liu, Ting and Zhou 2008) fitted on a bounded sample and applied to every row.
 
 Rows are drawn by a hash of their key, so the forest does not depend on partitioning. A tree never
-sees more than ``SAMPLE_PER_TREE`` rows, whatever the size of the input; only its nodes leave the
+sees more than ``sample_per_tree`` rows, whatever the size of the input; only its nodes leave the
 executors.
 """
 
@@ -100,22 +100,28 @@ class Forest:
         return df.withColumn(column, score(*[F.col(f).cast("double") for f in self.features]))
 
 
+def _drawn(complete: DataFrame, key: list[str], share: float, seed: int) -> DataFrame:
+    """The rows whose hash is in the lower ``share`` of its range, with the hash as ``draw``."""
+    drawn = complete.withColumn("draw", F.xxhash64(F.lit(seed), *key))
+    return drawn.filter(F.col("draw") < F.lit(int(-(2**63) + share * 2**64))) if share < 1.0 else drawn
+
+
 def _tree_samples(
-    df: DataFrame, features: list[str], key: list[str], rows: int, trees: int, seed: int
+    df: DataFrame, features: list[str], key: list[str], trees: int, per_tree: int, seed: int
 ) -> DataFrame:
-    """``tree, place, features``: up to ``SAMPLE_PER_TREE`` rows per tree without replacement.
+    """``tree, place, features``: up to ``per_tree`` rows per tree without replacement, from the complete rows.
 
     Rows are put in the order of a hash of their key, and the trees take consecutive stretches of the
-    first ``trees * SAMPLE_PER_TREE`` of them, starting over when there are fewer. A bound on the hash
-    keeps about twice that many rows, so no more than that ever reaches the sort.
+    first ``trees * per_tree`` of them, starting over when there are fewer. A bound on the hash keeps about
+    twice that many of the complete rows, so no more than that ever reaches the sort; should the bound hold
+    back too many, it is widened.
     """
-    wanted = trees * SAMPLE_PER_TREE
-    share = min(1.0, 2.0 * wanted / max(rows, 1))
+    wanted = trees * per_tree
     complete = df.select(*key, *[F.col(f).cast("double") for f in features]).dropna(subset=features)
-    drawn = complete.withColumn("draw", F.xxhash64(F.lit(seed), *key))
-    if share < 1.0:
-        drawn = drawn.filter(F.col("draw") < F.lit(int(-(2**63) + share * 2**64)))
-    first = drawn.orderBy("draw", *key).limit(wanted)
+    share = min(1.0, 2.0 * wanted / max(complete.count(), 1))
+    while share < 1.0 and _drawn(complete, key, share, seed).limit(wanted).count() < wanted:
+        share = min(1.0, 2.0 * share)
+    first = _drawn(complete, key, share, seed).orderBy("draw", *key).limit(wanted)
     # At most ``wanted`` rows are left, so one task can number them.
     everything = Window.partitionBy(F.lit(0))
     numbered = first.withColumns(
@@ -124,20 +130,20 @@ def _tree_samples(
     slots = F.explode(F.sequence(F.col("r").cast("long"), F.lit(wanted - 1).cast("long"), F.col("n")))
     placed = numbered.withColumn("slot", slots).withColumns(
         {
-            "tree": F.floor(F.col("slot") / SAMPLE_PER_TREE).cast("int"),
-            "place": (F.col("slot") % SAMPLE_PER_TREE).cast("int"),
+            "tree": F.floor(F.col("slot") / per_tree).cast("int"),
+            "place": (F.col("slot") % per_tree).cast("int"),
         }
     )
     return placed.filter(F.col("place") < F.col("n")).select("tree", "place", *features)
 
 
 def fit_forest(
-    df: DataFrame, features: list[str], key: list[str], rows: int | None = None, trees: int = TREES, seed: int = SEED
+    df: DataFrame, features: list[str], key: list[str], trees: int = TREES, sample_per_tree: int = SAMPLE_PER_TREE, seed: int = SEED
 ) -> Forest:
     """Grow the forest; rows with a NULL feature are not used. Trees grow in tasks, one group of at most
-    ``SAMPLE_PER_TREE`` rows each; their nodes are all that reaches the driver.
+    ``sample_per_tree`` rows each (256 in the published algorithm); their nodes are all that reaches the driver.
 
-    ``rows`` is the size of ``df`` if known; it is counted otherwise. ``key`` must be unique.
+    ``key`` must be unique.
     """
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,7 +155,7 @@ def fit_forest(
         out["rows"] = len(rows)
         return out
 
-    samples = _tree_samples(df, features, key, df.count() if rows is None else rows, trees, seed)
+    samples = _tree_samples(df, features, key, trees, sample_per_tree, seed)
     nodes = samples.groupBy("tree").applyInPandas(grow, _NODE_SCHEMA + ", rows int").toPandas()
     if nodes.empty:
         raise ValueError("At least one complete numeric feature row is required.")

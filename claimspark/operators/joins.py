@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import math
 
-SPREAD = 16
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def default_spread(spark: SparkSession) -> int:
+    """Pieces of one key: about the square root of the shuffle partitions, so a hot key fills many tasks and the
+    repeated side stays small."""
+    return max(4, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", spread: int = SPREAD
+    left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", spread: int | None = None
 ) -> DataFrame:
     """Equi-join with every left key split over ``spread`` salts and the right side repeated per salt.
 
@@ -18,6 +24,7 @@ def salted_join(
     right side only when its measured size allows, and otherwise the salts keep a hot key from landing
     in one task. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """
+    spread = spread or default_spread(left.sparkSession)
     salt = "_salt"
     split = left.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(spread)).cast("int"))
     repeated = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))

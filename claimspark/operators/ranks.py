@@ -16,7 +16,8 @@ _EXPONENT_SHIFT = 1100 * STEPS_PER_DOUBLING
 
 def value_bucket(value: Column) -> Column:
     """Bucket number, non-decreasing in ``value``; neighbouring values share a bucket."""
-    size = F.floor(F.log2(F.abs(value)) * STEPS_PER_DOUBLING) + F.lit(_EXPONENT_SHIFT)
+    finite = F.when(F.abs(value) < float("inf"), F.abs(value))
+    size = F.coalesce(F.floor(F.log2(finite) * STEPS_PER_DOUBLING) + F.lit(_EXPONENT_SHIFT), F.lit(2**61))
     return F.when(value > 0, size).when(value < 0, -size).when(value == 0, F.lit(0)).cast("long")
 
 

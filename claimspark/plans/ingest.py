@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from claimspark.functions import fixed, names
 from claimspark.operators import quality
-from claimspark.session import scratch_path
+from claimspark.session import scratch_path, settings
 from claimspark.sources import files
 from claimspark.sources.archives import land_csv_member
 from claimspark.sources.paths import drop_dir, replace_dir
@@ -71,9 +71,12 @@ def run_ingest(
     files.require_iso_date("release_date", release_date)
     expected = list(fixed.SOURCE_TYPE_BY_FILE)
     files.require_inputs(spark, raw_dir, expected)
-    if max_partition_bytes:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(max_partition_bytes))
+    splits = {"spark_sql_files_maxPartitionBytes": max_partition_bytes} if max_partition_bytes else {}
+    with settings(spark, **splits):
+        return _ingest(spark, raw_dir, data_dir, download_date, release_date, expected)
 
+
+def _ingest(spark: SparkSession, raw_dir: str, data_dir: str, download_date: str, release_date: str, expected: list[str]) -> dict[str, int]:
     root, data = raw_dir.rstrip("/"), data_dir.rstrip("/")
     listing = files.discover_data_files(spark, raw_dir).filter(F.col("name").isin(expected))
     facts = {r["source_file"]: r for r in files.file_facts(listing).collect()}

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,13 +39,29 @@ def build_session(app_name: str = "claimspark", master: str | None = None, **set
     return builder.getOrCreate()
 
 
+@contextmanager
+def settings(spark: SparkSession, **values) -> Iterator[None]:
+    """Session settings (``_`` for ``.``) that hold inside the block and are put back afterwards."""
+    before = {key.replace("_", "."): None for key in values}
+    for key in before:
+        before[key] = spark.conf.get(key, None)
+    try:
+        for key, value in values.items():
+            spark.conf.set(key.replace("_", "."), str(value))
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read, taken from ``spark.checkpoint.dir``.
 
-    A private folder is used only for a local master, where driver and executors share a disk.
+    Only where that is unset and the master is local, so that driver and executors share a disk, a private folder
+    is used; it goes when the process ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -50,7 +70,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors can reach.")
     if context.applicationId not in _OWN_DIRS:
-        _OWN_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="claimspark-")
+        own = _OWN_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="claimspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return _OWN_DIRS[context.applicationId]
 
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimspark.session import scratch_path
-from claimspark.sources.paths import base_name, exists, file_system, open_stream
+from claimspark.sources.paths import base_name, exists, file_system, one_task_each, open_stream
 
 _BLOCK = 8 << 20
 
@@ -92,7 +92,7 @@ def land_members(members: DataFrame) -> DataFrame:
                 size = system.get_file_info(target).size
                 yield pd.DataFrame([(row.target, size)], columns=["target", "bytes"])
 
-    spread = members.repartition("path", "bundle", "member")
+    spread = one_task_each(members, "path", "bundle", "member", "target")
     return spread.mapInPandas(copy, "target string, bytes long")
 
 
@@ -126,8 +126,14 @@ def land_bundle(
     """
     if not exists(spark, path):
         raise FileNotFoundError(f"Missing CMS coverage archive: {path}")
-    names = entry_names(spark, path, bundle)
     folder = landing_dir or scratch_path(spark, "landing")
+    outer = find_entry(entry_names(spark, path), bundle)
+    if outer is None:
+        raise FileNotFoundError(f"{bundle} is missing from {base_name(path)}.")
+    # The inner archive is inflated once; its members are then read from a file that can be positioned freely.
+    inner = f"{folder}/{bundle}.landed/{bundle}"
+    land(spark, [(path, "", outer, inner)])
+    names = entry_names(spark, inner)
     targets, rows = {}, []
     for table in tables:
         entry = find_entry(names, f"{table}.csv")
@@ -136,7 +142,7 @@ def land_bundle(
                 continue
             raise FileNotFoundError(f"{table}.csv is missing from {bundle}.")
         targets[table] = f"{folder}/{bundle}/{table}.csv"
-        rows.append((path, bundle, entry, targets[table]))
+        rows.append((inner, "", entry, targets[table]))
     land(spark, rows)
     return {table: _to_parquet(spark, target) for table, target in targets.items()}
 

@@ -1,8 +1,9 @@
 """Description files: CSV, XLSX, or ZIP archives holding them.
 
-Readers return ``code, description, file_rank, entry_rank, row_rank`` for
+Readers return ``code, description, file_rank, entry_rank, row_rank, problem`` for
 ``operators.descriptions.description_map``; file rank 1 is the newest file. Archives and workbooks are
-read by one task per file, plain CSV files by Spark's own reader.
+read by one task per file, plain CSV files by Spark's own reader. A file that cannot be read to its end gives
+no entries but one row with ``problem``, its name and the reason (see ``skipped_files``).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import groupby
-from xml.etree.ElementTree import iterparse
+from xml.etree.ElementTree import ParseError, iterparse
 from zipfile import BadZipFile, ZipFile
 
 import pandas as pd
@@ -22,9 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from claimspark.functions import fixed
 from claimspark.sources.files import list_files
-from claimspark.sources.paths import open_stream
+from claimspark.sources.paths import one_task_each, open_stream
 
-ENTRY = "code string, description string, file_rank int, entry_rank int, row_rank long"
+ENTRY = "code string, description string, file_rank int, entry_rank int, row_rank long, problem string"
+
+
+_COLUMNS = ["code", "description", "file_rank", "entry_rank", "row_rank", "problem"]
 
 
 def newest_first(files: DataFrame) -> DataFrame:
@@ -45,12 +49,14 @@ def find_cpt_files(spark: SparkSession, directory: str) -> DataFrame:
 
 def pick_columns(header: list[str], code_names: list[str], any_description: bool) -> tuple[int, int] | None:
     """Positions of the code and description columns, or None when either is missing."""
-    lowered = [str(h or "").strip().lower() for h in header]
-    code = next((i for i, h in enumerate(lowered) if h in code_names), None)
-    text = next((i for i, h in enumerate(lowered) if "long description" in h), None)
-    if text is None and any_description:
-        text = next((i for i, h in enumerate(lowered) if "description" in h), None)
-    return None if code is None or text is None else (code, text)
+    codes, texts = [], []  # texts: long descriptions rank before others, then the position counts
+    for place, title in enumerate(str(h or "").strip().lower() for h in header):
+        if title in code_names:
+            codes.append(place)
+        rank = 0 if "long description" in title else 1 if any_description and "description" in title else 2
+        texts.append((rank, place))
+    best = min(texts, default=(2, 0))
+    return (codes[0], best[1]) if codes and best[0] < 2 else None
 
 
 # --- workbook cells -----------------------------------------------------------------------------
@@ -145,16 +151,13 @@ def procedure_archive_entries(stream) -> Iterator[tuple[int, str, str]]:
         books = sorted((n for n in archive.namelist() if n.lower().endswith(".xlsx") and "anweb" in n.lower()), key=str.lower)
         for name in books:
             with archive.open(name) as book:
-                try:
-                    for rows in _by_sheet(book):
-                        found = False
-                        for code, text in _table_entries(rows, fixed.PROCEDURE_FILE_CODE_HEADERS, False):
-                            found = True
-                            yield 0, code, text
-                        if found:
-                            return
-                except BadZipFile:
-                    continue
+                for rows in _by_sheet(book):
+                    found = False
+                    for code, text in _table_entries(rows, fixed.PROCEDURE_FILE_CODE_HEADERS, False):
+                        found = True
+                        yield 0, code, text
+                    if found:
+                        return
 
 
 def _first_table_entries(stream, name: str) -> Iterator[tuple[str, str]]:
@@ -172,43 +175,46 @@ def cpt_file_entries(stream, name: str) -> Iterator[tuple[int, str, str]]:
         wanted = sorted((n for n in archive.namelist() if n.lower().endswith((".csv", ".xlsx"))), key=str.lower)
         for place, member in enumerate(wanted):
             with archive.open(member) as source:
-                try:
-                    yield from ((place, code, text) for code, text in _first_table_entries(source, member))
-                except BadZipFile:
-                    continue
+                yield from ((place, code, text) for code, text in _first_table_entries(source, member))
 
 
 # --- readers --------------------------------------------------------------------------------------
 
 
 def _read_with_tasks(files: DataFrame, kind: str) -> DataFrame:
-    """One task per file; rows leave the task in batches. Unreadable CPT files count as empty."""
+    """One task per file; its rows leave the task once it is read to the end, or one row with the problem."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                with open_stream(row.path) as stream:
-                    if kind == "procedure":
-                        yield from _batches(procedure_archive_entries(stream), row.file_rank)
-                        continue
-                    try:
-                        yield from _batches(cpt_file_entries(stream, row.name), row.file_rank)
-                    except (BadZipFile, ArrowInvalid):
-                        continue
+                try:
+                    if row.name.lower().endswith(".xls"):
+                        raise ValueError("workbooks of the old binary format are not supported")
+                    with open_stream(row.path) as stream:
+                        entries = procedure_archive_entries(stream) if kind == "procedure" else cpt_file_entries(stream, row.name)
+                        whole = list(_batches(entries, row.file_rank))
+                except (BadZipFile, ArrowInvalid, ParseError, UnicodeDecodeError, csv.Error, ValueError) as error:
+                    problem = f"{row.name}: {error}"
+                    whole = [pd.DataFrame([(None, None, row.file_rank, 0, 0, problem)], columns=_COLUMNS)]
+                yield from whole
+
+    return one_task_each(files.select("path", "name", "file_rank"), "file_rank").mapInPandas(read, ENTRY)
+
 
-    return files.select("path", "name", "file_rank").repartition("path").mapInPandas(read, ENTRY)
+def skipped_files(entries: DataFrame) -> DataFrame:
+    """``file_rank, problem`` of the files that could not be read."""
+    return entries.filter(F.col("problem").isNotNull()).select("file_rank", "problem")
 
 
 def _batches(entries: Iterator[tuple[int, str, str]], file_rank: int, size: int = 10_000) -> Iterator[pd.DataFrame]:
-    columns = ["code", "description", "file_rank", "entry_rank", "row_rank"]
     rows = []
     for number, (place, code, text) in enumerate(entries):
-        rows.append((code, text, file_rank, place, number))
+        rows.append((code, text, file_rank, place, number, None))
         if len(rows) == size:
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.DataFrame(rows, columns=_COLUMNS)
             rows = []
     if rows:
-        yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def read_procedure_descriptions(spark: SparkSession, directory: str) -> DataFrame:
@@ -228,6 +234,7 @@ def _read_cpt_csv(spark: SparkSession, path: str, file_rank: int) -> DataFrame |
         F.lit(file_rank).alias("file_rank"),
         F.lit(0).alias("entry_rank"),
         F.monotonically_increasing_id().alias("row_rank"),
+        F.lit(None).cast("string").alias("problem"),
     ).dropna(subset=["code", "description"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from claimspark.functions import fixed
 from claimspark.functions.names import canonical_column, source_type_for, standardize_columns
 from claimspark.sources import archives
-from claimspark.sources.paths import base_name, exists, open_stream
+from claimspark.sources.paths import base_name, exists, one_task_each, open_stream
 
 LISTING = "path string, modificationTime timestamp, length long"
 BAD_RECORD = "_corrupt_record"
@@ -44,17 +44,13 @@ def read_delimited(
     columns: list[str] | None = None,
     multi_line: bool = False,
     bad_rows: str = "fail",
-    max_partition_bytes: int | None = None,
 ) -> DataFrame:
     """All-text scan; blank cells are NULL. Splits of the scan take the place of chunks.
 
     ``bad_rows="fail"`` stops on rows with a wrong number of cells; ``"keep"`` puts their text into
-    ``_corrupt_record``. The header of every file must equal the first file's.
+    ``_corrupt_record``. The header of every file must equal the first file's. The size of the splits belongs to
+    the session; see ``session.settings`` for a change that ends with the job.
     """
-    if max_partition_bytes is not None:
-        if max_partition_bytes <= 0:
-            raise ValueError("max_partition_bytes must be greater than zero")
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(max_partition_bytes))
     first = path if isinstance(path, str) else path[0]
     columns = columns or header(spark, first, delimiter)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -98,7 +94,6 @@ def scan_claim_file(
     delimiter: str = "|",
     zip_member: str | None = None,
     landing_dir: str | None = None,
-    max_partition_bytes: int | None = None,
 ) -> DataFrame:
     """Partitioned text scan of a CSV or zipped CSV; only blank cells become NULL."""
     lowered = path.lower()
@@ -106,7 +101,7 @@ def scan_claim_file(
         path = archives.land_csv_member(spark, path, zip_member, landing_dir)
     elif not lowered.endswith(".csv"):
         raise ValueError(f"Chunked input must be CSV or ZIP: {base_name(path)}")
-    return read_delimited(spark, path, delimiter, max_partition_bytes=max_partition_bytes)
+    return read_delimited(spark, path, delimiter)
 
 
 def load_source(spark: SparkSession, path: str, landing_dir: str | None = None) -> DataFrame:
@@ -181,7 +176,7 @@ def file_hashes(files: DataFrame) -> DataFrame:
                 out.append((path, state.hexdigest()))
             yield pd.DataFrame(out, columns=["path", "sha256"])
 
-    return files.select("path").repartition("path").mapInPandas(digest, "path string, sha256 string")
+    return one_task_each(files.select("path"), "path").mapInPandas(digest, "path string, sha256 string")
 
 
 def file_facts(files: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def base_name(path: str) -> str:
@@ -40,10 +40,18 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     fs.delete(jvm_path, True)
 
 
+# Schemes of Spark whose stores Arrow knows under another name.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "viewfs": "viewfs", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def file_system(path: str):
-    """Arrow file system and path for use inside a task."""
+    """Arrow file system and path for use inside a task. Stores that only Hadoop knows go through libhdfs."""
     from pyarrow import fs
 
+    scheme, _, rest = path.partition("://")
+    if rest and scheme in ARROW_SCHEMES:
+        path = f"{ARROW_SCHEMES[scheme]}://{rest}"
+
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
     if path.startswith("/"):
@@ -51,6 +59,14 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def one_task_each(rows: DataFrame, *order: str) -> DataFrame:
+    """Each row of a small table to a task of its own; a fixed number of tasks is not merged by adaptive execution."""
+    count = max(1, rows.count())
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
+    placed = rows.withColumn("_place", place)
+    return placed.repartitionById(count, F.col("_place")).drop("_place")
+
+
 def open_stream(path: str):
     """Seekable byte stream; reads blocks on demand."""
     system, inner = file_system(path)

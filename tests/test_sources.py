@@ -34,8 +34,6 @@ def test_load_table_and_missing_texts(spark, rows, tmp_path):
         files.load_table(spark, str(tmp_path / "x.txt"))
     with pytest.raises(ValueError, match="must be CSV or ZIP"):
         files.scan_claim_file(spark, str(tmp_path / "x.parquet"))
-    with pytest.raises(ValueError, match="greater than zero"):
-        files.scan_claim_file(spark, path, max_partition_bytes=0)
     assert rows(files.preview(files.load_table(spark, path), 1)) == [{"BENE_ID": "01", "HCPCS_CD": None}]
 
 
@@ -221,7 +219,15 @@ def test_cpt_descriptions_and_lookup(spark, rows, tmp_path):
         archive.writestr("b.csv", "Other,Text\n1,2\n")
     (tmp_path / "cpt_broken.zip").write_bytes(b"not a zip")
     workbook(tmp_path / "my_cpt.xlsx", [[["HCPC", "LONG DESCRIPTION"]], [["code", "description"], [7, "second sheet is not read"]]])
-    second = description_map(descriptions.read_cpt_descriptions(spark, str(tmp_path)))
+    (tmp_path / "old_cpt.xls").write_bytes(b"binary")
+    with ZipFile(tmp_path / "half_cpt.zip", "w") as half:
+        half.writestr("a.csv", "CPT,LONG DESCRIPTION\n99999,never seen\n")
+        half.writestr("b.xlsx", b"not a workbook")
+    entries = descriptions.read_cpt_descriptions(spark, str(tmp_path))
+    problems = sorted(r["problem"].split(":")[0] for r in descriptions.skipped_files(entries).collect())
+    assert problems == ["cpt_broken.zip", "half_cpt.zip", "old_cpt.xls"]
+    assert entries.filter("code = '99999'").count() == 0
+    second = description_map(entries)
     assert {r.code: r.description for r in second.collect()} == {"99241": "Office consultation\nfor a patient", "10": "From archive", "11": "Last"}
     first = spark.createDataFrame([("11", "From the first source")], "code string, description string")
     codes = spark.createDataFrame([("11",), (" 99241 ",), ("none",), ("absent",)], "procedure_code string")

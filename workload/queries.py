@@ -257,15 +257,12 @@ def source_manifest(spark, sf):
     """File name, size, hash and row count of every table file."""
     found = files.discover_data_files(spark, sf)
     facts = files.file_facts(found).drop("source_type")
-    tables = [
-        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-        "embeddings", "pages", "benchmark", "labels", "conversations",
-    ]
+    tables = [r["name"].removesuffix(".parquet") for r in found.filter(F.col("name").endswith(".parquet")).select("name").collect()]
     counts = [
         a.table(spark, sf, t).agg(F.count(F.lit(1)).alias("row_count")).withColumn("source_file", F.lit(f"{t}.parquet"))
         for t in tables
     ]
-    return facts.join(reduce(DataFrame.unionByName, counts), "source_file")
+    return facts.join(reduce(DataFrame.unionByName, counts), "source_file", "full")
 
 
 # --- coverage ----------------------------------------------------------------------------------
