@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from claimspark.llm.common import WORDS
+from claimspark.llm.common import WORDS, partitions
 from claimspark.session import materialise
 
 BLOCK_WORDS = 128
@@ -96,7 +96,9 @@ def mix_slots(targets: DataFrame, seed: int, block_words: int, shard_slots: int,
     along = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pairs = pairs.withColumn("end", F.sum("count").over(along))
     n_blocks = F.ceil(F.col("source_size") / block_words)
-    picked = pairs.filter("count > 0").select(
+    # The few counts are dealt out before they become many slots; a fixed number of tasks is not merged by their size.
+    pairs = pairs.filter("count > 0").repartition(partitions(targets.sparkSession), "shard", "key")
+    picked = pairs.select(
         "shard", "key", n_blocks.alias("n_blocks"), F.explode(F.sequence(F.col("end") - F.col("count"), F.col("end") - 1)).alias("k")
     )
     # A source at its limit may be drawn a few times beyond it; those slots stay empty.
