@@ -7,6 +7,7 @@ it checks the text round trip and the closed-form peer figures independently.
 from __future__ import annotations
 
 from claimspark.functions import fixed
+from workload import file_layer
 
 CODE = "replace(p_brand, 'Brand#', 'B') || '-' || CAST(p_size % 8 AS VARCHAR)"
 DEC = "DECIMAL(18,4)"
@@ -516,3 +517,5 @@ ORACLES = {
         {sql_text(fixed.LIMITATIONS)} AS limitations FROM compared c JOIN context_rows r USING (procedure_code)""",
     "evidence_links": f"WITH {EVIDENCE} SELECT procedure_code, coalesce(links, '') AS sources FROM context_rows",
 }
+
+ORACLES |= {f.__name__: ORACLES[same] for f, same in file_layer.SAME_AS.items()}

@@ -13,7 +13,7 @@ from claimspark.operators import (
 from claimspark.operators.claim_lines import lines_with_code
 from claimspark.operators.normalize import type_columns
 from claimspark.sources import files
-from workload import adapter as a, staging
+from workload import adapter as a, file_layer, staging
 
 
 
@@ -377,3 +377,5 @@ QUERIES = {
         explanation_prompt, explanation_text, evidence_links,
     )
 }
+
+QUERIES |= {f.__name__: f for f in file_layer.SAME_AS}
