@@ -1,12 +1,14 @@
 """Isolation forest (Liu, Ting and Zhou 2008) fitted on a bounded sample and applied to every row.
 
-Rows are drawn by a hash of their key, so the forest does not depend on partitioning. A tree never
+Rows, split features and thresholds are drawn from MD5 digests of seed, tree, node and key, so a forest does not
+depend on partitioning and any engine with that function can repeat it. A tree never
 sees more than ``sample_per_tree`` rows, whatever the size of the input; only its nodes leave the
 executors.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,24 +32,32 @@ def average_path(n: int) -> float:
     return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def grow_tree(rows: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """Nodes of one tree; a leaf has feature -1 and carries its expected path length."""
+def draw(seed: int, tree: int, node: int, what: str, digits: int) -> int:
+    """Number made of the first hexadecimal digits of a digest."""
+    return int(hashlib.md5(f"{seed}|{tree}|{node}|{what}".encode()).hexdigest()[:digits], 16)
+
+
+def grow_tree(rows: np.ndarray, seed: int, tree: int) -> list[tuple]:
+    """Nodes of one tree; a leaf has feature -1 and carries its expected path length.
+
+    The root is node 1, the children of node n are 2n and 2n + 1.
+    """
     depth_limit = math.ceil(math.log2(max(len(rows), 2)))
-    nodes: list[tuple] = [()]
-    open_nodes = [(0, rows, 0)]
+    nodes: list[tuple] = []
+    open_nodes = [(1, rows, 0)]
     while open_nodes:
         node, part, depth = open_nodes.pop()
         smallest, largest = part.min(axis=0), part.max(axis=0)
         varying = np.flatnonzero(largest > smallest)
         if depth >= depth_limit or len(part) <= 1 or not len(varying):
-            nodes[node] = (node, -1, 0.0, node, node, depth + average_path(len(part)))
+            nodes.append((node, -1, 0.0, node, node, depth + average_path(len(part))))
             continue
-        feature = int(rng.choice(varying))
-        threshold = float(rng.uniform(smallest[feature], largest[feature]))
+        feature = int(varying[draw(seed, tree, node, "feature", 8) % len(varying)])
+        share = draw(seed, tree, node, "threshold", 13) / float(1 << 52)
+        threshold = float(smallest[feature]) + share * float(largest[feature] - smallest[feature])
         goes_low = part[:, feature] <= threshold
-        low, high = len(nodes), len(nodes) + 1
-        nodes += [(), ()]
-        nodes[node] = (node, feature, threshold, low, high, 0.0)
+        low, high = 2 * node, 2 * node + 1
+        nodes.append((node, feature, threshold, low, high, 0.0))
         open_nodes += [(low, part[goes_low], depth + 1), (high, part[~goes_low], depth + 1)]
     return nodes
 
@@ -67,7 +77,7 @@ def score_rows(rows: np.ndarray, grids: Grids, sample_size: int, block: int = 40
     for start in range(0, len(distinct), block):
         part = distinct[start : start + block]
         index = np.arange(len(part))[:, None]
-        node = np.zeros((len(part), len(trees)), dtype=np.int64)
+        node = np.ones((len(part), len(trees)), dtype=np.int64)
         while True:
             feature = feature_of[trees, node]
             if (feature < 0).all():
@@ -102,8 +112,9 @@ class Forest:
 
 def _drawn(complete: DataFrame, key: list[str], share: float, seed: int) -> DataFrame:
     """The rows whose hash is in the lower ``share`` of its range, with the hash as ``draw``."""
-    drawn = complete.withColumn("draw", F.xxhash64(F.lit(seed), *key))
-    return drawn.filter(F.col("draw") < F.lit(int(-(2**63) + share * 2**64))) if share < 1.0 else drawn
+    drawn = complete.withColumn("draw", F.md5(F.concat_ws("|", F.lit(str(seed)), *key).cast("binary")))
+    bound = format(min(int(share * 2**32), 2**32 - 1), "08x")
+    return drawn.filter(F.col("draw") < F.lit(bound)) if share < 1.0 else drawn
 
 
 def _tree_samples(
@@ -149,7 +160,7 @@ def fit_forest(
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
         rows = pdf.sort_values("place")[features].to_numpy(float)
-        nodes = grow_tree(rows, np.random.default_rng([seed, tree]))
+        nodes = grow_tree(rows, seed, tree)
         out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "low", "high", "path"])
         out.insert(0, "tree", tree)
         out["rows"] = len(rows)

@@ -17,7 +17,7 @@ def run_elsewhere(payload, code, tmp_path):
 
 def test_helpers_travel_by_value(tmp_path):
     rows = np.arange(20.0).reshape(10, 2)
-    call = lambda: len(grow_tree(rows, np.random.default_rng(1)))
+    call = lambda: len(grow_tree(rows, 1, 0))
     done = run_elsewhere(cloudpickle.dumps(call), "print(f())", tmp_path)
     assert done.returncode == 0, done.stderr.decode()
     assert int(done.stdout) == call()

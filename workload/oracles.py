@@ -519,3 +519,57 @@ ORACLES = {
 }
 
 ORACLES |= {f.__name__: ORACLES[same] for f, same in file_layer.SAME_AS.items()}
+
+
+def _forest_sql(trees: int = 100, per_tree: int = 256, seed: int = 42, depth_limit: int = 8) -> str:
+    """CTEs that end in ``scored``: the forest drawn from the same digests, one CTE per depth.
+
+    A row is followed through every tree; its path is the depth of its leaf plus the expected rest.
+    """
+    features = ["provider_rate", "peer_median", "provider_to_peer_ratio", "peer_percentile", "claim_count"]
+    wanted = trees * per_tree
+    rest = "CASE WHEN n <= 1 THEN 0.0 WHEN n = 2 THEN 1.0 ELSE 2.0 * (ln(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n END"
+
+    def digest(what: str, digits: int) -> str:
+        return f"('0x' || substr(md5('{seed}|' || tree || '|' || node || '|{what}'), 1, {digits}))::BIGINT"
+
+    values = [f"coalesce(CAST({f} AS DOUBLE), 0.0)" for f in features]
+    pick = "list_extract([x1, x2, x3, x4, x5], feature)"
+    steps = [f"""base AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5('{seed}|' || provider_id || '|' || procedure_code), provider_id, procedure_code) - 1 AS r,
+            {', '.join(f'{v} AS x{i}' for i, v in enumerate(values, 1))} FROM ({ORACLES['peer_anomaly_features']})),
+        many AS (SELECT least(count(*), {wanted}) AS n FROM base),
+        slots AS (SELECT x1, x2, x3, x4, x5, unnest(range(r, {wanted}, many.n)) AS slot FROM base, many WHERE r < many.n),
+        s0 AS MATERIALIZED (SELECT slot // {per_tree} AS tree, 1 AS node, x1, x2, x3, x4, x5 FROM slots, many WHERE slot % {per_tree} < many.n)"""]
+    for d in range(depth_limit + 1):
+        bounds = ", ".join(f"min(x{i}) AS lo{i}, max(x{i}) AS hi{i}" for i in range(1, 6))
+        varying = "[" + ", ".join(f"CASE WHEN hi{i} > lo{i} THEN {i} END" for i in range(1, 6)) + "]"
+        lows, highs = (f"[{', '.join(f'{side}{i}' for i in range(1, 6))}]" for side in ("lo", "hi"))
+        steps.append(f"""g{d} AS (SELECT tree, node, count(*) AS n, {bounds} FROM s{d} GROUP BY tree, node),
+        v{d} AS (SELECT *, list_filter({varying}, lambda i: i IS NOT NULL) AS varying FROM g{d}),
+        f{d} AS (SELECT *, CASE WHEN n > 1 AND len(varying) > 0 AND {d} < {depth_limit} THEN list_extract(varying, {digest('feature', 8)} % len(varying) + 1) END AS feature FROM v{d}),
+        n{d} AS MATERIALIZED (SELECT tree, node, feature, {d} + {rest} AS path,
+            list_extract({lows}, feature) + {digest('threshold', 13)} / CAST(4503599627370496 AS DOUBLE) * (list_extract({highs}, feature) - list_extract({lows}, feature)) AS threshold FROM f{d})""")
+        if d < depth_limit:
+            steps.append(f"""s{d + 1} AS MATERIALIZED (SELECT s.tree, 2 * s.node + CASE WHEN {pick} <= threshold THEN 0 ELSE 1 END AS node, x1, x2, x3, x4, x5
+            FROM s{d} s JOIN n{d} USING (tree, node) WHERE feature IS NOT NULL)""")
+    steps.append(f"points AS MATERIALIZED (SELECT DISTINCT x1, x2, x3, x4, x5 FROM base), w0 AS (SELECT x1, x2, x3, x4, x5, unnest(range({trees})) AS tree, 1 AS node FROM points)")
+    for d in range(depth_limit + 1):
+        step = f"CASE WHEN {pick.replace('feature', 'n.feature')} <= n.threshold THEN 0 ELSE 1 END"
+        inner = "" if d == 0 else "WHERE w.feature IS NOT NULL"
+        steps.append(f"w{d + 1} AS MATERIALIZED (SELECT x1, x2, x3, x4, x5, w.tree, 2 * w.node + {step} AS node, n.feature, n.path FROM w{d} w JOIN n{d} n ON n.tree = w.tree AND n.node = w.node {inner})")
+    ends = " UNION ALL ".join(f"SELECT x1, x2, x3, x4, x5, path FROM w{d + 1} WHERE feature IS NULL" for d in range(depth_limit + 1))
+    steps.append(f"""ends AS ({ends}), depths AS (SELECT x1, x2, x3, x4, x5, avg(path) AS depth FROM ends GROUP BY ALL),
+        size AS (SELECT least({per_tree}, n) AS n FROM many),
+        scored AS (SELECT b.*, round(pow(2.0, -depth / (SELECT {rest} FROM size)), 9) AS anomaly_score FROM base b JOIN depths USING (x1, x2, x3, x4, x5))""")
+    return "WITH " + ",\n        ".join(steps)
+
+
+ORACLES |= {
+    "isolation_forest_scores": _forest_sql() + """
+        SELECT provider_id, provider_id_type, procedure_code, claim_count, beneficiary_count, provider_rate, peer_median,
+               provider_to_peer_ratio, peer_percentile, anomaly_score, anomaly_score > 0.5 AS anomaly_flag FROM scored""",
+    "investigation_queue": _forest_sql() + """
+        SELECT provider_id, procedure_code, provider_rate, peer_median, provider_to_peer_ratio, peer_percentile, anomaly_score, anomaly_score > 0.5 AS anomaly_flag
+        FROM scored WHERE anomaly_score > 0.5 OR peer_percentile >= 90
+        ORDER BY anomaly_score DESC, provider_to_peer_ratio DESC NULLS LAST, provider_id, procedure_code LIMIT 25""",
+}

@@ -143,12 +143,17 @@ def peer_anomaly_features(spark, sf):
     return anomaly.peer_features(staging.provider_stats(spark, sf))
 
 
+def _rounded(scores: DataFrame) -> DataFrame:
+    """Scores to nine places: two engines add the paths in different orders."""
+    return scores.withColumn("anomaly_score", F.round("anomaly_score", 9))
+
+
 def isolation_forest_scores(spark, sf):
-    return anomaly.build_provider_anomaly_table(staging.provider_stats(spark, sf))
+    return _rounded(staging.anomalies(spark, sf))
 
 
 def investigation_queue(spark, sf):
-    return anomaly.investigation_queue(anomaly.provider_anomalies(staging.provider_stats(spark, sf)))
+    return anomaly.investigation_queue(_rounded(staging.anomalies(spark, sf)))
 
 
 # --- ingest: names, typing, profile ------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from claimspark.functions import fixed
-from claimspark.operators import coverage, utilization
+from claimspark.operators import anomaly, coverage, utilization
 from claimspark.operators.claim_lines import lines_with_code
 from claimspark.plans.coverage_build import table_names
 from claimspark.session import scratch_path
@@ -48,6 +48,10 @@ def provider_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "provider_anomalies", lambda: anomaly.provider_anomalies(provider_stats(spark, sf_dir)))
+
+
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(
         spark, sf_dir, "observed_codes", lambda: coverage.code_set(lines_with_code(lines(spark, sf_dir)))
