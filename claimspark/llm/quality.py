@@ -18,8 +18,8 @@ from claimspark.llm.blocks import mixed
 
 BUCKETS = 1 << 18
 DIMENSIONS = 16
-SAMPLE_PER_LABEL = 2500  # documents of each label that are learned from
-SAMPLE_BYTES = 1 << 16  # longer documents are not learned from (all are scored)
+SAMPLE_PER_LABEL = 1200  # documents of each label that are learned from
+SAMPLE_BYTES = 1 << 15  # longer documents are not learned from (all are scored)
 EPOCHS = 4
 RATE = 0.5
 GRAMS = (3, 4, 5)
@@ -60,29 +60,32 @@ def split_words(text: bytes) -> list[bytes]:
     return text.split()  # bytes are split at the six ASCII white-space characters
 
 
-def repeats(words: list) -> int:
-    return sum(map(bytes.__eq__, words[1:], words[:-1]))
-
-
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 1, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, float]:
     """Learn from the documents; returns one number per feature and the bias, for the log-odds of label 1."""
-    split = [split_words(t) for t in texts]
     numbers: dict[bytes, int] = {}
-    for words in split:
-        for w in words:
-            numbers.setdefault(w, len(numbers))
-    features, bounds = word_features(list(numbers), buckets) if numbers else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+    bags = []  # distinct words of each document with their counts, and its repeated words
+    for text in texts:
+        words = split_words(text)
+        own = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32)
+        bags.append((*np.unique(own, return_counts=True), int(np.count_nonzero(own[1:] == own[:-1]))))
+    known, parts, ends = list(numbers), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for at in range(0, len(known), 20_000):
+        some, within = word_features(known[at : at + 20_000], buckets)
+        parts.append(some.astype(np.int32))
+        ends.append(within[1:] + ends[-1][-1])
+    features, bounds = np.concatenate(parts), np.concatenate(ends)
     docs = []
-    for words in split:
-        own, counts = np.unique(np.array([numbers[w] for w in words], np.int64), return_counts=True)
+    for own, counts, again in bags:
         size = bounds[own + 1] - bounds[own]
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(bounds[own], size)
-        again = repeats(words)
-        bag = np.bincount(np.searchsorted(unique := np.unique(features[at]), features[at]), np.repeat(counts, size)) if len(at) else np.zeros(0)
-        index, weight = (np.r_[0, unique], np.r_[again, bag]) if len(at) else (np.zeros(0, np.int64), bag)
-        docs.append((index, weight / max(1.0, weight.sum())))
+        unique, place = np.unique(features[at], return_inverse=True)
+        weight = np.bincount(place, np.repeat(counts, size)) if len(at) else np.zeros(0)
+        if again:
+            unique, weight = np.r_[np.int32(0), unique], np.r_[again, weight]
+        docs.append((unique, (weight / max(1.0, weight.sum())).astype(np.float32)))
+    del bags, numbers, known, parts, features
     draw = np.random.default_rng(seed)
-    vectors = draw.uniform(-1 / dimensions, 1 / dimensions, (buckets, dimensions))
+    vectors = draw.uniform(-1 / dimensions, 1 / dimensions, (buckets, dimensions)).astype(np.float32)
     softmax, bias = np.zeros((2, dimensions)), np.zeros(2)
     total = max(1, epochs * len(docs))
     step = 0
