@@ -134,7 +134,8 @@ def _packed(docs: DataFrame, id_col, text_col, source_col, block_words: int, max
 
 def _taken_parts(rows: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
     """``rows`` once per block they reach into, with the words there and how often the mix takes the block."""
-    taken = slots.groupBy("key", "block").agg(F.count("*").alias("times"))
+    # The planner cannot know how many slots the few shares become: without the hint it would broadcast them.
+    taken = slots.groupBy("key", "block").agg(F.count("*").alias("times")).hint("merge")
     first = F.floor(F.col("offset") / block_words)
     last = F.floor((F.col("offset") + F.col("size") - 1) / block_words)
     parts = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
