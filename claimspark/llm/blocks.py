@@ -12,21 +12,66 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 20  # text handled by one vectorised step
 MESSAGES = "block long, part int, payload binary"
-_MESSAGE_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
+MESSAGE_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
+
+
+NO_ID = 2**63 - 1  # stands for NULL, after all others
+BLOCKS = "block long, ids binary, lengths binary, data binary"
+_BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
 
 
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
-    """``block, doc_id, text`` (NULL text as empty), the number of blocks and of bits that name a counting group."""
+    """The documents packed by block (see ``unpacked``), the number of blocks and of bits that name a counting group.
+
+    Texts are compressed together before they are moved; NULL text counts as empty.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     bits = max(0, (n_blocks // 2).bit_length())
-    return texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), "doc_id", "text"), n_blocks, bits
+    rows = texts.select(block_of(F.col("doc_id"), n_blocks).alias("block"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            starts = np.flatnonzero(np.r_[True, blocks[order][1:] != blocks[order][:-1]]) if len(order) else []
+            texts, out = batch.column(2), []
+            for own in np.split(order, starts[1:]) if len(order) else []:
+                parts = [texts[i].as_buffer() for i in own.tolist()]
+                lengths = np.array([p.size for p in parts], np.int64)
+                out.append((int(blocks[own[0]]), ids[own].tobytes(), lengths.tobytes(), squeezed(b"".join(parts))))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(_BLOCK_SCHEMA)], schema=_BLOCK_SCHEMA)
+
+    return rows.mapInArrow(pack, BLOCKS), n_blocks, bits
+
+
+def block_of(doc_id: Column, n_blocks: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(n_blocks))
+
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "big") + pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "big"), "zstd", asbytes=True)
+
+
+def unpacked(rows: pa.Table) -> tuple[list[int], list[bytes]]:
+    """Ids (``NO_ID`` for NULL) and texts of the documents of one block."""
+    ids, texts = [], []
+    for own, lengths, data in zip(*(rows[n].to_pylist() for n in ("ids", "lengths", "data"))):
+        ids += np.frombuffer(own, np.int64).tolist()
+        ends = np.cumsum(np.frombuffer(lengths, np.int64)).tolist()
+        data = unsqueezed(data)
+        texts += [data[a:b] for a, b in zip([0, *ends], ends)]
+    return ids, texts
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -62,11 +107,11 @@ def _split(ordered: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def ask(block: int, ordered: np.ndarray, bits: int) -> pa.Table:
     """Messages with the sorted hashes of one block; a message keeps the 32 bits after the group's."""
     if not len(ordered):
-        return _MESSAGE_SCHEMA.empty_table()
+        return MESSAGE_SCHEMA.empty_table()
     parts, bounds = _split(ordered, bits)
     values = ((ordered << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
     payloads = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-    return pa.table([pa.array([block] * len(parts), pa.int64()), pa.array(parts, pa.int32()), pa.array(payloads, pa.binary())], schema=_MESSAGE_SCHEMA)
+    return pa.table([pa.array([block] * len(parts), pa.int64()), pa.array(parts, pa.int32()), pa.array(payloads, pa.binary())], schema=MESSAGE_SCHEMA)
 
 
 def answered(messages: DataFrame, grade: Callable[[np.ndarray], np.ndarray], nibbles: bool) -> DataFrame:
@@ -85,7 +130,7 @@ def answered(messages: DataFrame, grade: Callable[[np.ndarray], np.ndarray], nib
                 replies.append((own[0::2] | (own[1::2] << 4)).astype(np.uint8).tobytes())
             else:
                 replies.append(np.packbits(own).tobytes())
-        return pa.table([rows["block"], rows["part"], pa.array(replies, pa.binary())], schema=_MESSAGE_SCHEMA)
+        return pa.table([rows["block"], rows["part"], pa.array(replies, pa.binary())], schema=MESSAGE_SCHEMA)
 
     return messages.groupBy("part").applyInArrow(count, MESSAGES)
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from claimspark.llm.blocks import BLOCK_BYTES, MESSAGES, answered, ask, chunks, graded, in_blocks, mixed
+from claimspark.llm.blocks import BLOCK_BYTES, MESSAGES, NO_ID, answered, ask, chunks, graded, in_blocks, mixed, unpacked
 from claimspark.llm.common import partitions
 from claimspark.llm.components import connected_components
 from claimspark.session import materialise
@@ -78,10 +78,6 @@ def ngram_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return sets
 
 
-def _texts(rows: pa.Table) -> list[bytes]:
-    return [t.as_buffer().to_pybytes() for t in rows["text"].cast(pa.binary())]
-
-
 def _key(h: np.ndarray) -> bytes:
     """128-bit name of a set."""
     return int(mixed(h).sum(dtype=np.uint64)).to_bytes(8, "big") + int(mixed(h + _BASE).sum(dtype=np.uint64)).to_bytes(8, "big")
@@ -98,13 +94,14 @@ def ordered_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percen
     texts, _, bits = in_blocks(docs, id_col, text_col, block_bytes)
 
     def send(rows: pa.Table) -> pa.Table:
-        sets = ngram_sets(_texts(rows), width)
+        sets = ngram_sets(unpacked(rows)[1], width)
         return ask(rows["block"][0].as_py(), np.sort(np.concatenate(sets)), bits)
 
     def order(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(rows):
             return _SETS_SCHEMA.empty_table()
-        sets = ngram_sets(_texts(rows), width)
+        ids, parts = unpacked(rows)
+        sets = ngram_sets(parts, width)
         every = np.concatenate(sets)
         sort = np.argsort(every, kind="stable")
         answers = dict(zip(replies["part"].to_pylist(), replies["payload"].to_pylist()))
@@ -126,7 +123,7 @@ def ordered_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percen
             else:
                 for name in ("node", "first", "ordered"):
                     out[name].append(None)
-        columns = [rows["doc_id"].combine_chunks(), *(pa.array(out[f.name], f.type) for f in list(_SETS_SCHEMA)[1:])]
+        columns = [pa.array([None if i == NO_ID else i for i in ids], pa.int64()), *(pa.array(out[f.name], f.type) for f in list(_SETS_SCHEMA)[1:])]
         return pa.table(columns, schema=_SETS_SCHEMA)
 
     messages = texts.groupBy("block").applyInArrow(send, MESSAGES)

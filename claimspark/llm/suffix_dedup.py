@@ -8,8 +8,9 @@ the smallest in the string. Equal strings have their anchors at equal places, so
    its suffixes and sends them front-coded (length of the prefix shared with the one before, then the rest);
 3. the runs of all blocks are merged by a loser tree that keeps, for every run, the prefix it shares with the last
    winner and compares only behind it. Suffixes equal over their whole length: all but the first are covered;
-4. where an anchor is left with several different suffixes, their strings are sent one by one, as suffixes cut
-   at ``length`` bytes, and merged the same way.
+4. of the suffixes that came first, those whose anchor has several of them are of interest: their single strings are
+   asked for in the same way, and those that occur in several suffixes are sent one by one, as suffixes cut at
+   ``length`` bytes, and merged again.
 
 Suffixes are dealt by a hash of the whole suffix, so a frequent prefix or anchor does not gather in one task; a
 block reports its own repeats itself and sends each distinct suffix once. Documents equal to an earlier one
@@ -19,22 +20,25 @@ are found by their hash beforehand and send nothing.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from claimspark.llm.blocks import BLOCK_BYTES, MESSAGES, answered, ask, chunks, graded, in_blocks, mixed
+from claimspark.llm.blocks import (
+    BLOCK_BYTES, MESSAGE_SCHEMA, MESSAGES, NO_ID, answered, ask, block_of, chunks, graded, in_blocks, mixed, squeezed, unpacked, unsqueezed,
+)
 from claimspark.session import materialise
 
 LENGTH = 100
-GRAM_SHARE = 0.72  # bytes of the anchor's gram by bytes of the string
+GRAM_SHARE = 0.56  # bytes of the anchor's gram by bytes of the string
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _COPIES = -1  # part number of notes that name copies
+_STRINGS = 1 << 30  # added to the part numbers of replies on strings, to tell them from those on anchors
 
 
 def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
@@ -163,88 +167,140 @@ def merge_runs(runs: list[Iterable[tuple[bytes, int]]]) -> Iterator[tuple[bytes,
         shared = known[winner]
 
 
-# A run: suffixes front-coded, each with its anchor, its document (id and a rank among equal ids), place and number of
-# strings. A span: the strings first .. first + count - 1 of a document are covered. A first: the earliest of equal suffixes.
-_PLACES = "anchor binary, doc binary, rank binary, place binary, count binary"
-_RUNS = f"bucket long, block long, shared binary, lengths binary, rests binary, {_PLACES}"
-_RUNS_SCHEMA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("shared", "lengths", "rests", "anchor", "doc", "rank", "place", "count"))])
-_FOUND = "doc long, rank long, place long, count long, anchor long, suffix binary"
-_FOUND_SCHEMA = pa.schema([*((n, pa.int64()) for n in ("doc", "rank", "place", "count", "anchor")), ("suffix", pa.binary())])
-_FIELDS = ("anchor", "doc", "rank", "place", "count")
+# A run: suffixes front-coded, each with document (id and rank among equal ids), place and number of strings. Blocks
+# of found: covered spans (document, rank, first string, number), and the suffixes that came first with the same four.
+_RUNS = "bucket long, block long, shared binary, lengths binary, rests binary, places binary"
+_RUNS_SCHEMA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("shared", "lengths", "rests", "places"))])
+_FOUND = "block long, spans binary, places binary, lengths binary, suffixes binary"
+_FOUND_SCHEMA = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("spans", "places", "lengths", "suffixes"))])
+_CUT_SCHEMA = pa.schema([*((n, pa.int64()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")), ("kept", pa.binary()), ("spans", pa.list_(pa.int64()))])
+_CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>"
 
 
-def _bytes(values: list[int]) -> bytes:
-    return np.array(values, np.int64).tobytes()
+def _ints(rows: list[tuple]) -> bytes:
+    """Rows of four integers, column by column."""
+    return squeezed(np.array(rows, np.int64).reshape(-1, 4).T.tobytes())
 
 
-def _sorted_runs(suffixes: list[tuple], bits: int, tag: int) -> pa.Table:
-    """Runs by bucket of ``(suffix, doc, rank, place, count, anchor)``; repeats within go into a run without suffixes."""
+def _rows(data: bytes | None) -> list[tuple]:
+    return list(map(tuple, np.frombuffer(unsqueezed(data), np.int64).reshape(4, -1).T.tolist())) if data else []
+
+
+def _table(columns: dict[str, list], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(columns.get(f.name, []), f.type) for f in schema], schema=schema)
+
+
+def _sorted_runs(suffixes: list[tuple], bits: int, block: int) -> pa.Table:
+    """Runs by bucket of ``(suffix, doc, rank, place, count)``; repeats inside the block form a run without suffixes."""
     suffixes.sort()
     runs: dict[int, list[tuple]] = defaultdict(list)
-    repeats = []
-    before = None
+    repeats, before = [], None
     for s in suffixes:
         if s[0] == before:
-            repeats.append(s)
+            repeats.append(s[1:])
         else:
             before = s[0]
             runs[int.from_bytes(hashlib.blake2b(before, digest_size=8).digest(), "big") >> (64 - bits) if bits else 0].append(s)
-    columns = defaultdict(list)
-    for bucket, run in [*runs.items(), *([((1 << bits) + tag % (1 << bits), repeats)] if repeats else [])]:
-        shared, lengths, rests = front_code([s[0] for s in run]) if run is not repeats else (None, None, None)
-        doc, rank, place, count, anchor = ([s[i] for s in run] for i in range(1, 6))
-        for name, value in (("bucket", bucket), ("block", tag), ("shared", shared), ("lengths", lengths), ("rests", rests), ("anchor", _bytes(anchor)), ("doc", _bytes(doc)), ("rank", _bytes(rank)), ("place", _bytes(place)), ("count", _bytes(count))):
-            columns[name].append(value)
-    return pa.table([pa.array(columns[f.name], f.type) for f in _RUNS_SCHEMA], schema=_RUNS_SCHEMA)
+    out = defaultdict(list)
+    for bucket, run in runs.items():
+        shared, lengths, rests = front_code([s[0] for s in run])
+        for name, value in zip(_RUNS_SCHEMA.names, (bucket, block, squeezed(shared), squeezed(lengths), squeezed(rests), _ints([s[1:] for s in run]))):
+            out[name].append(value)
+    if repeats:
+        for name, value in zip(_RUNS_SCHEMA.names, ((1 << bits) + block % (1 << bits), block, None, None, None, _ints(repeats))):
+            out[name].append(value)
+    return _table(out, _RUNS_SCHEMA)
 
 
 def _merged(rows: pa.Table, keep_firsts: bool) -> pa.Table:
-    """Covered spans, and the first of each group of equal suffixes if asked for."""
-    out = {f.name: [] for f in _FOUND_SCHEMA}
+    """Covered spans by block, with the first of each group of equal suffixes if asked for."""
+    spans, firsts = defaultdict(list), defaultdict(list)
     runs, places = [], []
     for row in rows.to_pylist():
-        own = [np.frombuffer(row[n], np.int64) for n in _FIELDS]
+        own = _rows(row["places"])
         if row["shared"] is None:
-            for name, values in zip(_FIELDS, own):
-                out[name] += values.tolist()
-            out["suffix"] += [None] * len(own[0])
+            spans[row["block"]] += own
         else:
-            runs.append(decode_run(row["shared"], row["lengths"], row["rests"]))
-            places.append(zip(*(v.tolist() for v in own)))
+            runs.append(decode_run(*(unsqueezed(row[n]) for n in ("shared", "lengths", "rests"))))
+            places.append((row["block"], iter(own)))
 
     def close(group: list[tuple], suffix: bytes) -> None:
-        group.sort(key=lambda p: p[1:4])
-        for i, p in enumerate(group):
-            if i or keep_firsts:
-                for name, value in zip(_FIELDS, p):
-                    out[name].append(value)
-                out["suffix"].append(None if i else suffix)
+        group.sort()
+        if keep_firsts:
+            firsts[group[0][1]].append((suffix, group[0][0]))
+        for place, block in group[1:]:
+            spans[block].append(place)
 
     group, last = [], b""
     for suffix, shared, run in merge_runs(runs):
         if group and not (shared == len(suffix) == len(last)):
             close(group, last)
             group = []
-        group.append(next(places[run]))
+        block, own = places[run]
+        group.append((next(own), block))
         last = suffix
     if group:
         close(group, last)
-    return pa.table([pa.array(out[f.name], f.type) for f in _FOUND_SCHEMA], schema=_FOUND_SCHEMA)
+    out = defaultdict(list)
+    for block in spans.keys() | firsts.keys():
+        own = firsts.get(block, [])
+        for name, value in zip(_FOUND_SCHEMA.names, (
+            block, _ints(spans.get(block, [])), _ints([p for _, p in own]),
+            squeezed(np.array([len(s) for s, _ in own], np.int64).tobytes()), squeezed(b"".join(s for s, _ in own)),
+        )):
+            out[name].append(value)
+    return _table(out, _FOUND_SCHEMA)
+
+
+def _firsts(rows: pa.Table, gram: int, length: int) -> tuple[bytes, list[tuple], np.ndarray, np.ndarray]:
+    """The suffixes of a block that came first: bytes, places, starts, and the hashes of their anchors."""
+    data, lengths, places = [], [], []
+    for row in rows.to_pylist():
+        data.append(unsqueezed(row["suffixes"]))
+        lengths += np.frombuffer(unsqueezed(row["lengths"]), np.int64).tolist()
+        places += _rows(row["places"])
+    data = b"".join(data)
+    if not places:
+        return data, places, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    hashes = gram_hashes(np.frombuffer(data, np.uint8), gram)
+    ranked = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    place = _sliding_min(ranked, length - gram + 1)[starts] & np.uint64(0xFFFFFFFF)
+    return data, places, starts, hashes[place.astype(np.int64)]
+
+
+def _marked(hashes: np.ndarray, bits: int, replies: dict[int, bytes]) -> np.ndarray:
+    """Which of the hashes, in any order, occur several times."""
+    sort = np.argsort(hashes, kind="stable")
+    out = np.empty(len(hashes), bool)
+    out[sort] = graded(hashes[sort], bits, replies, False) > 0
+    return out
 
 
-_NO_ID = 2**63 - 1  # NULL ids come last
+def _strings(data: bytes, places: list[tuple], starts: np.ndarray, wanted: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The strings of the wanted suffixes: number of the suffix, start, number within it, hash."""
+    counts = np.array([p[3] for p in places], np.int64)[wanted] if len(wanted) else np.zeros(0, np.int64)
+    owner = np.repeat(wanted, counts)
+    step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = starts[owner] + step
+    hashes = gram_hashes(np.frombuffer(data, np.uint8), length)[at] if len(at) else np.zeros(0, np.uint64)
+    return owner, at, step, hashes
 
 
 def _block_rows(rows: pa.Table) -> list[tuple[int, int, bytes]]:
-    """Order key (id, rank among equal ids) and bytes of each row of a block."""
-    out = []
-    for doc, text in zip(rows["doc_id"].to_pylist(), rows["text"].cast(pa.binary()).to_pylist()):
-        rank = int.from_bytes(hashlib.md5(text).digest()[:8], "big", signed=True)
-        out.append((_NO_ID if doc is None else doc, rank, text))
-    return out
+    """Id, rank among rows of the id with other texts, and bytes of each document of a block."""
+    ids, texts = unpacked(rows)
+    several = {i for i, n in Counter(ids).items() if n > 1}
+    same = defaultdict(set)
+    for i, t in zip(ids, texts):
+        if i in several:
+            same[i].add(hashlib.md5(t).digest())
+    ranks = {i: {h: n for n, h in enumerate(sorted(hashes))} for i, hashes in same.items()}
+    return [(i, ranks[i][hashlib.md5(t).digest()] if i in several else 0, t) for i, t in zip(ids, texts)]
 
 
-_KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>"
+def _copy_name(doc: int, text: bytes) -> bytes:
+    return f"{doc}:{hashlib.md5(text).hexdigest()}".encode()
 
 
 def suffix_dedup(
@@ -256,81 +312,80 @@ def suffix_dedup(
     same text. Strings are judged on the input; overlaps count; matches never cross documents. NULL text counts as
     empty; NULL ids come last. Different texts under one id are ordered by a hash of the text; rows that repeat
     id and text are one document and have equal results. Other columns are ignored; an empty table gives an
-    empty result.
+    empty result. All exchanges belong to one plan, so the packed texts move once and are read three times.
     """
     gram = max(1, int(length * GRAM_SHARE))
     texts, n_blocks, bits = in_blocks(docs, id_col, text_col, block_bytes)
 
     def send(rows: pa.Table) -> pa.Table:
-        found = [h for _, h, _, _ in anchors(rows["text"].cast(pa.binary()).to_pylist(), length, gram)]
+        found = [h for _, h, _, _ in anchors(unpacked(rows)[1], length, gram)]
         return ask(rows["block"][0].as_py(), np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64), bits)
 
     def suffixes(rows: pa.Table, notes: pa.Table) -> pa.Table:
-        replies = {p: v for p, v in zip(notes["part"].to_pylist(), notes["payload"].to_pylist()) if p != _COPIES}
-        copies = {v for p, v in zip(notes["part"].to_pylist(), notes["payload"].to_pylist()) if p == _COPIES}
         if not len(rows):
             return _RUNS_SCHEMA.empty_table()
+        noted = list(zip(notes["part"].to_pylist(), notes["payload"].to_pylist()))
+        replies, copies = {p: v for p, v in noted if p != _COPIES}, {v for p, v in noted if p == _COPIES}
         own = _block_rows(rows)
         found = list(anchors([t for _, _, t in own], length, gram))
         out, seen = [], set()
-        if found:
-            every = np.concatenate([h for _, h, _, _ in found])
-            sort = np.argsort(every, kind="stable")
-            repeated = np.empty(len(every), bool)
-            repeated[sort] = graded(every[sort], bits, replies, False) > 0
-            at = 0
-            for i, h, starts, ends in found:
-                doc, rank, text = own[i]
-                wanted = np.flatnonzero(repeated[at : at + len(h)])
-                at += len(h)
-                if (doc, rank) in seen or f"{doc}:{hashlib.md5(text).hexdigest()}".encode() in copies:
-                    continue
-                seen.add((doc, rank))
-                signed = h.view(np.int64)
-                for k in wanted.tolist():
-                    a, b = int(starts[k]), int(ends[k])
-                    out.append((text[a : b + length], doc, rank, a, b - a + 1, int(signed[k])))
+        every = np.concatenate([h for _, h, _, _ in found]) if found else np.zeros(0, np.uint64)
+        sort = np.argsort(every, kind="stable")
+        repeated = np.empty(len(every), bool)
+        repeated[sort] = graded(every[sort], bits, replies, False) > 0
+        at = 0
+        for i, h, starts, ends in found:
+            doc, rank, text = own[i]
+            wanted = np.flatnonzero(repeated[at : at + len(h)])
+            at += len(h)
+            if (doc, rank) in seen or (copies and _copy_name(doc, text) in copies):
+                continue
+            seen.add((doc, rank))
+            out += [(text[a : b + length], doc, rank, a, b - a + 1) for a, b in zip(starts[wanted].tolist(), ends[wanted].tolist())]
         return _sorted_runs(out, bits, rows["block"][0].as_py())
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, batch in enumerate(batches):
-            out = []
-            for r in batch.to_pylist():
-                out += [(r["suffix"][k : k + length], r["doc"], r["rank"], r["place"] + k, 1, r["anchor"]) for k in range(r["count"])]
-            yield from _sorted_runs(out, bits, n).to_batches()
+    def send_anchors(rows: pa.Table) -> pa.Table:
+        return ask(rows["block"][0].as_py(), np.sort(_firsts(rows, gram, length)[3]), bits)
 
-    # Copies of earlier documents, by hash: all of their bytes go.
-    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
-    firsts = hashed.groupBy("hash").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("first_id"), F.count("*").alias("rows")).filter("rows > 1")
-    copies = hashed.join(firsts, "hash").filter(F.coalesce("doc_id", F.lit(_NO_ID)) > F.col("first_id")).select(
-        F.xxhash64("doc_id").alias("block"), F.lit(_COPIES).alias("part"),
-        F.encode(F.concat(F.coalesce("doc_id", F.lit(_NO_ID)).cast("string"), F.lit(":"), "hash"), "utf-8").alias("payload"),
-    ).distinct()
-    copies = materialise(copies.withColumn("block", F.pmod("block", F.lit(n_blocks))), "suffix-copies")
-    replies = answered(texts.groupBy("block").applyInArrow(send, MESSAGES), lambda counts: counts > 1, False)
-    notes = replies.unionByName(copies)
-    runs = texts.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(suffixes, _RUNS)
-    found = materialise(runs.groupBy("bucket").applyInArrow(lambda rows: _merged(rows, True), _FOUND), "suffix-found")
-    first = found.filter("suffix is not null")
-    several = first.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
-    edges = first.join(several, "anchor").select("doc", "rank", "place", "count", "anchor", "suffix")
-    pieces = edges.mapInArrow(strings, _RUNS).groupBy("bucket").applyInArrow(lambda rows: _merged(rows, False), _FOUND)
-    spans = found.filter("suffix is null").unionByName(pieces).select(
-        F.pmod(F.xxhash64(F.when(F.col("doc") != _NO_ID, F.col("doc"))), F.lit(n_blocks)).alias("block"), "doc", "rank", "place", "count"
-    )
-    marks = spans.select("block", F.lit(0).alias("part"), F.struct("doc", "rank", "place", "count").alias("span"), F.lit(None).cast("binary").alias("copy"))
-    marks = marks.unionByName(copies.select("block", F.lit(_COPIES).alias("part"), F.lit(None).cast(marks.schema["span"].dataType).alias("span"), F.col("payload").alias("copy")))
+    def wanted_strings(rows: pa.Table, replies: dict[int, bytes]) -> tuple:
+        data, places, starts, hashes = _firsts(rows, gram, length)
+        wanted = np.flatnonzero(_marked(hashes, bits, replies))
+        return data, places, *_strings(data, places, starts, wanted, length)
+
+    def send_strings(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        if not len(rows):
+            return MESSAGE_SCHEMA.empty_table()
+        answers = dict(zip(replies["part"].to_pylist(), replies["payload"].to_pylist()))
+        return ask(rows["block"][0].as_py(), np.sort(wanted_strings(rows, answers)[5]), bits)
+
+    def strings(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        if not len(rows):
+            return _RUNS_SCHEMA.empty_table()
+        answers = list(zip(replies["part"].to_pylist(), replies["payload"].to_pylist()))
+        data, places, owner, at, step, hashes = wanted_strings(rows, {p: v for p, v in answers if p < _STRINGS})
+        repeated = _marked(hashes, bits, {p - _STRINGS: v for p, v in answers if p >= _STRINGS})
+        out = []
+        for i, a, k in zip(owner[repeated].tolist(), at[repeated].tolist(), step[repeated].tolist()):
+            doc, rank, place, _ = places[i]
+            out.append((data[a : a + length], doc, rank, place + k, 1))
+        return _sorted_runs(out, bits, rows["block"][0].as_py())
+
+    def together(found: pa.Table, more: pa.Table) -> pa.Table:
+        block = (found if len(found) else more)["block"][0].as_py()
+        rows = [r for t in (found, more) if len(t) for data in t["spans"].to_pylist() for r in _rows(data)]
+        return _table({"block": [block], "part": [0], "payload": [_ints(rows)]}, MESSAGE_SCHEMA)
 
     def cut(rows: pa.Table, marks: pa.Table) -> pa.Table:
-        out = defaultdict(list)
-        gone = {c for c in marks["copy"].to_pylist() if c is not None} if len(marks) else set()
-        by_doc: dict[tuple, list] = defaultdict(list)
-        for span in marks["span"].to_pylist() if len(marks) else []:
-            if span is not None:
-                by_doc[span["doc"], span["rank"]].append((span["place"], span["place"] + span["count"] - 1 + length))
-        for (doc, rank, text), doc_id in zip(_block_rows(rows), rows["doc_id"].to_pylist()):
-            removed = []
-            if len(text) >= length and f"{doc}:{hashlib.md5(text).hexdigest()}".encode() in gone:
+        out, gone, by_doc = defaultdict(list), set(), defaultdict(list)
+        for part, payload in zip(marks["part"].to_pylist(), marks["payload"].to_pylist()) if len(marks) else ():
+            if part == _COPIES:
+                gone.add(payload)
+            else:
+                for doc, rank, place, count in _rows(payload):
+                    by_doc[doc, rank].append((place, place + count - 1 + length))
+        for doc, rank, text in _block_rows(rows) if len(rows) else ():
+            removed: list[list[int]] = []
+            if len(text) >= length and gone and _copy_name(doc, text) in gone:
                 removed = [[0, len(text)]]
             else:
                 for a, b in sorted(by_doc.get((doc, rank), ())):
@@ -338,15 +393,30 @@ def suffix_dedup(
                         removed[-1][1] = max(removed[-1][1], b)
                     else:
                         removed.append([a, b])
-            kept, at = [], 0
-            for a, b in removed:
-                kept.append(text[at:a])
-                at = b
-            kept.append(text[at:])
-            rest = b"".join(kept)
-            for name, value in (("doc_id", doc_id), ("n_bytes", len(text)), ("n_removed", len(text) - len(rest)), ("n_spans", len(removed)), ("kept", rest), ("spans", [x for r in removed for x in r])):
+            ends = [0, *(x for r in removed for x in r), len(text)]
+            rest = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))
+            for name, value in zip(_CUT_SCHEMA.names, (None if doc == NO_ID else doc, len(text), len(text) - len(rest), len(removed), rest, ends[1:-1])):
                 out[name].append(value)
-        schema = pa.schema([*((n, pa.int64()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")), ("kept", pa.binary()), ("spans", pa.list_(pa.int64()))])
-        return pa.table([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+        return _table(out, _CUT_SCHEMA)
 
-    return texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(cut, _KEPT)
+    # Copies of earlier documents, by hash: all of their bytes go.
+    known = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), known.alias("known_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    hashed = materialise(hashed, "suffix-hashes")
+    first = hashed.groupBy("hash").agg(F.min("known_id").alias("first_id"), F.count("*").alias("rows")).filter("rows > 1")
+    copies = hashed.join(first, "hash").filter("known_id > first_id").select(
+        block_of(F.col("doc_id"), n_blocks).alias("block"), F.lit(_COPIES).alias("part"),
+        F.encode(F.concat(F.col("known_id").cast("string"), F.lit(":"), "hash"), "utf-8").alias("payload"),
+    )
+    copies = materialise(copies.distinct(), "suffix-copies")
+    replies = answered(texts.groupBy("block").applyInArrow(send, MESSAGES), lambda counts: counts > 1, False)
+    runs = texts.groupBy("block").cogroup(replies.unionByName(copies).groupBy("block")).applyInArrow(suffixes, _RUNS)
+    found = runs.groupBy("bucket").applyInArrow(lambda rows: _merged(rows, True), _FOUND)
+    kinds = answered(found.groupBy("block").applyInArrow(send_anchors, MESSAGES), lambda counts: counts > 1, False)
+    asked = found.groupBy("block").cogroup(kinds.groupBy("block")).applyInArrow(send_strings, MESSAGES)
+    answers = answered(asked, lambda counts: counts > 1, False).withColumn("part", F.col("part") + F.lit(_STRINGS))
+    answers = answers.unionByName(kinds)
+    pieces = found.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(strings, _RUNS)
+    more = pieces.groupBy("bucket").applyInArrow(lambda rows: _merged(rows, False), _FOUND)
+    marks = found.groupBy("block").cogroup(more.groupBy("block")).applyInArrow(together, MESSAGES).unionByName(copies)
+    return texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(cut, _CUT)
