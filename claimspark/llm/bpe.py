@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 # Fixed value: how byte-level vocabularies of this kind cut a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 150_000  # encodings of words kept by a task between batches
-KEPT_PAIRS = 400_000
+KEPT_WORDS = 250_000  # encodings of words kept by a task between batches
+KEPT_PAIRS = 250_000
 SLICE_CHARS = 1 << 21  # text encoded in one step
 _NEVER = 1 << 40
 
@@ -64,7 +64,7 @@ class TrieEncoder:
                 for b in reversed(self.token_bytes[token]):
                     node = node.setdefault(b, {})
                 node[-1] = token
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # both tokens in one number
         self.words: dict[str, bytes] = {}
         self._split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self._word = regex.compile(WORD_PATTERN)
@@ -102,16 +102,15 @@ class TrieEncoder:
         return True
 
     def _neighbours(self, left: int, right: int) -> bool:
-        key = left, right
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._border(left, right)
+        """Whether ``right`` can stand behind ``left``, from now on known."""
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left << 32 | right] = self._border(left, right)
         return known
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Each distinct word with its ids as 32-bit integers."""
+        suffixes, pairs = self.suffixes, self.pairs
         path, states = b"", [-1]  # states[i]: last token of the first i bytes of the path
         for raw, word in sorted((w.encode(), w) for w in words):
             n = min(len(raw), len(path))
@@ -121,13 +120,21 @@ class TrieEncoder:
                 shared = n - ((int.from_bytes(raw[:n], "big") ^ int.from_bytes(path[:n], "big")).bit_length() + 7) // 8
             del states[shared + 1 :]
             for end in range(shared + 1, len(raw) + 1):
-                node, at, state = self.suffixes, end, None
-                while at and (node := node.get(raw[at - 1])) is not None:
+                node, at, state = suffixes, end, None
+                while at:
                     at -= 1
-                    token = node.get(-1)
-                    if token is not None and (not at or self._neighbours(states[at], token)):
-                        state = token
+                    node = node.get(raw[at])
+                    if node is None:
                         break
+                    token = node.get(-1)
+                    if token is not None:
+                        if at:
+                            fits = pairs.get(states[at] << 32 | token)
+                            if fits is None:
+                                fits = self._neighbours(states[at], token)
+                        if not at or fits:
+                            state = token
+                            break
                 if state is None:
                     raise ValueError(f"The vocabulary cannot spell {raw[:end]!r}.")
                 states.append(state)
