@@ -2,8 +2,10 @@
 
 Every tree gives a vector a long hash string: one symbol after another, each the axis (with its sign) that is nearest
 to the vector after a random rotation. A tree is the sorted array of its strings; the vectors under a prefix are a range
-of it. A query starts at its whole string in every tree and ascends in all trees at once, one symbol at a time, until
-the ranges of its prefixes hold enough candidates; if the first symbol is not enough it meets all vectors.
+of it. Vectors are dealt into bands of about equal norm, as long ones would push the strings of all others together.
+A query starts at its whole string in every tree and ascends in all trees at once, one symbol at a time and in each
+band for itself, until the ranges of its prefixes hold enough candidates of the band; if the first symbol is not
+enough it meets all vectors of the band.
 Range lengths come from counting the prefixes that queries have. Prefixes are dealt to tasks in blocks of rows by
 blocks of queries, so that one with very many vectors is shared among tasks; there every candidate is scored
 on the original vectors.
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimspark.session import materialise
 
@@ -23,9 +25,11 @@ TREES = 56
 SYMBOLS = 4
 MIN_CANDIDATES = 3000  # over all trees, repeats counted
 CANDIDATE_SHARE = 1 / 16  # of all vectors; keeps the recall where it was measured as the table grows
+BAND_RATIO = 1.1  # between the longest and the shortest norm of a band
+BAND_CANDIDATES = 1000  # of each band at least; the nearest may all be in a small band of long vectors
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 2048
-_ROOT = 0  # name of the empty prefix
+_ROOT = 0  # name of the empty prefix, before the band is added
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -37,19 +41,19 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.size("v") == (usual["n"] if usual else 0))
 
 
-def hash_strings(vectors: np.ndarray, longest: float, queries: bool, trees: int, symbols: int, seed: int) -> np.ndarray:
+def hash_strings(vectors: np.ndarray, longest: float | np.ndarray, queries: bool, trees: int, symbols: int, seed: int) -> np.ndarray:
     """Bytes by vector, tree and symbol.
 
-    Rows get one more component that brings them all to the norm ``longest``, queries none: then the largest inner
-    product is the smallest angle.
+    Rows get one more component that brings them to the norm ``longest`` of their band, queries none: then the
+    largest inner product is the smallest angle among rows of the same band.
     """
-    norms = np.linalg.norm(vectors, axis=1)
+    largest = np.abs(vectors).max(axis=1)
+    norms = largest * np.linalg.norm(vectors / largest[:, None], axis=1)
     if queries:
         points = np.c_[vectors / norms[:, None], np.zeros(len(vectors))]
     else:
-        points = np.c_[vectors / longest, np.sqrt(np.maximum(0.0, 1 - (norms / longest) ** 2))]
-    if np.allclose(points[:, -1], 0, atol=1e-3):
-        points[:, -1] = 0
+        points = np.c_[vectors / np.reshape(longest, (-1, 1)), np.sqrt(np.maximum(0.0, 1 - (norms / longest) ** 2))]
+    points[points[:, -1] <= 1e-3, -1] = 0  # rounding
     draw = np.random.default_rng(seed)
     size = points.shape[1]
     out = np.empty((len(points), trees, symbols), np.uint16)
@@ -61,19 +65,30 @@ def hash_strings(vectors: np.ndarray, longest: float, queries: bool, trees: int,
     return out
 
 
-def _strings(rows: DataFrame, longest: float, queries: bool, trees: int, symbols: int, seed: int) -> DataFrame:
-    """``rows`` with ``codes``: the hash string of each tree as hexadecimal, four digits a symbol."""
+def log_norm(vector: str) -> Column:
+    """Natural logarithm of the norm of a vector that is not zero."""
+    largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + F.pow(x.cast("double") / largest, F.lit(2.0)))
+    return F.log(largest) + F.log(squares) / 2
+
+
+def _strings(rows: DataFrame, longest: dict[int, float] | None, trees: int, symbols: int, seed: int) -> DataFrame:
+    """``rows`` with ``codes``: the hash string of each tree as hexadecimal, four digits a symbol.
+
+    ``longest`` has the longest norm of each band; without it ``rows`` are queries, whose band is not used.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             v = np.array(batch.column(1).flatten(), np.float64).reshape(len(batch), -1)
-            codes = hash_strings(v, longest, queries, trees, symbols, seed).astype(">u2")
+            norms = 1.0 if longest is None else np.array([longest[b] for b in batch.column(2).to_pylist()])
+            codes = hash_strings(v, norms, longest is None, trees, symbols, seed).astype(">u2")
             texts = [[c.tobytes().hex() for c in row] for row in codes]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.list_(pa.string()))], ["id", "v", "codes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.list_(pa.string()))], ["id", "v", "band", "codes"])
 
-    return rows.select("id", "v").mapInArrow(run, rows.select("id", "v").withColumn("codes", F.array().cast("array<string>")).schema)
+    return rows.select("id", "v", "band").mapInArrow(run, rows.select("id", "v", "band").withColumn("codes", F.array().cast("array<string>")).schema)
 
 
 def _nearest(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int):
@@ -97,7 +112,7 @@ def _nearest(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES,
     symbols: int = SYMBOLS, min_candidates: int = MIN_CANDIDATES, share: float = CANDIDATE_SHARE, seed: int = 1,
-    block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES,
+    block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, band_candidates: int = BAND_CANDIDATES,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: up to ``k`` nearest of each query by inner product, ties to the smaller id.
 
@@ -106,36 +121,43 @@ def nearest(
     repeat an id the best counts. Scores are sums of double products of the original vectors. Other columns are
     ignored; an empty table gives an empty result. All rows are indexed; nothing is fitted to a sample.
     """
-    rows = materialise(usable(vectors, id_col, vector_col), "ann-rows")
-    asked = usable(queries, id_col, vector_col)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
-    count, longest = rows.agg(F.count("*"), F.max(norm)).first()
-    longest = float(longest or 1.0)
+    band = F.floor(log_norm("v") / F.log(F.lit(BAND_RATIO)) + 0.5).cast("int")  # equal norms of 1 are inside a band, not at its border
+    rows = materialise(usable(vectors, id_col, vector_col).withColumn("band", band), "ann-rows")
+    asked = usable(queries, id_col, vector_col).withColumn("band", F.lit(0))
+    bands = rows.groupBy("band").agg(F.count("*").alias("rows"), F.exp(F.max(log_norm("v"))).alias("longest")).collect()  # few: norms by powers
+    count = sum(b["rows"] for b in bands)
     enough = max(min_candidates, int(share * count))
+    # A band's part of the candidates; a small band gives more than its part.
+    needs = [(b["band"], max(min(band_candidates, enough), -(-enough * b["rows"] // count))) for b in bands]
     row = F.monotonically_increasing_id().alias("row")  # numbered once: the tables are written before they are used
-    rows = materialise(_strings(rows, longest, False, trees, symbols, seed).select("*", row), "ann-index")
-    asked = materialise(_strings(asked, longest, True, trees, symbols, seed).select("*", row), "ann-queries")
+    rows = materialise(_strings(rows, {b["band"]: b["longest"] for b in bands}, trees, symbols, seed).select("*", row), "ann-index")
+    asked = materialise(_strings(asked, None, trees, symbols, seed).select("*", row).drop("band"), "ann-queries")
 
-    def prefixes(df: DataFrame, depths: list[int]) -> DataFrame:
+    def prefixes(df: DataFrame, depths: list[int], *own: str) -> DataFrame:
         """One row per tree and depth. A prefix is named by its hash: two in one only add candidates."""
-        out = df.select("row", F.posexplode("codes").alias("tree", "code")).withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
-        return out.select("row", F.xxhash64("tree", F.substring("code", F.lit(1), F.col("depth") * 4)).alias("prefix"), "depth")
+        out = df.select("row", *own, F.posexplode("codes").alias("tree", "code")).withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
+        return out.select("row", *own, F.xxhash64("tree", F.substring("code", F.lit(1), F.col("depth") * 4)).alias("prefix"), "depth")
 
+    in_band = F.xxhash64("prefix", "band").alias("prefix")
     every = list(range(1, symbols + 1))
     wanted = prefixes(asked, every)
-    lengths = prefixes(rows, every).groupBy("prefix").agg(F.count("*").alias("rows"))
-    ranges = wanted.join(lengths, "prefix").groupBy("row", "depth").agg(F.sum("rows").alias("rows"))
-    stops = ranges.filter(F.col("rows") >= enough).groupBy("row").agg(F.max("depth").alias("stop"))
-    stops = asked.select("row").join(stops, "row", "left").select("row", F.coalesce("stop", F.lit(0)).alias("stop"))
+    lengths = prefixes(rows, every, "band").groupBy("prefix", "band").agg(F.count("*").alias("rows"))
+    ranges = wanted.join(lengths, "prefix").groupBy("row", "band", "depth").agg(F.sum("rows").alias("rows"))
+    needed = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(n).cast("long").alias("enough")) for b, n in needs]).cast("array<struct<band:int,enough:long>>"))
+    needed = asked.select("row", needed.alias("need")).select("row", "need.band", "need.enough")
+    stops = ranges.join(needed, ["row", "band"], "right").groupBy("row", "band").agg(
+        F.coalesce(F.max(F.when(F.col("rows") >= F.col("enough"), F.col("depth"))), F.lit(0)).alias("stop")
+    )
     # The prefixes at which queries stop; depth 0 is the root, in one tree only as it holds every vector.
     root = asked.select("row", F.lit(_ROOT).cast("long").alias("prefix"), F.lit(0).alias("depth"))
-    visits = wanted.unionByName(root).distinct().join(stops, "row").filter("depth = stop").select("row", "prefix", "stop")
+    visits = wanted.unionByName(root).distinct().join(stops, "row").filter("depth = stop").select("row", in_band, "stop")
     visits = materialise(visits, "ann-visits")
     used = visits.groupBy("prefix").agg(F.count("*").alias("queries"))
     depths = sorted(r["stop"] for r in visits.select("stop").distinct().collect())  # at most one per symbol, and the root
-    places = rows.select("row", F.lit(_ROOT).cast("long").alias("prefix")).filter(F.lit(0 in depths))
+    places = rows.select("row", "band", F.lit(_ROOT).cast("long").alias("prefix")).filter(F.lit(0 in depths))
     if any(depths):
-        places = places.unionByName(prefixes(rows, [d for d in depths if d]).select("row", "prefix"))
+        places = places.unionByName(prefixes(rows, [d for d in depths if d], "band").drop("depth"))
+    places = places.select("row", in_band)
     places = places.join(used.select("prefix"), "prefix", "left_semi")
     sizes = places.groupBy("prefix").agg(F.count("*").alias("rows")).join(used, "prefix").select(
         "prefix", F.ceil(F.col("rows") / block_rows).cast("int").alias("row_blocks"), F.ceil(F.col("queries") / block_queries).cast("int").alias("query_blocks")

@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pytest
 
 from claimspark.llm import ann
 
@@ -42,3 +44,23 @@ def test_few_and_unusable_vectors(spark):
     got = [tuple(r) for r in ann.nearest(table, table.filter("vec_id % 20 = 0"), k=3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 1, 2.0), (20, 2, 2, 2.0), (20, 3, 0, 0.0)]
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("norms", ["one outlier", "lognormal", "uniform"])
+def test_recall_on_unequal_norms(spark, norms):
+    """Production parameters against brute force; one scale for all vectors gave 0.92, 0.90 and 0.93."""
+    draw = np.random.default_rng(5)
+    v = draw.normal(size=(20_000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    if norms == "one outlier":
+        v[7] *= 3
+    else:
+        v *= (np.exp(draw.normal(size=(len(v), 1)) * 0.25) if norms == "lognormal" else draw.uniform(0.5, 1.5, size=(len(v), 1)))
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(v)), "embedding": list(v)}))
+    asked = range(0, len(v), 200)
+    got = {}
+    for r in ann.nearest(table, table.filter("vec_id % 200 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = [len(got[i] & {j for j, _ in want}) / 20 for i, want in truth(v, asked, 20).items()]
+    print(norms, "recall", np.mean(recall), "worst", min(recall))
+    assert np.mean(recall) >= 0.95
