@@ -1,9 +1,10 @@
 """Mix sources to target weights.
 
-The words of each source form one stream, packed into blocks of a fixed number of words. The mix consists of
-output shards with a fixed number of slots, one block each. A shard's slots are shared among the sources by
-a residual multinomial draw: the whole part of each expected count is fixed, the rest of the slots is drawn
-with the fractional parts as weights. The k-th slot of a source takes block ``permutation(k mod blocks)`` of
+The words of each source form one stream, packed into blocks of a fixed number of words; a source of few words has
+smaller blocks. A source has as many slots in the mix as blocks of its mean length make up its target, rounded up or
+down by a draw. The mix consists of output shards with a fixed number of slots, one block each. The whole part of
+each expected count of a source in a shard is fixed; the slots that sources have left are dealt to the places that
+shards have left by a pseudorandom permutation, so that both get exactly their number. The k-th slot of a source takes block ``permutation(k mod blocks)`` of
 its pass ``k div blocks``; every pass has its own pseudorandom permutation, so a block is taken at most once
 a pass and at most ``max_repeats`` times in all. All draws are hashes of seed, shard and source: reruns agree.
 """
@@ -16,6 +17,7 @@ from claimspark.llm.common import WORDS, partitions
 from claimspark.session import materialise
 
 BLOCK_WORDS = 128
+LEAST_BLOCKS = 16  # of a source, as far as its words reach; its blocks become smaller for it
 SHARD_SLOTS = 4096
 CHUNK_ROWS = 512  # mean rows of all sources in a piece of the stream that is numbered by one task
 ROUNDS = 16
@@ -45,6 +47,11 @@ def _row_key(doc_id: Column, key: Column, content: Column) -> Column:
     return F.concat_ws(":", F.hex(content), F.coalesce(doc_id.cast("string"), F.lit("none")), key)
 
 
+def _block_size(block_words: int) -> Column:
+    """Words in a block of the source with ``source_size`` words."""
+    return F.greatest(F.lit(1), F.least(F.lit(block_words), F.ceil(F.col("source_size") / LEAST_BLOCKS))).cast("long")
+
+
 def source_targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
     """``key, source_size, target`` of each source; ``sizes`` has ``key, source, size``.
 
@@ -73,36 +80,37 @@ def source_targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
 
 def mix_slots(targets: DataFrame, seed: int, block_words: int, shard_slots: int, max_repeats: int) -> DataFrame:
     """The mix as ``shard, key, k, block``: which block of which source fills each slot."""
-    slots = F.ceil(F.col("total") / block_words)
-    shards = F.ceil(slots / shard_slots).cast("int")
-    pairs = targets.filter("total > 0").withColumn("slots", slots).withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
+    everything, by_key = Window.partitionBy(), Window.orderBy("key")
+    n_blocks = F.ceil(F.col("source_size") / _block_size(block_words))
+    sources = targets.filter("source_size > 0").select("key", n_blocks.alias("n_blocks"), (F.col("target") * n_blocks / F.col("source_size")).alias("expected"))
+    # Both ends of a source's part are moved by the same draw and rounded down: its count is one of the two next to what is expected.
+    sources = sources.withColumn("upto", F.sum("expected").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + _uniform(F.lit(seed), F.lit("round")))
+    before = F.lag(F.floor("upto"), 1, 0).over(by_key)
+    sources = sources.withColumn("all", F.least(F.floor("upto") - before, F.col("n_blocks") * max_repeats))
+    sources = sources.withColumn("slots", F.sum("all").over(everything)).filter("`all` > 0")
+    pairs = sources.withColumn("shard", F.explode(F.sequence(F.lit(0), F.ceil(F.col("slots") / shard_slots).cast("int") - 1)))
     pairs = pairs.withColumn("in_shard", F.least(F.lit(shard_slots), F.col("slots") - F.col("shard").cast("long") * shard_slots))
-    expected = F.col("in_shard") * F.col("target") / F.col("total")
-    pairs = pairs.withColumns({"whole": F.floor(expected), "rest": expected - F.floor(expected)})
-    of_shard = Window.partitionBy("shard").orderBy("key")
-    pairs = pairs.withColumns({
-        "open": F.col("in_shard") - F.sum("whole").over(Window.partitionBy("shard")),
-        "upto": F.sum("rest").over(of_shard.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "all_rest": F.sum("rest").over(Window.partitionBy("shard")),
-        "is_last": F.lead("key").over(of_shard).isNull(),
-    })
-    low = F.col("upto") - F.col("rest")
-    draws = F.transform(
-        F.when(F.col("open") > 0, F.sequence(F.lit(1).cast("long"), F.col("open"))).otherwise(F.array().cast("array<bigint>")),
-        lambda n: _uniform(F.lit(seed), F.col("shard"), n) * F.col("all_rest"),
-    )
-    drawn = F.size(F.filter(draws, lambda u: (u >= low) & ((u < F.col("upto")) | F.col("is_last"))))
-    pairs = pairs.withColumn("count", F.col("whole") + drawn)
+    pairs = pairs.withColumn("whole", F.expr("`all` * in_shard div slots"))
+    pairs = materialise(pairs.select("shard", "key", "n_blocks", "all", "in_shard", "whole"), "mix-pairs")
+
+    def left(most: str, by: str) -> DataFrame:
+        """``by, place``: one row for each slot that a source, or place that a shard, has left, numbered from 0."""
+        parts = pairs.groupBy(by).agg((F.first(most) - F.sum("whole")).alias("n"))
+        parts = parts.withColumns({
+            "end": F.sum("n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)), "n_left": F.sum("n").over(everything),
+        }).filter("n > 0")
+        return parts.select(by, "n_left", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("place"))
+
+    own = left("all", "key").select("key", permuted(F.col("place"), F.col("n_left"), F.lit(seed), F.lit("left")).alias("place"))
+    dealt = own.hint("merge").join(left("in_shard", "shard"), "place").groupBy("shard", "key").agg(F.count("*").alias("more"))
+    pairs = pairs.join(dealt.hint("merge"), ["shard", "key"], "left").withColumn("count", F.col("whole") + F.coalesce("more", F.lit(0).cast("long")))
     along = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pairs = pairs.withColumn("end", F.sum("count").over(along))
-    n_blocks = F.ceil(F.col("source_size") / block_words)
     # The few counts are dealt out before they become many slots; a fixed number of tasks is not merged by their size.
     pairs = pairs.filter("count > 0").repartition(partitions(targets.sparkSession), "shard", "key")
     picked = pairs.select(
-        "shard", "key", n_blocks.alias("n_blocks"), F.explode(F.sequence(F.col("end") - F.col("count"), F.col("end") - 1)).alias("k")
+        "shard", "key", "n_blocks", F.explode(F.sequence(F.col("end") - F.col("count"), F.col("end") - 1)).alias("k")
     )
-    # A source at its limit may be drawn a few times beyond it; those slots stay empty.
-    picked = picked.filter(F.col("k") < F.col("n_blocks") * max_repeats)
     turn = F.floor(F.col("k") / F.col("n_blocks"))
     block = permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("key"), turn)
     return picked.select("shard", "key", "k", block.alias("block"))
@@ -136,11 +144,12 @@ def _taken_parts(rows: DataFrame, slots: DataFrame, block_words: int) -> DataFra
     """``rows`` once per block they reach into, with the words there and how often the mix takes the block."""
     # The planner cannot know how many slots the few shares become: without the hint it would broadcast them.
     taken = slots.groupBy("key", "block").agg(F.count("*").alias("times")).hint("merge")
-    first = F.floor(F.col("offset") / block_words)
-    last = F.floor((F.col("offset") + F.col("size") - 1) / block_words)
+    block_size = _block_size(block_words)
+    first = F.floor(F.col("offset") / block_size)
+    last = F.floor((F.col("offset") + F.col("size") - 1) / block_size)
     parts = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
-    low = F.greatest(F.col("block") * block_words, F.col("offset"))
-    high = F.least((F.col("block") + 1) * block_words, F.col("offset") + F.col("size"))
+    low = F.greatest(F.col("block") * block_size, F.col("offset"))
+    high = F.least((F.col("block") + 1) * block_size, F.col("offset") + F.col("size"))
     parts = parts.withColumns({"from": low - F.col("offset"), "words": F.coalesce(high - low, F.lit(0).cast("long"))})
     return parts.join(taken, ["key", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
 

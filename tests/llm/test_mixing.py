@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimspark.llm.mixing import mix, mixed_documents, permuted
+from claimspark.llm.mixing import mix, mix_slots, mixed_documents, permuted
 from tests.llm.data import awkward, documents, prose
 
 
@@ -77,3 +77,32 @@ def test_empty_table(spark):
     docs = documents(spark, [])
     assert mix(docs).count() == 0 and mixed_documents(docs).count() == 0
     assert [r["taken"] for r in mix(documents(spark, [(1, None, None), (2, " ", "a")])).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("words", [10, 50, 130, 300, 1000])
+def test_small_sources_beside_a_hot_one(spark, words):
+    """Production parameters: sources held at three times their size are taken whole, others come close to the target."""
+    texts = [(i, prose(i % 50, 1000), "hot") for i in range(600)] + [(1000 + i, prose(i, words), f"tail{i:02}") for i in range(20)]
+    rows = mix(documents(spark, texts, extra=False)).collect()
+    assert {r["taken"] for r in rows if r["doc_id"] >= 1000} == {3 * words} == {round(r["target"]) for r in rows if r["doc_id"] >= 1000}
+    hot = [r for r in rows if r["doc_id"] < 1000]
+    assert sum(r["taken"] for r in hot) == pytest.approx(hot[0]["target"], rel=0.001)
+    even = [(i, prose(i, words), f"s{i}") for i in range(6)]
+    for r in mix(documents(spark, even, extra=False)).collect():
+        assert r["taken"] == pytest.approx(r["target"], abs=2 * (words // 16 + 1))
+
+
+def test_slots_of_shards_and_sources(spark):
+    """Every shard but the last is full and every source has its slots, however many shards there are."""
+    sizes = {"a": 10, "b": 130, "c": 5000, "d": 400_000}
+    want = shared_targets(sizes)
+    targets = spark.createDataFrame([(k, k, n, float(sum(sizes.values())), want[k]) for k, n in sizes.items()], "key string, source string, source_size long, total double, target double")
+    slots = mix_slots(targets, 1, 128, 64, 3).collect()
+    shards, keys = {}, {}
+    for r in slots:
+        shards[r["shard"]] = shards.get(r["shard"], 0) + 1
+        keys.setdefault(r["key"], []).append(r["k"])
+    assert {shards[i] for i in range(len(shards) - 1)} == {64} and 0 < shards[len(shards) - 1] <= 64
+    assert all(sorted(k) == list(range(len(k))) for k in keys.values())
+    assert len(keys["a"]) == 30 and len(keys["b"]) == 3 * 15
+    assert len({r["shard"] for r in slots if r["key"] == "b"}) > 20  # not in one place
