@@ -9,7 +9,60 @@ def lower_ascii(x: str) -> str:
     return f"translate({x}, '{ASCII_UPPER}', '{ASCII_LOWER}')"
 
 
+def sql_field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+
+
+def sql_leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(sql_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+def sql_tree(name: str, start: str) -> str:
+    """Nodes of all levels and, for each with others at its level, the digests beside it in its run of three."""
+    return f"""
+        {name} AS (
+            SELECT tree, 0 AS level, place, n, digest FROM {start}
+            UNION ALL
+            SELECT tree, level + 1, place // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM {name}
+            WHERE n > 1 GROUP BY tree, level, place // 3, n
+        ), {name}_steps AS (
+            SELECT u.tree, u.level, u.place, coalesce(string_agg(v.digest, '' ORDER BY v.place) FILTER (v.place < u.place), '') AS before,
+                   coalesce(string_agg(v.digest, '' ORDER BY v.place) FILTER (v.place > u.place), '') AS after
+            FROM {name} u JOIN {name} v ON v.tree = u.tree AND v.level = u.level AND v.place // 3 = u.place // 3
+            WHERE u.n > 1 GROUP BY ALL
+        )"""
+
+
+# Unsigned CRC-32 of the decimal id, bit by bit.
+SQL_CRC32 = """xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)),
+    lambda c, b: list_reduce(
+        list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+        lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)))"""
+
 ORACLES = {
+    "op13_merkle": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, {sql_leaf("text")} AS digest, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+                   CASE WHEN {SQL_CRC32} % 2 = 0 THEN {sql_leaf("replace(text, chr(10), '')")} ELSE {sql_leaf("text")} END AS shown,
+                   row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n
+            FROM documents
+        ), {sql_tree("own", "leaves")}, subroots AS (
+            SELECT 0 AS tree, tree AS place, digest, count(*) OVER () AS n FROM own WHERE n = 1
+        ), {sql_tree("high", "subroots")}, steps AS (
+            SELECT l.doc_id, s.level, before, after FROM leaves l JOIN own_steps s ON s.tree = l.tree AND s.place = l.place // (3 ** s.level)::BIGINT
+            UNION ALL
+            SELECT l.doc_id, 100 + s.level, before, after FROM leaves l JOIN high_steps s ON s.place = l.tree // (3 ** s.level)::BIGINT
+        ), paths AS (
+            SELECT doc_id, string_agg(before || after, '' ORDER BY level) AS proof, list(before || '|' || after ORDER BY level) AS path
+            FROM steps GROUP BY doc_id
+        ), result AS (
+            SELECT l.doc_id, l.digest AS leaf, s.digest AS subroot, (SELECT digest FROM high WHERE n = 1) AS root,
+                   sha256(coalesce(p.proof, '')) AS proof_sha256,
+                   list_reduce(list_prepend(l.shown, coalesce(p.path, [])), lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) AS folded_root
+            FROM leaves l JOIN subroots s ON s.place = l.tree LEFT JOIN paths p ON p.doc_id = l.doc_id
+        )
+        SELECT *, folded_root = root AS verified FROM result""",
     "op1_url_filter": rf"""
         WITH parts AS (
             SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from claimspark.llm.alignment import align
 from claimspark.llm.ann import nearest
 from claimspark.llm.bpe import bpe_encode
 from claimspark.llm.common import table
 from claimspark.llm.exact_dedup import exact_dedup
 from claimspark.llm.line_dedup import line_dedup
+from claimspark.llm.merkle import verified_manifest
 from claimspark.llm.mixing import mix
 from claimspark.llm.ngram_join import ngram_join
 from claimspark.llm.quality import fit, held_out, score
+from claimspark.llm.sharding import shard
 from claimspark.llm.suffix_dedup import suffix_dedup
 from claimspark.llm.url_filter import url_filter
 from claimspark.llm.warc import round_trip
@@ -77,4 +80,17 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.col("line_count").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ann_forest, op3_bpe, op4_ngram_join, op5_mixing, op6_quality, op7_suffix_dedup, op8_warc, op9_exact_dedup, op10_line_dedup)}
+def op11_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    rows = align(table(spark, sf, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"), digest=True)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op12_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return shard(table(spark, sf, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return verified_manifest(table(spark, sf, "documents")).drop("steps")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ann_forest, op3_bpe, op4_ngram_join, op5_mixing, op6_quality, op7_suffix_dedup, op8_warc, op9_exact_dedup, op10_line_dedup, op11_tokenizer_alignment, op12_sharding, op13_merkle)}
