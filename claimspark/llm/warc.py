@@ -151,7 +151,8 @@ def records_in(stream, start: int, end: int) -> Iterator[bytes]:
         found = window.data.find(MAGIC, at - window.base)
         if found < 0 or window.base + found >= end:
             loaded = window.base + len(window.data)
-            if found >= 0 or loaded >= end or not window.have(loaded + 1):
+            # A member that begins in the last byte before ``end`` shows its magic only behind it.
+            if found >= 0 or loaded >= end + len(MAGIC) - 1 or not window.have(loaded + 1):
                 return
             at = max(at, loaded - len(MAGIC) + 1)
             window.forget(at)

@@ -63,3 +63,19 @@ def test_every_split_owns_its_records():
     # A stored block holds the bytes of another member: it is part of the payload, not a record of its own.
     broken = warc.MAGIC + b"\x00\x01 not a member " + members[3] + warc.MAGIC
     assert [warc.parse_record(r)[2] for r in warc.records_in(io.BytesIO(broken), 0, len(broken))] == [payloads[3]]
+
+
+@pytest.mark.parametrize("gap", [1, 2, 3])
+@pytest.mark.parametrize("size", [(2 << 20), (3 << 20)])
+def test_member_that_ends_just_before_a_border(size, gap):
+    """A member of more than one read fills a split but for its last bytes; the next member begins there."""
+    draw = random.Random(2)
+    first = warc.record_bytes(1, "u", draw.randbytes(size), "d", None, size)
+    second, third = (warc.record_bytes(i, "u", draw.randbytes(500), "d", None, 500) for i in (2, 3))
+    data = first + second + third
+    border = len(first) + gap
+    assert len(first) > 1 << 20
+    found = []
+    for start, end in ((0, 100), (100, border), (border, len(data))):
+        found += [warc.parse_record(r)[0]["warc-record-id"] for r in warc.records_in(io.BytesIO(data), start, end)]
+    assert found == [f"<urn:page:{i}>" for i in (1, 2, 3)]
