@@ -1,4 +1,4 @@
-"""Quality classifier: supervised embeddings of hashed words and byte n-grams of words.
+"""Quality classifier: supervised embeddings of hashed words and character n-grams of words.
 
 A document is the average of the vectors of its features: every word, the 3- to 5-grams of the word with end marks,
 and one feature for a word that repeats the one before. A softmax over two classes sits on the average. Vectors and
@@ -19,14 +19,13 @@ from claimspark.llm.blocks import mixed
 BUCKETS = 1 << 18
 DIMENSIONS = 16
 SAMPLE_PER_LABEL = 1200  # documents of each label that are learned from
-SAMPLE_BYTES = 1 << 15  # longer documents are not learned from (all are scored)
+SAMPLE_BYTES = 1 << 15  # longer documents are learned from only where a label has too few others (all are scored)
 EPOCHS = 4
 RATE = 0.5
 GRAMS = (3, 4, 5)
 KEPT_WORDS = 150_000
 SLICE_BYTES = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
 def word_features(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -34,12 +33,13 @@ def word_features(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarra
 
     Feature 0 is kept for repeated words.
     """
-    lengths = np.array([len(w) + 2 for w in words], np.int64)
-    data = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8)
+    marked = [f"<{w.decode('utf-8', 'replace')}>" for w in words]
+    lengths = np.array([len(w) for w in marked], np.int64)
+    letters = mixed((np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)) * _BASE)
     starts = np.cumsum(lengths) - lengths
-    place = np.arange(len(data)) - np.repeat(starts, lengths)
+    place = np.arange(len(letters)) - np.repeat(starts, lengths)
     powers = np.cumprod(np.full(int(lengths.max()), _BASE, np.uint64))
-    numbers = [mixed(np.add.reduceat(_BYTE[data] * powers[place], starts))]
+    numbers = [mixed(np.add.reduceat(letters * powers[place], starts))]
     owners = [np.arange(len(words))]
     for n in GRAMS:
         count = np.maximum(lengths - n + 1, 0)
@@ -47,7 +47,7 @@ def word_features(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarra
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + starts[owner]
         hashes = np.full(len(at), np.uint64(n))
         for i in range(n):
-            hashes = hashes * _BASE + _BYTE[data[at + i]]
+            hashes = hashes * _BASE + letters[at + i]
         numbers.append(mixed(hashes))
         owners.append(owner)
     owner = np.concatenate(owners)
@@ -145,9 +145,10 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, float]:
     """Learn from at most ``per_label`` labelled documents of each label, those with the smallest hashes of their ids.
 
-    Of several labels of an id the smallest counts; NULL ids and labels, labels other than 0 and 1, and labels without a
-    document are ignored. The bias is shifted to the shares of the labels among all rows that may be learned from. With
-    one label only, or none, all texts score that label's share.
+    Documents longer than ``SAMPLE_BYTES`` are taken last, and no label's documents are longer than ``per_label * SAMPLE_BYTES`` together. Of several labels of an id the
+    smallest counts; NULL ids and labels, labels other than 0 and 1, labels without a document and documents without words are ignored. The bias
+    is shifted to the shares of the labels among all rows that may be learned from. With one label only, or none, among the labelled rows all texts score
+    that label's share. Where both labels exist but one of them has no document that fits, a ``ValueError`` says so.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("id is not null and label in (0, 1)")
     known = known.groupBy("id").agg(F.min("label").alias("label")).filter(~held_out(F.col("id")))
@@ -155,14 +156,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(shares) < 2:
         chance = 0.5 if not shares else float(*shares)
         return np.zeros(BUCKETS), float(np.log(max(chance, 1e-9) / max(1 - chance, 1e-9)))
-    chosen = [known.filter(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(per_label) for v in (0, 1)]
-    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most twice per_label rows
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(chosen, "id").select("id", "text", "label").collect()
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sized = texts.select("id", F.octet_length("text").alias("bytes")).filter("bytes > 0").groupBy("id").agg(F.sum("bytes").alias("bytes"))
+    offered = known.join(sized, "id")
+    chosen = []
+    for value in (0, 1):
+        order = (F.col("bytes") > SAMPLE_BYTES, F.xxhash64("id"), F.col("id"))
+        room = per_label * SAMPLE_BYTES
+        for row in offered.filter((F.col("label") == value) & (F.col("bytes") <= room)).orderBy(*order).limit(per_label).collect():
+            if row["bytes"] <= room:
+                room -= row["bytes"]
+                chosen.append((row["id"], value))
+    if len({value for _, value in chosen}) < 2:
+        raise ValueError(f"Both labels exist, but one has no document with text of at most {per_label * SAMPLE_BYTES} bytes to learn from.")
+    wanted = docs.sparkSession.createDataFrame(chosen, known.select("id", F.col("label").cast("int")).schema)
+    rows = texts.join(F.broadcast(wanted), "id").select("id", "text", "label").collect()  # at most twice per_label ids
     rows.sort(key=lambda r: (r["id"], r["text"]))
     found = np.array([r["label"] for r in rows], np.int64)
-    if not len(rows) or not 0 < found.sum() < len(rows):
-        return np.zeros(BUCKETS), float(np.log(shares[1] / shares[0]))
     values, bias = train([r["text"].encode() for r in rows], found)
     seen = found.sum() / (len(found) - found.sum())
     return values, bias + float(np.log(shares[1] / shares[0]) - np.log(seen))

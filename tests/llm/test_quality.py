@@ -69,3 +69,17 @@ def test_scores_follow_from_features_whatever_is_kept(monkeypatch):
         got = np.concatenate([scorer.scores(texts[:5]), scorer.scores(texts[5:])])
         assert np.allclose(got, [plain(t) for t in texts])
     assert len(q.word_features([b"abc"])[0]) == 1 + 3 + 2 + 1
+    assert len(q.word_features(["日本語".encode()])[0]) == 1 + 3 + 2 + 1  # characters, not bytes
+
+
+def test_labels_whose_documents_are_all_long(spark):
+    """They are learned from whole; where none fits, the caller is told."""
+    import pytest
+
+    texts = [(i, " ".join(prose(i * 90 + j, 60).upper() for j in range(180)) if i % 2 else prose(i, 60), "a") for i in range(24)]
+    assert all(len(t) > q.SAMPLE_BYTES for i, t, _ in texts if i % 2)
+    docs, known = documents(spark, texts), labels(spark, [(i, 1 - i % 2, 0, "t") for i in range(24)])
+    rows = q.score(docs, q.fit(docs, known)).collect()
+    assert min(r["score"] for r in rows if r["doc_id"] % 2 == 0) > max(r["score"] for r in rows if r["doc_id"] % 2)
+    with pytest.raises(ValueError, match="Both labels exist"):
+        q.fit(docs, known, per_label=1)
