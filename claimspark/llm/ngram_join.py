@@ -320,6 +320,14 @@ def ngram_join(
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id."""
-    gone = ngram_join(docs, id_col, text_col, **options).filter("component_id <> doc_id").select(F.col("doc_id").alias("ngram gone id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("`ngram gone id`"), "left_anti")
+    """One row of each component of ``docs``: the one with the smallest id, NULL ids last.
+
+    Rows are told apart by their place in a written copy, whatever their ids: repeated rows are copies of one another and one stays, rows that share
+    an id but no text all stay, as do rows without words. Of equal ids the first row in that copy stays. All columns pass
+    through but one named ``ngram row``; an empty table gives an empty result.
+    """
+    rows = materialise(docs.withColumn("ngram row", F.monotonically_increasing_id()), "ngram-rows")
+    labels = ngram_join(rows, "ngram row", text_col, **options).select(F.col("doc_id").alias("ngram row"), "component_id")
+    known = rows.select("`ngram row`", F.col(id_col).alias("own_id"))
+    best = labels.join(known, "ngram row").groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("none"), "own_id", "`ngram row`")).alias("best"))
+    return rows.join(best.select(F.col("best")["ngram row"].alias("ngram row")), "ngram row", "left_semi").drop("ngram row")
