@@ -20,8 +20,10 @@ are found by their hash beforehand and send nothing.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ from claimspark.session import materialise
 
 LENGTH = 100
 GRAM_SHARE = 0.56  # bytes of the anchor's gram by bytes of the string
+ANCHOR_BYTES = 1 << 18  # text whose anchors are looked for in one step; its hashes fit into a core's cache
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
@@ -69,7 +72,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per document with strings: its number, hash of each anchor, first and last string of each anchor."""
-    for first, last in chunks(texts):
+    for first, last in chunks(texts, ANCHOR_BYTES):
         part = [(i, t) for i, t in enumerate(texts[first:last], first) if len(t) >= length]
         if not part:
             continue
@@ -159,25 +162,40 @@ def merge_runs(runs: list[Iterable[tuple[bytes, int]]]) -> Iterator[tuple[bytes,
     shared = 0
     while heads[winner] is not None:
         yield heads[winner], shared, winner
-        heads[winner], known[winner] = next(sources[winner], (None, 0))
+        head, own = next(sources[winner], (None, 0))  # the challenger and the prefix it shares with the last winner
+        heads[winner], known[winner] = head, own
         node = (winner + size) // 2
-        while node:
-            winner, tree[node] = play(winner, tree[node])
+        while node:  # ``play``, spelt out because it runs for every suffix and level
+            other = tree[node]
+            rival = heads[other]
+            if rival is not None:
+                theirs = known[other]
+                ahead = head is None or theirs > own
+                if not ahead and theirs == own:
+                    k = shared_prefix(head, rival, own)
+                    if k == len(head) == len(rival):
+                        ahead = other < winner
+                    else:
+                        ahead = k == len(rival) or (k < len(head) and rival[k] < head[k])
+                    known[winner if ahead else other] = k
+                if ahead:
+                    tree[node] = winner
+                    winner, head, own = other, rival, theirs
             node //= 2
-        shared = known[winner]
+        shared = own
 
 
-# A run: suffixes front-coded, each with document (id and rank among equal ids), place and number of strings. Blocks
-# of found: covered spans (document, rank, first string, number), and the suffixes that came first with the same four.
-_RUNS = "bucket long, block long, shared binary, lengths binary, rests binary, places binary"
-_RUNS_SCHEMA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("shared", "lengths", "rests", "places"))])
-_FOUND = "block long, spans binary, places binary, lengths binary, suffixes binary"
-_FOUND_SCHEMA = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("spans", "places", "lengths", "suffixes"))])
+# A run: suffixes front-coded, each with document (id and rank among equal ids), place and number of strings, and the hash of
+# its anchor. Blocks of found: covered spans (document, rank, first string, number), and the suffixes that came first with the same five.
+_RUNS = "bucket long, block long, shared binary, lengths binary, rests binary, places binary, hashes binary"
+_RUNS_SCHEMA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("shared", "lengths", "rests", "places", "hashes"))])
+_FOUND = "block long, spans binary, places binary, hashes binary, lengths binary, suffixes binary"
+_FOUND_SCHEMA = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("spans", "places", "hashes", "lengths", "suffixes"))])
 _CUT_SCHEMA = pa.schema([*((n, pa.int64()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")), ("kept", pa.binary()), ("spans", pa.list_(pa.int64()))])
 _CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>"
 
 
-def _ints(rows: list[tuple]) -> bytes:
+def _ints(rows: list[tuple] | np.ndarray) -> bytes:
     """Rows of four integers, column by column."""
     return squeezed(np.array(rows, np.int64).reshape(-1, 4).T.tobytes())
 
@@ -190,28 +208,57 @@ def _table(columns: dict[str, list], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(columns.get(f.name, []), f.type) for f in schema], schema=schema)
 
 
-def _sorted_runs(suffixes: list[tuple], bits: int, block: int) -> pa.Table:
-    """Runs by bucket of ``(suffix, doc, rank, place, count)``; repeats inside the block form a run without suffixes."""
-    suffixes.sort()
-    runs: dict[int, list[tuple]] = defaultdict(list)
-    repeats, before = [], None
-    for s in suffixes:
-        if s[0] == before:
-            repeats.append(s[1:])
-        else:
-            before = s[0]
-            runs[int.from_bytes(hashlib.blake2b(before, digest_size=8).digest(), "big") >> (64 - bits) if bits else 0].append(s)
+def _run_table(runs: Iterable[tuple], repeats: np.ndarray, bits: int, block: int) -> pa.Table:
+    """Rows of ``_RUNS``: ``(bucket, shared, lengths, rests, places, hashes)`` of each run, and the repeats inside the block without suffixes."""
     out = defaultdict(list)
-    for bucket, run in runs.items():
-        shared, lengths, rests = front_code([s[0] for s in run])
-        for name, value in zip(_RUNS_SCHEMA.names, (bucket, block, squeezed(shared), squeezed(lengths), squeezed(rests), _ints([s[1:] for s in run]))):
+    for bucket, shared, lengths, rests, places, hashes in runs:
+        for name, value in zip(_RUNS_SCHEMA.names, (bucket, block, squeezed(shared), squeezed(lengths), squeezed(rests), _ints(places), hashes)):
             out[name].append(value)
-    if repeats:
-        for name, value in zip(_RUNS_SCHEMA.names, ((1 << bits) + block % (1 << bits), block, None, None, None, _ints(repeats))):
+    if len(repeats):
+        for name, value in zip(_RUNS_SCHEMA.names, ((1 << bits) + block % (1 << bits), block, None, None, None, _ints(repeats), None)):
             out[name].append(value)
     return _table(out, _RUNS_SCHEMA)
 
 
+def _sorted_runs(suffixes: list[bytes], places: np.ndarray, hashes: np.ndarray, bits: int, block: int) -> pa.Table:
+    """Runs by bucket of the suffixes, which stand in the order of their documents and places."""
+    runs: dict[int, list[int]] = defaultdict(list)
+    repeats, before = [], None
+    for i in sorted(range(len(suffixes)), key=suffixes.__getitem__):
+        s = suffixes[i]
+        if s == before:
+            repeats.append(i)
+        else:
+            before = s
+            runs[zlib.crc32(s) >> (32 - bits)].append(i)
+    coded = ((bucket, *front_code([suffixes[i] for i in own]), places[own], hashes[own].tobytes()) for bucket, own in runs.items())
+    return _run_table(coded, places[repeats], bits, block)
+
+
+def _string_runs(strings: np.ndarray, places: np.ndarray, hashes: np.ndarray, bits: int, block: int) -> pa.Table:
+    """The same of strings of one length, a row of bytes each, dealt by their hashes."""
+    length = strings.shape[1]
+    order = np.lexsort((places[:, 2], places[:, 1], places[:, 0]))
+    order = order[np.argsort(np.ascontiguousarray(strings[order]).view(f"S{length}").ravel(), kind="stable")] if len(order) else order
+    ordered = strings[order]
+    again = np.r_[np.zeros(min(1, len(order)), bool), (ordered[1:] == ordered[:-1]).all(axis=1)]
+    heads = order[~again]
+    buckets = (hashes[heads] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(heads), np.int64)
+    dealt = np.argsort(buckets, kind="stable")
+    heads, buckets = heads[dealt], buckets[dealt]
+    bounds = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1], True]) if len(heads) else np.zeros(0, np.int64)
+
+    def coded() -> Iterator[tuple]:
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            own = strings[heads[a:b]]
+            shared = np.r_[0, (own[1:] != own[:-1]).argmax(axis=1)]
+            rests = own[np.arange(length) >= shared[:, None]]
+            lengths = np.full(b - a, length, np.uint32)
+            yield int(buckets[a]), shared.astype(np.uint32).tobytes(), lengths.tobytes(), rests.tobytes(), places[heads[a:b]], None
+
+    return _run_table(coded(), places[order[again]], bits, block)
+
+
 def _merged(rows: pa.Table, keep_firsts: bool) -> pa.Table:
     """Covered spans by block, with the first of each group of equal suffixes if asked for."""
     spans, firsts = defaultdict(list), defaultdict(list)
@@ -222,13 +269,15 @@ def _merged(rows: pa.Table, keep_firsts: bool) -> pa.Table:
             spans[row["block"]] += own
         else:
             runs.append(decode_run(*(unsqueezed(row[n]) for n in ("shared", "lengths", "rests"))))
-            places.append((row["block"], iter(own)))
+            hashes = np.frombuffer(row["hashes"], np.uint64).tolist() if keep_firsts else repeat(0)
+            places.append((row["block"], zip(own, hashes)))
 
     def close(group: list[tuple], suffix: bytes) -> None:
-        group.sort()
+        if len(group) > 1:
+            group.sort()
         if keep_firsts:
-            firsts[group[0][1]].append((suffix, group[0][0]))
-        for place, block in group[1:]:
+            firsts[group[0][1]].append((suffix, group[0][0], group[0][2]))
+        for place, block, _ in group[1:]:
             spans[block].append(place)
 
     group, last = [], b""
@@ -237,7 +286,8 @@ def _merged(rows: pa.Table, keep_firsts: bool) -> pa.Table:
             close(group, last)
             group = []
         block, own = places[run]
-        group.append((next(own), block))
+        place, anchor = next(own)
+        group.append((place, block, anchor))
         last = suffix
     if group:
         close(group, last)
@@ -245,28 +295,16 @@ def _merged(rows: pa.Table, keep_firsts: bool) -> pa.Table:
     for block in spans.keys() | firsts.keys():
         own = firsts.get(block, [])
         for name, value in zip(_FOUND_SCHEMA.names, (
-            block, _ints(spans.get(block, [])), _ints([p for _, p in own]),
-            squeezed(np.array([len(s) for s, _ in own], np.int64).tobytes()), squeezed(b"".join(s for s, _ in own)),
+            block, _ints(spans.get(block, [])), _ints([p for _, p, _ in own]), np.array([h for _, _, h in own], np.uint64).tobytes(),
+            squeezed(np.array([len(s) for s, _, _ in own], np.int64).tobytes()), squeezed(b"".join(s for s, _, _ in own)),
         )):
             out[name].append(value)
     return _table(out, _FOUND_SCHEMA)
 
 
-def _firsts(rows: pa.Table, gram: int, length: int) -> tuple[bytes, list[tuple], np.ndarray, np.ndarray]:
-    """The suffixes of a block that came first: bytes, places, starts, and the hashes of their anchors."""
-    data, lengths, places = [], [], []
-    for row in rows.to_pylist():
-        data.append(unsqueezed(row["suffixes"]))
-        lengths += np.frombuffer(unsqueezed(row["lengths"]), np.int64).tolist()
-        places += _rows(row["places"])
-    data = b"".join(data)
-    if not places:
-        return data, places, np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    starts = np.cumsum(lengths) - lengths
-    hashes = gram_hashes(np.frombuffer(data, np.uint8), gram)
-    ranked = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-    place = _sliding_min(ranked, length - gram + 1)[starts] & np.uint64(0xFFFFFFFF)
-    return data, places, starts, hashes[place.astype(np.int64)]
+def _anchor_hashes(rows: pa.Table) -> np.ndarray:
+    """Anchor hashes of the suffixes of a block that came first."""
+    return np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for h in rows["hashes"].to_pylist())])
 
 
 def _marked(hashes: np.ndarray, bits: int, replies: dict[int, bytes]) -> np.ndarray:
@@ -277,14 +315,25 @@ def _marked(hashes: np.ndarray, bits: int, replies: dict[int, bytes]) -> np.ndar
     return out
 
 
-def _strings(data: bytes, places: list[tuple], starts: np.ndarray, wanted: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The strings of the wanted suffixes: number of the suffix, start, number within it, hash."""
-    counts = np.array([p[3] for p in places], np.int64)[wanted] if len(wanted) else np.zeros(0, np.int64)
-    owner = np.repeat(wanted, counts)
+def _strings(rows: pa.Table, wanted: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the wanted suffixes among those of a block that came first: their bytes, and for each of their strings start, place and hash."""
+    texts, lengths, places = [], [], []
+    for suffixes, own, where in zip(*(rows[n].to_pylist() for n in ("suffixes", "lengths", "places"))):
+        texts.append(np.frombuffer(unsqueezed(suffixes), np.uint8))
+        lengths.append(np.frombuffer(unsqueezed(own), np.int64))
+        places.append(np.frombuffer(unsqueezed(where), np.int64).reshape(4, -1).T)
+    if not len(wanted):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros((0, 4), np.int64), np.zeros(0, np.uint64)
+    lengths, places = np.concatenate(lengths), np.concatenate(places)[wanted]
+    starts, size = (np.cumsum(lengths) - lengths)[wanted], lengths[wanted]
+    begin = np.cumsum(size) - size
+    data = np.concatenate(texts)[np.repeat(starts - begin, size) + np.arange(size.sum())]
+    counts = places[:, 3]
     step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = starts[owner] + step
-    hashes = gram_hashes(np.frombuffer(data, np.uint8), length)[at] if len(at) else np.zeros(0, np.uint64)
-    return owner, at, step, hashes
+    at, own = np.repeat(begin, counts) + step, np.repeat(places, counts, axis=0)
+    own[:, 2] += step
+    own[:, 3] = 1
+    return data, at, own, gram_hashes(data, length)[at]
 
 
 def _block_rows(rows: pa.Table) -> list[tuple[int, int, bytes]]:
@@ -328,47 +377,43 @@ def suffix_dedup(
         replies, copies = {p: v for p, v in noted if p != _COPIES}, {v for p, v in noted if p == _COPIES}
         own = _block_rows(rows)
         found = list(anchors([t for _, _, t in own], length, gram))
-        out, seen = [], set()
         every = np.concatenate([h for _, h, _, _ in found]) if found else np.zeros(0, np.uint64)
-        sort = np.argsort(every, kind="stable")
-        repeated = np.empty(len(every), bool)
-        repeated[sort] = graded(every[sort], bits, replies, False) > 0
-        at = 0
-        for i, h, starts, ends in found:
+        repeated = _marked(every, bits, replies)
+        bounds = np.cumsum([0, *(len(h) for _, h, _, _ in found)])
+        out, places, hashes, seen = [], [np.zeros((0, 4), np.int64)], [np.zeros(0, np.uint64)], set()
+        for n in sorted(range(len(found)), key=lambda n: own[found[n][0]][:2]):
+            i, h, starts, ends = found[n]
             doc, rank, text = own[i]
-            wanted = np.flatnonzero(repeated[at : at + len(h)])
-            at += len(h)
             if (doc, rank) in seen or (copies and _copy_name(doc, text) in copies):
                 continue
             seen.add((doc, rank))
-            out += [(text[a : b + length], doc, rank, a, b - a + 1) for a, b in zip(starts[wanted].tolist(), ends[wanted].tolist())]
-        return _sorted_runs(out, bits, rows["block"][0].as_py())
+            wanted = np.flatnonzero(repeated[bounds[n] : bounds[n + 1]])
+            starts, ends = starts[wanted], ends[wanted]
+            out += [text[a : b + length] for a, b in zip(starts.tolist(), ends.tolist())]
+            places.append(np.stack([np.full(len(wanted), doc), np.full(len(wanted), rank), starts, ends - starts + 1], axis=1))
+            hashes.append(h[wanted])
+        return _sorted_runs(out, np.concatenate(places), np.concatenate(hashes), bits, rows["block"][0].as_py())
 
     def send_anchors(rows: pa.Table) -> pa.Table:
-        return ask(rows["block"][0].as_py(), np.sort(_firsts(rows, gram, length)[3]), bits)
+        return ask(rows["block"][0].as_py(), np.sort(_anchor_hashes(rows)), bits)
 
     def wanted_strings(rows: pa.Table, replies: dict[int, bytes]) -> tuple:
-        data, places, starts, hashes = _firsts(rows, gram, length)
-        wanted = np.flatnonzero(_marked(hashes, bits, replies))
-        return data, places, *_strings(data, places, starts, wanted, length)
+        return _strings(rows, np.flatnonzero(_marked(_anchor_hashes(rows), bits, replies)), length)
 
     def send_strings(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(rows):
             return MESSAGE_SCHEMA.empty_table()
         answers = dict(zip(replies["part"].to_pylist(), replies["payload"].to_pylist()))
-        return ask(rows["block"][0].as_py(), np.sort(wanted_strings(rows, answers)[5]), bits)
+        return ask(rows["block"][0].as_py(), np.sort(wanted_strings(rows, answers)[3]), bits)
 
     def strings(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(rows):
             return _RUNS_SCHEMA.empty_table()
         answers = list(zip(replies["part"].to_pylist(), replies["payload"].to_pylist()))
-        data, places, owner, at, step, hashes = wanted_strings(rows, {p: v for p, v in answers if p < _STRINGS})
-        repeated = _marked(hashes, bits, {p - _STRINGS: v for p, v in answers if p >= _STRINGS})
-        out = []
-        for i, a, k in zip(owner[repeated].tolist(), at[repeated].tolist(), step[repeated].tolist()):
-            doc, rank, place, _ = places[i]
-            out.append((data[a : a + length], doc, rank, place + k, 1))
-        return _sorted_runs(out, bits, rows["block"][0].as_py())
+        data, at, places, hashes = wanted_strings(rows, {p: v for p, v in answers if p < _STRINGS})
+        several = np.flatnonzero(_marked(hashes, bits, {p - _STRINGS: v for p, v in answers if p >= _STRINGS}))
+        bytes_of = data[at[several][:, None] + np.arange(length)]
+        return _string_runs(bytes_of, places[several], hashes[several], bits, rows["block"][0].as_py())
 
     def together(found: pa.Table, more: pa.Table) -> pa.Table:
         block = (found if len(found) else more)["block"][0].as_py()
