@@ -293,7 +293,7 @@ def align(
     counts = materialise(pair_counts(index), "alignment-pairs")
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"]
     known = index.filter("pair IS NULL").select("block", "place", *columns)
-    scored = index.filter("pair IS NOT NULL").select(F.col("block").alias("of_block"), "pair", "planes").join(counts.drop("links"), "pair").drop("pair")
+    scored = index.filter("pair IS NOT NULL").select(F.col("block").alias("of_block"), "pair", "planes").join(counts.drop("links").hint("merge"), "pair").drop("pair")
     schema = known.select(*columns).withColumns({"n_best": F.lit(None).cast("long"), "count_sum": F.lit(None).cast("long")}).schema
 
     def score(members: pa.Table, postings: pa.Table) -> pa.Table:
