@@ -140,27 +140,22 @@ MISSING_TOKENS = [
 # Provenance of the public claim files.
 # ---------------------------------------------------------------------------
 SOURCE_LABEL = "CMS Synthetic Medicare claims"
-COLLECTION_URL = (
-    "https://data.cms.gov/collection/"
-    "synthetic-medicare-enrollment-fee-for-service-claims-and-prescription-drug-event"
-)
-_FILES = "https://data.cms.gov/sites/default/files/2023-04/"
+COLLECTION_URL = "https://data.cms.gov/collection/synthetic-medicare-enrollment-fee-for-service-claims-and-prescription-drug-event"
 SOURCE_URL_BY_FILE = {
-    "beneficiary_2019.csv": _FILES + "7f65254b-174e-4460-aa49-6759ea8397af/beneficiary_2019.csv",
-    "beneficiary_2020.csv": _FILES + "74b86018-5148-45bb-87f7-c551eda070d8/beneficiary_2020.csv",
-    "beneficiary_2021.csv": _FILES + "98832739-88bd-4243-87fe-ee12b8542baf/beneficiary_2021.csv",
-    "beneficiary_2022.csv": _FILES + "831cfb41-3a7a-4ce0-b02f-04d27df56b31/beneficiary_2022.csv",
-    "beneficiary_2023.csv": _FILES + "18fe0f5d-4126-432f-b12b-2569db9bdefa/beneficiary_2023.csv",
-    "inpatient.csv": _FILES + "67157de9-d962-4af0-bf0e-3578b3afec58/inpatient.csv",
-    "carrier.zip": _FILES + "b6fe03a8-82e2-49b7-a9fe-9eb68c8ac4d0/Carrier.zip",
-    "outpatient.zip": _FILES + "c3d8a962-c6b8-4a59-adb5-f0495cc81fda/Outpatient.zip",
+    "beneficiary_2019.csv": "https://data.cms.gov/sites/default/files/2023-04/7f65254b-174e-4460-aa49-6759ea8397af/beneficiary_2019.csv",
+    "beneficiary_2020.csv": "https://data.cms.gov/sites/default/files/2023-04/74b86018-5148-45bb-87f7-c551eda070d8/beneficiary_2020.csv",
+    "beneficiary_2021.csv": "https://data.cms.gov/sites/default/files/2023-04/98832739-88bd-4243-87fe-ee12b8542baf/beneficiary_2021.csv",
+    "beneficiary_2022.csv": "https://data.cms.gov/sites/default/files/2023-04/831cfb41-3a7a-4ce0-b02f-04d27df56b31/beneficiary_2022.csv",
+    "beneficiary_2023.csv": "https://data.cms.gov/sites/default/files/2023-04/18fe0f5d-4126-432f-b12b-2569db9bdefa/beneficiary_2023.csv",
+    "inpatient.csv": "https://data.cms.gov/sites/default/files/2023-04/67157de9-d962-4af0-bf0e-3578b3afec58/inpatient.csv",
+    "carrier.zip": "https://data.cms.gov/sites/default/files/2023-04/b6fe03a8-82e2-49b7-a9fe-9eb68c8ac4d0/Carrier.zip",
+    "outpatient.zip": "https://data.cms.gov/sites/default/files/2023-04/c3d8a962-c6b8-4a59-adb5-f0495cc81fda/Outpatient.zip",
 }
-_CODEBOOKS = "https://www2.ccwdata.org/documents/10280/19022436/"
 CODEBOOK_URL = {
-    "beneficiary": _CODEBOOKS + "codebook-mbsf-abcd.pdf",
-    "carrier": _CODEBOOKS + "codebook-ffs-claims.pdf",
-    "inpatient": _CODEBOOKS + "codebook-ffs-claims.pdf",
-    "outpatient": _CODEBOOKS + "codebook-ffs-claims.pdf",
+    "beneficiary": "https://www2.ccwdata.org/documents/10280/19022436/codebook-mbsf-abcd.pdf",
+    "carrier": "https://www2.ccwdata.org/documents/10280/19022436/codebook-ffs-claims.pdf",
+    "inpatient": "https://www2.ccwdata.org/documents/10280/19022436/codebook-ffs-claims.pdf",
+    "outpatient": "https://www2.ccwdata.org/documents/10280/19022436/codebook-ffs-claims.pdf",
 }
 
 # Dictionary descriptions by standard column name without its number.
@@ -185,12 +180,11 @@ COVERAGE_ARCHIVES = {
     "Article": ("current_article.zip", "current_article_csv.zip"),
     "NCD": ("ncd.zip", "ncd_csv.zip"),
 }
-_POLICY_PAGES = "https://www.cms.gov/medicare-coverage-database/view/"
 # policy type -> page, id parameter, version parameter
 POLICY_LINKS = {
-    "LCD": (_POLICY_PAGES + "lcd.aspx", "lcdid", "ver"),
-    "Article": (_POLICY_PAGES + "article.aspx", "articleid", "ver"),
-    "NCD": (_POLICY_PAGES + "ncd.aspx", "ncdid", "ncdver"),
+    "LCD": ("https://www.cms.gov/medicare-coverage-database/view/lcd.aspx", "lcdid", "ver"),
+    "Article": ("https://www.cms.gov/medicare-coverage-database/view/article.aspx", "articleid", "ver"),
+    "NCD": ("https://www.cms.gov/medicare-coverage-database/view/ncd.aspx", "ncdid", "ncdver"),
 }
 POLICY_CODE_SYSTEM = "CPT/HCPCS"
 CODE_LISTED = "HCPCS/CPT code listed in current {policy_type} code table"
