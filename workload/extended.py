@@ -1,4 +1,4 @@
-"""Queries of dated references, coverage status, rolling volumes and procedures billed together, with their SQL.
+"""Queries of dated references, coverage status, rolling volumes, pairs of procedures, case mix, growth and persistence, with their SQL.
 
 The reference versions are the parts, one per part, with untidy periods: open, empty, overlapping and nested. The policy periods belong to
 suppliers and the procedures on their lines.
@@ -10,11 +10,11 @@ import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from claimspark.operators import coverage_status as status, together, volume
+from claimspark.operators import case_mix, coverage_status as status, course, together, utilization, volume
 from claimspark.operators.claim_lines import lines_with_code
 from claimspark.operators.dated import join_dated
 from workload import adapter as a, staging
-from workload.sql_lines import CODE, LINES
+from workload.sql_lines import CLAIMS, CODE, LINES
 
 LINE_COLUMNS = ["claim_type", "source_claim_id", "procedure_code", "bene_id", "provider_id", "service_date"]
 LINE_KEYS = ["bene_id", "source_claim_id", "provider_id"]
@@ -72,7 +72,28 @@ def billed_together(spark, sf):
     return together.billed_together(staging.lines(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (claims_with_dated_reference, policy_spells, coverage_status, provider_volume, billed_together)}
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Sums of logarithms differ in the last digits with the order of rows."""
+    return df.withColumns({c: F.round(c, 9) + 0.0 for c in columns})
+
+
+def diagnosis_mix(spark, sf):
+    return _rounded(case_mix.diagnosis_mix(staging.lines(spark, sf)), "divergence", "over_by")
+
+
+def place_mix(spark, sf):
+    return _rounded(case_mix.place_mix(staging.lines(spark, sf)), "divergence", "over_by")
+
+
+def procedure_growth(spark, sf):
+    return course.procedure_growth(utilization.procedure_trends(staging.lines(spark, sf)))
+
+
+def provider_persistence(spark, sf):
+    return _rounded(course.persistence(course.monthly_differences(staging.lines(spark, sf))), "largest_difference")
+
+
+QUERIES = {f.__name__: f for f in (claims_with_dated_reference, policy_spells, coverage_status, provider_volume, billed_together, diagnosis_mix, place_mix, procedure_growth, provider_persistence)}
 
 SQL_COLUMNS = "claim_type, source_claim_id, lines.procedure_code, bene_id, provider_id, lines.service_date"
 FIRST = "DATE '1991-06-01' + CAST(p_partkey * 37 % 2900 AS INTEGER)"
@@ -107,7 +128,69 @@ SPELLS = f"""periods AS (
 
 
 
+def _mix(item: str, source: str) -> str:
+    """Every provider's procedure against every item of the procedure, shares of 0 included."""
+    return f"""WITH {LINES}, own AS (
+          SELECT provider_id, procedure_code, {item} AS item, count(*) AS n FROM {source} WHERE provider_id IS NOT NULL AND {item} IS NOT NULL GROUP BY 1, 2, 3
+        ), pairs AS (SELECT provider_id, procedure_code, sum(n)::BIGINT AS rows, count(*) AS kinds FROM own GROUP BY 1, 2),
+        items AS (SELECT procedure_code, item, sum(n)::BIGINT AS item_rows FROM own GROUP BY 1, 2),
+        everything AS (SELECT procedure_code, sum(item_rows)::BIGINT AS all_rows FROM items GROUP BY 1),
+        shares AS (
+          SELECT provider_id, procedure_code, rows, kinds, all_rows - rows AS peer_rows, item, coalesce(n, 0) / CAST(rows AS DOUBLE) AS p,
+            CASE WHEN all_rows > rows THEN (item_rows - coalesce(n, 0)) / CAST(all_rows - rows AS DOUBLE) END AS q, n IS NOT NULL AS has
+          FROM pairs JOIN everything USING (procedure_code) JOIN items USING (procedure_code) LEFT JOIN own USING (provider_id, procedure_code, item)
+        )
+        SELECT provider_id, procedure_code, rows, kinds, peer_rows,
+          CASE WHEN peer_rows > 0 THEN round(least(1.0, greatest(0.0, sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+            + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))), 9) + 0.0 END AS divergence,
+          CASE WHEN peer_rows > 0 THEN (min({{'gap': q - p, 'item': item}}) FILTER (has)).item END AS most_over,
+          CASE WHEN peer_rows > 0 THEN round(-(min({{'gap': q - p, 'item': item}}) FILTER (has)).gap, 9) + 0.0 END AS over_by
+        FROM shares GROUP BY provider_id, procedure_code, rows, kinds, peer_rows"""
+
+
+def _middle(values: str) -> str:
+    return f"CASE WHEN len({values}) % 2 = 1 THEN {values}[len({values}) // 2 + 1] ELSE ({values}[len({values}) // 2] + {values}[len({values}) // 2 + 1]) / 2 END"
+
+
+MONTH = "CAST(year(service_date) * 12 + month(service_date) - 1 AS BIGINT)"
 ORACLES = {
+    "diagnosis_mix": _mix("diagnosis_code", "exploded"),
+    "place_mix": _mix("place_of_service_code", "coded"),
+    "procedure_growth": f"""WITH {LINES}, seen AS (
+          SELECT procedure_code, {MONTH} AS month, {CLAIMS} AS claims FROM coded WHERE service_date IS NOT NULL GROUP BY 1, 2
+        ), spans AS (SELECT procedure_code, min(month) AS first, max(month) AS last FROM seen GROUP BY 1),
+        grid AS (
+          SELECT g.procedure_code, g.month, coalesce(claims, 0) AS claims, claims IS NULL AS empty
+          FROM (SELECT procedure_code, unnest(generate_series(first, last)) AS month FROM spans) g LEFT JOIN seen USING (procedure_code, month)
+        ), levels AS (
+          SELECT procedure_code, count(*) AS months, count(*) FILTER (empty) AS empty_months, list_sort(list(CAST(claims AS DOUBLE))) AS v FROM grid GROUP BY 1
+        ), slopes AS (
+          SELECT a.procedure_code, list_sort(list((b.claims - a.claims) / CAST(b.month - a.month AS DOUBLE))) AS v
+          FROM grid a JOIN grid b ON a.procedure_code = b.procedure_code AND a.month < b.month GROUP BY 1
+        ), middle AS (SELECT l.procedure_code, months, empty_months, {_middle('l.v')} AS median_claims, {_middle('s.v')} AS monthly_slope
+                      FROM levels l LEFT JOIN slopes s USING (procedure_code))
+        SELECT procedure_code, make_date(first // 12, first % 12 + 1, 1) AS first_month, make_date(last // 12, last % 12 + 1, 1) AS last_month, months, empty_months,
+          median_claims, monthly_slope, CASE WHEN median_claims > 0 THEN monthly_slope * 12 / median_claims END AS yearly_growth FROM middle JOIN spans USING (procedure_code)""",
+    "provider_persistence": f"""WITH {LINES}, monthly AS (
+          SELECT provider_id, procedure_code, {MONTH} AS month, {CLAIMS} AS claims FROM coded WHERE provider_id IS NOT NULL AND service_date IS NOT NULL GROUP BY 1, 2, 3
+        ), peers AS (
+          SELECT x.provider_id, x.procedure_code, x.month, x.claims, count(y.claims) AS n, sum(y.claims) AS total, sum(y.claims * y.claims) AS squares
+          FROM monthly x LEFT JOIN monthly y ON y.procedure_code = x.procedure_code AND y.month = x.month AND y.provider_id <> x.provider_id GROUP BY ALL
+        ), scored AS (
+          SELECT *, CASE WHEN n > 1 AND n * squares > total * total THEN
+            (claims - CAST(total AS DOUBLE) / n) / sqrt(CAST(n * squares - total * total AS DOUBLE) / (n * (n - 1))) END AS z FROM peers
+        ), flagged AS (SELECT *, coalesce(z >= {course.THRESHOLD} AND claims >= {course.MIN_CLAIMS}, false) AS above FROM scored),
+        runs AS (
+          SELECT a.provider_id, a.procedure_code, a.month AS begin, count(*) AS length FROM flagged a JOIN flagged b
+            ON a.provider_id = b.provider_id AND a.procedure_code = b.procedure_code AND a.above AND b.above AND b.month >= a.month
+          WHERE NOT EXISTS (SELECT 1 FROM range(a.month, b.month + 1) m(k) WHERE NOT EXISTS (SELECT 1 FROM flagged c
+            WHERE c.provider_id = a.provider_id AND c.procedure_code = a.procedure_code AND c.month = m.k AND c.above))
+          GROUP BY 1, 2, 3
+        ), best AS (SELECT DISTINCT ON (provider_id, procedure_code) * FROM runs ORDER BY provider_id, procedure_code, length DESC, begin)
+        SELECT f.provider_id, f.procedure_code, count(*) AS months, count(z) AS months_compared, count(*) FILTER (above) AS months_above, coalesce(any_value(length), 0) AS longest_run,
+          make_date(any_value(begin) // 12, any_value(begin) % 12 + 1, 1) AS run_from,
+          make_date((any_value(begin) + any_value(length) - 1) // 12, (any_value(begin) + any_value(length) - 1) % 12 + 1, 1) AS run_to, round(max(z), 9) + 0.0 AS largest_difference
+        FROM flagged f LEFT JOIN best USING (provider_id, procedure_code) GROUP BY 1, 2""",
     "claims_with_dated_reference": f"""WITH {LINES}, {REFERENCE}, asked AS (
           SELECT DISTINCT procedure_code, service_date FROM lines WHERE procedure_code IS NOT NULL AND service_date IS NOT NULL
         ), hits AS (
