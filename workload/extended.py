@@ -10,9 +10,10 @@ import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from claimspark.operators import case_mix, coverage_status as status, course, together, utilization, volume
+from claimspark.operators import case_mix, context, coverage_status as status, course, together, utilization, volume
 from claimspark.operators.claim_lines import lines_with_code
 from claimspark.operators.dated import join_dated
+from claimspark.operators.normalize import normalize_source
 from workload import adapter as a, staging
 from workload.sql_lines import CLAIMS, CODE, LINES
 
@@ -93,7 +94,19 @@ def provider_persistence(spark, sf):
     return _rounded(course.persistence(course.monthly_differences(staging.lines(spark, sf))), "largest_difference")
 
 
-QUERIES = {f.__name__: f for f in (claims_with_dated_reference, policy_spells, coverage_status, provider_volume, billed_together, diagnosis_mix, place_mix, procedure_growth, provider_persistence)}
+def _context(spark: SparkSession, sf: str) -> DataFrame:
+    return context.yearly_context(normalize_source(a.raw_beneficiaries(spark, sf), "beneficiary"))
+
+
+def enrolment_spells(spark, sf):
+    return context.enrolment_spells(_context(spark, sf))
+
+
+def expected_volume(spark, sf):
+    return _rounded(context.expected_volume(staging.lines(spark, sf), _context(spark, sf)), "expected_lines", "observed_to_expected")
+
+
+QUERIES = {f.__name__: f for f in (claims_with_dated_reference, policy_spells, coverage_status, provider_volume, billed_together, diagnosis_mix, place_mix, procedure_growth, provider_persistence, enrolment_spells, expected_volume)}
 
 SQL_COLUMNS = "claim_type, source_claim_id, lines.procedure_code, bene_id, provider_id, lines.service_date"
 FIRST = "DATE '1991-06-01' + CAST(p_partkey * 37 % 2900 AS INTEGER)"
@@ -153,7 +166,27 @@ def _middle(values: str) -> str:
 
 
 MONTH = "CAST(year(service_date) * 12 + month(service_date) - 1 AS BIGINT)"
+CONTEXT = """context AS (
+          SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS bene_id, CAST(year(o_orderdate) AS INTEGER) AS year,
+            year(o_orderdate) - year(DATE '1930-01-01' + CAST(c_custkey % 9000 AS INTEGER)) AS age, c_mktsegment AS sex FROM orders JOIN customer ON o_custkey = c_custkey
+        )"""
 ORACLES = {
+    "enrolment_spells": f"""WITH {CONTEXT}, begins AS (
+          SELECT bene_id, year FROM context c WHERE NOT EXISTS (SELECT 1 FROM context d WHERE d.bene_id = c.bene_id AND d.year = c.year - 1)
+        ), spans AS (
+          SELECT bene_id, year AS first_year, coalesce(lead(year) OVER (PARTITION BY bene_id ORDER BY year), 9999) AS next FROM begins
+        ) SELECT s.bene_id, first_year, max(c.year) AS last_year, count(*) AS years
+        FROM spans s JOIN context c ON c.bene_id = s.bene_id AND c.year >= first_year AND c.year < next GROUP BY 1, 2""",
+    "expected_volume": f"""WITH {LINES}, {CONTEXT}, visits AS (
+          SELECT provider_id, bene_id, year(service_date) AS year, count(*) AS n FROM lines WHERE provider_id IS NOT NULL AND service_date IS NOT NULL GROUP BY 1, 2, 3
+        ), placed AS (SELECT v.*, age // 10 AS band, sex, c.bene_id IS NOT NULL AS found FROM visits v LEFT JOIN context c ON c.bene_id = v.bene_id AND c.year = v.year),
+        rates AS (SELECT band, sex, sum(n) / CAST(count(*) AS DOUBLE) AS rate FROM placed WHERE found GROUP BY 1, 2),
+        sums AS (
+          SELECT provider_id, coalesce(sum(n) FILTER (found), 0)::BIGINT AS lines_seen, coalesce(sum(n) FILTER (NOT found), 0)::BIGINT AS lines_without_context,
+            count(*) FILTER (found) AS person_years, coalesce(sum(rate) FILTER (found), 0.0) AS expected
+          FROM placed LEFT JOIN rates USING (band, sex) GROUP BY 1
+        ) SELECT provider_id, lines_seen, lines_without_context, person_years, round(expected, 9) + 0.0 AS expected_lines,
+            CASE WHEN expected > 0 THEN round(lines_seen / expected, 9) + 0.0 END AS observed_to_expected FROM sums""",
     "diagnosis_mix": _mix("diagnosis_code", "exploded"),
     "place_mix": _mix("place_of_service_code", "coded"),
     "procedure_growth": f"""WITH {LINES}, seen AS (
