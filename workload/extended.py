@@ -10,7 +10,7 @@ import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from claimspark.operators import case_mix, context, coverage_status as status, course, together, utilization, volume
+from claimspark.operators import case_mix, context, coverage_status as status, course, peer_groups as groups, together, utilization, volume
 from claimspark.operators.claim_lines import lines_with_code
 from claimspark.operators.dated import join_dated
 from claimspark.operators.normalize import normalize_source
@@ -106,7 +106,17 @@ def expected_volume(spark, sf):
     return _rounded(context.expected_volume(staging.lines(spark, sf), _context(spark, sf)), "expected_lines", "observed_to_expected")
 
 
-QUERIES = {f.__name__: f for f in (claims_with_dated_reference, policy_spells, coverage_status, provider_volume, billed_together, diagnosis_mix, place_mix, procedure_growth, provider_persistence, enrolment_spells, expected_volume)}
+PEER_LEVELS = [["procedure_code", "provider_id_type", "main_place"], ["procedure_code", "provider_id_type"], ["procedure_code"]]
+
+
+def peer_groups(spark, sf):
+    """Providers against peers of the same procedure, kind and main place, or of fewer of these."""
+    stats = staging.provider_stats(spark, sf).select("provider_id", "provider_id_type", "procedure_code", "claim_count", "beneficiary_count")
+    pairs = stats.join(groups.main_place(staging.lines(spark, sf)), "provider_id", "left")
+    return groups.backed_off_peers(pairs, PEER_LEVELS)
+
+
+QUERIES = {f.__name__: f for f in (claims_with_dated_reference, policy_spells, coverage_status, provider_volume, billed_together, diagnosis_mix, place_mix, procedure_growth, provider_persistence, enrolment_spells, expected_volume, peer_groups)}
 
 SQL_COLUMNS = "claim_type, source_claim_id, lines.procedure_code, bene_id, provider_id, lines.service_date"
 FIRST = "DATE '1991-06-01' + CAST(p_partkey * 37 % 2900 AS INTEGER)"

@@ -489,6 +489,19 @@ ORACLES = {
 }
 
 ORACLES |= extended.ORACLES
+ORACLES["peer_groups"] = f"""{WITH_LINES}, {PROVIDERS}, places AS (
+      SELECT provider_id, place_of_service_code AS main_place FROM lines WHERE provider_id IS NOT NULL AND place_of_service_code IS NOT NULL
+      GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY provider_id ORDER BY count(*) DESC, place_of_service_code) = 1
+    ), pairs AS (SELECT provider_id, provider_id_type, procedure_code, claim_count, beneficiary_count, main_place FROM providers LEFT JOIN places USING (provider_id)),
+    peers AS ({' UNION ALL '.join(
+        f"SELECT x.provider_id, x.procedure_code, {n} AS peer_level, '{', '.join(level)}' AS peer_group, count(*) AS peers, "
+        "CAST(sum(y.claim_count) AS DOUBLE) / nullif(sum(y.beneficiary_count), 0) AS peer_rate FROM pairs x JOIN pairs y ON (x.provider_id <> y.provider_id) AND "
+        + " AND ".join(f"x.{c} IS NOT DISTINCT FROM y.{c}" for c in level) + " GROUP BY 1, 2 HAVING count(*) >= 5"
+        for n, level in enumerate(extended.PEER_LEVELS))}),
+    best AS (SELECT DISTINCT ON (provider_id, procedure_code) * FROM peers ORDER BY provider_id, procedure_code, peer_level)
+    SELECT p.*, CAST(peer_level AS INTEGER) AS peer_level, peer_group, peers, peer_rate,
+      CASE WHEN peer_rate > 0 AND beneficiary_count > 0 THEN CAST(claim_count AS DOUBLE) / beneficiary_count / peer_rate END AS rate_ratio
+    FROM pairs p LEFT JOIN best USING (provider_id, procedure_code)"""
 ORACLES |= {f.__name__: ORACLES[same] for f, same in file_layer.SAME_AS.items()}
 
 
