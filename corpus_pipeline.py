@@ -1,4 +1,7 @@
-"""From raw documents to token ids: classify, drop repeated lines, drop near copies, mix, encode."""
+"""From raw documents to token ids: classify, drop repeated lines, drop near copies, mix, encode.
+
+Every stage takes NULL ids, sources and texts, repeated rows and empty tables, and keeps the columns of ``documents`` (the last one apart).
+"""
 
 from __future__ import annotations
 
@@ -20,28 +23,31 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from the labelled documents of ``docs``."""
+    """Documents that the classifier accepts; it learns from the labelled documents of ``docs``.
+
+    NULL and empty texts are scored by the bias alone; repeated rows and rows that share an id are judged row by row.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs, model, keep_text=True).filter("predicted = 1").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier one has."""
+    """All documents, without lines that an earlier one has; rows with a NULL id are one document, the last. A NULL text becomes empty."""
     return _counted(line_dedup(docs).select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """The row with the smallest id of each group of near copies, NULL ids last; rows without words all stay."""
     return one_of_each(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document once for each time it is taken, with the words taken then."""
+    """The mix: a document once for each time it is taken, with the words taken then; rows without words are not taken."""
     return _counted(mixed_documents(docs).select(*docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row of the mix."""
+    """Token ids of every row of the mix; a NULL or empty text has none."""
     rows = bpe_encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
