@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -12,6 +13,7 @@ from claimspark.operators import coverage
 from claimspark.plans.analytics import derived_path
 from claimspark.session import scratch_path
 from claimspark.sources.archives import land_bundle
+from claimspark.sources.files import list_files
 from claimspark.sources.paths import drop_dir, exists
 from claimspark.sources.sinks import write_table
 
@@ -36,16 +38,21 @@ def table_names(policy_type: str) -> list[str]:
 
 
 def land_policy_tables(spark: SparkSession, coverage_dir: str, landing_dir: str) -> coverage.PolicyTables:
-    """All policy tables, unpacked once. The contractor table may be absent."""
+    """All policy tables, unpacked once. The contractor table may be absent.
+
+    An archive ``name.zip`` may instead come as ``name.part-0000.zip`` and so on, in the order of the names.
+    """
     folder = coverage_dir.rstrip("/")
-    for archive, _ in fixed.COVERAGE_ARCHIVES.values():
-        if not exists(spark, f"{folder}/{archive}"):
-            raise FileNotFoundError(f"Missing CMS coverage archive: {folder}/{archive}")
+    parts = {}
+    for kind, (archive, _) in fixed.COVERAGE_ARCHIVES.items():
+        whole, stem = f"{folder}/{archive}", archive.removesuffix(".zip")
+        named = rf"^{re.escape(stem.lower())}\.part-\d+\.zip$"
+        parts[kind] = [whole] if exists(spark, whole) else [r["path"] for r in list_files(spark, folder, named).orderBy("name").collect()]
+        if not parts[kind]:
+            raise FileNotFoundError(f"Missing CMS coverage archive: {whole}")
     return {
-        kind: land_bundle(
-            spark, f"{folder}/{archive}", bundle, table_names(kind), f"{landing_dir}/{kind}", optional=("contractor",)
-        )
-        for kind, (archive, bundle) in fixed.COVERAGE_ARCHIVES.items()
+        kind: land_bundle(spark, parts[kind], bundle, table_names(kind), f"{landing_dir}/{kind}", optional=("contractor",))
+        for kind, (_, bundle) in fixed.COVERAGE_ARCHIVES.items()
     }
 
 

@@ -47,18 +47,18 @@ def choose_csv_member(names: list[str], archive: str, member: str | None = None)
     return member
 
 
-def entry_names(spark: SparkSession, path: str, bundle: str | None = None) -> list[str]:
-    """Entry names of one archive (its table of contents only)."""
+def entry_names(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Entry names of each archive, in their order (tables of contents only, read in one task per archive)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for p in batch["path"]:
-                with _open_archive(p, bundle) as archive:
+            for row in batch.itertuples(index=False):
+                with _open_archive(row.path) as archive:
                     names = archive.namelist()
-                yield pd.DataFrame({"place": range(len(names)), "name": names})
+                yield pd.DataFrame({"part": row.part, "names": [names]})
 
-    one = spark.createDataFrame([(path,)], "path string").coalesce(1)
-    return [r["name"] for r in one.mapInPandas(read, "place int, name string").orderBy("place").collect()]
+    listed = one_task_each(spark.createDataFrame(list(enumerate(paths)), "part int, path string"), "part")
+    return [r["names"] for r in listed.mapInPandas(read, "part int, names array<string>").orderBy("part").collect()]
 
 
 def _move_into_place(system, partial: str, target: str) -> None:
@@ -101,19 +101,29 @@ def land(spark: SparkSession, rows: list[tuple[str, str, str, str]]) -> None:
     land_members(members).agg(F.sum("bytes")).collect()
 
 
+def land_csv_members(
+    spark: SparkSession, paths: list[str], member: str | None = None, landing_dir: str | None = None
+) -> list[str]:
+    """Land one CSV member of each ZIP, all at once, and return the paths of the text files."""
+    folder, rows = landing_dir or scratch_path(spark, "landing"), []
+    for part, (path, names) in enumerate(zip(paths, entry_names(spark, paths))):
+        chosen = choose_csv_member(names, base_name(path), member)
+        own = f"{folder}/{part:08d}" if len(paths) > 1 else folder
+        rows.append((path, "", chosen, f"{own}/{base_name(chosen)}"))
+    land(spark, rows)
+    return [target for _, _, _, target in rows]
+
+
 def land_csv_member(
     spark: SparkSession, path: str, member: str | None = None, landing_dir: str | None = None
 ) -> str:
     """Land one CSV member of a ZIP and return the path of the text file."""
-    chosen = choose_csv_member(entry_names(spark, path), base_name(path), member)
-    target = f"{landing_dir or scratch_path(spark, 'landing')}/{base_name(chosen)}"
-    land(spark, [(path, "", chosen, target)])
-    return target
+    return land_csv_members(spark, [path], member, landing_dir)[0]
 
 
 def land_bundle(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     bundle: str,
     tables: list[str],
     landing_dir: str | None = None,
@@ -121,37 +131,46 @@ def land_bundle(
 ) -> dict[str, DataFrame]:
     """Tables (CSV names without suffix) of a ZIP inside a ZIP, as Parquet-backed DataFrames.
 
-    Policy CSV files hold quoted line ends and so cannot be split; they are rewritten once as
-    Parquet with ``ingest_pos``, the position of each row in its file.
+    An archive may come in parts, each with the bundle; a table is what its parts hold, one after the other. Policy CSV
+    files hold quoted line ends and so cannot be split; they are rewritten once as Parquet, one task a file, with
+    ``ingest_pos``, which grows with the part and with the position of each row in its file.
     """
-    if not exists(spark, path):
-        raise FileNotFoundError(f"Missing CMS coverage archive: {path}")
+    paths = [path] if isinstance(path, str) else path
+    for p in paths:
+        if not exists(spark, p):
+            raise FileNotFoundError(f"Missing CMS coverage archive: {p}")
     folder = landing_dir or scratch_path(spark, "landing")
-    outer = find_entry(entry_names(spark, path), bundle)
-    if outer is None:
-        raise FileNotFoundError(f"{bundle} is missing from {base_name(path)}.")
-    # The inner archive is inflated once; its members are then read from a file that can be positioned freely.
-    inner = f"{folder}/{bundle}.landed/{bundle}"
-    land(spark, [(path, "", outer, inner)])
-    names = entry_names(spark, inner)
-    targets, rows = {}, []
-    for table in tables:
-        entry = find_entry(names, f"{table}.csv")
+    # The inner archives are inflated once; their members are then read from files that can be positioned freely.
+    inner, outer = [f"{folder}/{bundle}.landed/{part:08d}/{bundle}" for part in range(len(paths))], []
+    for p, names, target in zip(paths, entry_names(spark, paths), inner):
+        entry = find_entry(names, bundle)
         if entry is None:
-            if table in optional:
-                continue
+            raise FileNotFoundError(f"{bundle} is missing from {base_name(p)}.")
+        outer.append((p, "", entry, target))
+    land(spark, outer)
+    contents = entry_names(spark, inner)
+    targets: dict[str, list[str]] = {}
+    rows = []
+    for table in tables:
+        for part, names in enumerate(contents):
+            if (entry := find_entry(names, f"{table}.csv")) is not None:
+                targets.setdefault(table, []).append(f"{folder}/{bundle}/{table}/{part:08d}.csv")
+                rows.append((inner[part], "", entry, targets[table][-1]))
+        if table not in targets and table not in optional:
             raise FileNotFoundError(f"{table}.csv is missing from {bundle}.")
-        targets[table] = f"{folder}/{bundle}/{table}.csv"
-        rows.append((inner, "", entry, targets[table]))
     land(spark, rows)
-    return {table: _to_parquet(spark, target) for table, target in targets.items()}
+    return {table: _to_parquet(spark, files, f"{folder}/{bundle}/{table}.parquet") for table, files in targets.items()}
+
+
+_ROW_BITS = 33  # of a generated id; the bits above number the partition
 
 
-def _to_parquet(spark: SparkSession, csv_path: str) -> DataFrame:
+def _to_parquet(spark: SparkSession, csv_paths: list[str], parquet: str) -> DataFrame:
     from claimspark.sources.files import read_delimited
 
-    parquet = csv_path.removesuffix(".csv") + ".parquet"
-    # One multi-line file is one task, so the generated ids follow the file order.
-    rows = read_delimited(spark, csv_path, ",", multi_line=True)
-    rows.withColumn("ingest_pos", F.monotonically_increasing_id()).write.mode("overwrite").parquet(parquet)
+    rows = read_delimited(spark, csv_paths, ",", multi_line=True)
+    # A multi-line file is inside one task, so the low bits of the generated ids follow its order.
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("long")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    rows.withColumn("ingest_pos", F.shiftleft(part, _ROW_BITS).bitwiseOR(place)).write.mode("overwrite").parquet(parquet)
     return spark.read.parquet(parquet)

@@ -70,21 +70,28 @@ def missing_tokens_to_null(df: DataFrame) -> DataFrame:
 
 def load_table(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     delimiter: str = "|",
     zip_member: str | None = None,
     missing_tokens: bool = True,
     landing_dir: str | None = None,
 ) -> DataFrame:
-    """One CSV, Parquet or zipped CSV table; any other suffix is an error."""
-    suffix = ("." + base_name(path).rsplit(".", 1)[-1].lower()) if "." in base_name(path) else ""
+    """One CSV, Parquet or zipped CSV table; any other suffix is an error.
+
+    A list of files with one suffix and header is one table; ZIPs give one member each, landed in a task of their own.
+    """
+    paths = [path] if isinstance(path, str) else path
+    suffixes = {("." + base_name(p).rsplit(".", 1)[-1].lower()) if "." in base_name(p) else "" for p in paths}
+    if len(suffixes) != 1:
+        raise ValueError(f"Parts of a table need one data format: {sorted(suffixes)}")
+    (suffix,) = suffixes
     if suffix == ".parquet":
-        return spark.read.parquet(path)
+        return spark.read.parquet(*paths)
     if suffix == ".zip":
-        path = archives.land_csv_member(spark, path, zip_member, landing_dir)
+        paths = archives.land_csv_members(spark, paths, zip_member, landing_dir)
     elif suffix != ".csv":
         raise ValueError(f"Unsupported data format: {suffix}")
-    table = read_delimited(spark, path, delimiter)
+    table = read_delimited(spark, paths, delimiter)
     return missing_tokens_to_null(table) if missing_tokens else table
 
 

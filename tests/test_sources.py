@@ -1,4 +1,5 @@
 import hashlib
+import io
 import os
 from zipfile import ZIP_DEFLATED, ZipFile
 
@@ -7,7 +8,7 @@ import pytest
 from claimspark.functions import fixed
 from claimspark.operators.descriptions import attach_descriptions, description_map, long_description
 from claimspark.plans.ingest import run_ingest
-from claimspark.sources import descriptions, files, sinks
+from claimspark.sources import archives, descriptions, files, sinks
 
 
 def write(path, text):
@@ -60,6 +61,50 @@ def test_zip_members(spark, rows, tmp_path):
         files.load_table(spark, str(two), zip_member="c.csv")
 
 
+def test_zipped_parts_are_one_table(spark, rows, tmp_path):
+    paths = []
+    for n in range(5):
+        paths.append(str(tmp_path / f"part{n}.zip"))
+        with ZipFile(paths[-1], "w", ZIP_DEFLATED) as archive:
+            archive.writestr("same.csv", "X|Y\n" + "".join(f"{n}|{i}\n" for i in range(n)))
+    assert sorted((r["X"], r["Y"]) for r in rows(files.load_table(spark, paths))) == [(str(n), str(i)) for n in range(5) for i in range(n)]
+    with pytest.raises(ValueError, match="one data format"):
+        files.load_table(spark, [paths[0], write(tmp_path / "x.csv", "X|Y\n")])
+    with ZipFile(paths[2], "a") as archive:
+        archive.writestr("second.csv", "X|Y\n")
+    with pytest.raises(ValueError, match="Expected one CSV member in part2.zip; found 2."):
+        files.load_table(spark, paths)
+
+
+def nested(path, bundle, members):
+    inner = io.BytesIO()
+    with ZipFile(inner, "w", ZIP_DEFLATED) as archive:
+        for name, text in members.items():
+            archive.writestr(name, text)
+    with ZipFile(path, "w", ZIP_DEFLATED) as archive:
+        archive.writestr(f"data/{bundle}", inner.getvalue())
+    return str(path)
+
+
+def test_bundle_in_parts(spark, tmp_path):
+    """Positions grow with the part and the row, whatever the sizes of the parts; a table may be in some of them."""
+    lengths = [3, 40, 0, 7]
+    paths = []
+    for part, n in enumerate(lengths):
+        members = {"tables/A.csv": "k,text\n" + "".join(f'{part}-{i},"two\nlines, {i}"\n' for i in range(n))}
+        if part in (1, 3):
+            members["b.CSV"] = f"k\n{part}\n"
+        paths.append(nested(tmp_path / f"all.part-{part:04d}.zip", "all_csv.zip", members))
+    landed = archives.land_bundle(spark, paths, "all_csv.zip", ["a", "b", "c"], str(tmp_path / "landed"), optional=("c",))
+    assert set(landed) == {"a", "b"}
+    ordered = landed["a"].orderBy("ingest_pos").collect()
+    assert [r.k for r in ordered] == [f"{part}-{i}" for part, n in enumerate(lengths) for i in range(n)]
+    assert ordered[0].text == "two\nlines, 0" and len({r.ingest_pos for r in ordered}) == sum(lengths)
+    assert [r.k for r in landed["b"].orderBy("ingest_pos").collect()] == ["1", "3"]
+    with pytest.raises(FileNotFoundError, match="c.csv is missing from all_csv.zip"):
+        archives.land_bundle(spark, paths, "all_csv.zip", ["a", "c"], str(tmp_path / "again"))
+
+
 def test_yearly_files(spark, rows, tmp_path):
     a = write(tmp_path / "beneficiary_2019.csv", "BENE_ID|SEX_IDENT_CD\nb1|1\n")
     b = write(tmp_path / "beneficiary_2020.csv", "SEX_IDENT_CD|BENE_ID\n2|b2\n")

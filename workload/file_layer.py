@@ -16,10 +16,13 @@ from claimspark.operators.normalize import normalize_source, type_columns
 from claimspark.plans import coverage_build
 from claimspark.session import scratch_path
 from claimspark.sources import descriptions as description_files_reader, files
-from claimspark.sources.paths import file_system, one_task_each, open_stream
+from claimspark.sources.paths import base_name, file_system, one_task_each, open_stream
 from workload import adapter as a, staging
 
 
+ROWS_PER_PART = 200_000
+
+
 def write_text(df: DataFrame, path: str, delimiter: str = "|") -> str:
     """Delimited text with header; padding and blanks as they are."""
     writer = df.write.option("sep", delimiter).option("header", True).option("emptyValue", "").option("escape", '"')
@@ -27,6 +30,11 @@ def write_text(df: DataFrame, path: str, delimiter: str = "|") -> str:
     return path
 
 
+def parts_for(rows: int) -> int:
+    """Files or archives for so many rows: each is written, packed and landed in a task of its own."""
+    return max(4, -(-rows // ROWS_PER_PART))
+
+
 def named_files(df: DataFrame, folder: str, name: str, order: list[str], delimiter: str = "|") -> list[str]:
     """One file per value of the column ``name``, rows in ``order``; returns the paths."""
     spark = df.sparkSession
@@ -85,11 +93,14 @@ def claim_files_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def zip_claim_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Carrier text in a ZIP with one member, landed and read as a table."""
-    folder = scratch_path(spark, "raw-zip")
-    (file,) = named_files(_raw(spark, sf, "carrier").withColumn("file", F.lit("carrier.csv")), folder, "file", [])
-    pack(spark, [(f"{folder}/carrier.zip", "", "carrier.csv", file)])
-    return normalize_source(files.load_table(spark, f"{folder}/carrier.zip", zip_member="carrier.csv"), "carrier")
+    """Carrier text in many ZIPs with one member each, landed and read as one table."""
+    folder, rows = scratch_path(spark, "raw-zip"), _raw(spark, sf, "carrier")
+    count = parts_for(a.table(spark, sf, "lineitem").count())
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(count))
+    members = named_files(rows.withColumn("file", F.format_string("carrier-%08d.csv", part)), folder, "file", [])
+    archives = [(f"{member.removesuffix('.csv')}.zip", "", base_name(member), member) for member in members]
+    pack(spark, archives)
+    return normalize_source(files.load_table(spark, [archive for archive, *_ in archives]), "carrier")
 
 
 def claim_lines_from_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,16 +125,26 @@ def yearly_beneficiary_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nested_zip_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Policy tables as CSV in nested ZIPs, landed by the coverage job; policy matches for all observed codes."""
+    """Policy tables as CSV in parts of nested ZIPs, landed by the coverage job; policy matches for all observed codes.
+
+    A part holds a stretch of each table's positions, or of the hashes of its rows where positions do not matter.
+    """
     folder = scratch_path(spark, "policy-zip")
     members = []
     for kind, tables in staging.coverage_tables(spark, sf).items():
         archive, bundle = fixed.COVERAGE_ARCHIVES[kind]
+        count = parts_for(max(rows.count() for rows in tables.values()))
         for name, rows in tables.items():
-            order = ["_place"] if "ingest_pos" in rows.columns else []
-            rows = rows.withColumnRenamed("ingest_pos", "_place").withColumn("file", F.lit(f"{name}.csv"))
-            (file,) = named_files(rows, f"{folder}/{kind}-{name}", "file", order, ",")
-            members.append((f"{folder}/{archive}", bundle, f"tables/{name}.csv", file))
+            placed = "ingest_pos" in rows.columns
+            if placed:
+                last = rows.agg(F.max("ingest_pos")).first()[0] or 0
+                part = F.floor(F.col("_place") * count / (last + 1)).cast("long")
+            else:
+                part = F.pmod(F.xxhash64(*rows.columns), F.lit(count))
+            rows = rows.withColumnRenamed("ingest_pos", "_place").withColumn("file", F.format_string("%08d.csv", part))
+            for file in named_files(rows, f"{folder}/{kind}-{name}", "file", ["_place"] if placed else [], ","):
+                number = base_name(file).removesuffix(".csv")
+                members.append((f"{folder}/{archive.removesuffix('.zip')}.part-{number}.zip", bundle, f"tables/{name}.csv", file))
     pack(spark, members)
     tables = coverage_build.land_policy_tables(spark, folder, f"{folder}/landed")
     return coverage.policy_matches(tables, staging.codes(spark, sf), F.lit(a.AS_OF))
