@@ -31,6 +31,10 @@ def _reversed_labels(host):
     return F.reverse(F.split(host, r"\."))
 
 
+def _label_count(host: str):
+    return F.length(host) - F.length(F.replace(F.col(host), F.lit("."), F.lit(""))) + 1
+
+
 def url_filter(
     pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow"
 ) -> DataFrame:
@@ -40,19 +44,19 @@ def url_filter(
     ``rule`` is host followed by path. Without one ``rule`` is NULL and the verdict is ``default``. If a rule
     is given twice with different verdicts, ``block`` wins; rules with a NULL host or path are ignored. NULL
     or malformed urls have empty host and path and fit no rule with a host; NULL ids and repeated rows are
-    judged like others. Other columns are ignored. Empty tables give an empty result or no rules.
+    judged like others. Other columns are ignored. Empty tables give an empty result or no rules. The work for a
+    url grows with its length and with the numbers of labels that rules have, which are brought to the driver.
     """
     spark = pages.sparkSession
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     urls = url_parts(urls).groupBy("page_id", "host", "path").agg(F.count("*").alias("rows"))
     rules = rules.dropna(subset=["host", "path"]).groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     rules = rules.withColumns({"domain": F.array_join(_reversed_labels(F.col("host")), "."), "rule": F.concat("host", "path")})
-    # One row per url and parent domain: com, com.example, com.example.www
-    labels = _reversed_labels(F.col("host"))
-    levels = urls.select(
-        "page_id", "host", "path",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, 1, n), "."))).alias("domain"),
-    )
+    # One row per url and parent domain with as many labels as some rule has: com, com.example. A long host adds no rows.
+    depths = sorted(r["depth"] for r in rules.select(_label_count("host").alias("depth")).distinct().collect())
+    depth = F.explode(F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda n: n <= _label_count("host")))
+    levels = urls.select("page_id", "host", "path", depth.alias("depth"))
+    levels = levels.withColumn("domain", F.array_join(_reversed_labels(F.expr("substring_index(host, '.', -depth)")), ".")).drop("depth")
     ruled = rules.groupBy("domain").agg(F.count("*").alias("n_rules"))
     wanted = levels.join(ruled.select("domain"), "domain", "left_semi")
     busy = wanted.groupBy("domain").agg(F.count("*").alias("n_urls")).join(ruled, "domain")

@@ -37,3 +37,14 @@ def test_no_rules_no_pages_and_bad_rules(spark):
     assert url_filter(pages.limit(0), none).count() == 0
     rules = spark.createDataFrame([("a.com", "/", "allow"), ("a.com", "/", "block"), (None, "/", "block"), ("com", None, "block")], RULES)
     assert [tuple(r)[3:] for r in url_filter(pages, rules).collect()] == [("a.com/", "block")]
+
+
+def test_hosts_of_very_many_labels(spark):
+    """Each parent domain of such a host would be a row of up to its whole length."""
+    long = "a." * 100_000 + "b.com"
+    deep = "x." * 300 + "org"
+    rules = [("b.com", "/p", "block"), ("com", "/", "allow"), (deep, "/", "block")]
+    urls = [f"http://{long}/p/q", f"http://{long}/z", "http://com/", f"http://y.{deep}/", f"http://{deep[2:]}/", "http://" + "." * 50_000 + "/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted(tuple(r) for r in url_filter(pages, spark.createDataFrame(rules, RULES)).collect())
+    assert got == [(i, *judge(u, rules)) for i, u in enumerate(urls)]
