@@ -11,16 +11,17 @@ from claimspark.operators.utilization import explode_diagnoses
 PAIR = ["provider_id", "procedure_code"]
 
 
-def mix_divergence(rows: DataFrame, item: str) -> DataFrame:
+def mix_divergence(rows: DataFrame, item: str, weight: str | None = None) -> DataFrame:
     """``provider_id, procedure_code, rows, kinds, peer_rows, divergence, most_over, over_by`` for rows of provider, procedure and ``item``.
 
     ``divergence`` is the Jensen-Shannon divergence (base 2, from 0 for equal mixes to 1 for mixes without a common item) between
     the provider's shares and those of all others together, which are the totals minus its own: providers are never paired. Items the
     provider does not have add half their share among the others, so one look at the provider's own items is enough. ``most_over`` is the item whose share
     exceeds the others' most (the first by name), by ``over_by``. Without other rows these three and the divergence are NULL; rows with a NULL in one of the columns are left out.
+    A row counts ``weight`` times, without it once.
     """
-    known = rows.select(*PAIR, F.col(item).alias("item")).dropna()
-    own = known.groupBy(*PAIR, "item").agg(F.count("*").alias("n"))
+    known = rows.select(*PAIR, F.col(item).alias("item"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("times")).dropna()
+    own = known.groupBy(*PAIR, "item").agg(F.sum("times").alias("n"))
     pairs = own.groupBy(*PAIR).agg(F.sum("n").alias("rows"), F.count("*").alias("kinds"))
     items = own.groupBy("procedure_code", "item").agg(F.sum("n").alias("item_rows"))
     procedures = items.groupBy("procedure_code").agg(F.sum("item_rows").alias("all_rows"))

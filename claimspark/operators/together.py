@@ -24,6 +24,24 @@ def code_pairs(items: DataFrame, claim: str, code: str, block_codes: int = BLOCK
     return met.groupBy(F.least("x", "y").alias("code_a"), F.greatest("x", "y").alias("code_b")).agg(F.count("*").alias("claims_both"))
 
 
+def codes_beside(lines: DataFrame, claim: str = "claim_key", block_codes: int = BLOCK_CODES) -> DataFrame:
+    """``provider_id, procedure_code, other_code, claims``: on how many of a provider's claims with a procedure another one is billed, by whomever.
+
+    Lines without claim, code or provider are not a provider's; their codes are still others on their claims. Blocks of a claim's codes meet
+    in cells as in ``code_pairs``.
+    """
+    items = lines.dropna(subset=[claim, "procedure_code"]).select(F.col(claim).alias("claim"), F.col("procedure_code").alias("code"), "provider_id")
+    others = items.select("claim", "code").distinct()
+    sizes = others.groupBy(F.col("claim").alias("sized")).agg(F.ceil(F.count("*") / block_codes).alias("blocks"), F.count("*").alias("codes")).filter("codes > 1")
+    block, all_blocks = F.pmod(F.xxhash64("code"), "blocks"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    mine = items.dropna(subset=["provider_id"]).distinct().join(sizes, F.col("claim") == F.col("sized"))
+    mine = mine.select("claim", "provider_id", F.col("code").alias("procedure_code"), block.alias("one"), F.explode(all_blocks).alias("two"))
+    others = others.join(sizes, F.col("claim") == F.col("sized"))
+    others = others.select("claim", F.col("code").alias("other_code"), block.alias("two"), F.explode(all_blocks).alias("one"))
+    met = mine.join(others, ["claim", "one", "two"]).filter("procedure_code <> other_code")
+    return met.groupBy("provider_id", "procedure_code", "other_code").agg(F.count("*").alias("claims"))
+
+
 def billed_together(lines: DataFrame, min_claims: int = 3, claim: str = "claim_key", code: str = "procedure_code", block_codes: int = BLOCK_CODES) -> DataFrame:
     """Pairs of procedures on at least ``min_claims`` common claims, with their measures.
 

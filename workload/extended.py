@@ -10,7 +10,7 @@ import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from claimspark.operators import case_mix, context, coverage_status as status, course, peer_groups as groups, together, utilization, volume
+from claimspark.operators import anomaly, case_mix, categories, context, coverage_status as status, course, peer_groups as groups, together, utilization, volume
 from claimspark.operators.claim_lines import lines_with_code
 from claimspark.operators.dated import join_dated
 from claimspark.operators.normalize import normalize_source
@@ -116,7 +116,24 @@ def peer_groups(spark, sf):
     return groups.backed_off_peers(pairs, PEER_LEVELS)
 
 
-QUERIES = {f.__name__: f for f in (claims_with_dated_reference, policy_spells, coverage_status, provider_volume, billed_together, diagnosis_mix, place_mix, procedure_growth, provider_persistence, enrolment_spells, expected_volume, peer_groups)}
+def provider_changes(spark, sf):
+    """Months at which a provider's volume of a procedure begins to change."""
+    return _rounded(categories.change_points(categories.provider_months(staging.lines(spark, sf))), "up_peak", "down_peak")
+
+
+def combination_mix(spark, sf):
+    return _rounded(categories.combination_mix(staging.lines(spark, sf)), "divergence", "over_by")
+
+
+def anomaly_categories(spark, sf):
+    """Every provider's procedure with the reasons for which it stands out."""
+    features = anomaly.peer_features(staging.provider_stats(spark, sf))
+    rows = categories.anomaly_categories(staging.lines(spark, sf), features)
+    rows = _rounded(rows, "diagnosis_divergence", "place_divergence", "combination_divergence")
+    return rows.withColumn("categories", F.array_join("categories", "|"))
+
+
+QUERIES = {f.__name__: f for f in (claims_with_dated_reference, policy_spells, coverage_status, provider_volume, billed_together, diagnosis_mix, place_mix, procedure_growth, provider_persistence, enrolment_spells, expected_volume, peer_groups, provider_changes, combination_mix, anomaly_categories)}
 
 SQL_COLUMNS = "claim_type, source_claim_id, lines.procedure_code, bene_id, provider_id, lines.service_date"
 FIRST = "DATE '1991-06-01' + CAST(p_partkey * 37 % 2900 AS INTEGER)"
@@ -151,9 +168,9 @@ SPELLS = f"""periods AS (
 
 
 
-def _mix(item: str, source: str) -> str:
+def _mix(item: str, source: str, *before: str) -> str:
     """Every provider's procedure against every item of the procedure, shares of 0 included."""
-    return f"""WITH {LINES}, own AS (
+    return f"""WITH {', '.join([LINES, *before])}, own AS (
           SELECT provider_id, procedure_code, {item} AS item, count(*) AS n FROM {source} WHERE provider_id IS NOT NULL AND {item} IS NOT NULL GROUP BY 1, 2, 3
         ), pairs AS (SELECT provider_id, procedure_code, sum(n)::BIGINT AS rows, count(*) AS kinds FROM own GROUP BY 1, 2),
         items AS (SELECT procedure_code, item, sum(n)::BIGINT AS item_rows FROM own GROUP BY 1, 2),
@@ -180,7 +197,66 @@ CONTEXT = """context AS (
           SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS bene_id, CAST(year(o_orderdate) AS INTEGER) AS year,
             year(o_orderdate) - year(DATE '1930-01-01' + CAST(c_custkey % 9000 AS INTEGER)) AS age, c_mktsegment AS sex FROM orders JOIN customer ON o_custkey = c_custkey
         )"""
+# Other procedures on a claim, by a self-join of its codes.
+BESIDE = """billed AS (
+          SELECT DISTINCT claim_type || ':' || coalesce(source_claim_id, 'row' || row_number() OVER ()) AS claim, procedure_code, provider_id FROM coded
+        ), beside AS (
+          SELECT m.provider_id, m.procedure_code, o.procedure_code AS other_code
+          FROM billed m JOIN (SELECT DISTINCT claim, procedure_code FROM billed) o ON m.claim = o.claim AND m.procedure_code <> o.procedure_code
+        )"""
+LIMITS = categories.Limits()
+
+
+def _changes(name: str, sign: str) -> str:
+    """Sum since the last reset; the month after that reset is the one after the last month with a sum of 0."""
+    return f"""{name}s AS (
+          SELECT *, {sign}distance - slack - least(0.0::DOUBLE, min({sign}distance - slack) OVER (PARTITION BY provider_id, procedure_code ORDER BY month)) AS s FROM grid
+        ), {name} AS (
+          SELECT provider_id, procedure_code, round(max(CASE WHEN spread > 0 THEN s / spread END), 9) + 0.0 AS peak,
+            min(CASE WHEN spread > 0 AND s >= {LIMITS.decision}::DOUBLE * spread THEN month END) AS seen FROM {name}s GROUP BY 1, 2
+        ), {name}_from AS (
+          SELECT c.*, (SELECT coalesce(max(CASE WHEN g.s <= 0 THEN g.month + 1 END), min(g.first)) FROM {name}s g
+            WHERE g.provider_id = c.provider_id AND g.procedure_code = c.procedure_code AND g.month <= c.seen) AS begin FROM {name} c
+        )"""
+
+
+def _month(number: str) -> str:
+    return f"make_date({number} // 12, {number} % 12 + 1, 1)"
+
+
+CHANGES = f"""WITH {LINES}, monthly AS (
+          SELECT provider_id, procedure_code, {MONTH} AS month, {CLAIMS} AS claims FROM coded WHERE provider_id IS NOT NULL AND service_date IS NOT NULL GROUP BY 1, 2, 3
+        ), spans AS (SELECT procedure_code, min(month) AS first, max(month) AS last FROM monthly GROUP BY 1),
+        pairs AS (SELECT provider_id, procedure_code, sum(claims)::BIGINT AS total, sum(claims * claims)::BIGINT AS squares FROM monthly GROUP BY 1, 2 HAVING sum(claims) >= {LIMITS.min_claims}),
+        sized AS (SELECT *, last - first + 1 AS n, sqrt(CAST((last - first + 1) * squares - total * total AS DOUBLE)) AS spread FROM pairs JOIN spans USING (procedure_code)),
+        grid AS MATERIALIZED (
+          SELECT g.*, n * sum(coalesce(claims, 0)) OVER (PARTITION BY g.provider_id, g.procedure_code ORDER BY g.month)::BIGINT - (g.month - first + 1) * total AS distance,
+            CAST(g.month - first + 1 AS DOUBLE) * {LIMITS.slack}::DOUBLE * spread AS slack
+          FROM (SELECT *, unnest(generate_series(first, last)) AS month FROM sized) g LEFT JOIN monthly USING (provider_id, procedure_code, month)
+        ), {_changes('up', '')}, {_changes('down', '-')}
+        SELECT z.provider_id, z.procedure_code, n AS months, total AS claims, {_month('u.begin')} AS up_from, {_month('u.seen')} AS up_seen, u.peak AS up_peak,
+          {_month('d.begin')} AS down_from, {_month('d.seen')} AS down_seen, d.peak AS down_peak
+        FROM sized z JOIN up_from u USING (provider_id, procedure_code) JOIN down_from d USING (provider_id, procedure_code)"""
+
+
+def anomaly_categories_sql(features: str) -> str:
+    mixes = {"diagnosis": _mix("diagnosis_code", "exploded"), "place": _mix("place_of_service_code", "coded"), "combination": _mix("other_code", "beside", BESIDE)}
+    columns = ", ".join(f"{m}.rows AS {m}_rows, {m}.divergence AS {m}_divergence, {m}.most_over AS {m}_most_over" for m in mixes)
+    joins = " ".join(f"LEFT JOIN ({sql}) {m} ON {m}.provider_id = f.provider_id AND {m}.procedure_code = f.procedure_code" for m, sql in mixes.items())
+    differs = {m: f"WHEN {m}_rows >= {LIMITS.min_rows} AND {m}_divergence >= {LIMITS.divergence}" for m in mixes}
+    return f"""WITH c AS ({CHANGES}), joined AS (
+          SELECT f.provider_id, f.procedure_code, claim_count, provider_to_peer_ratio, peer_percentile, CASE
+            WHEN up_seen IS NOT NULL AND (down_seen IS NULL OR up_seen <= down_seen) THEN 'up' WHEN down_seen IS NOT NULL THEN 'down' END AS change, up_from, down_from, {columns}
+          FROM ({features}) f LEFT JOIN c ON c.provider_id = f.provider_id AND c.procedure_code = f.procedure_code {joins}
+        ) SELECT * EXCLUDE (up_from, down_from), CASE change WHEN 'up' THEN up_from WHEN 'down' THEN down_from END AS change_from,
+          concat_ws('|', CASE WHEN provider_to_peer_ratio >= {LIMITS.ratio} AND peer_percentile >= {LIMITS.percentile} AND claim_count >= {LIMITS.min_claims} THEN 'utilization' END,
+            CASE {differs['diagnosis']} THEN 'diagnosis' END, CASE {differs['place']} THEN 'site_of_service' END,
+            CASE WHEN change IS NOT NULL THEN 'trend' END, CASE {differs['combination']} THEN 'combination' END) AS categories FROM joined"""
+
+
 ORACLES = {
+    "provider_changes": CHANGES,
+    "combination_mix": _mix("other_code", "beside", BESIDE),
     "enrolment_spells": f"""WITH {CONTEXT}, begins AS (
           SELECT bene_id, year FROM context c WHERE NOT EXISTS (SELECT 1 FROM context d WHERE d.bene_id = c.bene_id AND d.year = c.year - 1)
         ), spans AS (

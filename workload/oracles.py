@@ -489,6 +489,7 @@ ORACLES = {
 }
 
 ORACLES |= extended.ORACLES
+ORACLES["anomaly_categories"] = extended.anomaly_categories_sql(ORACLES["peer_anomaly_features"])
 ORACLES["peer_groups"] = f"""{WITH_LINES}, {PROVIDERS}, places AS (
       SELECT provider_id, place_of_service_code AS main_place FROM lines WHERE provider_id IS NOT NULL AND place_of_service_code IS NOT NULL
       GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY provider_id ORDER BY count(*) DESC, place_of_service_code) = 1
