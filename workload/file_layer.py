@@ -124,8 +124,8 @@ def yearly_beneficiary_files(spark: SparkSession, sf: str) -> DataFrame:
     return type_columns(names.lower_names(names.standardize_columns(raw, "beneficiary")), keep=("year",))
 
 
-def nested_zip_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Policy tables as CSV in parts of nested ZIPs, landed by the coverage job; policy matches for all observed codes.
+def policy_archives(spark: SparkSession, sf: str) -> str:
+    """Folder with the policy tables as CSV in parts of nested ZIPs.
 
     A part holds a stretch of each table's positions, or of the hashes of its rows where positions do not matter.
     """
@@ -146,6 +146,12 @@ def nested_zip_tables(spark: SparkSession, sf: str) -> DataFrame:
                 number = base_name(file).removesuffix(".csv")
                 members.append((f"{folder}/{archive.removesuffix('.zip')}.part-{number}.zip", bundle, f"tables/{name}.csv", file))
     pack(spark, members)
+    return folder
+
+
+def nested_zip_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Policy matches for all observed codes, from nested ZIPs landed as the coverage job does."""
+    folder = policy_archives(spark, sf)
     tables = coverage_build.land_policy_tables(spark, folder, f"{folder}/landed")
     return coverage.policy_matches(tables, staging.codes(spark, sf), F.lit(a.AS_OF))
 
