@@ -16,7 +16,7 @@ from claimspark.operators.normalize import normalize_source, type_columns
 from claimspark.plans import coverage_build
 from claimspark.session import scratch_path
 from claimspark.sources import descriptions as description_files_reader, files
-from claimspark.sources.paths import base_name, file_system, one_task_each, open_stream
+from claimspark.sources.paths import base_name, exists, file_system, one_task_each, open_stream
 from workload import adapter as a, staging
 
 
@@ -124,11 +124,18 @@ def yearly_beneficiary_files(spark: SparkSession, sf: str) -> DataFrame:
     return type_columns(names.lower_names(names.standardize_columns(raw, "beneficiary")), keep=("year",))
 
 
+# (application, table folder) -> folder of the archives made in this session
+_POLICY_ARCHIVES: dict[tuple[str, str], str] = {}
+
+
 def policy_archives(spark: SparkSession, sf: str) -> str:
     """Folder with the policy tables as CSV in parts of nested ZIPs.
 
     A part holds a stretch of each table's positions, or of the hashes of its rows where positions do not matter.
     """
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _POLICY_ARCHIVES and exists(spark, _POLICY_ARCHIVES[key]):
+        return _POLICY_ARCHIVES[key]
     folder = scratch_path(spark, "policy-zip")
     members = []
     for kind, tables in staging.coverage_tables(spark, sf).items():
@@ -146,13 +153,14 @@ def policy_archives(spark: SparkSession, sf: str) -> str:
                 number = base_name(file).removesuffix(".csv")
                 members.append((f"{folder}/{archive.removesuffix('.zip')}.part-{number}.zip", bundle, f"tables/{name}.csv", file))
     pack(spark, members)
+    _POLICY_ARCHIVES[key] = folder
     return folder
 
 
 def nested_zip_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Policy matches for all observed codes, from nested ZIPs landed as the coverage job does."""
     folder = policy_archives(spark, sf)
-    tables = coverage_build.land_policy_tables(spark, folder, f"{folder}/landed")
+    tables = coverage_build.land_policy_tables(spark, folder, scratch_path(spark, "policy-landed"))
     return coverage.policy_matches(tables, staging.codes(spark, sf), F.lit(a.AS_OF))
 
 

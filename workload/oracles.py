@@ -7,7 +7,7 @@ it checks the text round trip and the closed-form peer figures independently.
 from __future__ import annotations
 
 from claimspark.functions import fixed
-from workload import extended, file_layer, jobs
+from workload import extended, file_layer, jobs, whole as whole_outputs
 from workload.sql_lines import CLAIMS, CODE, DEC, KIND, LINES
 
 PROCEDURE_STATS = f"""
@@ -505,6 +505,7 @@ ORACLES["peer_groups"] = f"""{WITH_LINES}, {PROVIDERS}, places AS (
     FROM pairs p LEFT JOIN best USING (provider_id, procedure_code)"""
 ORACLES |= {f.__name__: ORACLES[same] for f, same in file_layer.SAME_AS.items()}
 ORACLES |= jobs.oracles(ORACLES)
+ORACLES |= whole_outputs.oracles(SUPPLIERS, ONE, index_rows())
 
 
 def _forest_sql(trees: int = 100, per_tree: int = 256, seed: int = 42, depth_limit: int = 8) -> str:

@@ -13,7 +13,7 @@ from claimspark.operators import (
 from claimspark.operators.claim_lines import lines_with_code
 from claimspark.operators.normalize import type_columns
 from claimspark.sources import files
-from workload import adapter as a, extended, file_layer, jobs, staging
+from workload import adapter as a, extended, file_layer, jobs, staging, whole
 
 
 
@@ -388,3 +388,5 @@ QUERIES |= {f.__name__: f for f in file_layer.SAME_AS}
 QUERIES |= extended.QUERIES
 
 QUERIES |= jobs.QUERIES
+
+QUERIES |= whole.QUERIES
