@@ -1,14 +1,16 @@
 """Nearest neighbours in a forest of hash prefixes.
 
-Every tree gives a vector a long hash string: one symbol after another, each the axis (with its sign) that is nearest
-to the vector after a random rotation. A tree is the sorted array of its strings; the vectors under a prefix are a range
-of it. Vectors are dealt into bands of about equal norm, as long ones would push the strings of all others together.
-A query starts at its whole string in every tree and ascends in all trees at once, one symbol at a time and in each
-band for itself, until the ranges of its prefixes hold enough candidates of the band; if the first symbol is not
-enough it meets all vectors of the band.
-Range lengths come from counting the prefixes that queries have. Prefixes are dealt to tasks in blocks of rows by
-blocks of queries, so that one with very many vectors is shared among tasks; there every candidate is scored
-on the original vectors.
+Every tree gives a vector a long string of bits: on which side of random planes it lies. A tree is the sorted array of its
+strings, cut into stretches of some thousand neighbours by their first bits, and the vectors under a prefix are a range of
+it. A query descends to the place of its own string in a few trees, where the longest common prefixes are, and then ascends in
+all trees at once. How far follows from what it has found: two vectors at an angle share a bit with a known chance, so with
+its ``k``-th best score so far a query knows at which depth a better vector would be missed by all trees with
+a chance below ``miss``. It ascends twice: first with a high chance, which makes the ``k``-th best score a good bound, then
+with the wanted one. Among clusters it stops deep with few candidates; where vectors lie anywhere it must climb, and
+no count or share of the table is given. Vectors are dealt into bands of about equal norm, as the largest inner
+product is the smallest angle only among those; bands that cannot reach the bound are not visited.
+Stretches hold vectors in half precision, whose error is bounded: they only discard what cannot be among the best,
+the rest is scored on the original vectors.
 """
 
 from __future__ import annotations
@@ -19,167 +21,369 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from claimspark.llm.common import bucketed
 from claimspark.session import materialise
 
-TREES = 56
-SYMBOLS = 4
-MIN_CANDIDATES = 3000  # over all trees, repeats counted
-CANDIDATE_SHARE = 1 / 16  # of all vectors; keeps the recall where it was measured as the table grows
+TREES = 64
+BITS = 48  # of a string
+MISS = 0.08  # chance that a tree for tree search misses one of the k nearest
+FIRST_MISS = 0.6  # of the first ascent
+FIRST_TREES = 8  # of the descent
+NEAR = 8  # neighbours in the sorted array, each way
 BAND_RATIO = 1.1  # between the longest and the shortest norm of a band
-BAND_CANDIDATES = 1000  # of each band at least; the nearest may all be in a small band of long vectors
+BANDS = 64  # the last one holds all that is shorter
 BLOCK_ROWS = 4096
-BLOCK_QUERIES = 2048
-_ROOT = 0  # name of the empty prefix, before the band is added
+BLOCK_QUERIES = 65_536
 
+FOUND = "row long, entry long, low double, high double"
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v`` of the rows that take part: not NULL, finite, not zero, of the most frequent length."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.filter(finite & F.exists("v", lambda x: x != 0))
-    usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).first()
-    return rows.filter(F.size("v") == (usual["n"] if usual else 0))
 
+def _number(df: DataFrame, column: str) -> np.dtype:
+    """Type in which the components of a vector column are kept."""
+    return np.dtype(np.float32 if df.schema[column].dataType.elementType.typeName() == "float" else np.float64)
 
-def hash_strings(vectors: np.ndarray, longest: float | np.ndarray, queries: bool, trees: int, symbols: int, seed: int) -> np.ndarray:
-    """Bytes by vector, tree and symbol.
 
-    Rows get one more component that brings them to the norm ``longest`` of their band, queries none: then the
-    largest inner product is the smallest angle among rows of the same band.
-    """
-    largest = np.abs(vectors).max(axis=1)
-    norms = largest * np.linalg.norm(vectors / largest[:, None], axis=1)
-    if queries:
-        points = np.c_[vectors / norms[:, None], np.zeros(len(vectors))]
-    else:
-        points = np.c_[vectors / np.reshape(longest, (-1, 1)), np.sqrt(np.maximum(0.0, 1 - (norms / longest) ** 2))]
-    points[points[:, -1] <= 1e-3, -1] = 0  # rounding
-    draw = np.random.default_rng(seed)
-    size = points.shape[1]
-    out = np.empty((len(points), trees, symbols), np.uint16)
-    for t in range(trees):
-        for s in range(symbols):
-            turned = points @ np.linalg.qr(draw.normal(size=(size, size)))[0]
-            axis = np.abs(turned).argmax(axis=1)
-            out[:, t, s] = 2 * axis + (turned[np.arange(len(points)), axis] > 0)
-    return out
-
-
-def log_norm(vector: str) -> Column:
-    """Natural logarithm of the norm of a vector that is not zero."""
-    largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
-    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + F.pow(x.cast("double") / largest, F.lit(2.0)))
-    return F.log(largest) + F.log(squares) / 2
-
-
-def _strings(rows: DataFrame, longest: dict[int, float] | None, trees: int, symbols: int, seed: int) -> DataFrame:
-    """``rows`` with ``codes``: the hash string of each tree as hexadecimal, four digits a symbol.
-
-    ``longest`` has the longest norm of each band; without it ``rows`` are queries, whose band is not used.
+def usable(vectors: DataFrame, id_col: str, vector_col: str, kind: np.dtype) -> DataFrame:
+    """``id, v, norm`` of the rows that take part: not NULL, finite, not zero; ``v`` as bytes, ``norm`` as its logarithm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, cells, norms = [], [], []
+            for key, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = cell.values
+                if key is None or values is None or not len(values) or values.null_count:
+                    continue
+                v = values.to_numpy(zero_copy_only=False).astype(kind) + 0  # the two zeros are one
+                largest = float(np.abs(v).max())
+                if 0 < largest < np.inf:
+                    ids.append(key)
+                    cells.append(v.astype(kind).tobytes())
+                    norms.append(float(np.log(largest) + np.log(np.linalg.norm(v.astype(np.float64) / largest))))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cells, pa.binary()), pa.array(norms, pa.float64())], ["id", "v", "norm"])
+
+    return vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(run, "id long, v binary, norm double")
+
+
+def _norms(v: np.ndarray) -> np.ndarray:
+    largest = np.abs(v).max(axis=1)
+    return largest * np.linalg.norm(v / largest[:, None], axis=1)
+
+
+class Planes:
+    """Random planes of all trees; the same for the same seed."""
+
+    def __init__(self, size: int, trees: int, bits: int, seed: int):
+        self.trees, self.bits = trees, bits
+        self.normals = np.random.default_rng(seed).normal(size=(size + 1, trees * bits))
+        self.weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+
+    def strings(self, points: np.ndarray) -> np.ndarray:
+        """Bit strings by point and tree, as whole numbers that sort like them."""
+        out = np.empty((len(points), self.trees), np.int64)
+        for a in range(0, len(points), 512):
+            sides = (points[a : a + 512] @ self.normals > 0).reshape(-1, self.trees, self.bits)
+            out[a : a + 512] = sides @ self.weights
+        return out
+
+
+def row_points(v: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """Rows on the unit sphere: one more component brings them to the longest norm of their band."""
+    norms = _norms(v)
+    rest = np.sqrt(np.maximum(0.0, 1 - (norms / longest) ** 2))
+    rest[rest <= 1e-3] = 0  # rounding
+    return np.c_[v / longest[:, None], rest]
+
+
+def query_points(v: np.ndarray) -> np.ndarray:
+    return np.c_[v / _norms(v)[:, None], np.zeros(len(v))]
+
+
+def ascent(cosine: np.ndarray, trees: int, bits: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """``depth, deep``: the first ``deep`` trees are entered at ``depth``, the others one bit below it.
+
+    That is the deepest place where a vector at that cosine of the query is missed by all trees with a chance of at most ``miss``. Depth 0
+    is the root, in one tree as it holds all; also where the prefixes of all trees would hold more rows than that.
     """
+    share = 1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi
+    with np.errstate(divide="ignore", invalid="ignore"):
+        missed = np.log1p(-(share[:, None] ** np.arange(bits + 1)))  # by one tree at each depth
+        missed = np.c_[missed, np.zeros(len(share))]
+        depth = bits - np.argmax((trees * missed[:, bits::-1] <= np.log(miss)), axis=1)
+        at, below = missed[np.arange(len(share)), depth], missed[np.arange(len(share)), depth + 1]
+        needed = np.where(np.isinf(at), 1, np.ceil((np.log(miss) - trees * below) / (at - below)))
+    needed = np.clip(needed, 1, trees).astype(int)
+    work = needed * 0.5**depth + np.where(depth < bits, trees - needed, 0) * 0.5 ** (depth + 1.0)
+    root = (work >= 1) | (depth == 0)
+    return np.where(root, 0, depth), np.where(root, 1, needed)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, kind) -> np.ndarray:
+    """Binary cells of one length as a matrix."""
+    cells = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
+    offsets = np.frombuffer(cells.buffers()[1], np.int64)[cells.offset : cells.offset + len(cells) + 1]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(cells.buffers()[2], kind, (offsets[-1] - offsets[0]) // size, offsets[0]).reshape(len(cells), -1)
+
+
+def _binary(matrix: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in matrix], pa.binary())
+
+
+STRETCH = "cell long, tree int, codes binary, entries binary, only binary, single binary, half binary"
+
+
+def sort_stretch(strings: pa.Table) -> pa.Table:
+    """One row: the strings of a stretch in order, and in the same order what belongs to them."""
+    codes = strings["code"].to_numpy()
+    order = np.argsort(codes, kind="stable")
+    only = strings["only"].combine_chunks()
+    parts = [
+        codes[order], strings["entry"].to_numpy()[order], only.fill_null(0).to_numpy()[order],
+        only.is_valid().to_numpy(zero_copy_only=False)[order], _matrix(strings["half"], np.float16)[order],
+    ]
+    first = strings.slice(0, 1)
+    return pa.table([first["cell"], first["tree"], *[pa.array([part.tobytes()], pa.binary()) for part in parts]], names=[c.split()[0] for c in STRETCH.split(", ")])
+
+
+def search_stretch(stretch: pa.Table, visits: pa.Table, k: int, bits: int, error: float) -> pa.Table:
+    """What the queries that visit a stretch find in their ranges of it, without what cannot be among the ``k`` best."""
+    schema = pa.schema([("row", pa.int64()), ("entry", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+    if not len(stretch) or not len(visits):
+        return schema.empty_table()
+    code, entry, only, is_single = (
+        np.frombuffer(stretch[c][0].as_buffer(), kind) for c, kind in (("codes", np.int64), ("entries", np.int64), ("only", np.int64), ("single", bool))
+    )
+    half = np.frombuffer(stretch["half"][0].as_buffer(), np.float16).reshape(len(code), -1).astype(np.float32)
+    asked, ids, bound = (visits[c].to_numpy() for c in ("row", "id", "bound"))
+    unit, own = _matrix(visits["unit"], np.float32), visits["code"].to_numpy()
+    depth, longest = visits["depth"].to_numpy().astype(np.int64), float(visits["longest"][0].as_py())
+    at, prefix = np.searchsorted(code, own), own >> np.maximum(bits - depth, 0)
+    descent = depth < 0
+    low = np.where(descent, np.maximum(at - NEAR, 0), np.searchsorted(code, prefix << np.maximum(bits - depth, 0)))
+    high = np.where(descent, np.minimum(at + NEAR, len(code)), np.searchsorted(code, (prefix + 1) << np.maximum(bits - depth, 0)))
+    least = bound / longest - error
+
+    turns = np.lexsort((high, low))
+    edges = np.flatnonzero(np.r_[True, (np.diff(low[turns]) != 0) | (np.diff(high[turns]) != 0), True])
+    found = []
+    for a, b in zip(edges[:-1], edges[1:]):
+        l, h = low[turns[a]], high[turns[a]]
+        if l >= h:
+            continue
+        for start in range(a, b, 1024):
+            group = turns[start : min(b, start + 1024)]
+            scores = (unit[group] @ half[l:h].T).astype(np.float64)
+            scores[is_single[None, l:h] & (only[None, l:h] == ids[group, None])] = -np.inf
+            floor = least[group]
+            if h - l > k:
+                floor = np.maximum(floor, np.partition(scores, h - l - k, axis=1)[:, h - l - k] - 2 * error)
+            q, e = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+            found.append((asked[group[q]], entry[l + e], scores[q, e]))
+    if not found:
+        return schema.empty_table()
+    rows, entries, scores = (np.concatenate(part) for part in zip(*found))
+    return pa.table([rows, entries, (scores - error) * longest, (scores + error) * longest], schema=schema)
+
+
+class Forest:
+    """The sorted arrays of all trees over the distinct vectors of ``vectors``."""
+
+    def __init__(self, vectors: DataFrame, k: int, id_col: str, vector_col: str, trees: int, bits: int, seed: int, block_rows: int):
+        self.k, self.trees, self.bits, self.seed, self.block_rows = k, trees, bits, seed, block_rows
+        self.kind = _number(vectors, vector_col)
+        rows = materialise(usable(vectors, id_col, vector_col, self.kind), "ann-rows")
+        usual = rows.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).first()
+        self.size = usual["n"] // self.kind.itemsize if usual else 0
+        rows = self.sized(rows)
+        # Of equal vectors the k + 1 smallest ids can be among the k best of a query that has one of them itself.
+        place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+        first = rows.distinct().withColumn("place", place).filter(F.col("place") <= k + 1)
+        entries = first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("norm").alias("norm"))
+        self.entries = materialise(entries.select("*", F.monotonically_increasing_id().alias("entry")), "ann-entries")
+        top = self.entries.agg(F.max("norm")).first()[0] or 0.0
+        band = F.least(F.lit(BANDS), F.floor((F.lit(top) - F.col("norm")) / float(np.log(BAND_RATIO)) + 0.5)).cast("int")
+        dealt = self.entries.withColumn("band", band)
+        # At most BANDS + 1 rows: a band's longest norm, and how many first bits make a stretch of it.
+        found = dealt.groupBy("band").agg(F.count("*").alias("rows"), F.exp(F.max("norm")).alias("longest")).collect()
+        cut = {r["band"]: min(bits, max(0, int(np.ceil(np.log2(r["rows"] / block_rows))))) for r in found}
+        self.bands = [(r["band"], r["longest"], cut[r["band"]]) for r in sorted(found, key=lambda r: r["band"])]
+        self.error = 2**-11 + self.size**0.5 * 2**-25 + self.size * 2**-23  # of a score in half precision, over the norms
+        self._store(dealt)
+
+    def sized(self, rows: DataFrame) -> DataFrame:
+        return rows.filter(F.length("v") == self.size * self.kind.itemsize)
+
+    def _store(self, dealt: DataFrame) -> None:
+        size, trees, bits, seed, kind = self.size, self.trees, self.bits, self.seed, self.kind
+        longest, cut = {b: m for b, m, _ in self.bands}, {b: c for b, _, c in self.bands}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            planes = Planes(size, trees, bits, seed)
+            for batch in batches:
+                if not len(batch):
+                    continue
+                bands, v = batch.column(1).to_pylist(), _matrix(batch.column(3), kind).astype(np.float64)
+                points = row_points(v, np.array([longest[b] for b in bands]))
+                codes = pa.array(list(planes.strings(points)), pa.list_(pa.int64()))
+                halves = _binary(points[:, :-1].astype(np.float16))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array([cut[b] for b in bands], pa.int32()), batch.column(2), halves, codes],
+                    ["entry", "band", "cut", "only", "half", "codes"],
+                )
+
+        only = F.when(F.size("ids") == 1, F.element_at("ids", 1)).alias("only")
+        schema = "entry long, band int, cut int, only long, half binary, codes array<long>"
+        hashed = materialise(dealt.select("entry", "band", only, "v").mapInArrow(run, schema), "ann-strings")
+        stretch = F.expr(f"shiftright(code, {bits} - cut)").alias("stretch")
+        strings = hashed.select("entry", "band", "cut", "only", "half", F.posexplode("codes").alias("tree", "code"))
+        strings = strings.select("*", stretch)
+        # Stretches that their first bits leave too long, as vectors crowd there, are dealt into blocks.
+        counts = hashed.select("band", "cut", F.posexplode("codes").alias("tree", "code")).select("band", "tree", stretch)
+        counts = counts.groupBy("band", "tree", "stretch").agg(F.count("*").alias("rows")).filter(F.col("rows") > 2 * self.block_rows)
+        self.crowded = materialise(counts.select("band", "tree", "stretch", F.ceil(F.col("rows") / self.block_rows).cast("int").alias("blocks")), "ann-crowded")
+        strings = strings.join(self.crowded, ["band", "tree", "stretch"], "left")
+        block = F.coalesce(F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"), F.lit(0)).alias("block")
+        strings = strings.select("*", block).select(self._cell(), "tree", "code", "entry", "only", "half")
+        self.index = bucketed(strings.groupBy("cell").applyInArrow(sort_stretch, STRETCH), "ann-index", "cell", dealt=True)
+
+    @staticmethod
+    def _cell() -> Column:
+        return F.xxhash64("band", "tree", "stretch", "block").alias("cell")
+
+    def hashed(self, asked: DataFrame) -> DataFrame:
+        """``row, id, unit, codes`` of the queries ``row, id, v``."""
+        size, trees, bits, seed, kind = self.size, self.trees, self.bits, self.seed, self.kind
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            planes = Planes(size, trees, bits, seed)
+            for batch in batches:
+                if not len(batch):
+                    continue
+                points = query_points(_matrix(batch.column(2), kind).astype(np.float64))
+                codes = pa.array(list(planes.strings(points)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), _binary(points[:, :-1].astype(np.float32)), codes], ["row", "id", "unit", "codes"]
+                )
+
+        return asked.select("row", "id", "v").mapInArrow(run, "row long, id long, unit binary, codes array<long>")
+
+    def visits(self, asked: DataFrame, miss: float | None, only_trees: int | None = None) -> DataFrame:
+        """Where the queries ``row, id, unit, codes, bound`` go: one row per tree and band, without ``miss`` for the descent."""
+        bands, trees, bits = self.bands, self.trees, self.bits
+        step = max(1, 16_384 // (trees * max(1, len(bands))))
+
+        def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, len(batch), step):
+                    part = batch.slice(start, step)
+                    codes = np.array(part.column(3).flatten(), np.int64).reshape(len(part), -1)
+                    bound = np.array(part.column(4).fill_null(-np.inf), np.float64)
+                    for band, longest, cut in bands:
+                        reach = np.flatnonzero(bound <= longest * (1 + 1e-9))
+                        if miss is None:
+                            depths = np.full((len(reach), trees), -1)
+                            use = np.broadcast_to(np.arange(trees) < only_trees, depths.shape)
+                        else:
+                            depth, deep = ascent(bound[reach] / longest, trees, bits, miss)
+                            first = np.arange(trees) < deep[:, None]
+                            depths = np.where(first, depth[:, None], depth[:, None] + 1)
+                            use = first | ((depth[:, None] > 0) & (depths <= bits))
+                        q, tree = np.nonzero(use)
+                        taken = part.take(pa.array(reach[q]))
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                taken.column(0), taken.column(1), taken.column(2), pa.array(bound[reach[q]]), pa.array(np.full(len(q), band, np.int32)),
+                                pa.array(np.full(len(q), longest)), pa.array(np.full(len(q), cut, np.int32)), pa.array(tree.astype(np.int32)),
+                                pa.array(codes[reach[q], tree]), pa.array(depths[q, tree].astype(np.int32)),
+                            ],
+                            ["row", "id", "unit", "bound", "band", "longest", "cut", "tree", "code", "depth"],
+                        )
+
+        schema = "row long, id long, unit binary, bound double, band int, longest double, cut int, tree int, code long, depth int"
+        places = asked.select("row", "id", "unit", "codes", "bound").mapInArrow(plan, schema)
+        # A prefix shorter than those of the stretches covers several of them.
+        short = F.when(F.col("depth") >= 0, F.greatest(F.col("cut") - F.col("depth"), F.lit(0))).otherwise(F.lit(0))
+        many = F.expr("shiftleft(1L, short)")
+        start = F.expr(f"shiftleft(shiftright(code, {bits} - cut + short), short)")
+        places = places.withColumn("short", short).withColumn("stretch", F.explode(F.sequence(start, start + many - 1)))
+        places = places.join(self.crowded, ["band", "tree", "stretch"], "left")
+        places = places.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        return places.select(self._cell(), "row", "id", "unit", "bound", "longest", "code", "depth")
+
+    def search(self, visits: DataFrame, only_trees: int | None = None) -> DataFrame:
+        """``row, entry, low, high``: bounds of the scores of what may be among the best of a query, over its norm."""
+        index = self.index if only_trees is None else self.index.filter(F.col("tree") < only_trees)
+        k, bits, error = self.k, self.bits, self.error
+
+        def run(stretch: pa.Table, asked: pa.Table) -> pa.Table:
+            return search_stretch(stretch, asked, k, bits, error)
+
+        visits = materialise(visits, "ann-visits")
+        busiest = visits.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+        turns = max(1, -(-busiest // BLOCK_QUERIES))  # more than one only where very many queries crowd
+        found = []
+        for turn in range(turns):
+            own = visits.filter(F.pmod(F.xxhash64("row"), F.lit(turns)) == turn)
+            found.append(index.groupBy("cell").cogroup(own.groupBy("cell")).applyInArrow(run, FOUND))
+        out = found[0]
+        for part in found[1:]:
+            out = out.unionByName(part)
+        return _best(out)
+
+
+def _best(found: DataFrame) -> DataFrame:
+    return found.groupBy("row", "entry").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+
+
+def _bounds(found: DataFrame, k: int) -> DataFrame:
+    """``row, bound``: the ``k``-th best score that a query has for sure."""
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("low")))
+    best = found.withColumn("place", place).filter(F.col("place") <= k)
+    return best.groupBy("row").agg(F.count("*").alias("n"), F.min("low").alias("bound")).filter(F.col("n") == k).select("row", "bound")
+
+
+def scores(pairs: DataFrame, kind: np.dtype) -> DataFrame:
+    """``query_id, ids, score`` of ``query_id, ids, v, other``: double products, summed for each pair in the same way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            v = np.array(batch.column(1).flatten(), np.float64).reshape(len(batch), -1)
-            norms = 1.0 if longest is None else np.array([longest[b] for b in batch.column(2).to_pylist()])
-            codes = hash_strings(v, norms, longest is None, trees, symbols, seed).astype(">u2")
-            texts = [[c.tobytes().hex() for c in row] for row in codes]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.list_(pa.string()))], ["id", "v", "band", "codes"])
-
-    return rows.select("id", "v", "band").mapInArrow(run, rows.select("id", "v", "band").withColumn("codes", F.array().cast("array<string>")).schema)
-
-
-def _nearest(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int):
-    """The ``k`` largest inner products of each query with other ids: query, id, score."""
-    (q_ids, q), (ids, v) = queries, rows
-    order = np.argsort(ids, kind="stable")
-    ids, v = ids[order], v[order]
-    firsts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else order
-    for a in range(0, len(q_ids) if len(ids) else 0, 256):
-        scores = q[a : a + 256] @ v.T
-        scores[q_ids[a : a + 256, None] == ids[None, :]] = -np.inf
-        if len(firsts) < len(ids):
-            scores = np.maximum.reduceat(scores, firsts, axis=1)
-        take = min(k, len(firsts))
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :take]
-        values = np.take_along_axis(scores, best, 1)
-        keep = np.isfinite(values)
-        yield np.repeat(q_ids[a : a + 256], keep.sum(axis=1)), ids[firsts][best][keep], values[keep]
+            if len(batch):
+                v, other = (_matrix(batch.column(i), kind).astype(np.float64) for i in (2, 3))
+                with np.errstate(over="ignore", invalid="ignore"):
+                    sums = (v * other).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums)], ["query_id", "ids", "score"])
+
+    return pairs.mapInArrow(run, "query_id long, ids array<long>, score double")
 
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES,
-    symbols: int = SYMBOLS, min_candidates: int = MIN_CANDIDATES, share: float = CANDIDATE_SHARE, seed: int = 1,
-    block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, band_candidates: int = BAND_CANDIDATES,
+    bits: int = BITS, miss: float = MISS, seed: int = 1, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: up to ``k`` nearest of each query by inner product, ties to the smaller id.
 
-    Vectors that are NULL, zero or have NULL or non-finite components, and those whose length is not the most frequent
-    one, take no part; neither do rows with NULL ids. A query does not meet rows with its own id. Of rows that
-    repeat an id the best counts. Scores are sums of double products of the original vectors. Other columns are
-    ignored; an empty table gives an empty result. All rows are indexed; nothing is fitted to a sample.
+    Each of the true ``k`` nearest is among them with a chance of at least ``1 - miss``, whatever the data; queries with fewer than ``k``
+    candidates meet them all. Vectors that are NULL, zero or have NULL or non-finite components, and those whose length is not the most
+    frequent one, take no part; neither do rows with NULL ids. A query does not meet rows with its own id. Of rows that
+    repeat an id the best counts. Scores are sums of double products of the original vectors, taken for each pair in the same way, so
+    equal vectors tie; a sum that is not a number ranks last. Other columns are ignored; an empty table gives an empty
+    result. All rows are indexed; nothing is fitted to a sample.
     """
-    band = F.floor(log_norm("v") / F.log(F.lit(BAND_RATIO)) + 0.5).cast("int")  # equal norms of 1 are inside a band, not at its border
-    rows = materialise(usable(vectors, id_col, vector_col).withColumn("band", band), "ann-rows")
-    asked = usable(queries, id_col, vector_col).withColumn("band", F.lit(0))
-    bands = rows.groupBy("band").agg(F.count("*").alias("rows"), F.exp(F.max(log_norm("v"))).alias("longest")).collect()  # few: norms by powers
-    count = sum(b["rows"] for b in bands)
-    enough = max(min_candidates, int(share * count))
-    # A band's part of the candidates; a small band gives more than its part.
-    needs = [(b["band"], max(min(band_candidates, enough), -(-enough * b["rows"] // count))) for b in bands]
-    row = F.monotonically_increasing_id().alias("row")  # numbered once: the tables are written before they are used
-    rows = materialise(_strings(rows, {b["band"]: b["longest"] for b in bands}, trees, symbols, seed).select("*", row), "ann-index")
-    asked = materialise(_strings(asked, None, trees, symbols, seed).select("*", row).drop("band"), "ann-queries")
-
-    def prefixes(df: DataFrame, depths: list[int], *own: str) -> DataFrame:
-        """One row per tree and depth. A prefix is named by its hash: two in one only add candidates."""
-        out = df.select("row", *own, F.posexplode("codes").alias("tree", "code")).withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
-        return out.select("row", *own, F.xxhash64("tree", F.substring("code", F.lit(1), F.col("depth") * 4)).alias("prefix"), "depth")
-
-    in_band = F.xxhash64("prefix", "band").alias("prefix")
-    every = list(range(1, symbols + 1))
-    wanted = prefixes(asked, every)
-    lengths = prefixes(rows, every, "band").groupBy("prefix", "band").agg(F.count("*").alias("rows"))
-    ranges = wanted.join(lengths, "prefix").groupBy("row", "band", "depth").agg(F.sum("rows").alias("rows"))
-    needed = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(n).cast("long").alias("enough")) for b, n in needs]).cast("array<struct<band:int,enough:long>>"))
-    needed = asked.select("row", needed.alias("need")).select("row", "need.band", "need.enough")
-    stops = ranges.join(needed, ["row", "band"], "right").groupBy("row", "band").agg(
-        F.coalesce(F.max(F.when(F.col("rows") >= F.col("enough"), F.col("depth"))), F.lit(0)).alias("stop")
-    )
-    # The prefixes at which queries stop; depth 0 is the root, in one tree only as it holds every vector.
-    root = asked.select("row", F.lit(_ROOT).cast("long").alias("prefix"), F.lit(0).alias("depth"))
-    visits = wanted.unionByName(root).distinct().join(stops, "row").filter("depth = stop").select("row", in_band, "stop")
-    visits = materialise(visits, "ann-visits")
-    used = visits.groupBy("prefix").agg(F.count("*").alias("queries"))
-    depths = sorted(r["stop"] for r in visits.select("stop").distinct().collect())  # at most one per symbol, and the root
-    places = rows.select("row", "band", F.lit(_ROOT).cast("long").alias("prefix")).filter(F.lit(0 in depths))
-    if any(depths):
-        places = places.unionByName(prefixes(rows, [d for d in depths if d], "band").drop("depth"))
-    places = places.select("row", in_band)
-    places = places.join(used.select("prefix"), "prefix", "left_semi")
-    sizes = places.groupBy("prefix").agg(F.count("*").alias("rows")).join(used, "prefix").select(
-        "prefix", F.ceil(F.col("rows") / block_rows).cast("int").alias("row_blocks"), F.ceil(F.col("queries") / block_queries).cast("int").alias("query_blocks")
-    )
-    sizes = materialise(sizes, "ann-sizes")
-
-    def dealt(df: DataFrame, source: DataFrame, own: str, other: str, kind: int) -> DataFrame:
-        out = df.join(sizes, "prefix").withColumns({
-            own: F.pmod(F.xxhash64("row", F.lit("block")), F.col(own + "s")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)),
-        })
-        return out.join(source.select("row", "id", "v"), "row").select(F.xxhash64("prefix", "row_block", "query_block").alias("cell"), F.lit(kind).alias("kind"), "id", "v")
-
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def search(table: pa.Table) -> pa.Table:
-        kind, ids = table["kind"].to_numpy(), table["id"].to_numpy()
-        v = np.array(table["v"].combine_chunks().flatten(), np.float64).reshape(len(table), -1)
-        found = list(_nearest((ids[kind == 1], v[kind == 1]), (ids[kind == 0], v[kind == 0]), k))
-        return pa.table([np.concatenate([f[i] for f in found]) if found else [] for i in range(3)], schema=schema)
-
-    cells = dealt(places, rows, "row_block", "query_block", 0).unionByName(dealt(visits, asked, "query_block", "row_block", 1))
-    found = cells.groupBy("cell").applyInArrow(search, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    forest = Forest(vectors, k, id_col, vector_col, trees, bits, seed, block_rows)
+    asked = forest.sized(usable(queries, id_col, vector_col, forest.kind)).select("id", "v").distinct()
+    asked = materialise(asked.select("*", F.monotonically_increasing_id().alias("row")), "ann-queries")
+    hashed = materialise(forest.hashed(asked), "ann-query-strings")
+    found, bound = None, hashed.select("row", F.lit(None).cast("double").alias("bound")).limit(0)
+    for chance in (None, FIRST_MISS, miss):
+        few = min(trees, FIRST_TREES) if chance is None else None
+        new = forest.search(forest.visits(hashed.join(bound, "row", "left"), chance, few), few)
+        found = materialise(new if found is None else _best(found.unionByName(new)), "ann-found")
+        bound = _bounds(found, k)
+    pairs = found.join(bound, "row", "left").filter("bound is null or high >= bound").select("row", "entry")
+    pairs = pairs.join(forest.entries.select("entry", F.col("v").alias("other"), "ids"), "entry")
+    pairs = pairs.join(asked.select("row", F.col("id").alias("query_id"), "v"), "row")
+    scored = scores(pairs.select("query_id", "ids", "v", "other"), forest.kind).select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+    best = scored.groupBy("query_id", "vec_id").agg(F.max(F.when(~F.isnan("score"), F.col("score"))).alias("ranked"), F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("ranked"), "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", F.coalesce("ranked", "score").alias("score"))

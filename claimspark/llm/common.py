@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from claimspark.session import scratch_path
+
 # White space is the blank and the controls 9 to 13, a word is any other run of characters.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -22,3 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """Tasks a shuffle is dealt to; a guide for the number of pieces of a hot key, never part of a result."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, name: str, key: str, *order: str, dealt: bool = False) -> DataFrame:
+    """``df`` written once in the shared folder, dealt by ``key`` and sorted; joins and groups on ``key`` do not move it again.
+
+    ``dealt`` says that a group-by on ``key`` has dealt the rows already.
+    """
+    spark = df.sparkSession
+    count, table_name = partitions(spark), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = (df if dealt else df.repartition(count, key)).write.bucketBy(count, key).sortBy(key, *order)
+    writer.option("path", scratch_path(spark, name)).saveAsTable(table_name)
+    return spark.table(table_name)
