@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimspark.functions.names import is_date_name, is_number_name, lower_names, standardize_columns
-from claimspark.functions.text import clean_text, parse_date, parse_number
+from claimspark.functions.text import clean_text, parse_day, parse_number, without_time
+
+
+def prepared_text(name: str, value: Column) -> Column:
+    """Stripped cell; dates without their time of day."""
+    text = clean_text(value)
+    return without_time(text) if is_date_name(name) else text
 
 
 def typed_value(name: str, text: Column) -> Column:
-    """Typed form of a stripped cell; an unreadable cell becomes NULL."""
+    """Typed form of a prepared cell; an unreadable cell becomes NULL."""
     if is_date_name(name):
-        return parse_date(text)
+        return parse_day(text)
     if is_number_name(name):
         return parse_number(text)
     return text
@@ -20,11 +26,11 @@ def typed_value(name: str, text: Column) -> Column:
 def type_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Type every column but those in ``keep``.
 
-    Cells are stripped in a projection of their own, so that each is stripped once however often
+    Cells are prepared in a projection of their own, so that each is prepared once however often
     the typing rules look at it.
     """
     stripped = df.select(
-        *[F.col(c) if c in keep else clean_text(F.col(c).cast("string")).alias(c) for c in df.columns]
+        *[F.col(c) if c in keep else prepared_text(c, F.col(c).cast("string")).alias(c) for c in df.columns]
     )
     return stripped.select(*[F.col(c) if c in keep else typed_value(c, F.col(c)).alias(c) for c in df.columns])
 

@@ -14,8 +14,7 @@ from claimspark.functions.names import (
     canonical_column, is_code_column, is_date_name, is_number_name, missing_columns,
 )
 from claimspark.functions.fixed import REQUIRED_COLUMNS
-from claimspark.functions.text import clean_text
-from claimspark.operators.normalize import typed_value
+from claimspark.operators.normalize import prepared_text, typed_value
 
 FILE = "source_file"
 REPORT_COLUMNS = ["source_file", "source_type", "metric", "field", "value"]
@@ -53,7 +52,7 @@ def profile_columns(df: DataFrame, source_type: str) -> DataFrame:
     tags = [c for c in (FILE, "year") if c in df.columns]
     stripped = df.select(
         *tags,
-        *[clean_text(F.col(c)).alias(n) for c, n in names.items()],
+        *[prepared_text(n, F.col(c)).alias(n) for c, n in names.items()],
         *[F.col(c).alias(f"_raw_{c}") for c in filter(is_code_column, names)],
     )
     return stripped.select(
@@ -154,9 +153,9 @@ def quality_report(df: DataFrame, source_type: str, file_sizes: DataFrame | None
     return long_report(profile, df, source_type)
 
 
-def null_counts(df: DataFrame, source_type: str) -> DataFrame:
-    """``source_file, field, null_count, null_percentage`` for every typed column."""
-    profile = wide_profile(df, source_type)
+def null_counts(df: DataFrame, source_type: str, profile: DataFrame | None = None) -> DataFrame:
+    """``source_file, field, null_count, null_percentage`` for every typed column; ``profile`` is a kept ``wide_profile``."""
+    profile = profile if profile is not None else wide_profile(df, source_type)
     total = F.col("`row_count:`")
     cells = [
         F.struct(
@@ -170,10 +169,10 @@ def null_counts(df: DataFrame, source_type: str) -> DataFrame:
     return profile.select(FILE, F.inline(F.array(*cells)))
 
 
-def date_bounds(df: DataFrame, source_type: str) -> DataFrame:
-    """``source_file, field, date_min, date_max`` for the date columns that hold a date."""
+def date_bounds(df: DataFrame, source_type: str, profile: DataFrame | None = None) -> DataFrame:
+    """``source_file, field, date_min, date_max`` for the date columns that hold a date; ``profile`` is a kept ``wide_profile``."""
     fields = [n for n in _standard_names(df, source_type).values() if is_date_name(n)]
-    profile = wide_profile(df, source_type)
+    profile = profile if profile is not None else wide_profile(df, source_type)
     cells = [
         F.struct(
             F.lit(n).alias("field"),
@@ -185,12 +184,13 @@ def date_bounds(df: DataFrame, source_type: str) -> DataFrame:
     return profile.select(FILE, F.inline(F.array(*cells))).filter(F.col("date_min").isNotNull())
 
 
-def cell_problems(df: DataFrame, source_type: str) -> DataFrame:
-    """``source_file, metric, field, rows``: unreadable dates and numbers, stray white space in codes."""
+def cell_problems(df: DataFrame, source_type: str, profile: DataFrame | None = None) -> DataFrame:
+    """``source_file, metric, field, rows``: unreadable dates and numbers, stray white space in codes; ``profile`` is a kept ``wide_profile``."""
     wanted = ("date_parse_failures", "numeric_parse_failures", "code_whitespace_rows")
     cells = [
         F.struct(F.lit(m.metric).alias("metric"), F.lit(m.field).alias("field"), F.col(f"`{m.alias}`").cast("long").alias("rows"))
         for m in quality_metrics(df, source_type)
         if m.metric in wanted
     ]
-    return wide_profile(df, source_type).select(FILE, F.inline(F.array(*cells)))
+    profile = profile if profile is not None else wide_profile(df, source_type)
+    return profile.select(FILE, F.inline(F.array(*cells)))

@@ -217,16 +217,20 @@ def _over_sources(spark, sf, build) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _over_profiles(spark, sf, build) -> DataFrame:
+    return _over_sources(spark, sf, lambda raw, kind: build(raw, kind, staging.wide_profile(spark, sf, kind)))
+
+
 def quality_nulls(spark, sf):
-    return _over_sources(spark, sf, quality.null_counts)
+    return _over_profiles(spark, sf, quality.null_counts)
 
 
 def quality_date_bounds(spark, sf):
-    return _over_sources(spark, sf, quality.date_bounds)
+    return _over_profiles(spark, sf, quality.date_bounds)
 
 
 def quality_parse_failures(spark, sf):
-    return _over_sources(spark, sf, quality.cell_problems)
+    return _over_profiles(spark, sf, quality.cell_problems)
 
 
 def quality_duplicates(spark, sf):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from claimspark.functions import fixed
-from claimspark.operators import anomaly, coverage, utilization
+from claimspark.operators import anomaly, coverage, quality, utilization
 from claimspark.operators.claim_lines import lines_with_code
 from claimspark.plans.coverage_build import table_names
 from claimspark.session import scratch_path
@@ -75,6 +75,15 @@ def coverage_tables(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, Dat
     }
 
 
+def wide_profile(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Profile of the raw files of a claim type, which the ingest job takes once for all its reports."""
+
+    def build() -> DataFrame:
+        return quality.wide_profile(adapter.raw_claims(adapter.claim_base(spark, sf_dir), kind, with_file=True), kind)
+
+    return staged(spark, sf_dir, f"profile-{kind}", build)
+
+
 def policy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         return coverage.policy_matches(coverage_tables(spark, sf_dir), codes(spark, sf_dir), F.lit(adapter.AS_OF))
