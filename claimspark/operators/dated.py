@@ -48,16 +48,18 @@ def versions_by_day(days: DataFrame, reference: DataFrame, keys: list[str], day:
     ranked = ["first_number", *order]
     periods = periods.groupBy(*keys, "first_number", "last_number", *order).agg(F.max(F.struct(*[c for c in payload if c not in order], *order)).alias("version"))
     pieces = periods.withColumn("piece", F.explode(dyadic_pieces())).select(*keys, *ranked, "last_number", "piece.level", "piece.run")
+    # A run keeps its best version and their number, so a day meets at most one row a level, however many periods hold it.
+    pieces = pieces.groupBy(*keys, "level", "run").agg(F.max(F.struct(*ranked, "last_number")).alias("best"), F.count("*").alias("versions"))
     levels = [r[0] for r in pieces.select("level").distinct().collect()]  # at most TOP_LEVEL + 1 numbers
     if not levels:
         levels = [0]
     number = day_number(F.col(day))
     runs = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(number, n).alias("run")) for n in sorted(levels)])
     probes = days.withColumn("piece", F.explode(runs)).select(*keys, day, "piece.level", "piece.run")
-    hits = probes.join(pieces, [*keys, "level", "run"])
-    best = hits.groupBy(*keys, day).agg(F.max(F.struct(*ranked, "last_number")).alias("best"), F.count("*").alias("versions_in_force"))
+    hits = probes.join(pieces.hint("merge"), [*keys, "level", "run"])
+    best = hits.groupBy(*keys, day).agg(F.max("best").alias("best"), F.sum("versions").alias("versions_in_force"))
     best = best.select(*keys, day, *[F.col(f"best.{c}").alias(c) for c in (*ranked, "last_number")], "versions_in_force")
-    chosen = best.join(periods, [*keys, *ranked, "last_number"])
+    chosen = best.join(periods.hint("merge"), [*keys, *ranked, "last_number"])
     return chosen.select(*keys, day, *[F.col(f"version.{c}").alias(c) for c in payload], "versions_in_force")
 
 
@@ -69,7 +71,8 @@ def join_dated(
     ``start`` and ``end`` are inclusive dates; NULL is open. Periods that end before they start are never in force. Where periods
     overlap, the one that starts last wins, then the one with the largest ``order`` columns; versions equal in these and in
     both dates count once. Lines without key, day or version keep NULLs and 0. Only distinct days of a key are
-    compared with periods; the lines then meet the result by key and day, hot keys split by a hash of ``by``.
+    compared with periods; the lines then meet the result by key and day, hot keys split by a hash of ``by``. Pieces, days and
+    salts are many times the rows that Spark's estimate for the reference is made from, so these joins are sort-merge joins, never broadcasts.
     """
     order = order or []
     own = [c for c in reference.columns if c not in keys]
@@ -78,7 +81,7 @@ def join_dated(
         raise ValueError(f"Columns in both tables: {sorted(clash)}")
     days = lines.select(*keys, day).dropna().distinct()
     versions = versions_by_day(days, reference.dropna(subset=keys), keys, day, start, end, order)
-    joined = salted_join(lines, versions, [*keys, day], by=by, how="left")
+    joined = salted_join(lines, versions.hint("merge"), [*keys, day], by=by, how="left")
     return joined.select(*lines.columns, *own, F.coalesce("versions_in_force", F.lit(0).cast("long")).alias("versions_in_force"))
 
 

@@ -59,6 +59,19 @@ def test_join_dated(spark):
     assert sorted(tuple(r) for r in got.select("line", "code", "served", "effective", "ended", "number", "description", "versions_in_force").collect()) == sorted(expected)
 
 
+def test_many_versions_of_a_key_are_not_broadcast(spark):
+    """Pieces of overlapping versions are counted per run, and no side is broadcast, whatever Spark's estimate of the reference."""
+    reference = spark.range(2000).selectExpr("'a' AS code", "date_add(DATE'2020-01-01', CAST(id % 50 AS INT)) AS effective", "date_add(DATE'2020-01-01', CAST(id % 50 + 40 AS INT)) AS ended", "id AS number")
+    lines = spark.range(120).selectExpr("id AS line", "'a' AS code", "date_add(DATE'2020-01-01', CAST(id AS INT)) AS served")
+    joined = join_dated(lines, reference, ["code"], "served", "effective", "ended", by=["line"], order=["number"])
+    expected = {}
+    for line in range(120):
+        own = [(i % 50, i) for i in range(2000) if i % 50 <= line <= i % 50 + 40]
+        expected[line] = (max(own)[1] if own else None, len(own))
+    assert {r.line: (r.number, r.versions_in_force) for r in joined.collect()} == expected
+    assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_join_dated_without_versions(spark):
     lines = spark.createDataFrame([(1, "a", START)], "line int, code string, served date")
     none = spark.createDataFrame([], "code string, effective date, ended date, description string")
