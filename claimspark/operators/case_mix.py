@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimspark.operators.claim_lines import lines_with_code
-from claimspark.operators.joins import salted_join
+from claimspark.operators.joins import measured_join
 from claimspark.operators.utilization import explode_diagnoses
 
 PAIR = ["provider_id", "procedure_code"]
@@ -18,15 +18,16 @@ def mix_divergence(rows: DataFrame, item: str, weight: str | None = None) -> Dat
     the provider's shares and those of all others together, which are the totals minus its own: providers are never paired. Items the
     provider does not have add half their share among the others, so one look at the provider's own items is enough. ``most_over`` is the item whose share
     exceeds the others' most (the first by name), by ``over_by``. Without other rows these three and the divergence are NULL; rows with a NULL in one of the columns are left out.
-    A row counts ``weight`` times, without it once.
+    A row counts ``weight`` times, without it once. Items of a pair are shuffled twice, counted and then by pair; the totals are small lookups.
     """
     known = rows.select(*PAIR, F.col(item).alias("item"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("times")).dropna()
+    items = known.groupBy("procedure_code", "item").agg(F.sum("times").alias("item_rows"))
+    procedures = known.groupBy("procedure_code").agg(F.sum("times").alias("all_rows"))
+    pair = Window.partitionBy(*PAIR)
     own = known.groupBy(*PAIR, "item").agg(F.sum("times").alias("n"))
-    pairs = own.groupBy(*PAIR).agg(F.sum("n").alias("rows"), F.count("*").alias("kinds"))
-    items = own.groupBy("procedure_code", "item").agg(F.sum("n").alias("item_rows"))
-    procedures = items.groupBy("procedure_code").agg(F.sum("item_rows").alias("all_rows"))
-    sized = salted_join(pairs, procedures, ["procedure_code"], by=["provider_id"]).withColumn("peer_rows", F.col("all_rows") - F.col("rows")).drop("all_rows")
-    shares = salted_join(own, items, ["procedure_code", "item"], by=["provider_id"]).join(sized, PAIR)
+    own = own.withColumns({"rows": F.sum("n").over(pair), "kinds": F.count("*").over(pair)})
+    sized = measured_join(own, procedures, ["procedure_code"], by=["provider_id"]).withColumn("peer_rows", F.col("all_rows") - F.col("rows")).drop("all_rows")
+    shares = measured_join(sized, items, ["procedure_code", "item"], by=["provider_id"])
     shares = shares.withColumns({"p": F.col("n") / F.col("rows"), "q": F.when(F.col("peer_rows") > 0, (F.col("item_rows") - F.col("n")) / F.col("peer_rows"))})
     p, q, middle = F.col("p"), F.col("q"), (F.col("p") + F.col("q")) / 2
 

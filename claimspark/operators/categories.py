@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from claimspark.operators.case_mix import PAIR, diagnosis_mix, mix_divergence, place_mix
 from claimspark.operators.claim_lines import lines_with_code
 from claimspark.operators.course import month_number, month_of
+from claimspark.operators.joins import measured_join
 from claimspark.operators.together import codes_beside
 from claimspark.operators.utilization import distinct_claims
+from claimspark.session import materialise
 
 UTILIZATION, DIAGNOSIS, SITE, TREND, COMBINATION = "utilization", "diagnosis", "site_of_service", "trend", "combination"
 
@@ -42,45 +44,76 @@ def change_points(monthly: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     The months of a pair run from the procedure's first to its last, filled with zeros, so that beginning and ending are changes too. Upwards and
     downwards the differences from the pair's own mean, less the slack, are summed and the sum is set back to 0 whenever it falls below (CUSUM). A sum
-    with such resets is a running sum less the smallest one so far, so two windows over a pair's months are enough. The running sums are made of whole
+    with such resets is a running sum less the smallest one so far, so windows over a pair's months are enough. The running sums are made of whole
     numbers and one root, the same in any order of rows. ``seen`` is the first month in which the sum reaches the decision limit, ``from`` the month
     after its last reset until then, ``peak`` its largest value in standard deviations; without a change the months are NULL, without
     spread all are. ``monthly`` has one row a pair and month; rows with NULLs are left out.
+
+    Months without claims are not made into rows. From one month with claims to the next the running sums change by the same amount every month, so
+    sums, smallest sums and resets of such a stretch are known from its last month; only where the limit is reached inside a stretch are its months tried one by one,
+    in one row of the pair. A pair has at most two rows for a month with claims, and one for the stretch before the first.
     """
     known = monthly.dropna(subset=[*PAIR, "month", "claims"]).select(*PAIR, "month", "claims")
+    known = materialise(known, "provider-months")
     spans = known.groupBy("procedure_code").agg(F.min("month").alias("first"), F.max("month").alias("last"))
+    pair, own = Window.partitionBy(*PAIR), Window.partitionBy(*PAIR).orderBy("month")
     square = F.col("claims").cast("decimal(19,0)") * F.col("claims")
-    pairs = known.groupBy(*PAIR).agg(F.sum("claims").alias("total"), F.sum(square).cast("decimal(19,0)").alias("squares")).filter(F.col("total") >= limits.min_claims)
-    pairs = pairs.join(spans, "procedure_code").withColumn("n", F.col("last") - F.col("first") + 1)
+    rows = known.withColumns({
+        "total": F.sum("claims").over(pair), "squares": F.sum(square).over(pair).cast("decimal(19,0)"),
+        "reached": F.sum("claims").over(own), "before": F.lag("month").over(own), "after": F.lead("month").over(own),
+    }).filter(F.col("total") >= limits.min_claims)
+    rows = measured_join(rows, spans, ["procedure_code"], by=["provider_id"]).withColumn("n", F.col("last") - F.col("first") + 1)
     spread = F.col("n").cast("decimal(19,0)") * F.col("squares") - F.col("total").cast("decimal(19,0)") * F.col("total")
-    pairs = pairs.withColumn("spread", F.sqrt(spread.cast("double"))).drop("squares")  # n standard deviations
-    grid = pairs.withColumn("month", F.explode(F.sequence("first", "last"))).join(known, [*PAIR, "month"], "left")
-    own = Window.partitionBy(*PAIR).orderBy("month")
-    place = F.col("month") - F.col("first") + 1
-    distance = F.col("n") * F.sum(F.coalesce("claims", F.lit(0))).over(own) - place * F.col("total")
-    grid = grid.select(*PAIR, "month", "n", "total", "first", "spread", distance.alias("distance"), (place * limits.slack * F.col("spread")).alias("slack"))
+    rows = rows.withColumn("spread", F.sqrt(spread.cast("double")))  # n standard deviations
+
+    def stretch(begin: Column, end: Column, reached: Column) -> Column:
+        return F.struct(begin.alias("begin"), end.alias("month"), reached.alias("reached"))
+
+    month, end = F.col("month"), F.coalesce(F.col("after"), F.col("last") + 1) - 1
+    ends = F.array_compact(F.array(
+        F.when(F.col("before").isNull() & (month > F.col("first")), stretch(F.col("first"), month - 1, F.lit(0).cast("long"))),
+        stretch(month, month, F.col("reached")),
+        F.when(end > month, stretch(month + 1, end, F.col("reached"))),
+    ))
+    rows = rows.select(*PAIR, "n", "total", "first", "spread", F.explode(ends).alias("end")).select(*PAIR, "n", "total", "first", "spread", "end.*")
+
+    def running(sign: int, at: Column, reached: Column) -> Column:
+        place = at - F.col("first") + 1
+        return sign * (F.col("n") * reached - place * F.col("total")) - place * limits.slack * F.col("spread")
+
     found = []
     for name, sign in (("up", 1), ("down", -1)):
-        grid = grid.withColumn("sum", sign * F.col("distance") - F.col("slack"))
-        grid = grid.withColumn(name, F.col("sum") - F.least(F.lit(0.0), F.min("sum").over(own)))
+        rows = rows.withColumn("sum", running(sign, F.col("month"), F.col("reached")))
+        rows = rows.withColumn(f"{name}_low", F.least(F.lit(0.0), F.min("sum").over(own))).withColumn(name, F.col("sum") - F.col(f"{name}_low"))
         reset = F.last(F.when(F.col(name) <= 0, F.col("month") + 1), ignorenulls=True).over(own)
-        grid = grid.withColumn(f"{name}_begin", F.coalesce(reset, "first"))
+        rows = rows.withColumn(f"{name}_begin", F.coalesce(reset, "first"))
         seen = (F.col("spread") > 0) & (F.col(name) >= limits.decision * F.col("spread"))
         found += [
-            F.min(F.when(seen, F.struct("month", F.col(f"{name}_begin").alias("begin")))).alias(name),
+            F.min(F.when(seen, F.struct("month", F.col(f"{name}_begin").alias("from"), F.col("begin"), "reached", F.col(f"{name}_low").alias("low")))).alias(name),
             F.max(F.when(F.col("spread") > 0, F.col(name) / F.col("spread"))).alias(f"{name}_peak"),
         ]
     # Ends of one row a pair; the numbers of the pair are the same on all of its months.
-    rows = grid.groupBy(*PAIR).agg(F.max("n").cast("long").alias("months"), F.max("total").alias("claims"), *found)
+    rows = rows.groupBy(*PAIR).agg(*[F.max(c).alias(c) for c in ("n", "total", "first", "spread")], *found)
+
+    def first_seen(name: str, sign: int) -> Column:
+        """The first month of the stretch in which the limit is reached; the last one has reached it."""
+        change = F.col(name)
+        reaches = F.filter(
+            F.sequence(change["begin"], change["month"]),
+            lambda at: running(sign, at, change["reached"]) - change["low"] >= limits.decision * F.col("spread"),
+        )
+        return F.when(change.isNotNull(), F.when(change["begin"] == change["month"], change["month"]).otherwise(F.array_min(reaches)))
+
     return rows.select(
-        *PAIR, "months", "claims", month_of(F.col("up.begin")).alias("up_from"), month_of(F.col("up.month")).alias("up_seen"), "up_peak",
-        month_of(F.col("down.begin")).alias("down_from"), month_of(F.col("down.month")).alias("down_seen"), "down_peak",
+        *PAIR, F.col("n").cast("long").alias("months"), F.col("total").alias("claims"),
+        month_of(F.col("up.from")).alias("up_from"), month_of(first_seen("up", 1)).alias("up_seen"), "up_peak",
+        month_of(F.col("down.from")).alias("down_from"), month_of(first_seen("down", -1)).alias("down_seen"), "down_peak",
     )
 
 
 def combination_mix(lines: DataFrame) -> DataFrame:
     """Other procedures on the claims of a provider's procedure, against those of all other providers of it."""
-    return mix_divergence(codes_beside(lines), "other_code", weight="claims")
+    return mix_divergence(materialise(codes_beside(lines), "codes-beside"), "other_code", weight="claims")
 
 
 def anomaly_categories(lines: DataFrame, features: DataFrame, limits: Limits = Limits()) -> DataFrame:

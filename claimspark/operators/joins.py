@@ -6,6 +6,10 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from claimspark.session import materialise
+
+BROADCAST_ROWS = 50_000  # of a side that is written and counted first
+
 
 def default_spread(spark: SparkSession) -> int:
     """Pieces of one key: about the square root of the shuffle partitions, so a hot key fills many tasks and the
@@ -29,3 +33,15 @@ def salted_join(
     split = left.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(spread)).cast("int"))
     repeated = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return split.join(repeated, [*on, salt], how).drop(salt)
+
+
+def measured_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``salted_join`` with a right side that is written and counted first, for lookups into results that are mostly tiny.
+
+    With at most ``broadcast_rows`` rows it goes to every task, so the left side is not shuffled at all and keeps its partitioning. Adaptive
+    execution alone learns that size only after it has written the left side's shuffle.
+    """
+    known = materialise(right, "lookup")
+    if known.count() <= broadcast_rows:
+        return left.join(F.broadcast(known), on, how)
+    return salted_join(left, known, on, by, how)

@@ -7,7 +7,9 @@ is many small ones, spread over the tasks and complete.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from claimspark.session import materialise
 
 BLOCK_CODES = 64  # codes of a claim in one block, on average
 
@@ -28,16 +30,16 @@ def codes_beside(lines: DataFrame, claim: str = "claim_key", block_codes: int =
     """``provider_id, procedure_code, other_code, claims``: on how many of a provider's claims with a procedure another one is billed, by whomever.
 
     Lines without claim, code or provider are not a provider's; their codes are still others on their claims. Blocks of a claim's codes meet
-    in cells as in ``code_pairs``.
+    in cells as in ``code_pairs``. The codes of claims with several ones are written once and read for both sides.
     """
     items = lines.dropna(subset=[claim, "procedure_code"]).select(F.col(claim).alias("claim"), F.col("procedure_code").alias("code"), "provider_id")
-    others = items.select("claim", "code").distinct()
-    sizes = others.groupBy(F.col("claim").alias("sized")).agg(F.ceil(F.count("*") / block_codes).alias("blocks"), F.count("*").alias("codes")).filter("codes > 1")
+    billed = items.groupBy("claim", "code").agg(F.collect_set("provider_id").alias("providers"))
+    billed = billed.withColumn("codes", F.count("*").over(Window.partitionBy("claim"))).filter("codes > 1")
+    billed = materialise(billed.withColumn("blocks", F.ceil(F.col("codes") / block_codes)), "billed-codes")
     block, all_blocks = F.pmod(F.xxhash64("code"), "blocks"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    mine = items.dropna(subset=["provider_id"]).distinct().join(sizes, F.col("claim") == F.col("sized"))
+    mine = billed.select("claim", "code", "blocks", F.explode("providers").alias("provider_id"))
     mine = mine.select("claim", "provider_id", F.col("code").alias("procedure_code"), block.alias("one"), F.explode(all_blocks).alias("two"))
-    others = others.join(sizes, F.col("claim") == F.col("sized"))
-    others = others.select("claim", F.col("code").alias("other_code"), block.alias("two"), F.explode(all_blocks).alias("one"))
+    others = billed.select("claim", F.col("code").alias("other_code"), block.alias("two"), F.explode(all_blocks).alias("one"))
     met = mine.join(others, ["claim", "one", "two"]).filter("procedure_code <> other_code")
     return met.groupBy("provider_id", "procedure_code", "other_code").agg(F.count("*").alias("claims"))
 

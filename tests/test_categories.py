@@ -5,6 +5,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from claimspark.operators import case_mix, categories, together
 from tests.test_course import LINES, drawn
 
@@ -80,6 +82,41 @@ def test_changes_against_the_definition(spark):
     assert categories.change_points(table.limit(0)).count() == 0
 
 
+def test_months_without_claims_are_not_rows(spark):
+    """Long stretches without claims: the same changes as by the definition, without a grid of months."""
+    d = random.Random(21)
+    counts = {(f"p{p}", "a", d.choice([0, 1199, *range(500, 520)])): d.randint(1, 9) for p in range(25) for _ in range(6)}
+    counts |= {("ends", "a", 0): 1, ("ends", "a", 1199): 1}
+    counts |= {("early", "a", m): 3 for m in range(200)} | {("gone", "a", m): 3 for m in range(900)}
+    table = spark.createDataFrame([(*k, n) for k, n in counts.items()], "provider_id string, procedure_code string, month int, claims long")
+    table = table.withColumn("month", F.col("month") + 24_000)
+    limits = categories.Limits(min_claims=2, decision=3.0)
+    result = categories.change_points(table, limits)
+    got, expected = {tuple(r)[:2]: tuple(r)[2:] for r in result.collect()}, changes({(p, c, m + 24_000): n for (p, c, m), n in counts.items()}, limits)
+    assert set(got) == set(expected) and any(r[5] for r in got.values()) and any(r[2] for r in got.values())
+    for pair, row in expected.items():
+        assert got[pair][:4] == tuple(row[:4]) and got[pair][5:7] == tuple(row[5:7]), pair
+        assert close(got[pair][4], row[4]) and close(got[pair][7], row[7])
+    assert rows_made(result) <= 2 * len(counts) + len(got)
+
+
+def rows_made(df):
+    """The most rows that one of the explodes of an executed plan gave."""
+    found, plans = [], [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        name = plan.nodeName()
+        if name == "Generate":
+            found.append(plan.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            plans.append(plan.executedPlan())
+        elif name.endswith("QueryStage"):
+            plans.append(plan.plan())
+        else:
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return max(found)
+
+
 def test_codes_beside_in_small_blocks(spark):
     """A claim with very many codes is many cells; none of its pairs is lost or counted twice."""
     d = random.Random(9)
