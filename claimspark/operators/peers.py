@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimspark.functions import fixed
-from claimspark.operators.joins import salted_join
+from claimspark.operators.joins import measured_join, salted_join
 from claimspark.operators.ranks import element_at_rank, interpolate, running_counts, value_counts
 
 PEER_QUANTILES = {"peer_median": 0.5, "peer_p90": 0.9, "peer_p95": 0.95}
@@ -77,14 +77,14 @@ def with_peer_figures(
 ) -> DataFrame:
     """Attach the peer figures to each provider row; ``rate_ratio`` is NULL for a NULL or zero median.
 
-    A third of all providers may share one procedure and rate, so that key is salted by provider.
+    A third of all providers may share one procedure and rate, so that key is salted by provider where the figures, one row a rate, are too many for every task.
     """
 
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumns({"_known": F.col(rate).isNotNull(), "_rate": F.coalesce(F.col(rate), F.lit(0.0))})
 
     figures = keyed(peer_figures(stats, keys, rate)).drop(rate)
-    joined = salted_join(keyed(stats), figures, [*keys, "_known", "_rate"], by=["provider_id"], how="left")
+    joined = measured_join(keyed(stats), figures, [*keys, "_known", "_rate"], by=["provider_id"], how="left")
     return joined.drop("_known", "_rate").withColumn("rate_ratio", F.try_divide(F.col(rate), F.col("peer_median")))
 
 

@@ -181,3 +181,16 @@ def test_queue(spark, rows):
         "provider_id string, procedure_code string, anomaly_score double, anomaly_flag boolean, peer_percentile double, provider_to_peer_ratio double",
     ).selectExpr("*", "1.0D provider_rate", "1.0D peer_median")
     assert [r["provider_id"] for r in rows(anomaly.investigation_queue(table))] == ["p2", "p1"]
+
+
+def test_providers_are_not_shuffled_to_meet_few_rates(spark):
+    """The figures per rate are written first, so that a few go to every task; with many the salted join gives the same rows."""
+    from claimspark.operators.joins import measured_join
+
+    stats = spark.range(400).selectExpr("concat('p', id) AS provider_id", "concat('c', id % 3) AS procedure_code", "CASE WHEN id % 11 > 0 THEN id % 7 / 2D END AS procedure_rate")
+    found = peers.with_peer_figures(stats)
+    assert found.count() == 400 and "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    right = spark.range(5).selectExpr("concat('c', id) AS procedure_code", "id AS number")
+    few, many = (measured_join(stats, right, ["procedure_code"], by=["provider_id"], how="left", broadcast_rows=n) for n in (10, 0))
+    columns = ["provider_id", "procedure_code", "number"]
+    assert sorted(few.select(columns).collect()) == sorted(many.select(columns).collect()) and few.count() == 400
