@@ -18,11 +18,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from claimspark.llm.common import give_back
+
 # Fixed value: how byte-level vocabularies of this kind cut a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 250_000  # encodings of words kept by a task between batches
+KEPT_WORDS = 200_000  # encodings of words kept by a task between batches
 KEPT_PAIRS = 250_000
-SLICE_CHARS = 1 << 21  # text encoded in one step
+SLICE_CHARS = 1 << 18  # text encoded in one step
 _NEVER = 1 << 40
 
 
@@ -49,12 +51,12 @@ class TrieEncoder:
         lengths = np.array([len(b) for b in self.token_bytes], np.int64)
         self._data, self._lengths, self._offsets = np.frombuffer(b"".join(self.token_bytes), np.uint8), lengths, np.cumsum(lengths) - lengths
         vocab = model["vocab"]
-        self.merged: dict[tuple[int, int], tuple[int, int]] = {}  # pair of tokens: rank of the merge, token
+        self.merged: dict[int, int] = {}  # pair of tokens in one number: rank of the merge
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: rank of the merge that makes it, its parts
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             left, right, token = vocab[a], vocab[b], vocab[a + b]
-            self.merged[left, right] = rank, token
+            self.merged[left << 32 | right] = rank
             self.parts.setdefault(token, (rank, left, right))
         self._edges: dict[int, tuple[tuple, tuple]] = {}
         self.suffixes: dict = {}  # reversed trie of the tokens that encode themselves; key -1 holds the token
@@ -96,8 +98,8 @@ class TrieEncoder:
         """Whether no merge across the border of two tokens happens before ``limit``; equal ranks go left to right."""
         for a, a_used in self._spines(left)[0]:
             for b, b_used in self._spines(right)[1]:
-                merge = self.merged.get((a, b))
-                if merge and merge[0] < min(a_used, limit) and merge[0] <= min(b_used, limit - 1):
+                rank = self.merged.get(a << 32 | b)
+                if rank is not None and rank < min(a_used, limit) and rank <= min(b_used, limit - 1):
                     return False
         return True
 
@@ -184,6 +186,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", decoded:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = TrieEncoder(source.value)
+        give_back()  # what the tokenizer file's JSON and earlier stages took
         for batch in batches:
             at = 0
             texts = batch.column(len(others))
@@ -201,6 +204,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", decoded:
                     columns.append(pa.array([coder.decode(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*others, *names])
                 at = end
+        del coder
+        give_back()
 
     return rows.mapInArrow(run, schema.schema)
 

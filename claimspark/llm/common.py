@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from claimspark.session import scratch_path
@@ -23,6 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Freed memory of this Python worker goes back to the system; workers are used again by later stages and share the executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     """Tasks a shuffle is dealt to; a guide for the number of pieces of a hot key, never part of a result."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

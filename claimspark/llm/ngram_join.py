@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from claimspark.llm.blocks import BLOCK_BYTES, MESSAGES, NO_ID, answered, ask, chunks, graded, in_blocks, mixed, unpacked
-from claimspark.llm.common import partitions
+from claimspark.llm.common import give_back, partitions
 from claimspark.llm.components import connected_components
 from claimspark.session import materialise
 
@@ -273,6 +273,8 @@ def cluster_links(members: DataFrame, percent: int) -> DataFrame:
             for x, y in trie_links(sets, high[own].astype(int), percent):
                 a.append(nodes[own[x]])
                 b.append(nodes[own[y]])
+        del groups
+        give_back()
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=_LINKS_SCHEMA)
 
     return rows.groupBy("task").applyInArrow(join, _LINKS)

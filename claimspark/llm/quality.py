@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimspark.llm.blocks import mixed
+from claimspark.llm.common import give_back
 
 BUCKETS = 1 << 18
 DIMENSIONS = 16
@@ -203,5 +204,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
                 found.append(scorer.scores(own))
             scores = pa.array(np.concatenate(found) if found else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], scores], [*others, "score"])
+        del scorer
+        give_back()
 
     return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,9 +1,12 @@
+import os
 import random
+import re
 
 import numpy as np
 import pytest
 
 from claimspark.llm.bpe import TrieEncoder, bpe_decode, bpe_encode
+from claimspark.llm.common import give_back
 from claimspark.llm.queries import tokenizer_path
 from tests.llm.data import awkward, documents
 
@@ -52,3 +55,18 @@ def test_documents(spark, library):
     back = bpe_decode(bpe_encode(docs.select("doc_id", "text"), tokenizer_path()), tokenizer_path()).collect()
     assert sorted(r["decoded"] for r in back) == sorted(t or "" for _, t, _ in texts)
     assert bpe_encode(documents(spark, []), tokenizer_path()).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory cannot be read here")
+def test_a_worker_gives_back_what_earlier_stages_freed():
+    def held() -> int:
+        with open("/proc/self/smaps_rollup") as file:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", file.read()).group(1)) >> 10
+
+    arrays = [np.ones(2_000) for _ in range(16_000)]  # 256 MB in pieces that the allocator keeps when they are freed
+    pins = arrays[::500]  # some live on between them
+    full = held()
+    del arrays
+    give_back()
+    assert full - held() > 150
+    assert len(pins) == 32
