@@ -7,6 +7,9 @@ claim keys but does not depend on how row keys were assigned.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimspark.functions import fixed
@@ -15,6 +18,7 @@ from claimspark.functions.text import avg_money, sum_money
 from claimspark.operators.claim_lines import lines_with_code
 from claimspark.operators.joins import salted_join
 from claimspark.operators.ranks import exact_quantiles
+from claimspark.session import materialise
 
 
 def distinct_claims() -> Column:
@@ -23,6 +27,76 @@ def distinct_claims() -> Column:
     return with_id + F.count_if(claim_id.isNull())
 
 
+# Entities that are counted once per group, and the columns that name them.
+ENTITIES = {"claims": ["claim_type", "source_claim_id"], "beneficiaries": ["bene_id"], "providers": ["provider_id"]}
+KEYS = ["code_system", "diagnosis_code", "provider_id_key", "provider_id_type", "place_of_service_code", "service_month"]
+ROWS_PER_LINE = 4  # about; so many more pieces than a shuffle of lines has, for their groups to fit into a task's memory
+# Table -> its keys behind the procedure code, the lines it takes, the entities it counts.
+GROUPINGS: dict[str, tuple[list[str], str, list[str]]] = {
+    "procedure": (["code_system"], "true", ["claims", "beneficiaries", "providers"]),
+    "total": ([], "true", ["claims"]),
+    "diagnosis": (["diagnosis_code"], "diagnosis_codes is not null", ["claims", "beneficiaries", "providers"]),
+    "provider": (["provider_id_key", "provider_id_type"], "provider_id_key is not null", ["claims", "beneficiaries"]),
+    "place": (["place_of_service_code"], "claim_type = 'carrier' and place_of_service_code is not null", ["claims", "beneficiaries"]),
+    "carrier": ([], "claim_type = 'carrier'", ["claims"]),
+    "month": (["service_month"], "service_month is not null", ["claims", "beneficiaries"]),
+}
+
+
+def _in_groups(rows: DataFrame, tables: Sequence[str], kept: list[str]) -> DataFrame:
+    """``grouping, procedure_code``, ``KEYS`` and the columns ``kept``: a row for each group that a line belongs to."""
+    types = {f.name: f.dataType for f in rows.schema}
+
+    def group(table: str) -> Column:
+        keys, condition, _ = GROUPINGS[table]
+        codes = F.col("diagnosis_codes") if table == "diagnosis" else F.array(F.lit(None).cast("string"))
+        own = [(F.col(k) if k in keys else F.lit(None).cast(types[k])).alias(k) for k in KEYS if k != "diagnosis_code"]
+        return F.when(F.expr(condition), F.struct(F.lit(table).alias("grouping"), codes.alias("codes"), *own))
+
+    groups = rows.select("procedure_code", *kept, F.explode(F.array(*map(group, tables))).alias("group")).filter("group is not null")
+    found = groups.select("procedure_code", *kept, "group.*").withColumn("diagnosis_code", F.explode("codes")).drop("codes")
+    return found.filter("grouping <> 'diagnosis' or (diagnosis_code is not null and diagnosis_code <> '')")
+
+
+def _taken(tables: Sequence[str]) -> set[str]:
+    """Columns that tell the groups of the tables."""
+    keys = {"diagnosis_codes" if k == "diagnosis_code" else k for t in tables for k in GROUPINGS[t][0]}
+    return keys | ({"claim_type"} if {"place", "carrier"} & {*tables} else set())
+
+
+def distinct_counts(lines: DataFrame, tables: Sequence[str]) -> DataFrame:
+    """``grouping, procedure_code``, ``KEYS`` and ``claims, beneficiaries, providers`` of each group of the tables, entities counted once.
+
+    Lines, not the groups they belong to, are moved: once for each entity, to the place of (procedure, entity). There an entity is alone with all
+    its lines of a procedure, so its groups are told apart without moving again, whatever their number. Only counts travel to the groups.
+    """
+    taken = {entity: _taken([t for t in tables if entity in GROUPINGS[t][2]]) for entity in ENTITIES}
+    used = set().union(*taken.values(), *[ENTITIES[e] for t in tables for e in GROUPINGS[t][2]], ["claim_type", "source_claim_id"])
+    sources = {c: (F.col(c), "string") for c in ("code_system", "claim_type", "source_claim_id", "bene_id", "provider_id", "provider_id_type", "place_of_service_code")}
+    sources |= {"provider_id_key": (F.col("provider_id"), "string"), "service_month": (F.trunc("service_date", "MM"), "date"), "diagnosis_codes": (F.col("diagnosis_codes"), "array<string>")}
+    coded = lines_with_code(lines).select("procedure_code", *[(value if c in used else F.lit(None).cast(kind)).alias(c) for c, (value, kind) in sources.items()])
+    place = ["grouping", "procedure_code", *KEYS]
+    pieces = ROWS_PER_LINE * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unnamed = _in_groups(coded.filter("source_claim_id is null"), tables, []).groupBy(*place).agg(F.count(F.lit(1)).alias("claims"))
+    parts = [unnamed.select(*place, "claims", F.lit(0).alias("beneficiaries"), F.lit(0).alias("providers"))]
+    for entity, names in ENTITIES.items():
+        own = [t for t in tables if entity in GROUPINGS[t][2]]
+        if not own:
+            continue
+        rows = coded.filter(" and ".join(f"{n} is not null" for n in names)).repartition(pieces, "procedure_code", *names)
+        rows = rows.select("procedure_code", *names, *[(F.col(c) if c in taken[entity] else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in coded.columns if c not in ("procedure_code", *names)])
+        seen = _in_groups(rows, own, names).distinct()
+        found = seen.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(found.select(*place, *[(F.col("n") if e == entity else F.lit(0)).alias(e) for e in ENTITIES]))
+    return reduce(DataFrame.unionByName, parts).groupBy(*place).agg(*[F.sum(e).alias(e) for e in ENTITIES])
+
+
+def _counts(lines: DataFrame, counts: DataFrame | None, table: str) -> DataFrame:
+    """The rows of one table among ``counts``, or counted here."""
+    counts = distinct_counts(lines, [table]) if counts is None else counts
+    return counts.filter(F.col("grouping") == table).drop("grouping")
+
+
 def explode_diagnoses(lines: DataFrame) -> DataFrame:
     """One row per line and diagnosis; lines without a diagnosis vanish."""
     exploded = lines.withColumn("diagnosis_code", F.explode("diagnosis_codes")).drop("diagnosis_codes")
@@ -46,16 +120,17 @@ def places_per_procedure(lines: DataFrame) -> DataFrame:
     )
 
 
-def procedure_stats(lines: DataFrame) -> DataFrame:
+def procedure_stats(lines: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """One summary row per procedure code; missing diagnosis and place counts are 0.
 
-    ``allowed_amount_claims`` counts the carrier lines with an amount, not claims.
+    ``allowed_amount_claims`` counts the carrier lines with an amount, not claims. ``counts`` are finished ``distinct_counts``.
     """
     coded = lines_with_code(lines)
+    counted = _counts(lines, counts, "procedure").select(
+        F.col("procedure_code").alias("code"), F.col("code_system").alias("system"), F.col("claims").alias("claim_count"),
+        F.col("beneficiaries").alias("unique_beneficiaries"), F.col("providers").alias("unique_providers"),
+    )
     core = coded.groupBy("procedure_code", "code_system").agg(
-        distinct_claims().alias("claim_count"),
-        F.count_distinct("bene_id").alias("unique_beneficiaries"),
-        F.count_distinct("provider_id").alias("unique_providers"),
         sum_money(F.col("allowed_amount")).alias("total_allowed"),
         avg_money(F.col("allowed_amount")).alias("average_allowed"),
         F.count("allowed_amount").alias("allowed_amount_claims"),
@@ -64,6 +139,7 @@ def procedure_stats(lines: DataFrame) -> DataFrame:
         # NULL places are not counted, so codes without a place get 0 without a join.
         F.count_distinct("place_of_service_code").alias("unique_places_of_service"),
     )
+    core = core.join(counted, (F.col("procedure_code") == F.col("code")) & F.col("code_system").eqNullSafe(F.col("system")))
     keys = ["procedure_code", "code_system"]
     medians = exact_quantiles(coded, keys, "allowed_amount", {"median_allowed": 0.5})
     return (
@@ -97,24 +173,20 @@ def percentage(part: Column, whole: Column) -> Column:
     return F.try_divide(F.lit(100.0) * part, whole)
 
 
-def diagnosis_procedure_stats(lines: DataFrame, procedures: DataFrame | None = None) -> DataFrame:
+def diagnosis_procedure_stats(lines: DataFrame, procedures: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Claims per procedure and diagnosis. A claim can hold several diagnoses, so percentages may pass 100.
 
-    ``procedures`` is a finished ``procedure_stats`` table; without it the totals are counted here.
+    ``procedures`` is a finished ``procedure_stats`` table; without it the totals are counted here. ``counts`` are finished ``distinct_counts``.
     """
+    if counts is None:
+        counts = materialise(distinct_counts(lines, ["diagnosis"] if procedures is not None else ["diagnosis", "total"]), "diagnosis-counts")
     totals = (
-        claims_per_procedure(lines)
+        _counts(lines, counts, "total").select("procedure_code", F.col("claims").alias("procedure_claims"))
         if procedures is None
         else procedures.select("procedure_code", F.col("claim_count").alias("procedure_claims"))
     )
-    relationships = (
-        explode_diagnoses(lines_with_code(lines))
-        .groupBy("procedure_code", "diagnosis_code")
-        .agg(
-            distinct_claims().alias("claim_count"),
-            F.count_distinct("bene_id").alias("beneficiary_count"),
-            F.count_distinct("provider_id").alias("provider_count"),
-        )
+    relationships = _counts(lines, counts, "diagnosis").select(
+        "procedure_code", "diagnosis_code", F.col("claims").alias("claim_count"), F.col("beneficiaries").alias("beneficiary_count"), F.col("providers").alias("provider_count")
     )
     return salted_join(relationships, totals, ["procedure_code"], by=["diagnosis_code"]).select(
         "procedure_code",
@@ -126,17 +198,18 @@ def diagnosis_procedure_stats(lines: DataFrame, procedures: DataFrame | None = N
     )
 
 
-def provider_procedure_stats(lines: DataFrame) -> DataFrame:
-    """Claims, beneficiaries and claims per beneficiary of each provider and procedure."""
+def provider_procedure_stats(lines: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Claims, beneficiaries and claims per beneficiary of each provider and procedure. ``counts`` are finished ``distinct_counts``."""
+    keys = ["provider_id", "provider_id_type", "procedure_code"]
+    counted = _counts(lines, counts, "provider").select(
+        F.col("provider_id_key").alias("provider"), F.col("provider_id_type").alias("kind"), F.col("procedure_code").alias("code"),
+        F.col("claims").alias("claim_count"), F.col("beneficiaries").alias("beneficiary_count"),
+    )
+    amounts = lines_with_code(lines).filter(F.col("provider_id").isNotNull()).groupBy(*keys).agg(sum_money(F.col("allowed_amount")).alias("total_allowed"))
+    same = (F.col("provider_id") == F.col("provider")) & F.col("provider_id_type").eqNullSafe(F.col("kind")) & (F.col("procedure_code") == F.col("code"))
     return (
-        lines_with_code(lines)
-        .filter(F.col("provider_id").isNotNull())
-        .groupBy("provider_id", "provider_id_type", "procedure_code")
-        .agg(
-            distinct_claims().alias("claim_count"),
-            F.count_distinct("bene_id").alias("beneficiary_count"),
-            sum_money(F.col("allowed_amount")).alias("total_allowed"),
-        )
+        amounts.join(counted, same)
+        .select(*keys, "claim_count", "beneficiary_count", "total_allowed")
         .withColumns(
             {
                 "procedure_rate": F.try_divide(
@@ -148,14 +221,13 @@ def provider_procedure_stats(lines: DataFrame) -> DataFrame:
     )
 
 
-def pos_procedure_stats(lines: DataFrame) -> DataFrame:
-    """Carrier claims per procedure and place; the base also counts lines without a place."""
-    carrier = lines_with_code(lines).filter(F.col("claim_type") == "carrier")
-    totals = carrier.groupBy("procedure_code").agg(distinct_claims().alias("carrier_claims"))
-    places = (
-        carrier.filter(F.col("place_of_service_code").isNotNull())
-        .groupBy("procedure_code", "place_of_service_code")
-        .agg(distinct_claims().alias("claim_count"), F.count_distinct("bene_id").alias("beneficiary_count"))
+def pos_procedure_stats(lines: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Carrier claims per procedure and place; the base also counts lines without a place. ``counts`` are finished ``distinct_counts``."""
+    if counts is None:
+        counts = materialise(distinct_counts(lines.filter("claim_type = 'carrier'"), ["place", "carrier"]), "place-counts")
+    totals = _counts(lines, counts, "carrier").select("procedure_code", F.col("claims").alias("carrier_claims"))
+    places = _counts(lines, counts, "place").select(
+        "procedure_code", "place_of_service_code", F.col("claims").alias("claim_count"), F.col("beneficiaries").alias("beneficiary_count")
     )
     return salted_join(places, totals, ["procedure_code"], by=["place_of_service_code"]).select(
         "procedure_code",
@@ -167,14 +239,10 @@ def pos_procedure_stats(lines: DataFrame) -> DataFrame:
     )
 
 
-def procedure_trends(lines: DataFrame) -> DataFrame:
-    """Claims and beneficiaries per procedure and calendar month."""
-    return (
-        lines_with_code(lines)
-        .filter(F.col("service_date").isNotNull())
-        .withColumn("service_month", F.trunc("service_date", "MM"))
-        .groupBy("procedure_code", "service_month")
-        .agg(distinct_claims().alias("claim_count"), F.count_distinct("bene_id").alias("beneficiary_count"))
+def procedure_trends(lines: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Claims and beneficiaries per procedure and calendar month. ``counts`` are finished ``distinct_counts``."""
+    return _counts(lines, counts, "month").select(
+        "procedure_code", "service_month", F.col("claims").alias("claim_count"), F.col("beneficiaries").alias("beneficiary_count")
     )
 
 

@@ -115,3 +115,39 @@ def test_job_and_reads(spark, sources, rows, tmp_path):
     assert rows(analytics.get_procedure_details(spark, "none", derived)["summary"]) == []
     (compared,) = rows(analytics.get_provider_peer_comparison(spark, "NPI:n1", "A123", derived))
     assert compared["peer_count"] == 2
+
+
+TABLES = ["procedure", "diagnosis", "provider", "place", "carrier", "month"]
+LINE = "claim_type string, code_system string, procedure_code string, source_claim_id string, bene_id string, provider_id string, provider_id_type string, " \
+    "place_of_service_code string, allowed_amount double, service_date date, diagnosis_codes array<string>"
+
+
+def test_groups_are_counted_where_the_lines_of_an_entity_meet(spark):
+    rows = [
+        (("carrier", "outpatient")[i % 2], None if i % 13 == 0 else "S", ("P", "Q", "", None)[i % 7 % 4], None if i % 5 == 0 else f"c{i % 17}", None if i % 11 == 0 else f"b{i % 6}",
+         None if i % 6 == 0 else f"n{i % 4}", (None, "NPI")[i % 3 % 2], None if i % 4 == 0 else f"{i % 3}", None, None if i % 9 == 0 else D(2020, 1 + i % 3, 1 + i % 27),
+         None if i % 10 == 0 else [f"D{i % 3}", None, "", f"D{i % 3}"])
+        for i in range(300)
+    ]
+    lines = spark.createDataFrame(rows, LINE)
+    shared = u.distinct_counts(lines, TABLES)
+    for keys, table in (["code_system"], "procedure"), (["diagnosis_code"], "diagnosis"), (["provider_id_key", "provider_id_type"], "provider"), (["place_of_service_code"], "place"), (["service_month"], "month"):
+        want: dict = {}
+        for kind, system, code, claim, person, provider, provider_kind, place, _, day, diagnoses in rows:
+            if not code or (table == "provider" and provider is None) or (table == "place" and (kind != "carrier" or place is None)) or (table == "month" and day is None):
+                continue
+            for diagnosis in (d for d in diagnoses or [] if d) if table == "diagnosis" else [None]:
+                key = (code, *{"procedure": [system], "diagnosis": [diagnosis], "provider": [provider, provider_kind], "place": [place], "month": [day and day.replace(day=1)]}[table])
+                claims, people, unnamed = want.setdefault(key, (set(), set(), []))
+                unnamed.append(1) if claim is None else claims.add((kind, claim))
+                people.update({person} - {None})
+        for counts in (shared, u.distinct_counts(lines, [table])):
+            got = {(r["procedure_code"], *(r[k] for k in keys)): (r["claims"], r["beneficiaries"]) for r in counts.filter(f"grouping = '{table}'").collect()}
+            assert got == {k: (len(c) + len(n), len(p)) for k, (c, p, n) in want.items()}
+
+
+def test_lines_move_once_per_entity_for_all_tables(spark, lines):
+    plan = u.distinct_counts(lines.localCheckpoint(), TABLES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == len(u.ENTITIES)
+    assert "Expand" not in plan and "hashpartitioning(diagnosis" not in plan
+    assert plan.count("Exchange hashpartitioning") <= 2 * len(u.ENTITIES) + 2  # the lines, then only counts
