@@ -2,16 +2,18 @@
 
 The encoding of a byte string is the encoding of the string without its last token, then that token. The last token is
 the one suffix in the vocabulary that can stand behind the last token of what precedes it, so the state of a prefix
-is one token. New words of a batch form a trie, visited depth first in sorted order: the states of the path are kept and
-only the bytes behind the prefix shared with the word before get new states. Encodings are read backwards along
-the states. Two tokens can stand side by side unless a merge across their border comes before the
+is one token. New words of a batch form a trie in sorted order: only the bytes behind the prefix shared with the word
+before get new states. The trie is visited level by level, in numpy for all prefixes of one length; the few words over
+``LEVEL_BYTES`` are visited depth first. Encodings are read backwards along the states. Two tokens can stand side by side unless a merge across their border comes before the
 merges that use up the two pieces next to it.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from claimspark.llm.common import give_back
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT_WORDS = 200_000  # encodings of words kept by a task between batches
 KEPT_PAIRS = 250_000
+LEVEL_BYTES = 48  # longer words are visited one after the other
+LEVEL_WORDS = 16_384  # words whose states are held at once
 SLICE_CHARS = 1 << 18  # text encoded in one step
 _NEVER = 1 << 40
 
@@ -59,13 +63,19 @@ class TrieEncoder:
             self.merged[left << 32 | right] = rank
             self.parts.setdefault(token, (rank, left, right))
         self._edges: dict[int, tuple[tuple, tuple]] = {}
-        self.suffixes: dict = {}  # reversed trie of the tokens that encode themselves; key -1 holds the token
+        # Reversed trie of the tokens that encode themselves: node and byte in one number lead to the node before; the root is 0.
+        self.suffixes: dict[int, int] = {}
+        self._standing: dict[int, bool] = {}
+        at_node = {}
         for token in vocab.values():
             if self._stands(token):
-                node = self.suffixes
+                node = 0
                 for b in reversed(self.token_bytes[token]):
-                    node = node.setdefault(b, {})
-                node[-1] = token
+                    node = self.suffixes.setdefault(node << 8 | b, len(self.suffixes) + 1)
+                at_node[node] = token
+        self.node_tokens = np.full(len(self.suffixes) + 2, -1, np.int64)  # the last one stands for no node
+        self.node_tokens[list(at_node)] = list(at_node.values())
+        self._node_tokens = self.node_tokens.tolist()
         self.pairs: dict[int, bool] = {}  # both tokens in one number
         self.words: dict[str, bytes] = {}
         self._split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -73,10 +83,15 @@ class TrieEncoder:
 
     def _stands(self, token: int) -> bool:
         """Whether the bytes of ``token`` are encoded as that token."""
-        if token not in self.parts:
-            return len(self.token_bytes[token]) == 1
-        rank, left, right = self.parts[token]
-        return self._stands(left) and self._stands(right) and self._border(left, right, rank)
+        known = self._standing.get(token)
+        if known is None:
+            if token not in self.parts:
+                known = len(self.token_bytes[token]) == 1
+            else:
+                rank, left, right = self.parts[token]
+                known = self._stands(left) and self._stands(right) and self._border(left, right, rank)
+            self._standing[token] = known
+        return known
 
     def _spines(self, token: int) -> tuple[tuple, tuple]:
         """Pieces at the right and at the left end of ``token`` while it is made, each with the rank that uses it up."""
@@ -103,18 +118,80 @@ class TrieEncoder:
                     return False
         return True
 
-    def _neighbours(self, left: int, right: int) -> bool:
-        """Whether ``right`` can stand behind ``left``, from now on known."""
+    def _neighbours(self, pair: int) -> bool:
+        """Whether the second token of ``pair`` can stand behind the first, from now on known."""
         if len(self.pairs) >= KEPT_PAIRS:
             self.pairs.clear()
-        known = self.pairs[left << 32 | right] = self._border(left, right)
+        known = self.pairs[pair] = self._border(pair >> 32, pair & 0xFFFFFFFF)
         return known
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Each distinct word with its ids as 32-bit integers."""
-        suffixes, pairs = self.suffixes, self.pairs
+        short, long = [], []
+        for w in words:
+            raw = w.encode()
+            (short if len(raw) <= LEVEL_BYTES else long).append((raw, w))
+        if short:
+            short.sort()
+            for start in range(0, len(short), LEVEL_WORDS):
+                yield from self._encode_levels(short[start : start + LEVEL_WORDS])
+        if long:
+            long.sort()
+            yield from self._encode_paths(long)
+
+    def _encode_levels(self, words: list[tuple[bytes, str]]) -> Iterator[tuple[str, bytes]]:
+        """Words in sorted order, all prefixes of one length in one step."""
+        lengths = np.array([len(raw) for raw, _ in words])
+        rows, most = len(words), int(lengths.max())
+        if not most:
+            yield from ((w, b"") for _, w in words)
+            return
+        letters = np.frombuffer(np.array([raw for raw, _ in words], f"S{most}").tobytes(), np.uint8).reshape(rows, most).astype(np.int64)
+        differ = np.c_[letters[1:] != letters[:-1], np.ones(rows - 1, bool)]
+        shared = np.r_[0, np.minimum(differ.argmax(axis=1), np.minimum(lengths[1:], lengths[:-1]))]  # bytes shared with the word before
+        states = np.full((rows, most + 1), -1, np.int64)  # last token of each prefix
+        step, known, none = self.suffixes.get, self.pairs.get, len(self.node_tokens) - 1
+        for end in range(1, most + 1):
+            own = np.flatnonzero(lengths >= end)
+            first = shared[own] < end
+            left = np.flatnonzero(first)  # prefixes without a state yet; one row stands for all that share it
+            row = own[left]
+            found, node = np.full(len(own), -1, np.int64), np.zeros(len(left), np.int64)
+            for at in range(end - 1, -1, -1):
+                node = np.fromiter(map(step, (node << 8 | letters[row, at]).tolist(), repeat(none)), np.int64, len(row))
+                token = self.node_tokens[node]
+                fits = token >= 0
+                if at:
+                    tried = np.flatnonzero(fits)
+                    pairs = (states[row[tried], at] << 32 | token[tried]).tolist()
+                    stand = [known(p) for p in pairs]
+                    fits[tried] = [self._neighbours(p) if s is None else s for p, s in zip(pairs, stand)] if None in stand else stand
+                found[left[fits]] = token[fits]
+                on = ~fits & (node != none)
+                left, row, node = left[on], row[on], node[on]
+                if not len(left):
+                    break
+            if (found[first] < 0).any():
+                raise ValueError(f"The vocabulary cannot spell {words[own[first][found[first] < 0][0]][0][:end]!r}.")
+            states[own, end] = found[first][np.cumsum(first) - 1]
+        tokens, at, place, counts = np.zeros((rows, most), np.int32), lengths.copy(), most, np.zeros(rows, np.int64)
+        live = np.flatnonzero(at)
+        while len(live):  # backwards along the states
+            place -= 1
+            token = states[live, at[live]]
+            counts[live] += 1
+            tokens[live, most - counts[live]] = token
+            at[live] -= self._lengths[token]
+            live = live[at[live] > 0]
+        data, width = tokens.tobytes(), 4 * most
+        starts = (np.arange(1, rows + 1) * width - 4 * counts).tolist()
+        yield from ((w, data[a:b]) for (_, w), a, b in zip(words, starts, range(width, rows * width + 1, width)))
+
+    def _encode_paths(self, words: list[tuple[bytes, str]]) -> Iterator[tuple[str, bytes]]:
+        """Words in sorted order, one after the other."""
+        step, tokens, known, sizes = self.suffixes.get, self._node_tokens, self.pairs.get, self._lengths.tolist()
         path, states = b"", [-1]  # states[i]: last token of the first i bytes of the path
-        for raw, word in sorted((w.encode(), w) for w in words):
+        for raw, word in words:
             n = min(len(raw), len(path))
             if raw[:n] == path[:n]:
                 shared = n
@@ -122,30 +199,32 @@ class TrieEncoder:
                 shared = n - ((int.from_bytes(raw[:n], "big") ^ int.from_bytes(path[:n], "big")).bit_length() + 7) // 8
             del states[shared + 1 :]
             for end in range(shared + 1, len(raw) + 1):
-                node, at, state = suffixes, end, None
+                node, at, state = 0, end, -1
                 while at:
                     at -= 1
-                    node = node.get(raw[at])
+                    node = step(node << 8 | raw[at])
                     if node is None:
                         break
-                    token = node.get(-1)
-                    if token is not None:
+                    token = tokens[node]
+                    if token >= 0:
                         if at:
-                            fits = pairs.get(states[at] << 32 | token)
+                            pair = states[at] << 32 | token
+                            fits = known(pair)
                             if fits is None:
-                                fits = self._neighbours(states[at], token)
+                                fits = self._neighbours(pair)
                         if not at or fits:
                             state = token
                             break
-                if state is None:
+                if state < 0:
                     raise ValueError(f"The vocabulary cannot spell {raw[:end]!r}.")
                 states.append(state)
             path = raw
             ids, at = [], len(raw)
             while at:
                 ids.append(states[at])
-                at -= len(self.token_bytes[states[at]])
-            yield word, np.array(ids[::-1], np.int32).tobytes()
+                at -= sizes[states[at]]
+            ids.reverse()
+            yield word, array("i", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers; strings of special tokens become their ids."""

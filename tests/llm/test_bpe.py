@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import re
@@ -45,6 +46,29 @@ def test_kept_words_are_forgotten_without_harm(library, monkeypatch):
         assert np.frombuffer(coder.encode([text])[0], np.int32).tolist() == library.encode(text).ids
 
 
+def test_each_merge_is_judged_once(monkeypatch):
+    judged = []
+    border = TrieEncoder._border
+    monkeypatch.setattr(TrieEncoder, "_border", lambda self, *args: judged.append(args) or border(self, *args))
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        source = file.read()
+    TrieEncoder(source)
+    assert 0 < len(judged) <= len(json.loads(source)["model"]["merges"])
+
+
+@pytest.mark.parametrize(("level_bytes", "level_words"), [(0, 5), (6, 1), (9, 5), (48, 3), (400, 1000)])
+def test_levels_and_paths_give_the_same(library, monkeypatch, level_bytes, level_words):
+    monkeypatch.setattr("claimspark.llm.bpe.LEVEL_BYTES", level_bytes)
+    monkeypatch.setattr("claimspark.llm.bpe.LEVEL_WORDS", level_words)
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        coder = TrieEncoder(file.read())
+    draw = random.Random(5)
+    texts = ["", "a", "a\0", "\0", "\0\0a a\0b a\0", "é" * 24 + " " + "é" * 25, "x" * 48 + " " + "x" * 49, "the theory then them the", "ab" * 100]
+    texts += ["".join(draw.choice("aeinrst éñ\0'9") for _ in range(draw.randint(1, 200))) for _ in range(300)]
+    for text, own, theirs in zip(texts, coder.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(own, np.int32).tolist() == theirs.ids, text
+
+
 def test_documents(spark, library):
     texts = awkward()
     docs = documents(spark, texts)
