@@ -34,6 +34,8 @@ BAND_RATIO = 1.1  # between the longest and the shortest norm of a band
 BANDS = 64  # the last one holds all that is shorter
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 65_536
+SCORE_CELLS = 1 << 20  # scores a task holds at once
+INDEX_PIECES = 4  # files of the index for each shuffle partition; a task reads one, with all its stretches
 
 FOUND = "row long, entry long, low double, high double"
 
@@ -170,8 +172,9 @@ def search_stretch(stretch: pa.Table, visits: pa.Table, k: int, bits: int, error
         l, h = low[turns[a]], high[turns[a]]
         if l >= h:
             continue
-        for start in range(a, b, 1024):
-            group = turns[start : min(b, start + 1024)]
+        step = max(1, SCORE_CELLS // int(h - l))
+        for start in range(a, b, step):
+            group = turns[start : min(b, start + step)]
             scores = (unit[group] @ half[l:h].T).astype(np.float64)
             scores[is_single[None, l:h] & (only[None, l:h] == ids[group, None])] = -np.inf
             floor = least[group]
@@ -244,7 +247,7 @@ class Forest:
         strings = strings.join(self.crowded, ["band", "tree", "stretch"], "left")
         block = F.coalesce(F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"), F.lit(0)).alias("block")
         strings = strings.select("*", block).select(self._cell(), "tree", "code", "entry", "only", "half")
-        self.index = bucketed(strings.groupBy("cell").applyInArrow(sort_stretch, STRETCH), "ann-index", "cell", dealt=True)
+        self.index = bucketed(strings.groupBy("cell").applyInArrow(sort_stretch, STRETCH), "ann-index", "cell", dealt=True, pieces=INDEX_PIECES)
 
     @staticmethod
     def _cell() -> Column:

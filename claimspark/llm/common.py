@@ -40,13 +40,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucketed(df: DataFrame, name: str, key: str, *order: str, dealt: bool = False) -> DataFrame:
+def bucketed(df: DataFrame, name: str, key: str, *order: str, dealt: bool = False, pieces: int = 1) -> DataFrame:
     """``df`` written once in the shared folder, dealt by ``key`` and sorted; joins and groups on ``key`` do not move it again.
 
-    ``dealt`` says that a group-by on ``key`` has dealt the rows already.
+    ``dealt`` says that a group-by on ``key`` has dealt the rows already. There are ``pieces`` buckets for each shuffle partition: more where rows are large.
     """
     spark = df.sparkSession
-    count, table_name = partitions(spark), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    count, table_name = partitions(spark) * pieces, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     writer = (df if dealt else df.repartition(count, key)).write.bucketBy(count, key).sortBy(key, *order)
     writer.option("path", scratch_path(spark, name)).saveAsTable(table_name)
     return spark.table(table_name)

@@ -1,8 +1,12 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from claimspark.llm import ann
+from claimspark.llm.common import partitions
 
 
 def vectors(n=1500, d=16, seed=1):
@@ -96,3 +100,37 @@ def test_ascent_follows_the_bound():
         if d:
             share = 1 - np.arccos(c) / np.pi
             assert (1 - share**d) ** j * (1 - share ** (d + 1) if d < 48 else 1) ** (64 - j) <= 0.08 + 1e-9
+
+
+def test_scores_of_a_stretch_are_not_held_at_once():
+    """All queries visit the whole of a stretch, as at the root: a task holds a bounded number of their scores."""
+    draw = np.random.default_rng(8)
+    v = draw.normal(size=(8192, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    codes = ann.Planes(64, 1, 48, 1).strings(ann.query_points(v))[:, 0]
+    halves = pa.array([x.astype(np.float16).tobytes() for x in v], pa.binary())
+    strings = pa.table({"cell": np.zeros(len(v), np.int64), "tree": np.zeros(len(v), np.int32), "code": codes, "entry": np.arange(len(v)), "only": np.arange(len(v)), "half": halves})
+    stretch = ann.sort_stretch(strings)
+    n = 2048
+    visits = pa.table({
+        "row": np.arange(n), "id": np.arange(n), "unit": pa.array([x.astype(np.float32).tobytes() for x in v[:n]], pa.binary()),
+        "bound": np.full(n, -np.inf), "longest": np.ones(n), "code": codes[:n], "depth": np.zeros(n, np.int32),
+    })
+    tracemalloc.start()
+    found = ann.search_stretch(stretch, visits, 20, 48, 1e-3)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 64
+    scores = v[:n] @ v.T
+    scores[np.arange(n), np.arange(n)] = -np.inf
+    got = set(zip(found["row"].to_pylist(), found["entry"].to_pylist()))
+    best = np.argsort(-scores, axis=1)[:, :20]
+    assert all((i, int(j)) in got for i in range(n) for j in best[i])
+
+
+def test_the_index_has_several_files_for_each_shuffle_partition(spark):
+    """A search task reads one file whole, so its share of the index is cut finer than a shuffle."""
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": range(400), "embedding": list(vectors(400))}))
+    forest = ann.Forest(rows, 5, "vec_id", "embedding", 4, 12, 1, 50)
+    joined = forest.index.groupBy("cell").count()  # by bucket, without an exchange
+    assert joined.rdd.getNumPartitions() == 4 * partitions(spark)
