@@ -128,6 +128,21 @@ def test_provider_volume_of_claims_and_people(spark):
     assert rows[day(30)].claims_365d == 3 and rows[day(30)].beneficiaries_90d == 2
 
 
+def test_provider_volume_moves_lines_once_for_claims_and_once_for_people(spark):
+    frame = spark.createDataFrame([("p", "c", "k1", "b1", day(0))], "provider_id string, procedure_code string, claim_key string, bene_id string, service_date date")
+    plan = provider_volume(frame)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4  # claims, people, sums a day, days in order
+
+
+def test_distinct_in_windows_of_several_entities(spark):
+    """Days on which all entities are NULL stay, also of a NULL key."""
+    rows = [("p", None, None, day(0)), ("p", "k", None, day(1)), ("p", None, "b", day(3)), ("p", "k", "b", day(3)), (None, None, None, day(2)), (None, "k", "b", day(2)), ("p", "k", "b", None)]
+    frame = spark.createDataFrame(rows, "who string, claim string, person string, at date")
+    got = distinct_in_windows(frame, ["who"], {"claims": "claim", "people": "person"}, "at", (2, 5))
+    assert got.columns == ["who", "at", "claims_2d", "claims_5d", "people_2d", "people_5d"]
+    assert set(map(tuple, got.collect())) == {("p", day(0), 0, 0, 0, 0), ("p", day(1), 1, 1, 0, 0), ("p", day(3), 1, 1, 1, 1), (None, day(2), 1, 1, 1, 1)}
+
+
 def test_pairs_of_a_claim_with_many_codes(spark):
     """Blocks of a few codes give the pairs of one block."""
     draw = random.Random(7)
