@@ -3,6 +3,7 @@
 import random
 
 from claimspark.operators.peer_groups import backed_off_peers, main_place
+from claimspark.session import settings
 
 LEVELS = [["procedure_code", "kind", "place"], ["procedure_code", "kind"], ["procedure_code"]]
 
@@ -36,6 +37,22 @@ def test_finest_level_with_enough_peers(spark):
     assert backed_off_peers(frame.filter("false"), LEVELS).count() == 0
 
 
+def test_rows_stay_where_they_are_if_totals_are_few(spark, monkeypatch):
+    d = random.Random(5)
+    rows = [(f"p{i}", d.choice("abc"), d.choice(["x", "y", None]), d.choice(["1", None]), d.randint(0, 30), d.randint(0, 9)) for i in range(80)]
+    rows += [(None, "a", "x", "1", 3, 2), ("q", None, "x", "1", 3, 2)]
+    frame = spark.createDataFrame(rows, "provider_id string, procedure_code string, kind string, place string, claim_count long, beneficiary_count long")
+    few = backed_off_peers(frame, LEVELS, min_peers=6)
+    assert "Exchange hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr("claimspark.operators.peer_groups.BROADCAST_ROWS", 0)
+    found = sorted(map(str, few.collect()))
+    with settings(spark, spark_sql_autoBroadcastJoinThreshold=-1):
+        many = backed_off_peers(frame, LEVELS, min_peers=6)
+        assert "Exchange hashpartitioning" in many._jdf.queryExecution().executedPlan().toString()
+        assert found == sorted(map(str, many.collect()))
+    assert [r.peer_level for r in few.filter("provider_id IS NULL OR procedure_code IS NULL").collect()] == [None, None]
+
+
 def test_main_place(spark):
     rows = [("p", "b"), ("p", "a"), ("p", None), ("q", "c"), ("q", "c"), ("q", "a"), (None, "a"), ("r", None)]
     got = main_place(spark.createDataFrame(rows, "provider_id string, place_of_service_code string")).collect()
