@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from claimspark.llm.blocks import mixed
 from claimspark.llm.common import give_back
@@ -188,23 +189,26 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
     values = docs.sparkSession.sparkContext.broadcast(model[0].astype(np.float32))
     bias = model[1]
     others = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != text_col)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("score text"))
-    schema = rows.drop("score text").withColumn("score", F.lit(0.0)).schema
+    rows = docs.select(*[F.col(f"`{c}`") for c in others])
+    schema = rows.withColumn("score", F.lit(0.0)).schema
+    place = others.index(text_col) if text_col in others and docs.schema[text_col].dataType == StringType() else len(others)
+    if place == len(others):  # else a kept text is moved once, as it is
+        rows = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("score text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what earlier stages took
         scorer = WordScorer(values.value.astype(np.float64), bias)
         for batch in batches:
-            texts, at, found = batch.column(len(others)), 0, []
+            texts, at = batch.column(place).cast(pa.binary()), 0
             while at < len(batch):
-                own, size = [], 0
+                start, own, size = at, [], 0
                 while at < len(batch) and size < SLICE_BYTES:
-                    own.append(texts[at].as_py())
+                    own.append(texts[at].as_py() or b"")
                     size += len(own[-1])
                     at += 1
-                found.append(scorer.scores(own))
-            scores = pa.array(np.concatenate(found) if found else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], scores], [*others, "score"])
-        del scorer
+                kept = batch.slice(start, at - start).columns[: len(others)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(scorer.scores(own))], [*others, "score"])
+        scorer = batch = texts = own = kept = None
         give_back()
 
     return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -51,6 +51,16 @@ def test_awkward_tables(spark):
     assert {r["text"] for r in rows} == {t for _, t, _ in awkward()}
 
 
+def test_kept_texts_are_sent_to_the_scorer_once_and_come_back_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(q, "SLICE_BYTES", 50)
+    docs, model = documents(spark, awkward()), (np.random.default_rng(2).normal(size=1 << 10), 0.1)
+    kept = q.score(docs, model, keep_text=True)
+    assert "score text" not in kept._jdf.queryExecution().analyzed().toString()
+    plain = q.score(docs, model)
+    assert sorted(map(repr, kept.drop("text").collect())) == sorted(map(repr, plain.select(*kept.drop("text").columns).collect()))
+    assert sorted(map(repr, kept.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+
+
 def test_scores_follow_from_features_whatever_is_kept(monkeypatch):
     draw = np.random.default_rng(0)
     values = draw.normal(size=1 << 10)
