@@ -101,11 +101,10 @@ def normalize_icd10_code(value: Column) -> Column:
 
 def normalize_procedure_code(value: Column) -> Column:
     """Upper-case procedure code without blanks; a numeric code loses a trailing ``.0``."""
-    text = clean_text(value)
-    known = F.when(~F.lower(text).isin(*NULL_CODE_TOKENS), text)
-    compact = F.replace(known, F.lit(" "), F.lit(""))
-    numeric = F.regexp_extract(compact, r"^([0-9]+\.?[0-9]*|\.[0-9]+)\.0$", 1)
-    return F.upper(F.coalesce(F.nullif(numeric, F.lit("")), compact))
+    text = strip(value)
+    # Few mentions of the text, because each is evaluated. What follows the end of the line is one of the ends that are no white space here.
+    code = F.regexp_replace(F.replace(text, F.lit(" "), F.lit("")), r"^([0-9]+\.?[0-9]*|\.[0-9]+)\.0$(?s:.*)", "$1")
+    return F.when(~F.lower(text).isin("", *NULL_CODE_TOKENS), F.upper(code))
 
 
 def policy_url(policy_type: Column, policy_id: Column, version: Column) -> Column:

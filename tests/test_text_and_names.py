@@ -105,3 +105,13 @@ def test_data_dictionary(spark, rows):
         ("NOTE", "note", "text_or_category"),
     ]
     assert rows(table)[1]["description"] == "Numbered diagnosis code from the source claim."
+
+
+def test_a_procedure_code_is_stripped_twice_not_for_every_rule(spark):
+    cells = {
+        " b 12.0\t": "B12.0", "99213.0 ": "99213", "1 2.50.0": "12.50", "12.5.0": "12.5", ".5.0": ".5", "7.0.0": "7.0", "0.0": "0", ".0": ".0", "12.0\u2028": "12",
+        "12\n.0": "12\n.0", "NaN ": None, " none": None, "n an": "NAN", "  ": None, "": None, " x ": "X", None: None, "$1.0": "$1.0",
+    }
+    rows = spark.createDataFrame(list(cells.items()), "cell string, want string").withColumn("code", normalize_procedure_code(F.col("cell")))
+    assert [(r["cell"], r["code"]) for r in rows.collect()] == list(cells.items())
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("trim(") <= 2
