@@ -68,20 +68,29 @@ def _year_first_date(text: Column) -> Column:
     )
 
 
+def without_time(text: Column) -> Column:
+    """Stripped text of a date without the time of day behind it."""
+    return F.when(text.rlike(TIME_OF_DAY), F.regexp_replace(text, TIME_OF_DAY, "")).otherwise(text)
+
+
 def parse_date(text: Column) -> Column:
     """Year first (with dashes, slashes, dots or nothing between), day first (same signs), or with a month name.
 
     A time of day behind the date is dropped; anything else is NULL. ``text`` is stripped already. The shape is
     checked first, because a failed parse costs far more than a match.
     """
-    day = F.when(text.rlike(TIME_OF_DAY), F.regexp_replace(text, TIME_OF_DAY, "")).otherwise(text)
+    return parse_day(without_time(text))
+
+
+def parse_day(day: Column) -> Column:
+    """``parse_date`` of a text that is ``without_time``. It mentions the text many times, so where many rows are read that is a column."""
     numbers = F.when(day.rlike(r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{4}$"), F.try_to_date(F.regexp_replace(day, "[/.]", "-"), "d-M-yyyy"))
     return F.coalesce(_year_first_date(day), numbers, _named_month_date(day))
 
 
 def parse_policy_date(text: Column) -> Column:
     """Dates of policy tables: as ``parse_date``, but numbers with the year last are month-first."""
-    day = F.when(text.rlike(TIME_OF_DAY), F.regexp_replace(text, TIME_OF_DAY, "")).otherwise(text)
+    day = without_time(text)
     slashed = F.regexp_extract(day, r"^(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})", 1)
     numbers = F.when(slashed != "", F.try_to_date(F.regexp_replace(slashed, "[-.]", "/"), "M/d/yyyy"))
     return F.coalesce(_year_first_date(day), numbers, _named_month_date(day))

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from claimspark.functions import fixed
 from claimspark.functions.text import (
     col_or_default, first_non_blank, parse_policy_date, policy_url, strip,
 )
-from claimspark.operators.joins import salted_join
+from claimspark.operators.joins import measured_join, salted_join
 
 PolicyTables = dict[str, dict[str, DataFrame]]
 POLICY = ["policy_id", "policy_version"]
@@ -34,6 +34,7 @@ NCD_COLUMNS = [
     "source_policy_title", "related_policy_type", "related_policy_id", "related_policy_version",
     "related_policy_title", "effective_date", "relationship_type", "source_url",
 ]
+LIST_ROWS = 512  # diagnoses of an article in one row
 # Date columns in order of preference.
 EFFECTIVE = {"LCD": ["rev_eff_date", "orig_det_eff_date"], "Article": ["article_eff_date"]}
 RETIRED = {"LCD": ["ent_det_end_date", "rev_end_date"], "Article": ["article_end_date", "date_retired"]}
@@ -74,7 +75,7 @@ def code_rows(tables: dict[str, DataFrame], policy_type: str, codes: DataFrame)
         F.upper(strip(F.col("hcpc_code_id"))).alias("procedure_code"),
         *[col_or_default(table, f"{size}_description").alias(f"{size}_description") for size in ("short", "medium", "long")],
     )
-    return salted_join(rows, codes, ["procedure_code"], by=POLICY, how="left_semi")
+    return measured_join(rows, codes, ["procedure_code"], by=POLICY, how="left_semi")
 
 
 def policy_keys(rows: DataFrame) -> DataFrame:
@@ -82,7 +83,8 @@ def policy_keys(rows: DataFrame) -> DataFrame:
 
 
 def policy_codes(rows: DataFrame) -> DataFrame:
-    return rows.select(*POLICY, "procedure_code").distinct()
+    """Distinct codes of each policy, moved once: told apart where what else is known of the policy meets them."""
+    return rows.select(*POLICY, "procedure_code").repartition(*POLICY).distinct()
 
 
 def policy_metadata(tables: dict[str, DataFrame], policy_type: str) -> DataFrame:
@@ -171,25 +173,14 @@ def policy_context(
 def direct_policy_rows(
     tables: dict[str, DataFrame], policy_type: str, rows: DataFrame, as_of: Column | None = None
 ) -> DataFrame:
-    """One output row per code-table row whose exact policy version has metadata."""
+    """One row per code-table row whose exact policy version has metadata; ``finish_matches`` makes output rows of them."""
     context = policy_context(tables, policy_type, policy_keys(rows), as_of)
     documents = policy_metadata(tables, policy_type).join(context, POLICY)
-    return (
-        salted_join(rows, documents, POLICY, by=["procedure_code"])
-        .withColumns(
-            {
-                "code_system": F.lit(fixed.POLICY_CODE_SYSTEM),
-                "policy_type": F.lit(policy_type),
-                "relationship_type": F.lit(fixed.CODE_LISTED.format(policy_type=policy_type)),
-                "source_url": policy_url(F.lit(policy_type), F.col("policy_id"), F.col("policy_version")),
-            }
-        )
-        .select(*MATCH_COLUMNS)
-    )
+    return salted_join(rows, documents, POLICY, by=["procedure_code"]).withColumn("policy_type", F.lit(policy_type))
 
 
-def policy_matches(tables: PolicyTables, codes: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """LCD and Article rows for the wanted codes."""
+def match_rows(tables: PolicyTables, codes: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """LCD and Article rows for the wanted codes, without the columns that follow from others."""
     parts = [
         direct_policy_rows(tables[kind], kind, code_rows(tables[kind], kind, codes), as_of)
         for kind in ("LCD", "Article")
@@ -197,8 +188,28 @@ def policy_matches(tables: PolicyTables, codes: DataFrame, as_of: Column | None
     return parts[0].unionByName(parts[1])
 
 
-def icd10_relationships(tables: PolicyTables, codes: DataFrame) -> DataFrame:
-    """Diagnoses that an article lists as supporting or not supporting each of its codes."""
+def finish_matches(rows: DataFrame) -> DataFrame:
+    kind = F.col("policy_type")
+    relation = F.when(kind == "LCD", fixed.CODE_LISTED.format(policy_type="LCD")).otherwise(fixed.CODE_LISTED.format(policy_type="Article"))
+    return rows.withColumns(
+        {
+            "code_system": F.lit(fixed.POLICY_CODE_SYSTEM),
+            "relationship_type": relation,
+            "source_url": policy_url(kind, F.col("policy_id"), F.col("policy_version")),
+        }
+    ).select(*MATCH_COLUMNS)
+
+
+def policy_matches(tables: PolicyTables, codes: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """LCD and Article rows for the wanted codes."""
+    return finish_matches(match_rows(tables, codes, as_of))
+
+
+def icd10_lists(tables: PolicyTables, codes: DataFrame) -> DataFrame:
+    """``procedure_code``, ``POLICY``, ``policy_title`` and ``diagnoses``, arrays of up to ``LIST_ROWS`` diagnoses of the article.
+
+    A code and its diagnoses meet, and move on, as one row instead of one for each diagnosis; ``finish_icd10`` makes rows of them.
+    """
     articles = tables["Article"]
 
     def listed(name: str, label: str) -> DataFrame:
@@ -215,12 +226,22 @@ def icd10_relationships(tables: PolicyTables, codes: DataFrame) -> DataFrame:
     )
     titles = policy_metadata(articles, "Article").select(*POLICY, F.col("title").alias("policy_title"))
     wanted = policy_codes(code_rows(articles, "Article", codes)).join(titles, POLICY, "left")
-    return (
-        salted_join(diagnoses, wanted, POLICY, by=["icd10_code"])
-        .withColumn("policy_title", F.coalesce("policy_title", F.lit("")))
-        .withColumn("source_url", policy_url(F.lit("Article"), F.col("policy_id"), F.col("policy_version")))
-        .select(*ICD10_COLUMNS)
-    )
+    place = F.row_number().over(Window.partitionBy(*POLICY).orderBy("icd10_code", "code_relationship"))
+    numbered = diagnoses.dropna(subset=POLICY).withColumn("list", F.floor((place - 1) / LIST_ROWS))
+    lists = numbered.groupBy(*POLICY, "list").agg(F.collect_list(F.struct("icd10_code", "icd10_description", "code_relationship")).alias("diagnoses"))
+    # A policy has no more rows here than there are codes, and its lists are few.
+    return wanted.join(lists.drop("list"), POLICY).withColumn("policy_title", F.coalesce("policy_title", F.lit("")))
+
+
+def finish_icd10(lists: DataFrame) -> DataFrame:
+    """One row per procedure code, article and diagnosis."""
+    linked = lists.withColumn("source_url", policy_url(F.lit("Article"), F.col("policy_id"), F.col("policy_version")))
+    return linked.withColumn("diagnosis", F.explode("diagnoses")).select(*ICD10_COLUMNS[:4], "diagnosis.*", "source_url")
+
+
+def icd10_relationships(tables: PolicyTables, codes: DataFrame) -> DataFrame:
+    """Diagnoses that an article lists as supporting or not supporting each of its codes."""
+    return finish_icd10(icd10_lists(tables, codes))
 
 
 def ncd_metadata(tables: PolicyTables) -> DataFrame:
@@ -252,28 +273,34 @@ def related_ncd_rows(
     else:
         wanted = wanted.withColumn("source_policy_title", F.lit(""))
     described = salted_join(links, ncd_metadata(tables), ["related_policy_id", "related_policy_version"], by=POLICY)
-    return described.join(wanted, POLICY).select(  # the codes of a policy are more than its links
-        "procedure_code",
-        F.lit(policy_type).alias("source_policy_type"),
-        F.col("policy_id").alias("source_policy_id"),
-        F.col("policy_version").alias("source_policy_version"),
-        F.coalesce("source_policy_title", F.lit("")).alias("source_policy_title"),
-        F.lit("NCD").alias("related_policy_type"),
-        "related_policy_id",
-        "related_policy_version",
-        "related_policy_title",
-        "effective_date",
-        F.lit(fixed.NCD_RELATED.format(policy_type=policy_type)).alias("relationship_type"),
-        policy_url(F.lit("NCD"), F.col("related_policy_id"), F.col("related_policy_version")).alias("source_url"),
+    rows = described.join(wanted, POLICY)  # the codes of a policy are more than its links
+    return rows.withColumns({"source_policy_type": F.lit(policy_type), "source_policy_title": F.coalesce("source_policy_title", F.lit(""))}).withColumnsRenamed(
+        {"policy_id": "source_policy_id", "policy_version": "source_policy_version"}
     )
 
 
-def ncd_relationships(tables: PolicyTables, codes: DataFrame, with_titles: bool = False) -> DataFrame:
-    """National policies that the LCDs and Articles of the wanted codes refer to."""
+def ncd_rows(tables: PolicyTables, codes: DataFrame, with_titles: bool = False) -> DataFrame:
+    """``ncd_relationships`` without the columns that follow from others."""
     parts = [related_ncd_rows(tables, kind, codes, with_titles) for kind in ("LCD", "Article")]
     return parts[0].unionByName(parts[1])
 
 
+def finish_ncd(rows: DataFrame) -> DataFrame:
+    relation = F.when(F.col("source_policy_type") == "LCD", fixed.NCD_RELATED.format(policy_type="LCD")).otherwise(fixed.NCD_RELATED.format(policy_type="Article"))
+    return rows.withColumns(
+        {
+            "related_policy_type": F.lit("NCD"),
+            "relationship_type": relation,
+            "source_url": policy_url(F.lit("NCD"), F.col("related_policy_id"), F.col("related_policy_version")),
+        }
+    ).select(*NCD_COLUMNS)
+
+
+def ncd_relationships(tables: PolicyTables, codes: DataFrame, with_titles: bool = False) -> DataFrame:
+    """National policies that the LCDs and Articles of the wanted codes refer to."""
+    return finish_ncd(ncd_rows(tables, codes, with_titles))
+
+
 def for_code(table: DataFrame, procedure_code: str) -> DataFrame:
     """Rows of one code; a plain equality, so it reaches a Parquet scan."""
     return table.filter(F.col("procedure_code") == procedure_code.strip().upper())

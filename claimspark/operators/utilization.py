@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimspark.functions import fixed
 from claimspark.functions.names import validate_columns
-from claimspark.functions.text import avg_money, sum_money
+from claimspark.functions.text import avg_money, money, sum_money
 from claimspark.operators.claim_lines import lines_with_code
 from claimspark.operators.joins import salted_join
 from claimspark.operators.ranks import exact_quantiles
@@ -31,37 +31,49 @@ def distinct_claims() -> Column:
 ENTITIES = {"claims": ["claim_type", "source_claim_id"], "beneficiaries": ["bene_id"], "providers": ["provider_id"]}
 KEYS = ["code_system", "diagnosis_code", "provider_id_key", "provider_id_type", "place_of_service_code", "service_month"]
 ROWS_PER_LINE = 4  # about; so many more pieces than a shuffle of lines has, for their groups to fit into a task's memory
-# Table -> its keys behind the procedure code, the lines it takes, the entities it counts.
+# Table -> its keys behind the procedure code, the lines it takes, the entities it counts. Only carrier lines keep their place.
 GROUPINGS: dict[str, tuple[list[str], str, list[str]]] = {
     "procedure": (["code_system"], "true", ["claims", "beneficiaries", "providers"]),
     "total": ([], "true", ["claims"]),
     "diagnosis": (["diagnosis_code"], "diagnosis_codes is not null", ["claims", "beneficiaries", "providers"]),
     "provider": (["provider_id_key", "provider_id_type"], "provider_id_key is not null", ["claims", "beneficiaries"]),
-    "place": (["place_of_service_code"], "claim_type = 'carrier' and place_of_service_code is not null", ["claims", "beneficiaries"]),
+    "place": (["place_of_service_code"], "place_of_service_code is not null", ["claims", "beneficiaries"]),
     "carrier": ([], "claim_type = 'carrier'", ["claims"]),
     "month": (["service_month"], "service_month is not null", ["claims", "beneficiaries"]),
 }
 
 
+# Keys that a table has at most one of; groups are told apart by this one text, which is given back its name when only counts are left.
+TEXT_KEYS = ["code_system", "diagnosis_code", "provider_id_key", "place_of_service_code"]
+
+
 def _in_groups(rows: DataFrame, tables: Sequence[str], kept: list[str]) -> DataFrame:
-    """``grouping, procedure_code``, ``KEYS`` and the columns ``kept``: a row for each group that a line belongs to."""
+    """``grouping, procedure_code, text, provider_id_type, service_month`` and the columns ``kept``: a row for each group that a line belongs to."""
     types = {f.name: f.dataType for f in rows.schema}
 
     def group(table: str) -> Column:
         keys, condition, _ = GROUPINGS[table]
-        codes = F.col("diagnosis_codes") if table == "diagnosis" else F.array(F.lit(None).cast("string"))
-        own = [(F.col(k) if k in keys else F.lit(None).cast(types[k])).alias(k) for k in KEYS if k != "diagnosis_code"]
-        return F.when(F.expr(condition), F.struct(F.lit(table).alias("grouping"), codes.alias("codes"), *own))
+        text = next((F.col(k) for k in keys if k in TEXT_KEYS and k != "diagnosis_code"), F.lit(None).cast("string"))
+        texts = F.col("diagnosis_codes") if table == "diagnosis" else F.array(text)
+        others = [(F.col(k) if k in keys else F.lit(None).cast(types[k])).alias(k) for k in KEYS if k not in TEXT_KEYS]
+        return F.when(F.expr(condition), F.struct(F.lit(table).alias("grouping"), texts.alias("texts"), *others))
 
     groups = rows.select("procedure_code", *kept, F.explode(F.array(*map(group, tables))).alias("group")).filter("group is not null")
-    found = groups.select("procedure_code", *kept, "group.*").withColumn("diagnosis_code", F.explode("codes")).drop("codes")
-    return found.filter("grouping <> 'diagnosis' or (diagnosis_code is not null and diagnosis_code <> '')")
+    found = groups.select("procedure_code", *kept, "group.*").withColumn("text", F.explode("texts")).drop("texts")
+    return found.filter("grouping <> 'diagnosis' or (text is not null and text <> '')")
+
+
+def _named_keys(counts: DataFrame) -> DataFrame:
+    """``counts`` with ``KEYS`` in place of ``text``."""
+    owners = {key: [t for t, (keys, _, _) in GROUPINGS.items() if key in keys] for key in TEXT_KEYS}
+    texts = {key: F.when(F.col("grouping").isin(tables), F.col("text")) for key, tables in owners.items()}
+    return counts.select("grouping", "procedure_code", *[texts.get(k, F.col(k)).alias(k) for k in KEYS], *ENTITIES)
 
 
 def _taken(tables: Sequence[str]) -> set[str]:
     """Columns that tell the groups of the tables."""
     keys = {"diagnosis_codes" if k == "diagnosis_code" else k for t in tables for k in GROUPINGS[t][0]}
-    return keys | ({"claim_type"} if {"place", "carrier"} & {*tables} else set())
+    return keys | ({"claim_type"} if "carrier" in tables else set())
 
 
 def distinct_counts(lines: DataFrame, tables: Sequence[str]) -> DataFrame:
@@ -72,10 +84,11 @@ def distinct_counts(lines: DataFrame, tables: Sequence[str]) -> DataFrame:
     """
     taken = {entity: _taken([t for t in tables if entity in GROUPINGS[t][2]]) for entity in ENTITIES}
     used = set().union(*taken.values(), *[ENTITIES[e] for t in tables for e in GROUPINGS[t][2]], ["claim_type", "source_claim_id"])
-    sources = {c: (F.col(c), "string") for c in ("code_system", "claim_type", "source_claim_id", "bene_id", "provider_id", "provider_id_type", "place_of_service_code")}
+    sources = {c: (F.col(c), "string") for c in ("code_system", "claim_type", "source_claim_id", "bene_id", "provider_id", "provider_id_type")}
+    sources["place_of_service_code"] = (F.when(F.col("claim_type") == "carrier", F.col("place_of_service_code")), "string")
     sources |= {"provider_id_key": (F.col("provider_id"), "string"), "service_month": (F.trunc("service_date", "MM"), "date"), "diagnosis_codes": (F.col("diagnosis_codes"), "array<string>")}
     coded = lines_with_code(lines).select("procedure_code", *[(value if c in used else F.lit(None).cast(kind)).alias(c) for c, (value, kind) in sources.items()])
-    place = ["grouping", "procedure_code", *KEYS]
+    place = ["grouping", "procedure_code", "text", *[k for k in KEYS if k not in TEXT_KEYS]]
     pieces = ROWS_PER_LINE * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     unnamed = _in_groups(coded.filter("source_claim_id is null"), tables, []).groupBy(*place).agg(F.count(F.lit(1)).alias("claims"))
     parts = [unnamed.select(*place, "claims", F.lit(0).alias("beneficiaries"), F.lit(0).alias("providers"))]
@@ -88,7 +101,7 @@ def distinct_counts(lines: DataFrame, tables: Sequence[str]) -> DataFrame:
         seen = _in_groups(rows, own, names).distinct()
         found = seen.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
         parts.append(found.select(*place, *[(F.col("n") if e == entity else F.lit(0)).alias(e) for e in ENTITIES]))
-    return reduce(DataFrame.unionByName, parts).groupBy(*place).agg(*[F.sum(e).alias(e) for e in ENTITIES])
+    return _named_keys(reduce(DataFrame.unionByName, parts).groupBy(*place).agg(*[F.sum(e).alias(e) for e in ENTITIES]))
 
 
 def _counts(lines: DataFrame, counts: DataFrame | None, table: str) -> DataFrame:
@@ -198,18 +211,34 @@ def diagnosis_procedure_stats(lines: DataFrame, procedures: DataFrame | None = N
     )
 
 
-def provider_procedure_stats(lines: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Claims, beneficiaries and claims per beneficiary of each provider and procedure. ``counts`` are finished ``distinct_counts``."""
+def provider_procedure_stats(lines: DataFrame) -> DataFrame:
+    """Claims, beneficiaries and claims per beneficiary of each provider and procedure.
+
+    Lines are moved once, to the place of (procedure, provider), where both kinds of entity are told apart and amounts are added up: there are nearly as
+    many of these pairs as lines, so counts made elsewhere would be as many rows again.
+    """
     keys = ["provider_id", "provider_id_type", "procedure_code"]
-    counted = _counts(lines, counts, "provider").select(
-        F.col("provider_id_key").alias("provider"), F.col("provider_id_type").alias("kind"), F.col("procedure_code").alias("code"),
-        F.col("claims").alias("claim_count"), F.col("beneficiaries").alias("beneficiary_count"),
+    pieces = ROWS_PER_LINE * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = lines_with_code(lines).filter(F.col("provider_id").isNotNull())
+    rows = rows.select(*keys, "claim_type", "source_claim_id", "bene_id", "allowed_amount").repartition(pieces, "procedure_code", "provider_id")
+    claim_id, none = F.col("source_claim_id"), F.lit(None).cast("string")
+
+    def entity(kind: int, group: Column, name: Column, unnamed: Column, amount: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), group.alias("group"), name.alias("name"), unnamed.alias("unnamed"), amount.alias("amount"))
+
+    claim = entity(0, F.col("claim_type"), F.when(F.col("claim_type").isNotNull(), claim_id), claim_id.isNull().cast("long"), F.col("allowed_amount"))
+    person = entity(1, none, F.col("bene_id"), F.lit(0).cast("long"), F.lit(None).cast("double"))
+    seen = rows.select(*keys, F.inline(F.array(claim, person))).groupBy(*keys, "kind", "group", "name").agg(
+        F.sum("unnamed").alias("unnamed"), F.sum(money(F.col("amount"))).alias("amount")
     )
-    amounts = lines_with_code(lines).filter(F.col("provider_id").isNotNull()).groupBy(*keys).agg(sum_money(F.col("allowed_amount")).alias("total_allowed"))
-    same = (F.col("provider_id") == F.col("provider")) & F.col("provider_id_type").eqNullSafe(F.col("kind")) & (F.col("procedure_code") == F.col("code"))
+    named = F.col("name").isNotNull()
     return (
-        amounts.join(counted, same)
-        .select(*keys, "claim_count", "beneficiary_count", "total_allowed")
+        seen.groupBy(*keys)
+        .agg(
+            (F.count_if(named & (F.col("kind") == 0)) + F.sum("unnamed")).alias("claim_count"),
+            F.count_if(named & (F.col("kind") == 1)).alias("beneficiary_count"),
+            F.sum("amount").cast("double").alias("total_allowed"),
+        )
         .withColumns(
             {
                 "procedure_rate": F.try_divide(

@@ -29,18 +29,20 @@ def build_procedure_analytics(spark: SparkSession, processed_dir: str, derived_d
     """Write the derived tables and return their row counts.
 
     Claim lines are written once to the shared folder, because every table reads them, and removed
-    at the end. So are the distinct counts of all five tables, which move each line once per kind of entity.
+    at the end. So are the distinct counts of four tables, which move each line once per kind of entity; the table of
+    providers moves them once more, for both kinds and its amounts.
     """
     sources = {kind: f"{processed_dir.rstrip('/')}/{name}" for kind, name in CLAIM_TABLES.items()}
     missing = [CLAIM_TABLES[kind] for kind, path in sources.items() if not exists(spark, path)]
     if missing:
         raise FileNotFoundError("Missing standardized claims files: " + ", ".join(missing))
-    lines_path, counts_path = scratch_path(spark, "claim-lines"), scratch_path(spark, "distinct-counts")
+    lines_path, counts_path, providers_path = (scratch_path(spark, name) for name in ("claim-lines", "distinct-counts", "provider-rows"))
     counts = {}
     try:
-        combine_claim_lines({k: spark.read.parquet(p) for k, p in sources.items()}).write.parquet(lines_path)
+        # No table looks at claim keys: claims are told by type and id.
+        combine_claim_lines({k: spark.read.parquet(p) for k, p in sources.items()}).drop("claim_key").write.parquet(lines_path, compression="zstd")
         lines = spark.read.parquet(lines_path)
-        utilization.distinct_counts(lines, ["procedure", "diagnosis", "provider", "place", "carrier", "month"]).write.partitionBy("grouping").parquet(counts_path)
+        utilization.distinct_counts(lines, ["procedure", "diagnosis", "place", "carrier", "month"]).write.partitionBy("grouping").parquet(counts_path)
         entities = spark.read.parquet(counts_path)
 
         def save(table: str, df: DataFrame) -> None:
@@ -49,12 +51,14 @@ def build_procedure_analytics(spark: SparkSession, processed_dir: str, derived_d
         save("procedure_stats", utilization.procedure_stats(lines, entities))
         procedures = spark.read.parquet(derived_path(derived_dir, "procedure_stats"))
         save("diagnosis_procedure_stats", utilization.diagnosis_procedure_stats(lines, procedures, entities))
-        save("provider_procedure_stats", utilization.provider_procedure_stats(lines, entities))
+        # Clustering by ranges runs what it clusters twice, first to see the ranges.
+        utilization.provider_procedure_stats(lines).write.parquet(providers_path, compression="zstd")
+        save("provider_procedure_stats", spark.read.parquet(providers_path))
         save("pos_procedure_stats", utilization.pos_procedure_stats(lines, entities))
         save("procedure_trends", utilization.procedure_trends(lines, entities))
     finally:
-        drop_dir(spark, lines_path)
-        drop_dir(spark, counts_path)
+        for path in (lines_path, counts_path, providers_path):
+            drop_dir(spark, path)
     return counts
 
 

@@ -76,14 +76,14 @@ def build_local_coverage_relationships(
         codes = coverage.code_list(spark, procedure_codes)
     day = None if as_of is None else F.lit(as_of)
     results = {
-        "policy_matches": coverage.policy_matches(tables, codes, day),
-        "icd10_relationships": coverage.icd10_relationships(tables, codes),
-        "ncd_relationships": coverage.ncd_relationships(tables, codes),
+        "policy_matches": (coverage.match_rows(tables, codes, day), coverage.finish_matches),
+        "icd10_relationships": (coverage.icd10_lists(tables, codes), coverage.finish_icd10),
+        "ncd_relationships": (coverage.ncd_rows(tables, codes), coverage.finish_ncd),
     }
     counts = {}
-    for name, df in results.items():
+    for name, (df, finish) in results.items():
         table, _, cluster = OUTPUTS[name]
-        counts[f"{table}.parquet"] = write_table(df, derived_path(derived_dir, table), cluster_by=cluster)
+        counts[f"{table}.parquet"] = write_table(df, derived_path(derived_dir, table), cluster_by=cluster, finish=finish)
     if landing_dir is None:
         drop_dir(spark, landing)
     return counts

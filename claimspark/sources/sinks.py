@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -14,14 +15,16 @@ def _staged(target: str) -> str:
     return f"{folder}/.{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, target: str, cluster_by: list[str] | None = None) -> int:
+def write_table(df: DataFrame, target: str, cluster_by: list[str] | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> int:
     """Parquet table at ``target``; returns the number of rows, counted during the write.
 
     With ``cluster_by`` every file holds one range of those columns, sorted, so that later point
-    filters skip files and row groups by their statistics.
+    filters skip files and row groups by their statistics. ``finish`` makes the table's rows from those in their place, row by
+    row, so what it adds is not moved.
     """
     staged, counted = _staged(target), Observation()
     rows = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by) if cluster_by else df
+    rows = finish(rows) if finish else rows
     try:
         rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(staged)
     except Exception:

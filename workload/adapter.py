@@ -59,39 +59,55 @@ def number_text(value: Column, choice: Column) -> Column:
     )
 
 
+BASE_COLUMNS = [
+    "l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus", "ship_day", "charge", "claim_code", "number_form", "blank_place", "o_custkey", "o_orderstatus",
+    "o_orderpriority", "claim_type",
+]
+
+
 def claim_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with what the claims need of their orders and parts.
+
+    ``charge`` is the net price of a carrier line and the price of an outpatient line. It and the day are made before lines are moved. Lines
+    meet the parts first, and what follows from the part stands in for it when they are moved the second time.
+    """
     lines = table(spark, sf_dir, "lineitem")
+    kind, price = one_of(CLAIM_TYPES, F.col("l_linenumber")), F.col("l_extendedprice")
+    lines = lines.withColumns({
+        "ship_day": F.col("l_shipdate").cast("date"),
+        "charge": F.when(kind == "carrier", price * (1 - F.col("l_discount"))).when(kind == "outpatient", price),
+    })
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
-    return joined.withColumn("claim_type", one_of(CLAIM_TYPES, F.col("l_linenumber")))
+    part = F.col("l_partkey")
+    coded = lines.join(parts, lines.l_partkey == parts.p_partkey).withColumns({
+        "claim_code": blank_when(part % 97 == 0, procedure_code_text()), "number_form": (part % 3).cast("int"), "blank_place": part % 11 == 0,
+    })
+    return coded.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("claim_type", kind)
 
 
 def raw_claims(base: DataFrame, claim_type: str, with_file: bool = False) -> DataFrame:
     """Raw text lines of one claim type under the source column names, from ``claim_base``."""
     base = base.filter(F.col("claim_type") == claim_type)
     supplier = F.col("l_suppkey")
-    day = F.col("l_shipdate").cast("date")
-    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    day = F.col("ship_day")
     individual = blank_when(supplier % 5 == 0, supplier.cast("string"))
     columns = {
         "BENE_ID": F.col("o_custkey").cast("string"),
         "CLM_ID": blank_when(F.col("l_orderkey") % 101 == 0, F.col("l_orderkey").cast("string")),
         "CLM_FROM_DT": F.when(F.col("l_orderkey") % 113 == 0, F.lit("31-Feb-2019")).otherwise(date_text(day, supplier % 7)),
         "ORG_NPI_NUM": blank_when(supplier % 10 == 0, F.concat(F.lit("ORG"), (supplier % 7).cast("string"))),
-        "HCPCS_CD": blank_when(
-            F.col("l_partkey") % 97 == 0, F.concat(F.lit(" "), procedure_code_text(), F.lit(" "))
-        ),
+        "HCPCS_CD": blank_when(F.col("claim_code") == "", F.concat(F.lit(" "), F.col("claim_code"), F.lit(" "))),
         "ICD_DGNS_CD1": F.col("o_orderpriority"),
         "ICD_DGNS_CD2": F.concat("l_linestatus", "o_orderstatus"),
     }
     if claim_type == "carrier":
         columns |= {
             "PRF_PHYSN_NPI": individual,
-            "LINE_PLACE_OF_SRVC_CD": blank_when(F.col("l_partkey") % 11 == 0, F.col("l_returnflag")),
+            "LINE_PLACE_OF_SRVC_CD": blank_when(F.col("blank_place"), F.col("l_returnflag")),
             "LINE_ICD_DGNS_CD": F.when(F.col("l_linestatus") == "F", F.col("o_orderpriority")).otherwise("LINE"),
             "LINE_ALOWD_CHRG_AMT": F.when(F.col("l_orderkey") % 127 == 0, F.lit("n/a")).otherwise(
-                number_text(net, F.col("l_partkey") % 3)
+                number_text(F.col("charge"), F.col("number_form"))
             ),
         }
     else:
@@ -102,7 +118,7 @@ def raw_claims(base: DataFrame, claim_type: str, with_file: bool = False) -> Dat
             columns |= {
                 "RNDRNG_PHYSN_NPI": individual,
                 "AT_PHYSN_NPI": attending,
-                "REV_CNTR_TOT_CHRG_AMT": number_text(F.col("l_extendedprice"), F.col("l_partkey") % 3),
+                "REV_CNTR_TOT_CHRG_AMT": number_text(F.col("charge"), F.col("number_form")),
             }
         else:
             columns |= {"AT_PHYSN_NPI": individual, "OP_PHYSN_NPI": operating}
@@ -141,8 +157,11 @@ def raw_beneficiaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- policies --------------------------------------------------------------------------------
 
 
-def coverage_tables(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, DataFrame]]:
-    """LCDs are the odd suppliers, Articles the even ones, contractors the nations, states and NCDs the regions."""
+def coverage_tables(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> dict[str, dict[str, DataFrame]]:
+    """LCDs are the odd suppliers, Articles the even ones, contractors the nations, states and NCDs the regions.
+
+    ``base`` is a finished ``claim_base``; without it the joins are made for each table that takes lines.
+    """
     kind_of = one_of(["Article", "LCD"], F.col("s_suppkey"))
     suppliers = (
         table(spark, sf_dir, "supplier")
@@ -150,7 +169,7 @@ def coverage_tables(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, Dat
         .withColumn("kind", kind_of)
     )
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    claims = claim_base(spark, sf_dir).withColumnRenamed("l_suppkey", "s_suppkey").withColumn("kind", kind_of)
+    claims = (claim_base(spark, sf_dir) if base is None else base).withColumnRenamed("l_suppkey", "s_suppkey").withColumn("kind", kind_of)
     key = F.col("s_suppkey")
     current = (key % 3 + 1).cast("string")
 
@@ -213,8 +232,7 @@ def coverage_tables(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, Dat
         own = suppliers.filter(F.col("kind") == kind)
         lines_of = claims.filter(F.col("kind") == kind)
         policy = [text(key, f"{prefix}_id"), current.alias(f"{prefix}_version")]
-        code = blank_when(F.col("l_partkey") % 97 == 0, procedure_code_text())
-        codes = lines_of.select("s_suppkey", code.alias("code")).distinct()
+        codes = lines_of.select("s_suppkey", F.col("claim_code").alias("code")).distinct()
         # Some code rows name a version that has no document and must drop out.
         code_version = F.when(key % 13 == 0, "9").otherwise(current)
         contractors = F.array_distinct(F.array(F.col("s_nationkey"), (F.col("s_nationkey") * (key % 2 + 1)) % 25))

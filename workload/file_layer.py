@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import shutil
 from collections.abc import Iterator
-from zipfile import ZIP_DEFLATED, ZipFile
+from zipfile import ZIP_DEFLATED, ZIP_STORED, ZipFile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -35,13 +36,14 @@ def parts_for(rows: int) -> int:
     return max(4, -(-rows // ROWS_PER_PART))
 
 
-def named_files(df: DataFrame, folder: str, name: str, order: list[str], delimiter: str = "|") -> list[str]:
-    """One file per value of the column ``name``, rows in ``order``; returns the paths."""
+def named_files(df: DataFrame, folder: str, name: str, order: list[str], delimiter: str = "|", compression: str = "none") -> list[str]:
+    """One file per value of the column ``name``, rows in ``order``; returns the paths. Without order, rows are in place: a value belongs to one task."""
     spark = df.sparkSession
     parts = f"{folder}.parts"
     own = [c for c in df.columns if c not in (name, *[o for o in order if o.startswith("_")])]
-    rows = df.repartition(name).sortWithinPartitions(name, *order).select(*own, name)
+    rows = (df.repartition(name).sortWithinPartitions(name, *order) if order else df).select(*own, name)
     writer = rows.write.partitionBy(name).option("sep", delimiter).option("header", True).option("emptyValue", "").option("escape", '"')
+    writer = writer.option("compression", compression)
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(parts)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = jvm_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -57,7 +59,7 @@ def named_files(df: DataFrame, folder: str, name: str, order: list[str], delimit
 
 
 def pack(spark: SparkSession, members: list[tuple[str, str, str, str]]) -> None:
-    """Make archives in tasks, one each, from ``(archive, bundle, member, file)``; a bundle is a ZIP inside the ZIP."""
+    """Make archives in tasks, one each, from ``(archive, bundle, member, file)``; a bundle is a ZIP inside the ZIP. Files ``.gz`` are unpacked on the way."""
     listed = spark.createDataFrame(members, "archive string, bundle string, member string, file string")
     archives = listed.groupBy("archive", "bundle").agg(F.sort_array(F.collect_list(F.struct("member", "file"))).alias("members"))
 
@@ -65,7 +67,7 @@ def pack(spark: SparkSession, members: list[tuple[str, str, str, str]]) -> None:
         def fill(book: ZipFile, members) -> None:
             for member, file in ((m["member"], m["file"]) for m in members):
                 with open_stream(file) as source, book.open(member, "w", force_zip64=True) as sink:
-                    shutil.copyfileobj(source, sink, 1 << 20)
+                    shutil.copyfileobj(gzip.open(source) if file.endswith(".gz") else source, sink, 1 << 20)
 
         for batch in batches:
             for row in batch.to_dict("records"):
@@ -73,6 +75,7 @@ def pack(spark: SparkSession, members: list[tuple[str, str, str, str]]) -> None:
                 system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(inner) as out, ZipFile(out, "w", ZIP_DEFLATED) as book:
                     if row["bundle"]:
+                        book.compression = ZIP_STORED  # the members are packed already
                         with book.open(f"data/{row['bundle']}", "w", force_zip64=True) as nested, ZipFile(nested, "w", ZIP_DEFLATED) as deep:
                             fill(deep, row["members"])
                     else:
@@ -97,7 +100,7 @@ def zip_claim_files(spark: SparkSession, sf: str) -> DataFrame:
     folder, rows = scratch_path(spark, "raw-zip"), _raw(spark, sf, "carrier")
     count = parts_for(a.table(spark, sf, "lineitem").count())
     part = F.pmod(F.xxhash64(*rows.columns), F.lit(count))
-    members = named_files(rows.withColumn("file", F.format_string("carrier-%08d.csv", part)), folder, "file", [])
+    members = named_files(rows.withColumn("file", F.format_string("carrier-%08d.csv", part)).repartition("file"), folder, "file", [])
     archives = [(f"{member.removesuffix('.csv')}.zip", "", base_name(member), member) for member in members]
     pack(spark, archives)
     return normalize_source(files.load_table(spark, [archive for archive, *_ in archives]), "carrier")
@@ -118,7 +121,7 @@ def claim_lines_from_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def yearly_beneficiary_files(spark: SparkSession, sf: str) -> DataFrame:
     """One file per year, read as a union with the year from the file name."""
-    people = a.raw_beneficiaries(spark, sf).drop("year")
+    people = a.raw_beneficiaries(spark, sf).drop("year").repartition("source_file")
     paths = named_files(people, scratch_path(spark, "people"), "source_file", [])
     raw = files.scan_yearly_files(spark, paths).drop("source_file")
     return type_columns(names.lower_names(names.standardize_columns(raw, "beneficiary")), keep=("year",))
@@ -131,7 +134,7 @@ _POLICY_ARCHIVES: dict[tuple[str, str], str] = {}
 def policy_archives(spark: SparkSession, sf: str) -> str:
     """Folder with the policy tables as CSV in parts of nested ZIPs.
 
-    A part holds a stretch of each table's positions, or of the hashes of its rows where positions do not matter.
+    A part holds a stretch of each table's positions, or what one task reads of it where positions do not matter, which moves no rows.
     """
     key = (spark.sparkContext.applicationId, sf)
     if key in _POLICY_ARCHIVES and exists(spark, _POLICY_ARCHIVES[key]):
@@ -147,10 +150,10 @@ def policy_archives(spark: SparkSession, sf: str) -> str:
                 last = rows.agg(F.max("ingest_pos")).first()[0] or 0
                 part = F.floor(F.col("_place") * count / (last + 1)).cast("long")
             else:
-                part = F.pmod(F.xxhash64(*rows.columns), F.lit(count))
-            rows = rows.withColumnRenamed("ingest_pos", "_place").withColumn("file", F.format_string("%08d.csv", part))
-            for file in named_files(rows, f"{folder}/{kind}-{name}", "file", ["_place"] if placed else [], ","):
-                number = base_name(file).removesuffix(".csv")
+                part = F.spark_partition_id()
+            rows = rows.withColumnRenamed("ingest_pos", "_place").withColumn("file", F.format_string("%08d.csv.gz", part))
+            for file in named_files(rows, f"{folder}/{kind}-{name}", "file", ["_place"] if placed else [], ",", "gzip"):
+                number = base_name(file).removesuffix(".csv.gz")
                 members.append((f"{folder}/{archive.removesuffix('.zip')}.part-{number}.zip", bundle, f"tables/{name}.csv", file))
     pack(spark, members)
     _POLICY_ARCHIVES[key] = folder

@@ -7,22 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimspark.plans import analytics, coverage_build
-from claimspark.session import scratch_path
+from claimspark.session import scratch_path, settings
 from claimspark.sources.paths import exists
-from workload import adapter as a, file_layer
+from workload import adapter as a, file_layer, staging
 
 # (application, table folder) -> derived folder and the row counts that the jobs returned
 _RUN: dict[tuple[str, str], tuple[str, dict[str, int]]] = {}
 
 
+def _base(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines, joined once for the claim tables and the policy tables; measured partitions of parts and orders that are small are hashed, not sorted."""
+    with settings(spark, spark_sql_adaptive_maxShuffledHashJoinLocalMapThreshold="64m"):
+        return staging.claim_base(spark, sf)
+
+
 def derived(spark: SparkSession, sf: str) -> tuple[str, dict[str, int]]:
     """Folder of the derived tables and their row counts; the jobs run once a session, and again if the folder was removed."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RUN or not exists(spark, f"{_RUN[key][0]}/coverage_ncd_relationships.parquet"):
         processed, folder = scratch_path(spark, "processed"), scratch_path(spark, "derived")
-        base = a.claim_base(spark, sf)
+        base = _base(spark, sf)
         for kind, name in analytics.CLAIM_TABLES.items():
-            a.processed_claims(base, kind).write.parquet(f"{processed}/{name}")
+            a.processed_claims(base, kind).write.parquet(f"{processed}/{name}", compression="zstd")
         counts = analytics.build_procedure_analytics(spark, processed, folder)
         archives = file_layer.policy_archives(spark, sf)
         counts |= coverage_build.build_local_coverage_relationships(spark, archives, folder, as_of=a.AS_OF)

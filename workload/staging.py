@@ -23,17 +23,27 @@ from workload import adapter
 _WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
+def is_staged(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    return key in _WRITTEN and exists(spark, f"{_WRITTEN[key][0]}/_SUCCESS")
+
+
 def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table from the shared folder; it is built on first use and rebuilt if it was removed."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _WRITTEN or not exists(spark, f"{_WRITTEN[key][0]}/_SUCCESS"):
+    if not is_staged(spark, sf_dir, name):
         path, df = scratch_path(spark, name), build()
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
         _WRITTEN[key] = path, df.schema
     path, schema = _WRITTEN[key]
     return spark.read.schema(schema).parquet(path)
 
 
+def claim_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For jobs that need the joined lines several times; single queries join what they need."""
+    return staged(spark, sf_dir, "claim_base", lambda: adapter.claim_base(spark, sf_dir).select(*adapter.BASE_COLUMNS))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "claim_lines", lambda: adapter.lines(spark, sf_dir))
 
@@ -63,7 +73,8 @@ def coverage_tables(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, Dat
 
     def build(kind: str, name: str) -> DataFrame:
         if not built:
-            built.update(adapter.coverage_tables(spark, sf_dir))
+            base = claim_base(spark, sf_dir) if is_staged(spark, sf_dir, "claim_base") else None
+            built.update(adapter.coverage_tables(spark, sf_dir, base))
         return built[kind][name]
 
     return {
