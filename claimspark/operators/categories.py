@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from claimspark.operators.case_mix import PAIR, diagnosis_mix, mix_divergence, place_mix
+from claimspark.operators.case_mix import PAIR, diagnosis_mix, divergence_of, known_items, own_items, place_mix
 from claimspark.operators.claim_lines import lines_with_code
 from claimspark.operators.course import month_number, month_of
 from claimspark.operators.joins import measured_join
@@ -35,11 +35,22 @@ class Limits:
 
 def provider_months(lines: DataFrame) -> DataFrame:
     """``provider_id, procedure_code, month, claims``: distinct claims; months as numbers. Lines without provider, procedure or day are left out."""
-    known = lines_with_code(lines).dropna(subset=["provider_id", "service_date"])
-    return known.groupBy(*PAIR, month_number(F.col("service_date")).alias("month")).agg(distinct_claims().alias("claims"))
+    known = _dated_lines(lines).select(*PAIR, month_number(F.col("service_date")).alias("month"), "claim_type", "source_claim_id")
+    # All of a pair's lines meet, so that neither claims nor months are moved again.
+    return known.repartition(*PAIR).groupBy(*PAIR, "month").agg(distinct_claims().alias("claims"))
 
 
-def change_points(monthly: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def _dated_lines(lines: DataFrame) -> DataFrame:
+    return lines_with_code(lines).dropna(subset=["provider_id", "service_date"])
+
+
+def procedure_spans(lines: DataFrame) -> DataFrame:
+    """``procedure_code, first, last``: the first and last month of ``provider_months``, without counting claims."""
+    month = month_number(F.col("service_date"))
+    return _dated_lines(lines).groupBy("procedure_code").agg(F.min(month).alias("first"), F.max(month).alias("last"))
+
+
+def change_points(monthly: DataFrame, limits: Limits = Limits(), spans: DataFrame | None = None) -> DataFrame:
     """``provider_id, procedure_code, months, claims, up_from, up_seen, up_peak, down_from, down_seen, down_peak`` of pairs with ``min_claims`` claims.
 
     The months of a pair run from the procedure's first to its last, filled with zeros, so that beginning and ending are changes too. Upwards and
@@ -47,15 +58,17 @@ def change_points(monthly: DataFrame, limits: Limits = Limits()) -> DataFrame:
     with such resets is a running sum less the smallest one so far, so windows over a pair's months are enough. The running sums are made of whole
     numbers and one root, the same in any order of rows. ``seen`` is the first month in which the sum reaches the decision limit, ``from`` the month
     after its last reset until then, ``peak`` its largest value in standard deviations; without a change the months are NULL, without
-    spread all are. ``monthly`` has one row a pair and month; rows with NULLs are left out.
+    spread all are. ``monthly`` has one row a pair and month; rows with NULLs are left out. ``spans`` has the procedures' first and last months; without it
+    ``monthly`` is written and read twice.
 
     Months without claims are not made into rows. From one month with claims to the next the running sums change by the same amount every month, so
     sums, smallest sums and resets of such a stretch are known from its last month; only where the limit is reached inside a stretch are its months tried one by one,
     in one row of the pair. A pair has at most two rows for a month with claims, and one for the stretch before the first.
     """
     known = monthly.dropna(subset=[*PAIR, "month", "claims"]).select(*PAIR, "month", "claims")
-    known = materialise(known, "provider-months")
-    spans = known.groupBy("procedure_code").agg(F.min("month").alias("first"), F.max("month").alias("last"))
+    if spans is None:
+        known = materialise(known, "provider-months")
+        spans = known.groupBy("procedure_code").agg(F.min("month").alias("first"), F.max("month").alias("last"))
     pair, own = Window.partitionBy(*PAIR), Window.partitionBy(*PAIR).orderBy("month")
     square = F.col("claims").cast("decimal(19,0)") * F.col("claims")
     rows = known.withColumns({
@@ -113,7 +126,8 @@ def change_points(monthly: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def combination_mix(lines: DataFrame) -> DataFrame:
     """Other procedures on the claims of a provider's procedure, against those of all other providers of it."""
-    return mix_divergence(materialise(codes_beside(lines), "codes-beside"), "other_code", weight="claims")
+    own = materialise(own_items(known_items(codes_beside(lines), "other_code", "claims")), "codes-beside")
+    return divergence_of(own, own.withColumnRenamed("n", "times"))
 
 
 def anomaly_categories(lines: DataFrame, features: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -124,7 +138,7 @@ def anomaly_categories(lines: DataFrame, features: DataFrame, limits: Limits = L
     change over the months, up or down, the earlier one given. A figure that does not exist (no peers, no places, too few claims) gives no category. ``categories`` is an
     array in this order, empty where nothing stands out.
     """
-    changes = change_points(provider_months(lines), limits)
+    changes = change_points(provider_months(lines), limits, procedure_spans(lines))
     up_first = F.col("up_seen").isNotNull() & (F.col("down_seen").isNull() | (F.col("up_seen") <= F.col("down_seen")))
     direction = F.when(up_first, "up").when(F.col("down_seen").isNotNull(), "down")
     changes = changes.select(*PAIR, direction.alias("change"), F.when(up_first, F.col("up_from")).otherwise(F.col("down_from")).alias("change_from"))

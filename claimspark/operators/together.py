@@ -30,9 +30,11 @@ def codes_beside(lines: DataFrame, claim: str = "claim_key", block_codes: int =
     """``provider_id, procedure_code, other_code, claims``: on how many of a provider's claims with a procedure another one is billed, by whomever.
 
     Lines without claim, code or provider are not a provider's; their codes are still others on their claims. Blocks of a claim's codes meet
-    in cells as in ``code_pairs``. The codes of claims with several ones are written once and read for both sides.
+    in cells as in ``code_pairs``. The codes of claims with several ones are written once and read for both sides. Lines are moved once, to their
+    claim, and what is found once, to its provider and procedure, where the rows of the two stay.
     """
     items = lines.dropna(subset=[claim, "procedure_code"]).select(F.col(claim).alias("claim"), F.col("procedure_code").alias("code"), "provider_id")
+    items = items.repartition("claim")
     billed = items.groupBy("claim", "code").agg(F.collect_set("provider_id").alias("providers"))
     billed = billed.withColumn("codes", F.count("*").over(Window.partitionBy("claim"))).filter("codes > 1")
     billed = materialise(billed.withColumn("blocks", F.ceil(F.col("codes") / block_codes)), "billed-codes")
@@ -41,6 +43,7 @@ def codes_beside(lines: DataFrame, claim: str = "claim_key", block_codes: int =
     mine = mine.select("claim", "provider_id", F.col("code").alias("procedure_code"), block.alias("one"), F.explode(all_blocks).alias("two"))
     others = billed.select("claim", F.col("code").alias("other_code"), block.alias("two"), F.explode(all_blocks).alias("one"))
     met = mine.join(others, ["claim", "one", "two"]).filter("procedure_code <> other_code")
+    met = met.select("provider_id", "procedure_code", "other_code").repartition("provider_id", "procedure_code")
     return met.groupBy("provider_id", "procedure_code", "other_code").agg(F.count("*").alias("claims"))
 
 

@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import parse_date
-from claimspark.operators import coverage, utilization as u
+from claimspark.operators import case_mix, categories, coverage, together, utilization as u
 from claimspark.operators.normalize import type_columns
 from claimspark.sources import sinks
 from workload import file_layer
@@ -85,3 +85,23 @@ def test_typed_dates_are_those_of_parse_date(spark):
     got = {r["n"]: r["claim_from_date"] for r in type_columns(df, keep=("n",)).collect()}
     want = {r["n"]: r["day"] for r in df.select("n", parse_date(F.trim("claim_from_date")).alias("day")).collect()}
     assert got == want and [got[i] for i in range(6)] == [date(2020, 1, 5)] * 6
+
+
+def test_months_and_mixes_move_lines_once(spark):
+    rows = [("carrier", ("P", "Q")[i % 2], None if i % 5 == 0 else f"c{i % 17}", f"n{i % 4}", date(2020, 1 + i % 7, 3), ["D1", f"D{i % 3}", None, ""][: i % 4]) for i in range(200)]
+    lines = spark.createDataFrame(rows, "claim_type string, procedure_code string, source_claim_id string, provider_id string, service_date date, diagnosis_codes array<string>")
+    lines = lines.withColumn("claim_key", F.coalesce("source_claim_id", F.format_string("row %d", F.monotonically_increasing_id()))).localCheckpoint()
+    monthly, spans = categories.provider_months(lines), categories.procedure_spans(lines)
+    assert plan(monthly).count("Exchange") == 1
+    assert {(r["procedure_code"], r["first"], r["last"]) for r in spans.collect()} == {("P", 24240, 24246), ("Q", 24240, 24246)}
+    limits = categories.Limits(min_claims=1, decision=0.5)
+    assert sorted(categories.change_points(monthly, limits, spans).collect()) == sorted(categories.change_points(monthly, limits).collect())
+    beside = together.codes_beside(lines)
+    assert plan(case_mix.own_items(case_mix.known_items(beside, "other_code", "claims"))).count("Exchange") == plan(beside).count("Exchange")
+    own = case_mix.own_items(case_mix.known_items(lines.select("provider_id", "procedure_code", F.explode("diagnosis_codes").alias("d")), "d"))
+    got = {(r["provider_id"], r["procedure_code"]): (r["rows"], r["kinds"]) for r in own.collect()}
+    for pair, (n, kinds) in got.items():
+        found = [d for _, code, _, provider, _, codes in rows if (provider, code) == pair for d in codes if d is not None]
+        assert (n, kinds) == (len(found), len(set(found)))
+    apart = case_mix.diagnosis_mix(lines).select("provider_id", "procedure_code", "rows").collect()
+    assert {tuple(r)[:2]: r["rows"] for r in apart} == {pair: sum(d not in (None, "") for _, code, _, p, _, codes in rows if (p, code) == pair for d in codes) for pair in {tuple(r)[:2] for r in apart}}
