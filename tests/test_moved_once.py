@@ -8,7 +8,7 @@ from claimspark.functions.text import parse_date
 from claimspark.operators import case_mix, categories, coverage, together, utilization as u
 from claimspark.operators.normalize import type_columns
 from claimspark.sources import sinks
-from workload import file_layer
+from workload import adapter, file_layer, staging
 
 LINE = "claim_type string, procedure_code string, source_claim_id string, bene_id string, provider_id string, provider_id_type string, allowed_amount double"
 
@@ -105,3 +105,14 @@ def test_months_and_mixes_move_lines_once(spark):
         assert (n, kinds) == (len(found), len(set(found)))
     apart = case_mix.diagnosis_mix(lines).select("provider_id", "procedure_code", "rows").collect()
     assert {tuple(r)[:2]: r["rows"] for r in apart} == {pair: sum(d not in (None, "") for _, code, _, p, _, codes in rows if (p, code) == pair for d in codes) for pair in {tuple(r)[:2] for r in apart}}
+
+
+def test_written_base_leaves_lines_without_number_out(spark, tmp_path):
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame([(1, 2, 3, n, 10.0, 0.5, "A", "F", None) for n in (1, 2, 3, None)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 4, "F", "1-URGENT")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(2, "Brand#7", 11)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    staging.claim_base(spark, str(tmp_path))
+    base = staging.claim_base(spark, str(tmp_path))
+    assert sorted((r["claim_type"] or "", r["charge"]) for r in base.collect()) == [("", None), ("carrier", 5.0), ("inpatient", None), ("outpatient", 10.0)]
+    assert {kind: [r["hcpcs_code"] for r in adapter.processed_claims(base, kind).collect()] for kind in adapter.CLAIM_TYPES} == dict.fromkeys(adapter.CLAIM_TYPES, ["B7-3"])

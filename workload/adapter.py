@@ -72,7 +72,8 @@ def claim_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     meet the parts first, and what follows from the part stands in for it when they are moved the second time.
     """
     lines = table(spark, sf_dir, "lineitem")
-    kind, price = one_of(CLAIM_TYPES, F.col("l_linenumber")), F.col("l_extendedprice")
+    number, price = F.col("l_linenumber"), F.col("l_extendedprice")
+    kind = F.when(number.isNotNull(), one_of(CLAIM_TYPES, number))  # element_at alone may give the last one for NULL
     lines = lines.withColumns({
         "ship_day": F.col("l_shipdate").cast("date"),
         "charge": F.when(kind == "carrier", price * (1 - F.col("l_discount"))).when(kind == "outpatient", price),
